@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import store, warc
+from quillspark.llm import huffman, packing, store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,24 @@ from p left join f on p.d = f.d and p.n >= 100
 """
 
 
+def _word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = store.fresh_dir(spark, "token-files")
+    huffman.write_token_files(_table(spark, sf_dir, "documents"), root, _word_tokenizer(), end_id=2, id_bytes=2)
+    return huffman.read_token_files(spark, root, ids=False).drop("ids")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _word_tokenizer(), capacity=4096, end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc}
+    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
