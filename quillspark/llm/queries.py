@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import huffman, packing, store, warc
+from quillspark.llm import decontam, huffman, packing, store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +47,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _word_tokenizer(), capacity=4096, end_id=1)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        decontam.digest_items(F.col("items")).alias("items_sha256"),
+        decontam.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op7_packing": op7_packing}
+    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
