@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, huffman, packing, store, warc
+from quillspark.llm import decontam, huffman, minhash, packing, store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_token_files(spark, root, ids=False).drop("ids")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _word_tokenizer(), capacity=4096, end_id=1)
 
@@ -59,9 +63,34 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP5_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then []
+    when len(w) = 1 then w
+    else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+  from words
+), sh as (select doc_id, unnest(s) as g from sets), n as (select doc_id, len(s) as n from sets),
+common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select x, y from common join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)
+), pairs as (select x, y from links union all select y, x from links),
+reach as (
+  select doc_id as d, doc_id as c from documents
+  union
+  select pairs.y, reach.c from reach join pairs on pairs.x = reach.d
+), best as (select d, min(c) as component_id from reach group by d)
+select n.doc_id, cast(n.n as bigint) as n_shingles, best.component_id, n.doc_id = best.component_id as kept
+from n join best on best.d = n.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination}
+    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op5_minhash": op5_minhash, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op5_minhash": OP5_SQL}
