@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, huffman, minhash, packing, store, warc
+from quillspark.llm import decontam, htmlcut, huffman, langid, minhash, packing, store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = langid.fold(F.col("doc_id"))
+    dictionaries = langid.train(docs.where(fold != 2))
+    found = langid.identify(docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return htmlcut.extract(pages, htmlcut.train(pages))
+
+
 OP5_SQL = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -89,7 +102,7 @@ from n join best on best.d = n.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op5_minhash": op5_minhash, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination}
+    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op5_minhash": op5_minhash, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
