@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, htmlcut, huffman, langid, minhash, packing, store, warc
+from quillspark.llm import decontam, htmlcut, huffman, langid, minhash, packing, store, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_token_files(spark, root, ids=False).drop("ids")
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.removed_spans(_table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
@@ -102,7 +107,7 @@ from n join best on best.d = n.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op5_minhash": op5_minhash, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_html": op10_html}
+    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op3_suffix": op3_suffix, "op5_minhash": op5_minhash, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
