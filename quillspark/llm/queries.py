@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, htmlcut, huffman, langid, minhash, packing, store, suffix_dedup, warc
+from quillspark.llm import decontam, htmlcut, huffman, langid, minhash, packing, quality, store, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,48 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+# Exact quartiles stand for the sketches, which are exact up to 2,048 values.
+OP4_SQL = r"""
+with w as (
+  select doc_id, lang, source, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+  from documents
+), g as (
+  select doc_id, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from w
+), r as (select doc_id, i, count(*) over (partition by doc_id, g) as c from g),
+p as (select doc_id, count(distinct k) as n from (select doc_id, unnest([i, i + 1, i + 2]) as k from r where c > 1) group by doc_id),
+m as (
+  select w.doc_id, lang, source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, len(l) as n_lines,
+    cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(p.n, 0) as bigint) as n_repeat_words
+  from w left join p on p.doc_id = w.doc_id
+), b as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    word_chars / n_words as a1, n_symbols / n_words as a2, n_dup_lines / n_lines as a3, n_repeat_words / n_words as a4 from m
+), s as (
+  select lang, source, count(*) as n, list_sort(list(a1)) as l1, list_sort(list(a2)) as l2, list_sort(list(a3)) as l3, list_sort(list(a4)) as l4
+  from b where not base_failed group by grouping sets ((lang, source), (lang), ())
+), f as (
+  select lang, source, n,
+    l1[cast(ceil(0.25 * n) as bigint)] as p1, l1[cast(ceil(0.75 * n) as bigint)] as q1, l2[cast(ceil(0.25 * n) as bigint)] as p2, l2[cast(ceil(0.75 * n) as bigint)] as q2,
+    l3[cast(ceil(0.25 * n) as bigint)] as p3, l3[cast(ceil(0.75 * n) as bigint)] as q3, l4[cast(ceil(0.25 * n) as bigint)] as p4, l4[cast(ceil(0.75 * n) as bigint)] as q4
+  from s
+), u as (
+  select o.lang, o.source, unnest(case when o.n >= 200 then o when x.n >= 200 then x else y end)
+  from f o join f x on x.lang = o.lang and x.source is null join f y on y.lang is null where o.source is not null
+)
+select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and a1 between p1 - greatest(3.0 * (q1 - p1), 1.5) and q1 + greatest(3.0 * (q1 - p1), 1.5)
+  and a2 <= q2 + greatest(3.0 * (q2 - p2), 0.1) and a3 <= q3 + greatest(3.0 * (q3 - p3), 0.3) and a4 <= q4 + greatest(3.0 * (q4 - p4), 0.2) as kept
+from b left join (select * exclude (lang_1, source_1) from u) u on u.lang = b.lang and u.source = b.source
+"""
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
@@ -107,8 +149,8 @@ from n join best on best.d = n.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op3_suffix": op3_suffix, "op5_minhash": op5_minhash, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_html": op10_html}
+    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op3_suffix": op3_suffix, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op5_minhash": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op4_quality": OP4_SQL, "op5_minhash": OP5_SQL}
