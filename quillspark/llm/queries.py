@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, htmlcut, huffman, langid, minhash, packing, quality, store, suffix_dedup, warc
+from quillspark.llm import decontam, htmlcut, huffman, langid, licences, minhash, packing, quality, store, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,7 @@ from p left join f on p.d = f.d and p.n >= 100
 """
 
 
-def _word_tokenizer() -> str:
+def word_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -39,7 +39,7 @@ def _word_tokenizer() -> str:
 
 def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = store.fresh_dir(spark, "token-files")
-    huffman.write_token_files(_table(spark, sf_dir, "documents"), root, _word_tokenizer(), end_id=2, id_bytes=2)
+    huffman.write_token_files(_table(spark, sf_dir, "documents"), root, word_tokenizer(), end_id=2, id_bytes=2)
     return huffman.read_token_files(spark, root, ids=False).drop("ids")
 
 
@@ -94,8 +94,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_corpus(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    return found.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_found"), F.size(sure).cast("long").alias("n_confirmed"), "family")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _word_tokenizer(), capacity=4096, end_id=1)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end_id=1)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +155,7 @@ from n join best on best.d = n.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op3_suffix": op3_suffix, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_html": op10_html}
+    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op3_suffix": op3_suffix, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op6_licences": op6_licences, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
