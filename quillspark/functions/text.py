@@ -199,7 +199,7 @@ def headings(text: Column) -> Column:
 
 def section_at(found: Column, position: Column) -> Column:
     """Title of the last heading at or before a position, else intro."""
-    return F.coalesce(F.element_at(F.filter(found, lambda h: h["pos"] <= position), F.lit(-1))["title"], F.lit("intro"))
+    return F.coalesce(F.try_element_at(F.filter(found, lambda h: h["pos"] <= position), F.lit(-1))["title"], F.lit("intro"))
 
 
 def slug(text: Column, *, empty: str = "section", length: int = 60) -> Column:
