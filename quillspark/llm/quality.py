@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import store
 
-#: Metric: (its column, lower fence too, least slack).
+#: Metric: (what it is, lower fence too, least slack).
 METRICS = {
-    "mean_word": (F.col("word_chars") / F.col("n_words"), True, 1.5),
-    "symbol_share": (F.col("n_symbols") / F.col("n_words"), False, 0.1),
-    "dup_line_share": (F.col("n_dup_lines") / F.col("n_lines"), False, 0.3),
-    "repeat_share": (F.col("n_repeat_words") / F.col("n_words"), False, 0.2),
+    "mean_word": ("word_chars / n_words", True, 1.5),
+    "symbol_share": ("n_symbols / n_words", False, 0.1),
+    "dup_line_share": ("n_dup_lines / n_lines", False, 0.3),
+    "repeat_share": ("n_repeat_words / n_words", False, 0.2),
 }
 
 
@@ -106,10 +106,10 @@ def judge(documents: DataFrame, *, min_group: int = 200, reach: float = 3.0) ->
     """Counts of each document, base_failed, kept, and broken: the metrics beyond their fence."""
     counted = store.cut(text_metrics(documents), "text-metrics")
     counted = counted.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    passed = counted.where("not base_failed").select("lang", "source", *[c.cast("double").alias(m) for m, (c, _, _) in METRICS.items()])
+    passed = counted.where("not base_failed").select("lang", "source", *[F.expr(c).cast("double").alias(m) for m, (c, _, _) in METRICS.items()])
     table = store.cut(fences(passed, min_group=min_group, reach=reach), "fences").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = counted.join(table, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    outside = [F.when((c < F.col(f"fence.{m}.low")) | (c > F.col(f"fence.{m}.high")), F.lit(m)) for m, (c, _, _) in METRICS.items()]
+    outside = [F.when((F.expr(c) < F.col(f"fence.{m}.low")) | (F.expr(c) > F.col(f"fence.{m}.high")), F.lit(m)) for m, (c, _, _) in METRICS.items()]
     broken = F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*outside)))
     found = joined.withColumn("broken", broken)
     return found.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop("_lang", "_source", "fence")
