@@ -294,7 +294,8 @@ def main_text(page: str, weights: np.ndarray, *, hint_cost: float = 6.0, smoothn
     edges, last = [], {}
     for k, b in enumerate(blocks):
         if k:
-            edges.append((k - 1, k, smoothness * b.common / max(b.depth, blocks[k - 1].depth)))
+            border = 0.25 if b.hint != blocks[k - 1].hint else 1.0  # an element with a name of its own begins or ends here
+            edges.append((k - 1, k, border * smoothness * b.common / max(b.depth, blocks[k - 1].depth)))
         twin = (b.element, b.tag)
         if twin in last and last[twin] != k - 1:
             edges.append((last[twin], k, smoothness))
