@@ -23,8 +23,8 @@ from quillspark.llm import store
 METRICS = {
     "mean_word": ("word_chars / n_words", True, 1.5),
     "symbol_share": ("n_symbols / n_words", False, 0.1),
-    "dup_line_share": ("n_dup_lines / n_lines", False, 0.3),
-    "repeat_share": ("n_repeat_words / n_words", False, 0.2),
+    "dup_line_share": ("n_dup_lines / n_lines", False, 0.5),
+    "repeat_share": ("n_repeat_words / n_words", False, 0.35),
 }
 
 

@@ -85,7 +85,7 @@ m as (
 )
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and a1 between p1 - greatest(3.0 * (q1 - p1), 1.5) and q1 + greatest(3.0 * (q1 - p1), 1.5)
-  and a2 <= q2 + greatest(3.0 * (q2 - p2), 0.1) and a3 <= q3 + greatest(3.0 * (q3 - p3), 0.3) and a4 <= q4 + greatest(3.0 * (q4 - p4), 0.2) as kept
+  and a2 <= q2 + greatest(3.0 * (q2 - p2), 0.1) and a3 <= q3 + greatest(3.0 * (q3 - p3), 0.5) and a4 <= q4 + greatest(3.0 * (q4 - p4), 0.35) as kept
 from b left join (select * exclude (lang_1, source_1) from u) u on u.lang = b.lang and u.source = b.source
 """
 
