@@ -271,6 +271,27 @@ def html_to_text(spark, sf_dir):
     return _parsed_pages(spark, sf_dir).select("page_id", F.regexp_replace("text", r"\s+", "").alias("letters"))
 
 
+_CHROME = "concat('<header>HE</header><form>FO</form><aside>AS</aside>', html)"
+
+
+@query(
+    rf"""with t as (select page_id, regexp_replace(regexp_replace({_CHROME}, '(?s)<(script|style|nav|header|footer|aside|form)\b[^>]*>.*?</(script|style|nav|header|footer|aside|form)>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g') as x from pages)
+select page_id, length(regexp_replace("""
+    + _SQL_ENTITIES.format("x")
+    + r""", '\s+', '', 'g')) as n_letters from t"""
+)
+def html_strip_chrome(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", D._page_parts(F.expr(_CHROME)).alias("p"))
+    return pages.select("page_id", F.length(F.regexp_replace("p.text", r"\s+", "")).cast("long").alias("n_letters"))
+
+
+@query("select page_id, 'py' as language, concat('x = ', cast(page_id as string)) as code from pages")
+def html_code_to_fence(spark, sf_dir):
+    content = F.concat(F.lit("<pre>a</pre><pre><code class='a language-py'>x = "), F.col("page_id").cast("string"), F.lit("</code></pre>"), F.col("html"))
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), content.alias("content"))
+    return D.parse_html(pages).select(F.col("path").cast("long").alias("page_id"), F.explode("code_blocks").alias("b")).select("page_id", "b.language", "b.code")
+
+
 def _parsed_pages(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("content"))
     return pages.select("page_id", D._page_parts("content").alias("p")).select("page_id", "p.title", "p.sections", "p.text")
@@ -763,6 +784,18 @@ def write_tutorials(spark, sf_dir):
     return spark.read.schema("value string, slug string").text(path, wholetext=True).select("slug", F.regexp_replace("value", r"\n\z", "").alias("markdown"))
 
 
+@query(
+    f"""{_SQL_RETRIEVED}{_SQL_CONTEXT}, t as (select item_id as query_id, text as markdown from benchmark)
+select c.query_id, concat('question-', cast(c.query_id as string)) as slug, concat('On question ', cast(c.query_id as string), ': ', context) as user_prompt, cast(len(regexp_extract_all(markdown, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) as int) as word_count, 'below' as band from contexts c join t on t.query_id = c.query_id"""
+)
+def generate_tutorials(spark, sf_dir):
+    """The third workload: topics, context, prompt, and what was written on them."""
+    topics = _asked(spark, sf_dir).withColumnRenamed("query", "topic")
+    written = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("markdown"))
+    rows = W.tutorials(topics, _store(spark, sf_dir), written, template="On {topic}: {context}", k=5, bound=0.8, exclude_self=True)
+    return rows.select("query_id", "slug", "user_prompt", "word_count", "band")
+
+
 @query()
 def embed_texts(spark, sf_dir):
     """Chunks with vectors of a hashing embedder, which stands for a model."""
