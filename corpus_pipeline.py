@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, langid, minhash, packing, queries, store, suffix_dedup
 
+#: What every stage but the last reads and returns; other columns are left out.
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language compression tells; lang becomes what it says."""
+    docs = docs.select(*DOCUMENTS)
     labelled = docs.where(langid.fold(F.col("doc_id")) != 2)
     found = langid.identify(docs, langid.train(labelled))
     return found.where("not rejected").withColumn("lang", F.col("lang_pred")).select(*DOCUMENTS)
@@ -19,9 +21,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group whose sets of five-word shingles are similar by 0.8 or more."""
+    docs = docs.select(*DOCUMENTS)
     groups = minhash.near_duplicates(docs, size=5)
     dropped = store.cut(groups.where("not kept").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(dropped, "doc_id", "left_anti").select(*DOCUMENTS)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*DOCUMENTS)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A document that loses everything goes.
     """
-    found = suffix_dedup.removed_spans(docs, length=200, kept_text=True)
+    found = suffix_dedup.removed_spans(docs.select(*DOCUMENTS), length=200, kept_text=True)
     raw = F.col("kept").cast("string")
     whole = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
     found = found.withColumn("text", F.when(F.col("n_removed") > 0, whole).otherwise(F.col("text")))
@@ -39,11 +42,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which a twentieth of the words or more stand in 13-word windows of the benchmark."""
+    docs = docs.select(*DOCUMENTS)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.find_contamination(docs, benchmark)
     hit = found.where(decontam.contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
     hit = store.cut(hit, "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*DOCUMENTS)
+    return docs.join(hit.hint("merge"), "doc_id", "left_anti").select(*DOCUMENTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
