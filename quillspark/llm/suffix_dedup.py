@@ -36,6 +36,8 @@ from quillspark.llm import blocks, store
 GRAM = 32
 #: A difference cover modulo 7: every residue is a difference of two members (fixed values).
 COVER, MODULUS = (0, 1, 3), 7
+#: Whether a position is in the cover after a shift, by shift and residue.
+COVERED = np.array([[(r + shift) % MODULUS in COVER for r in range(MODULUS)] for shift in range(MODULUS)])
 RANKED = 16 * MODULUS
 
 
@@ -154,7 +156,7 @@ def repeated(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndar
     for k in range(8):
         word |= padded[k : n + k] << np.uint64(56 - 8 * k)
     residue = local % MODULUS
-    covered = np.isin(residue, COVER)
+    covered = COVERED[0][residue]
     rank = np.zeros(n, dtype=np.int64)
     at = np.flatnonzero(covered & (room >= MODULUS))
     rank[at] = _ranks(word[at] >> np.uint64(8))
@@ -166,7 +168,7 @@ def repeated(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndar
     suffixes = np.flatnonzero(room >= length)
     found = np.zeros(n, dtype=bool)
     for shift in range(MODULUS):
-        own = suffixes[np.isin((residue[suffixes] + shift) % MODULUS, COVER)]
+        own = suffixes[COVERED[shift][residue[suffixes]]]
         steps = (length - shift) // MODULUS
         tail = length - shift - steps * MODULUS
         ranks = [rank[own + shift + k * MODULUS] for k in [*range(0, steps - 16, 16), steps - 16]]
@@ -353,12 +355,13 @@ def find_repeats(documents: DataFrame, *, length: int = 200, bucket_runs: int =
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string")).where(F.octet_length("text") >= length)
     docs = docs.withColumn("h", text_key(F.col("text")))
     texts = anchors(docs, length).groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("several").alias("several"), F.first("anchors").alias("anchors"))
-    texts = store.cut(texts, "text-anchors")
+    texts = store.cut(texts.withColumn("t", F.monotonically_increasing_id()), "text-anchors")  # a short name for each text
     twice = F.when(F.col("several"), F.concat("anchors", "anchors")).otherwise(F.col("anchors"))
     met = texts.select(F.explode(twice).alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = store.cut(met.select("anchor", F.ceil(F.col("n") / bucket_runs).cast("int").alias("share")), "met-anchors")
-    placed = texts.select("h", "doc_id", F.posexplode("anchors").alias("pos", "anchor")).join(met, "anchor")
-    marks = placed.groupBy("h", "doc_id").agg(F.collect_list(F.struct("pos", "share")).alias("marks"))  # as many as a text has runs
+    placed = texts.select("t", F.posexplode("anchors").alias("pos", "anchor")).join(met, "anchor")
+    marks = placed.groupBy("t").agg(F.collect_list(F.struct("pos", "share")).alias("marks"))  # as many as a text has runs
+    marks = marks.join(texts.select("t", "h", "doc_id"), "t").drop("t")
     candidates = store.cut(docs.join(marks, ["h", "doc_id"]).dropDuplicates(["h"]), "candidate-texts")
     parts = parts or max(64, spark.sparkContext.defaultParallelism * 4)
     cut = pieces(candidates, length).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
