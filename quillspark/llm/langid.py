@@ -90,15 +90,17 @@ def identify(
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = np.array([lang for lang, _ in shared.value], dtype=object)
 
-        def compressors(strength: int, **more) -> list[zstandard.ZstdCompressor]:
+        def compressors(strength: int, size: int) -> list[zstandard.ZstdCompressor]:
             out = []
             for _, content in shared.value:
+                # tables sized for such texts: those for unknown sizes take a hundred times the memory
+                params = zstandard.ZstdCompressionParameters.from_level(strength, source_size=size, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
                 kind = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                kind.precompute_compress(level=strength)
-                out.append(zstandard.ZstdCompressor(level=strength, dict_data=kind, write_content_size=False, write_checksum=False, write_dict_id=False))
+                kind.precompute_compress(compression_params=params)
+                out.append(zstandard.ZstdCompressor(dict_data=kind, compression_params=params))
             return out
 
-        long, short = compressors(level), compressors(short_level)
+        long, short = compressors(level, 1 << 17), compressors(short_level, short_bytes)
         for texts in batches:
             lang, margin = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             for k, text in enumerate(texts):

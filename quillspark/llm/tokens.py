@@ -21,7 +21,7 @@ from quillspark.llm import blocks
 TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 _CACHES: dict[str, PieceCache] = {}
-_MAX_PIECES = 1_500_000
+_MAX_PIECES = 400_000  # about 60 MB a worker
 
 _SPACE = blocks.byte_class(b" \t\n\r")
 _LETTER = np.zeros(256, dtype=np.int8)
