@@ -19,12 +19,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where("not rejected").withColumn("lang", F.col("lang_pred")).select(*DOCUMENTS)
 
 
+def _rows(docs: DataFrame, name: str) -> DataFrame:
+    """Documents with a number of each row's own, written so that it holds: doc_id may be null or repeat."""
+    return store.cut(docs.select(*DOCUMENTS, F.monotonically_increasing_id().alias("row")), name)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group whose sets of five-word shingles are similar by 0.8 or more."""
-    docs = docs.select(*DOCUMENTS)
-    groups = minhash.near_duplicates(docs, size=5)
-    dropped = store.cut(groups.where("not kept").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*DOCUMENTS)
+    """Keep one row of each group whose sets of five-word shingles are similar by 0.8 or more.
+
+    That is the row of smallest doc_id, nulls last. Rows without words, which have no shingles, all stay.
+    """
+    docs = _rows(docs, "near-duplicate-rows")
+    groups = minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), size=5)
+    groups = store.cut(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "row-components")
+    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    groups = store.cut(groups.join(several, "component"), "rows-in-groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "lang", "source").alias("content"), "row")
+    ranked = store.cut(docs.select("row", rank.alias("rank")).join(groups.hint("merge"), "row"), "ranked-rows")
+    kept = ranked.groupBy("component").agg(F.min("rank")["row"].alias("row")).select("row")
+    dropped = store.cut(groups.select("row").join(kept, "row", "left_anti"), "near-duplicates")
+    return docs.join(dropped.hint("merge"), "row", "left_anti").select(*DOCUMENTS)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +56,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which a twentieth of the words or more stand in 13-word windows of the benchmark."""
-    docs = docs.select(*DOCUMENTS)
+    docs = _rows(docs, "decontamination-rows")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.find_contamination(docs, benchmark)
-    hit = found.where(decontam.contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
+    found = decontam.find_contamination(docs.select(F.col("row").alias("doc_id"), "text"), benchmark)
+    hit = found.where(decontam.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("row"))
     hit = store.cut(hit, "contaminated")
-    return docs.join(hit.hint("merge"), "doc_id", "left_anti").select(*DOCUMENTS)
+    return docs.join(hit.hint("merge"), "row", "left_anti").select(*DOCUMENTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

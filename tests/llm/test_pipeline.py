@@ -22,3 +22,24 @@ def test_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in kept.collect()}
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_rows_that_repeat_and_null_ids(spark):
+    import random
+
+    text = lambda seed: " ".join(f"w{random.Random(seed * 1000 + k).randint(0, 99999)}" for k in range(80))
+    bad = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    rows = [(1, text(1)), (1, text(1)), (None, text(2)), (None, text(2)), (None, text(1))]  # rows that repeat
+    rows += [(3, text(3)), (4, text(3)), (4, text(4))]  # doc_id 4 is a copy and a text of its own
+    rows += [(None, bad), (5, bad + " more"), (5, text(5)), (None, text(6)), (6, None), (6, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    once = corpus_pipeline.store.cut(once, "test-once")
+    assert sorted(((r.doc_id, r.text) for r in once.where("n_chars > 0 and not contains(text, 'more')").collect() if r.text != bad), key=repr) == sorted(
+        [(1, text(1)), (None, text(2)), (3, text(3)), (4, text(4)), (5, text(5)), (None, text(6))], key=repr
+    )
+    kept = corpus_pipeline.store.cut(corpus_pipeline.remove_repeats(spark, once, SF), "test-kept")
+    assert {text(k) for k in range(1, 7)} <= {r.text for r in kept.collect()}
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=repr) == sorted((x for x in rows if not (x[1] or "").startswith(bad)), key=repr)
