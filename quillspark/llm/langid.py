@@ -1,7 +1,9 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
 Texts are lower-cased, and what isn't a letter becomes space. Every language has a raw-content zstandard dictionary of
-whole labelled texts. A text is compressed once with each; the fewest bytes win, and the margin to the second says how sure that is. Nothing but the text is looked at.
+whole labelled texts. A text is compressed once with each; the fewest bytes win, and the margin to the second says how
+sure that is. A dictionary helps only as far as the window reaches, so a long text is compressed in consecutive pieces,
+all of it, and the sizes are added up. Nothing but the text is looked at.
 
 Training sample (the documented bound): per language the labelled texts of smallest id hash, ``sample_docs`` at most on
 average, texts of up to ``sample_bytes`` bytes each, until the dictionary has ``dictionary_bytes`` bytes.
@@ -75,13 +77,15 @@ def identify(
     level: int = 3,
     short_bytes: int = 2_048,
     short_level: int = 12,
+    piece_bytes: int = 65_536,
     min_margin: float = 0.005,
 ) -> DataFrame:
     """Add lang_pred, score (0 to 1), margin and rejected to documents (doc_id, text); other columns stay.
 
     Margin is the share of bytes that the best language saves over the second; the score is margin times 10, at most 1.
-    Texts under ``short_bytes`` are compressed at ``short_level``, which finds shorter matches. ``rejected`` is true
-    for ``und`` and where the margin is under ``min_margin``.
+    Texts under ``short_bytes`` are compressed at ``short_level``, which finds shorter matches; longer ones in equal
+    pieces of at most ``piece_bytes``, whose sizes are added up. ``rejected`` is true for ``und``
+    and where the margin is under ``min_margin``.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(dictionaries)  # at most max_languages * (dictionary_bytes + sample_bytes) bytes
@@ -107,7 +111,9 @@ def identify(
                 if text is None or not len(names) or not _LETTER.search(text):
                     continue
                 raw = normalise(text)
-                sizes = [len(c.compress(raw)) for c in (short if len(raw) < short_bytes else long)]
+                n = -(-len(raw) // piece_bytes)
+                pieces = [raw[len(raw) * i // n : len(raw) * (i + 1) // n] for i in range(n)]
+                sizes = [sum(len(c.compress(piece)) for piece in pieces) for c in (short if len(raw) < short_bytes else long)]
                 best = min(range(len(sizes)), key=sizes.__getitem__)
                 lang[k] = names[best]
                 rest = sizes[:best] + sizes[best + 1 :]

@@ -82,6 +82,21 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in langid.identify(docs, langid.train(labelled.limit(0))).collect()} == {"und"}
 
 
+@tables
+def test_language_of_long_texts(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text", "lang")
+    fold = langid.fold(F.col("doc_id"))
+    dictionaries = langid.train(docs.where(fold != 2))
+    held = docs.where((fold == 2) & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") < 65_536)).orderBy("doc_id").collect()
+    rows = []
+    for k, (lang, _) in enumerate(dictionaries):
+        whole = "\n".join(r.text for r in held if r.lang == lang)
+        rows += [(10 * k + i, (whole * 9)[: 1 << size], lang) for i, size in enumerate((17, 20, 22))]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dictionaries).collect()
+    assert len(found) == len(rows) > 3
+    assert all(r.lang_pred == r.lang and not r.rejected and r.margin > 0.02 for r in found)
+
+
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>
 <div id="cookie-notice">We use cookies</div><div class="wrap"><h1>Real title</h1><p>First long paragraph of the story, with &amp; sign and
 words<b>bold</b>. It goes on for a while.<p>Short one.<div class="ad-slot">Buy now</div><p>Another long paragraph of text here, which
