@@ -10,8 +10,9 @@ rather than one of the copies. Only edges from the centre are candidates: as man
 shingle sets confirm each edge. A bucket whose other members are then still in several components has another star,
 around a document of its smallest component, with edges to members of other components only.
 
-Stars bound the work, and their price is this: a link between two documents that are no centres, in no common bucket,
-and that nothing else ties together, is not tested.
+What stars leave open is settled exactly. Members of buckets that still hold several components are joined on the
+shingles of their prefixes: in an order from rare to common, two sets of similarity ``t`` share one of the first
+n - ceil(t * n) + 1. Sizes and positions rule out most pairs; full shingle sets confirm the others.
 
 Two texts with similarity 0.8 miss all 32 bands of 4 rows with probability (1 - 0.8**4)**32 = 5e-8.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import blocks, graph, store
@@ -154,6 +155,69 @@ def _confirm(edges: DataFrame, texts: DataFrame, *, size: int, share: tuple[int,
     return met.select("a", "salt", "b", "text").mapInArrow(check, "a long, b long")
 
 
+def _rare_prefixes(docs: DataFrame, *, size: int, share: tuple[int, int], slots: int = 18) -> DataFrame:
+    """For each of ``docs`` (doc_id, component, text) the rarest shingles ``g`` that any similar set must share one of.
+
+    Rarity is by counts of 2**slots classes of hashes, which are collected, and by the hash within a class. ``pos`` is
+    the place in that order, ``n`` the size of the set.
+    """
+    need, of = share
+    shift = np.uint64(64 - slots)
+
+    def all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            data, offsets = blocks.text_buffer(batch.column("text"))
+            for first, last in blocks.slices(offsets):
+                lower = blocks.ASCII_LOWER[data[offsets[first] : offsets[last]]]
+                yield batch, first, last, *shingle_sets(lower, offsets[first : last + 1] - offsets[first], size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << slots, dtype=np.int64)
+        for _, _, _, sets, _ in all_sets(batches):
+            total += np.bincount((sets >> shift).astype(np.int64), minlength=1 << slots)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    counts = np.zeros(1 << slots, dtype=np.int64)
+    for r in docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.slot] = r.n
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, last, sets, begins in all_sets(batches):
+            n = np.diff(begins)
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((sets, shared.value[(sets >> shift).astype(np.int64)], doc))
+            pos = np.arange(len(sets)) - begins[doc]
+            inside = pos < (n + need * -n // of + 1)[doc]  # need * -n // of is -ceil(need * n / of)
+            at = pa.array(doc[inside] + first)
+            columns = [pa.array(sets[order][inside].view(np.int64)), batch.column("doc_id").take(at), batch.column("component").take(at), pa.array(n[doc[inside]]), pa.array(pos[inside])]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "doc_id", "component", "n", "pos"])
+
+    return docs.select("doc_id", "component", "text").mapInArrow(rarest, "g long, doc_id long, component long, n long, pos long")
+
+
+def _rest(docs: DataFrame, *, size: int, share: tuple[int, int], group: int = 256) -> DataFrame:
+    """All pairs (a, b) of ``docs`` (doc_id, component, text) in different components that may be similar.
+
+    None that is similar is left out. A shingle of many documents is dealt out: each pair of its blocks of about
+    ``group`` documents is a key of its own.
+    """
+    need, of = share
+    marks = store.cut(_rare_prefixes(docs, size=size, share=share), "prefixes")
+    met = marks.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    met = store.cut(met.select("g", F.ceil(F.col("m") / group).alias("blocks")), "met-prefixes")
+    marks = marks.join(met, "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    marks = store.cut(marks, "placed-prefixes")
+    left = marks.select("g", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "component", "n", "pos")])
+    right = marks.select("g", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n", "pos")])
+    alike = of * F.least("n_a", "n_b") >= need * F.greatest("n_a", "n_b")
+    # enough is left of both sets behind the first shingle they share
+    enough = (need + of) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need * (F.col("n_a") + F.col("n_b"))
+    pairs = left.join(right.hint("merge"), ["g", "i", "j"]).where((F.col("component_a") != F.col("component_b")) & alike & enough)
+    return pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -166,7 +230,7 @@ def near_duplicates(
     """Per document (doc_id, text): n_shingles, component_id (smallest doc_id of its group) and kept (it is that one).
 
     ``size`` words make a shingle; documents are linked where share[1] * intersection >= share[0] * union. ``stars`` is
-    how many stars a bucket may have, one after another.
+    how many stars a bucket may have, one after another, before the rest is settled exactly.
     """
     need, of = share
     signed = store.cut(signatures(documents, size=size, bands=bands, rows=rows), "signatures")
@@ -190,10 +254,10 @@ def near_duplicates(
             placed = store.cut(members.withColumn("component", F.coalesce("component", "doc_id")), "placed-members")
             # buckets that hold several components still; a component is one row in them
             groups = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-            in_bucket = Window.partitionBy("bucket")
-            groups = groups.withColumn("groups", F.count(F.lit(1)).over(in_bucket)).withColumn("place", F.row_number().over(in_bucket.orderBy("size", "component")))
-            groups = store.cut(groups.where("groups > 1").select("bucket", "component", (F.col("place") == 1).alias("first")), "open-buckets")
-            placed = store.cut(placed.join(groups, ["bucket", "component"]), "open-members")
+            least = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.min(F.struct("size", "component"))["component"].alias("smallest"))
+            least = store.cut(least.where("groups > 1").select("bucket", "smallest"), "open-buckets")
+            placed = placed.join(least, "bucket").withColumn("first", F.col("component") == F.col("smallest")).drop("smallest")
+            placed = store.cut(placed, "open-members")
         else:
             placed = placed.withColumn("first", F.lit(True))
         rank = F.struct("meetings", (-F.col("doc_id")).alias("order"), "n", "component")
@@ -213,6 +277,22 @@ def near_duplicates(
         labels = store.cut(graph.components(links), "components")
         members = open_members.select("bucket", "doc_id", "n", "meetings")
 
+    members = members.select("bucket", "doc_id")
+    if labels is not None:
+        members = members.join(labels, members["doc_id"] == labels["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    else:
+        members = members.withColumn("component", F.col("doc_id"))
+    members = store.cut(members, "last-members")
+    unsettled = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    unsettled = store.cut(members.join(store.cut(unsettled, "last-buckets"), "bucket").select("doc_id", "component").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        edges = _rest(store.cut(texts.join(unsettled.hint("merge"), "doc_id"), "unsettled-texts"), size=size, share=share)
+        edges = store.cut(edges.join(tested, ["a", "b"], "left_anti") if tested is not None else edges, "rest-edges")
+        if not edges.isEmpty():
+            found = store.cut(_confirm(edges, texts, size=size, share=share), "rest-links")
+            links = found if links is None else links.unionByName(found)
+            labels = store.cut(graph.components(links), "rest-components")
+
     found = classes.select("set_key", "doc_id")
     if labels is not None:
         found = found.join(labels, found["doc_id"] == labels["node"], "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))

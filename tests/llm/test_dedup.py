@@ -59,6 +59,30 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted([(1, 5, 1, True), (1, 5, 1, True), (None, 5, None, True), (2, 0, 2, True)], key=repr)
 
 
+@pytest.mark.parametrize("stars", [0, 3])
+def test_groups_that_stars_leave_open(spark, stars):
+    rnd = random.Random(3)
+    template, rows = words(rnd, 100).split(" "), []
+    for k in range(60):  # two alike each time; all share a template, so that buckets are large
+        own = [w if rnd.random() < 0.94 else f"g{k}x{i}" for i, w in enumerate(template)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:40], f"y{k}", *own[41:]]))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), size=2, stars=stars).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_groups(rows, 2)
+
+
+def test_rest_leaves_no_similar_pair_out(spark):
+    rnd = random.Random(3)
+    template, rows = words(rnd, 100).split(" "), []
+    for k in range(90):
+        rows.append((k, " ".join(w if rnd.random() < 0.95 else f"g{rnd.randint(0, 9)}x{i}" for i, w in enumerate(template))))
+    sets = {k: set(zip(t.split(" "), t.split(" ")[1:], strict=False)) for k, t in rows}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame([(k, k, t) for k, t in rows], "doc_id long, component long, text string")
+    for group in (7, 256):
+        pairs = {(r.a, r.b) for r in minhash._rest(docs, size=2, share=(80, 100), group=group).collect()}
+        assert alike and alike <= pairs
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 60), (60, 50)], "a long, b long")
     found = {r.node: r.component for r in graph.components(links).collect()}
