@@ -798,8 +798,8 @@ def generate_tutorials(spark, sf_dir):
 
 @query()
 def embed_texts(spark, sf_dir):
-    """Chunks with vectors of a hashing embedder, which stands for a model."""
-    found = C.embed_texts(C.semantic_chunk(_short_docs(spark, sf_dir)), hashing_embedder, 16)
+    """Chunks of all documents with vectors of a hashing embedder, which stands for a model."""
+    found = C.embed_texts(C.semantic_chunk(_cleaned(spark, sf_dir)), hashing_embedder, 16)
     return found.select("id", V.vector_state(F.col("embedding"), 16).alias("state"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
 
 

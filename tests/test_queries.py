@@ -40,3 +40,12 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert rows == sorted((tuple(plain(r[k]) for k in order) for r in found.fetchall()), key=repr)
+
+
+def test_embed_texts_takes_long_documents(spark, tmp_path):
+    texts = ["word " * 20, "one more word " * 400, "", None, "y" * 5_000]
+    docs = spark.createDataFrame([(k, "web", t) for k, t in enumerate(texts)], "doc_id long, source string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    embedded = sorted(r.id for r in own.QUERIES["embed_texts"](spark, str(tmp_path)).collect())
+    assert embedded == sorted(r.id for r in own.QUERIES["semantic_chunk"](spark, str(tmp_path)).collect())
+    assert len([i for i in embedded if "-d-1_" in i]) > 3 and len([i for i in embedded if "-d-4_" in i]) > 3
