@@ -15,17 +15,16 @@ from quillspark.functions import patterns as P
 def knn_search(queries: DataFrame, store: DataFrame, k: int, *, exclude_self: bool = False, block: int = 4_096) -> DataFrame:
     """The ``k`` nearest rows of ``store`` (id, embedding, ...) for each query (query_id, embedding): exact.
 
-    Queries go to the tasks in blocks of ``block``, a bound on what is broadcast; a task keeps its own ``k`` best for
+    Queries go to the tasks in blocks by hash, of about ``block``, which is what is broadcast at once; a task keeps its own ``k`` best for
     each query, so that tasks * queries * k short rows are shuffled, whatever the store's size. Distances are rounded to
     6 digits; ties go by id. ``exclude_self`` leaves out rows whose id is the query's.
     """
     spark = store.sparkSession
-    rows = queries.select("query_id", "embedding").where("embedding is not null").orderBy("query_id")
-    n = rows.count()
+    rows = queries.select("query_id", "embedding").where("embedding is not null")
+    blocks = max(1, -(-rows.count() // block))
     parts = None
-    numbered = rows if n <= block else rows.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / block))
-    for b in range(max(1, -(-n // block))):
-        some = (numbered if n <= block else numbered.where(F.col("_block") == b)).collect()
+    for b in range(blocks):
+        some = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
         part = _block_search(spark, some, store, k, exclude_self)
         parts = part if parts is None else parts.unionByName(part)
     order = Window.partitionBy("query_id").orderBy("distance", "id")

@@ -55,6 +55,16 @@ def test_knn_with_ties_zero_and_missing_vectors(spark):
     assert sorted((r.query_id, r.id) for r in two.collect()) == [(8, 1), (9, 1)]
 
 
+def test_knn_deals_blocks_of_queries_without_one_task_for_all(spark, monkeypatch):
+    store = spark.createDataFrame([(k, [float(k + 1), 10.0 - k]) for k in range(10)], "id long, embedding array<double>")
+    asked = store.withColumnRenamed("id", "query_id")
+    plans, collect = [], type(asked).collect
+    monkeypatch.setattr(type(asked), "collect", lambda df: plans.append(df._jdf.queryExecution().toString()) or collect(df))
+    found = R.knn_search(asked, store, 1, block=3)
+    assert len(plans) == 4 and not any("SinglePartition" in p for p in plans)
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(k, k) for k in range(10)]
+
+
 def test_context_without_hits(spark):
     asked = spark.createDataFrame([(1,)], "query_id long")
     hits = spark.createDataFrame([], "query_id long, rank int, source_doc string, section string, text string")
