@@ -80,23 +80,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS = np.cumprod(np.full(1 << 12, MULTIPLIER, dtype=np.uint64))
+#: The low bytes of a 64-bit integer, by their number.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on as one integer; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words; equal words have equal hashes, wherever they stand."""
+    """64-bit hashes of the words; equal words have equal hashes, wherever they stand.
+
+    Every 8 bytes are mixed with their place before they are added, so that no regular pattern cancels out.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     lengths = ends - starts
-    total = int(lengths.sum())
-    before = np.cumsum(lengths) - lengths
-    inner = np.arange(total, dtype=np.int64) - np.repeat(before, lengths)
-    chars = data[inner + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
-    if int(lengths.max()) > len(_POWERS):
-        chars *= (inner >> 12).astype(np.uint64) * MIXER | np.uint64(1)
-        inner &= len(_POWERS) - 1
-    chars *= _POWERS[inner]
-    return mix(np.add.reduceat(chars, before) + lengths.astype(np.uint64))
+    counts = (lengths + 7) >> 3
+    before = np.cumsum(counts) - counts
+    inner = np.arange(int(counts.sum()), dtype=np.int64) - np.repeat(before, counts)
+    at = np.repeat(starts, counts) + 8 * inner
+    chunk = eights(data)[at]
+    chunk &= LOW_BYTES[np.minimum(np.repeat(ends, counts) - at, 8)]
+    chunk += (inner + 1).astype(np.uint64) * MIXER
+    return mix(np.add.reduceat(mix(chunk), before) + lengths.astype(np.uint64))
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each range of ``data`` whether the bytes of ``other`` from ``at`` on are the same, 8 bytes at a time."""
+    counts = (ends - starts + 7) >> 3
+    if not int(counts.sum()):
+        return np.ones(len(starts), dtype=bool)
+    before = np.cumsum(counts) - counts
+    step = 8 * (np.arange(int(counts.sum()), dtype=np.int64) - np.repeat(before, counts))
+    place = np.repeat(starts, counts) + step
+    differ = eights(data)[place] ^ eights(other)[np.repeat(at, counts) + step]
+    differ &= LOW_BYTES[np.minimum(np.repeat(ends, counts) - place, 8)]
+    some = counts > 0
+    out = np.ones(len(starts), dtype=bool)
+    out[some] = np.bitwise_or.reduceat(differ, before[some]) == 0
+    return out
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -1,12 +1,14 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
 Texts are lower-cased, and what isn't a letter becomes space. Every language has a raw-content zstandard dictionary of
-whole labelled texts. A text is compressed once with each; the fewest bytes win, and the margin to the second says how
-sure that is. A dictionary helps only as far as the window reaches, so a long text is compressed in consecutive pieces,
-all of it, and the sizes are added up. Nothing but the text is looked at.
+whole labelled texts. A text is cut into pieces of at most ``piece_bytes``, all of it, and every piece is compressed by
+itself with each dictionary; the language with the fewest bytes over all pieces wins, and the margin to the second says
+how sure that is. Small pieces lean on the dictionary and not on what came before in the text, so the margin does not
+fall with a text's length. Nothing but the text is looked at.
 
-Training sample (the documented bound): per language the labelled texts of smallest id hash, ``sample_docs`` at most on
-average, texts of up to ``sample_bytes`` bytes each, until the dictionary has ``dictionary_bytes`` bytes.
+Training sample (the documented bound): per language the labelled texts of smallest id hash among those of up to
+``sample_bytes`` bytes, about ``sample_docs`` of them, in that order until they fill ``dictionary_bytes``; only these
+come to the driver.
 
 Defined results: null text and text without a letter is ``und`` with score 0 and is rejected; languages that tie are
 taken in order of how many labelled texts they have; without any labelled text everything is ``und``; rows that repeat
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -40,22 +42,26 @@ def train(
     sample_docs: int = 256,
     sample_bytes: int = 65_536,
     dictionary_bytes: int = 112_640,
-    max_languages: int = 256,
+    max_languages: int = 1_000,
 ) -> list[tuple[str, bytes]]:
     """Dictionaries by language, most frequent language first, from labelled rows (doc_id, text, lang).
 
-    Counts are taken over all rows. At most ``max_languages`` times about ``sample_docs`` texts come to the driver.
+    Counts are taken over all rows. Each language sends at most ``dictionary_bytes`` and a text to the driver; a table
+    of more than ``max_languages`` languages is an error, none is left out.
     """
     rows = labelled.select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
-    rows = rows.where(F.octet_length("text").between(1, sample_bytes))
-    counts = [(r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
+    rows = rows.withColumn("size", F.octet_length("text")).where(F.col("size").between(1, sample_bytes))
+    counts = [(r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()]
     if not counts:
         return []
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     bounds = {lang: (1 << 63) - 1 if n <= sample_docs else int(((sample_docs / n) * 2 - 1) * ((1 << 63) - 1)) for lang, n in counts}
     bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
-    sample = rows.where(F.col("h") <= F.element_at(bound, F.col("lang"))).collect()
+    before = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)  # about sample_docs rows
+    sample = rows.where(F.col("h") <= F.element_at(bound, F.col("lang"))).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
     texts: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang, _ in counts}
-    for r in sample:
+    for r in sample.where(F.col("before") < dictionary_bytes).select("lang", "h", "text").collect():
         texts[r.lang].append((r.h, normalise(r.text)))
     found = []
     for lang, _ in counts:
@@ -74,18 +80,15 @@ def identify(
     documents: DataFrame,
     dictionaries: list[tuple[str, bytes]],
     *,
-    level: int = 3,
-    short_bytes: int = 2_048,
-    short_level: int = 12,
-    piece_bytes: int = 65_536,
+    level: int = 12,
+    piece_bytes: int = 2_048,
     min_margin: float = 0.005,
 ) -> DataFrame:
     """Add lang_pred, score (0 to 1), margin and rejected to documents (doc_id, text); other columns stay.
 
     Margin is the share of bytes that the best language saves over the second; the score is margin times 10, at most 1.
-    Texts under ``short_bytes`` are compressed at ``short_level``, which finds shorter matches; longer ones in equal
-    pieces of at most ``piece_bytes``, whose sizes are added up. ``rejected`` is true for ``und``
-    and where the margin is under ``min_margin``.
+    A text is compressed in equal pieces of at most ``piece_bytes``, whose sizes are added up. ``rejected`` is true for
+    ``und`` and where the margin is under ``min_margin``.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(dictionaries)  # at most max_languages * (dictionary_bytes + sample_bytes) bytes
@@ -94,17 +97,13 @@ def identify(
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = np.array([lang for lang, _ in shared.value], dtype=object)
 
-        def compressors(strength: int, size: int) -> list[zstandard.ZstdCompressor]:
-            out = []
-            for _, content in shared.value:
-                # tables sized for such texts: those for unknown sizes take a hundred times the memory
-                params = zstandard.ZstdCompressionParameters.from_level(strength, source_size=size, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
-                kind = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                kind.precompute_compress(compression_params=params)
-                out.append(zstandard.ZstdCompressor(dict_data=kind, compression_params=params))
-            return out
-
-        long, short = compressors(level, 1 << 17), compressors(short_level, short_bytes)
+        compressors = []
+        for _, content in shared.value:
+            # tables sized for pieces: those for texts of unknown size take a hundred times the memory
+            params = zstandard.ZstdCompressionParameters.from_level(level, source_size=piece_bytes, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
+            kind = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            kind.precompute_compress(compression_params=params)
+            compressors.append(zstandard.ZstdCompressor(dict_data=kind, compression_params=params))
         for texts in batches:
             lang, margin = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             for k, text in enumerate(texts):
@@ -113,14 +112,15 @@ def identify(
                 raw = normalise(text)
                 n = -(-len(raw) // piece_bytes)
                 pieces = [raw[len(raw) * i // n : len(raw) * (i + 1) // n] for i in range(n)]
-                sizes = [sum(len(c.compress(piece)) for piece in pieces) for c in (short if len(raw) < short_bytes else long)]
+                sizes = [sum(len(c.compress(piece)) for piece in pieces) for c in compressors]
                 best = min(range(len(sizes)), key=sizes.__getitem__)
                 lang[k] = names[best]
                 rest = sizes[:best] + sizes[best + 1 :]
                 margin[k] = (min(rest) - sizes[best]) / min(rest) if rest else 1.0
             yield pd.DataFrame({"lang_pred": lang, "margin": margin})
 
-    found = documents.withColumn("_found", predict(F.col("text").cast("string")))
+    # said to be nondeterministic, so that a filter on its result doesn't make Spark run it twice
+    found = documents.withColumn("_found", predict.asNondeterministic()(F.col("text").cast("string")))
     found = found.withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("margin", F.col("_found.margin")).drop("_found")
     found = found.withColumn("score", F.least(F.lit(1.0), F.col("margin") * 10))
     return found.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < min_margin))

@@ -3,7 +3,9 @@
 Byte-pair merging never crosses a pre-token, and pre-tokens never cross ASCII white space nor a border between an ASCII
 letter and ASCII punctuation other than the apostrophe (the pattern of the word tokenizer; its normaliser works on
 neighbouring characters only). So texts are cut at those places, every distinct piece is encoded once per worker, and
-the ids of a text are gathered from its pieces. ``piecewise=False`` encodes whole texts; both give equal ids.
+the ids of a text are gathered from its pieces. Pieces are told apart by their bytes: those of up to 7 are a number,
+longer ones meet by hash within a batch and are then compared. ``piecewise=False`` encodes whole texts; both give
+equal ids.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from quillspark.llm import blocks
 TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 _CACHES: dict[str, PieceCache] = {}
-_MAX_PIECES = 400_000  # about 60 MB a worker
+#: A worker forgets its pieces beyond so many, so many ids, or so many bytes of long pieces: about 80 MB in all.
+_MAX_PIECES, _MAX_IDS, _MAX_BYTES = 400_000, 4_000_000, 16_000_000
 
 _SPACE = blocks.byte_class(b" \t\n\r")
 _LETTER = np.zeros(256, dtype=np.int8)
@@ -32,7 +35,7 @@ _PUNCT[0x27] = 0  # the apostrophe may begin a contraction
 
 
 class PieceCache:
-    """Ids of pieces by their hash, for one tokenizer in one worker."""
+    """Ids of pieces, for one tokenizer in one worker; a piece's key is its bytes, short ones as a number."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,7 +46,8 @@ class PieceCache:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[int | bytes, int] = {}
+        self.held = 0
         self.starts = np.zeros(1 << 10, dtype=np.int64)
         self.lengths = np.zeros(1 << 10, dtype=np.int64)
         self.ids = np.zeros(1 << 12, dtype=np.uint32)
@@ -52,7 +56,7 @@ class PieceCache:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def add(self, keys: list[int], pieces: list[str]) -> None:
+    def add(self, keys: list[int | bytes], pieces: list[str]) -> None:
         """Encode new pieces: those of ASCII letters, one pre-token each, many to a call."""
         first = len(self.known)
         lengths = np.zeros(len(pieces), dtype=np.int64)
@@ -78,20 +82,21 @@ class PieceCache:
         self.starts[first : first + len(keys)] = self.n_ids + np.cumsum(lengths) - lengths
         self.n_ids += len(flat)
         self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.held += sum(len(k) for k in keys if isinstance(k, bytes))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (one more at the end)."""
         lower = blocks.ASCII_LOWER[data]
         starts, ends, before = piece_spans(lower, offsets)
-        keys, first, inverse = np.unique(blocks.word_hashes(lower, starts, ends), return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        if len(self.known) > _MAX_PIECES:
+        if len(self.known) > _MAX_PIECES or self.n_ids > _MAX_IDS or self.held > _MAX_BYTES:
             self.clear()
+        first, inverse = distinct(lower, starts, ends)
+        raw = lower.tobytes()
+        at, to = starts[first].tolist(), ends[first].tolist()
+        keys = [int.from_bytes(raw[a:b], "little") | b - a << 56 if b - a < 8 else raw[a:b] for a, b in zip(at, to, strict=True)]
         new = [k for k, key in enumerate(keys) if key not in self.known]
         if new:
-            raw = lower.tobytes()
-            at, to = starts[first[new]].tolist(), ends[first[new]].tolist()
-            self.add([keys[k] for k in new], [raw[a:b].decode() for a, b in zip(at, to, strict=True)])
+            self.add([keys[k] for k in new], [raw[at[k] : to[k]].decode() for k in new])
         place = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[inverse]
         lengths = self.lengths[place]
         ids = self.ids[blocks.ragged(self.starts[place], lengths)]
@@ -99,6 +104,31 @@ class PieceCache:
         return ids, total[before]
 
 
+def distinct(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A piece of each kind, and of which of them each piece is: equal bytes are one kind, others never."""
+    lengths = ends - starts
+    short = lengths < 8
+    key = np.zeros(len(starts), dtype=np.uint64)
+    key[short] = blocks.eights(lower)[starts[short]] & blocks.LOW_BYTES[lengths[short]] | lengths[short].astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(~short)
+    key[long] = blocks.word_hashes(lower, starts[long], ends[long]) | np.uint64(1 << 63)
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    inverse = inverse.reshape(-1)
+    like = first[inverse[long]]
+    same = lengths[like] == lengths[long]
+    same[same] = blocks.same_bytes(lower, starts[long][same], ends[long][same], lower, starts[like][same])
+    if not same.all():  # different pieces with one hash: each kind of them by its bytes
+        raw, kinds, more = lower.tobytes(), {}, []
+        for k in long[~same].tolist():
+            piece = raw[starts[k] : ends[k]]
+            if piece not in kinds:
+                kinds[piece] = len(first) + len(more)
+                more.append(k)
+            inverse[k] = kinds[piece]
+        first = np.concatenate([first, np.array(more, dtype=np.int64)])
+    return first, inverse
+
+
 def piece_spans(lower: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As blocks.word_spans, for the pieces of this module."""
     n = len(lower)

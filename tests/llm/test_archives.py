@@ -4,12 +4,13 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.llm import huffman, store, tokens, warc
+from quillspark.llm import blocks, huffman, store, tokens, warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -136,3 +137,24 @@ def test_token_files(spark):
     empty = store.fresh_dir(spark, "test-tokens")
     huffman.write_token_files(docs.limit(0), empty, path)
     assert huffman.read_token_files(spark, empty).count() == 0
+
+
+def test_pieces_with_one_hash_keep_their_own_ids(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    cache = tokens.PieceCache(public.path("word_bpe_49k.json"))
+    morse = "a"
+    for _ in range(11):  # a polynomial modulo 2**64 takes such a word and its complement for one
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    texts = [morse, morse.translate(str.maketrans("ab", "ba")), "some longwords anotherone", "", "longwords differentone"]
+    column = pa.array(texts)
+
+    def ids():
+        data, offsets = blocks.text_buffer(column)
+        flat, begins = cache.encode(data, offsets)
+        return [flat[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)]
+
+    want = [cache.whole(t).tolist() for t in texts]
+    assert ids() == want
+    monkeypatch.setattr(blocks, "word_hashes", lambda data, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    cache.clear()
+    assert ids() == ids() == want
