@@ -7,8 +7,8 @@ filled by optimal densification: slot ``i`` takes the value of the first full sl
 Documents with equal shingle sets are one class from the start, so buckets hold different sets only. In a bucket the
 centre is the document that meets most others in all its buckets, which is the text that near copies were made from
 rather than one of the copies. Only edges from the centre are candidates: as many as the bucket has members. Full
-shingle sets confirm each edge. A bucket whose other members are then still in several components has another star,
-around a document of its smallest component, with edges to members of other components only.
+shingle sets confirm each edge. With ``stars`` over 1, a bucket whose other members are then still in several components
+has another star, around a document of its smallest component, with edges to members of other components only.
 
 What stars leave open is settled exactly. Members of buckets that still hold several components are joined on the
 shingles of their prefixes: in an order from rare to common, two sets of similarity ``t`` share one of the first
@@ -218,6 +218,11 @@ def _rest(docs: DataFrame, *, size: int, share: tuple[int, int], group: int = 25
     return pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
+def _with_labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Links (a, b), with those that known components stand for."""
+    return links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -225,7 +230,7 @@ def near_duplicates(
     share: tuple[int, int] = (80, 100),
     bands: int = 32,
     rows: int = 4,
-    stars: int = 3,
+    stars: int = 1,
 ) -> DataFrame:
     """Per document (doc_id, text): n_shingles, component_id (smallest doc_id of its group) and kept (it is that one).
 
@@ -246,7 +251,7 @@ def near_duplicates(
     # the texts that edges may need, once: all documents are shuffled for them, the same way at every size
     needed = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = store.cut(needed.join(members.select("doc_id").distinct().hint("merge"), "doc_id"), "member-texts")
-    links = tested = labels = None
+    tested = labels = None
     for turn in range(stars):
         placed = members.withColumn("component", F.col("doc_id"))
         if turn:
@@ -273,8 +278,7 @@ def near_duplicates(
         if edges.isEmpty():
             break
         found = store.cut(_confirm(edges, texts, size=size, share=share), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = store.cut(graph.components(links), "components")
+        labels = store.cut(graph.components(_with_labels(found, labels)), "components")
         members = open_members.select("bucket", "doc_id", "n", "meetings")
 
     members = members.select("bucket", "doc_id")
@@ -290,8 +294,7 @@ def near_duplicates(
         edges = store.cut(edges.join(tested, ["a", "b"], "left_anti") if tested is not None else edges, "rest-edges")
         if not edges.isEmpty():
             found = store.cut(_confirm(edges, texts, size=size, share=share), "rest-links")
-            links = found if links is None else links.unionByName(found)
-            labels = store.cut(graph.components(links), "rest-components")
+            labels = store.cut(graph.components(_with_labels(found, labels)), "rest-components")
 
     found = classes.select("set_key", "doc_id")
     if labels is not None:
