@@ -1,12 +1,14 @@
 """Licence scan: a trained paragraph classifier, its unknown class calibrated, its finds confirmed against templates.
 
-A paragraph (a line with a word) becomes hashed word 1- and 2-grams. A sparse logistic regression, one row of weights for
-each licence family and one for "unknown", gives probabilities; few grams have weights, so most paragraphs meet none and
-are unknown at once. A temperature fitted on held-out rows calibrates them. A found family is confirmed where the
+A paragraph is a line with a word; a line that goes on in the next one, which begins with a small letter, is one with it.
+It becomes hashed word 1- and 2-grams. A sparse logistic regression, one row of weights for each licence family and one
+for "unknown", gives probabilities; few grams have weights, so most paragraphs meet none and are unknown at once. A
+temperature calibrates them: it is fitted on what models say of templates, other licences and corpus lines that they
+were not trained on, whole ones at a time; the last model is then trained on all. A found family is confirmed where the
 paragraph and one of the family's templates share enough word 3-grams.
 
 Scoring uses DataFrame functions only. Training runs once, on the driver, on the templates' parts and on the documented
-bound of ``sample_lines`` corpus lines as unknown ones.
+bound of ``sample_lines`` corpus lines as unknown ones, those of smallest hash.
 
 Defined results: null or empty text has no paragraphs and no licence; a paragraph is judged by itself, so repeats count
 each; rows that repeat have equal results; an empty table gives an empty result.
@@ -68,7 +70,7 @@ TEMPLATES = {
         "Released into the public domain under the Unlicense.",
     ),
 }
-# Sentences with words of licences that grant none of the families.
+# Sentences with words of licences that grant none of the families, and notices of other licences.
 OTHERS = (
     "The licensed driver had a public version of the general work.",
     "All rights reserved.",
@@ -80,8 +82,26 @@ OTHERS = (
     "The Apache helicopter was released in version two.",
     "Licensed under the terms of our commercial agreement.",
     "The conditions of the binary star were published in a free source.",
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License, version 2.1.",
+    "Released under the Boost Software License, version 1.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Licensed under CC BY-ND 4.0.",
+    "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Released under the GNU Lesser General Public License, version 3.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License.",
+    "Licensed under the Microsoft Public License.",
+    "Released under the ISC License.",
+    "Released under the zlib license.",
+    "Distributed under the Artistic License 2.0.",
+    "Licensed under the Open Software License, version 3.0.",
 )
 UNKNOWN = "unknown"
+#: A line end inside a sentence.
+GOES_ON = r"(?<=[\p{L}\p{N},;])\n(?=\p{Ll})"
 
 
 def _words(text: Column) -> Column:
@@ -130,49 +150,67 @@ def train(
     sample_lines: int = 4_000,
     line_chars: int = 400,
     sparsity: float = 2e-4,
-    steps: int = 400,
+    steps: int = 300,
+    folds: int = 4,
 ) -> Model:
     """Fit the classifier on parts of TEMPLATES, on OTHERS, and on at most ``sample_lines`` corpus lines.
 
-    The lines are the first ten of texts of smallest hash, about one for each ten lines, that have no word with "licen". A fifth of the
-    rows is held out and fits the temperature.
+    The lines are those of smallest hash without "licen" in about ``sample_lines`` / 10 texts, of smallest hash too. Each
+    fold leaves out every ``folds``-th template, other sentence and corpus line, whole, and judges them.
     """
     spark = documents.sparkSession
     families = (*sorted(TEMPLATES), UNKNOWN)
     n_docs = max(1, documents.count())
     bound = min(1.0, sample_lines / 10 / n_docs) * 2 - 1  # of hashes, from -1 to 1
-    few = documents.where("text is not null and not contains(lower(text), 'licen')").where(F.xxhash64("doc_id") <= F.lit(int(bound * ((1 << 63) - 1)))).select("text")
-    lines = few.select(F.explode(F.slice(F.split("text", "\n"), 1, 10)).alias("line")).where(F.length("line").between(1, line_chars)).limit(sample_lines)
-    rows = [(UNKNOWN, r.line) for r in lines.collect()]
-    rows += [(UNKNOWN, x) for x in OTHERS] * 20
+    few = documents.where("text is not null").where(F.xxhash64("doc_id") <= F.lit(int(bound * ((1 << 63) - 1)))).select("text")
+    lines = few.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line").between(1, line_chars) & ~F.lower("line").contains("licen"))
+    lines = lines.distinct().orderBy(F.xxhash64("line"), "line").limit(sample_lines)
+    rows = [(UNKNOWN, r.line, k, 1.0) for k, r in enumerate(lines.collect())]  # family, text, which fold leaves it out, weight
+    n_lines = len(rows)
     starts = ("", "Note: ", "This document is ", "Copyright 2020 by the authors. ", "All text here is ")
+    rows += [(UNKNOWN, x, k, max(1.0, n_lines / len(OTHERS))) for k, x in enumerate(OTHERS)]
     for family, texts in TEMPLATES.items():
-        rows += [(family, start + (text if not start or not start.endswith("is ") else text[0].lower() + text[1:])) for text in texts for start in starts for _ in range(4)]
-    table = spark.createDataFrame([(k, y, x) for k, (y, x) in enumerate(rows)], "k long, y string, text string")
-    found = sorted((r.k, r.y, r.b) for r in table.select("k", "y", buckets(F.col("text"), size).alias("b")).collect())
-    n_lines = len(rows) - len(OTHERS) * 20 - 4 * len(starts) * sum(map(len, TEMPLATES.values()))
-    used = np.unique(np.concatenate([np.array(b, dtype=np.int64) for k, _, b in found if k >= n_lines]))  # grams of texts on licences
+        rows += [(family, start + (text[0].lower() + text[1:] if start.endswith("is ") else text), k, 1.0) for k, text in enumerate(texts) for start in starts]
+    table = spark.createDataFrame([(k, x) for k, (_, x, _, _) in enumerate(rows)], "k long, text string")
+    found = [b for _, b in sorted((r.k, r.b) for r in table.select("k", buckets(F.col("text"), size).alias("b")).collect())]
+    used = np.unique(np.concatenate([np.array(b, dtype=np.int64) for b in found[n_lines:]]))  # grams of texts on licences
     x = np.zeros((len(found), len(used)))
-    for n, (_, _, b) in enumerate(found):
-        b = np.intersect1d(b, used)
-        x[n, np.searchsorted(used, b)] = 1.0
-    y = np.array([families.index(f) for _, f, _ in found])
-    held = np.arange(len(y)) % 5 == 4
-    counts = np.bincount(y[~held], minlength=len(families)).astype(float)
-    share = (1.0 / np.maximum(counts, 1))[y] * (~held)
-    share /= share.sum()
-    weights, bias = np.zeros((len(used), len(families))), np.zeros(len(families))
-    target = np.eye(len(families))[y]
+    for n, b in enumerate(found):
+        x[n, np.searchsorted(used, np.intersect1d(b, used))] = 1.0
+    y = np.array([families.index(f) for f, _, _, _ in rows])
+    fold, given = np.array([k % folds for _, _, k, _ in rows]), np.array([w for _, _, _, w in rows])
+    score = np.zeros((len(y), len(families)))
+    for k in range(folds):
+        own, other = fold == k, fold != k
+        weights, bias = _fit(x[other], y[other], given[other], len(families), sparsity, steps)
+        score[own] = x[own] @ weights + bias
+    share = _shares(y, given, len(families))
+    loss = {t: -(share * np.log(np.maximum(_softmax(score / t)[np.arange(len(y)), y], 1e-12))).sum() for t in TEMPERATURES}
+    weights, bias = _fit(x, y, given, len(families), sparsity, steps)
+    some = np.flatnonzero(np.abs(weights).sum(axis=1) > 0)
+    return Model(families, used[some], weights[some], bias, float(min(loss, key=loss.get)), size)
+
+
+#: Temperatures that the calibration tries.
+TEMPERATURES = np.geomspace(0.05, 20, 80)
+
+
+def _shares(y: np.ndarray, given: np.ndarray, classes: int) -> np.ndarray:
+    """Weights of rows that add up to the same for each class, and to 1 in all."""
+    share = given / np.maximum(np.bincount(y, weights=given, minlength=classes), 1e-9)[y]
+    return share / share.sum()
+
+
+def _fit(x: np.ndarray, y: np.ndarray, given: np.ndarray, classes: int, sparsity: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a multinomial logistic regression by proximal steps, which set small weights to zero."""
+    share, target = _shares(y, given, classes), np.eye(classes)[y]
+    weights, bias = np.zeros((x.shape[1], classes)), np.zeros(classes)
     for _ in range(steps):
         slope = share[:, None] * (_softmax(x @ weights + bias) - target)
         weights -= 2.0 * (x.T @ slope)
         bias -= 2.0 * slope.sum(axis=0)
         weights = np.sign(weights) * np.maximum(np.abs(weights) - 2.0 * sparsity, 0)
-    score = x[held] @ weights + bias
-    truth = y[held]
-    loss = {t: -np.log(np.maximum(_softmax(score / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in np.geomspace(0.05, 4, 60)}
-    some = np.flatnonzero(np.abs(weights).sum(axis=1) > 0)
-    return Model(families, used[some], weights[some], bias, float(min(loss, key=loss.get)), size)
+    return weights, bias
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -226,7 +264,8 @@ def scan(documents: DataFrame, model: Model, *, least_probability: float = 0.5,
         sure = (x["probability"] >= least_probability) & (similarity >= least_similarity)
         return F.struct(x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), similarity.alias("similarity"), sure.alias("confirmed"))
 
-    paragraphs = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda p: p.rlike(r"[\p{L}\p{N}]"))
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), GOES_ON, " ")
+    paragraphs = F.filter(F.split(text, "\n"), lambda p: p.rlike(r"[\p{L}\p{N}]"))
     judged = _let(paragraphs, lambda ps: F.struct(F.size(ps).alias("n"), F.filter(F.transform(ps, judge), lambda x: x["family"] != UNKNOWN).alias("found")))
     docs = documents.select("doc_id", judged.alias("_judged"))
     docs = docs.select("doc_id", F.col("_judged.n").cast("long").alias("n_paragraphs"), F.transform("_judged.found", confirm).alias("licences"))

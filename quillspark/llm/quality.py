@@ -1,13 +1,18 @@
 """Quality rules with thresholds that follow the data: fences from quantile sketches per language and source.
 
 Only DataFrame functions are used. Metrics of a text are made once, into a narrow table; mergeable KLL sketches of them
-are built per language and source, merged to languages and to all documents, and give quartiles. A fence lies three
-times the interquartile range (and a least slack) beyond the quartile. Groups with few documents take their language's
-fences, few of a language those of all. Documents then join their group's fences.
-
-Defined results: null or empty text has no words and fails; null language or source is a group of its own; a group
-without documents that pass the base rules has no fences of its own; rows that repeat have equal results; an empty table
-gives an empty result.
+are built per language and source, and merged to languages and to all documents. A fence lies beyond a tail quantile of
+a group, by so many times the way from the median to it: both where it lies and how wide it is come from the group. A
+group's fences are blended with those of its language, and these with those of all documents, in proportion to counts.
+Documents then join their group's fences. A share is of few words or lines in a short text, so what it may be above its
+fence by chance, three standard deviations of a count, is added.
+
+Sketches are exact up to ``k`` values. Beyond, their ranks err by about a thousandth, and chance takes part: a document
+that stands just at a fence may fall on either side in another run.
+
+Defined results: null or empty text has no words and fails; null language or source is a group of its own; a value at a
+fence is inside; a group without documents that pass the base rules has no fences of its own; rows that repeat have
+equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +24,14 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import store
 
-#: Metric: (what it is, lower fence too, least slack).
+#: Metric: (count, of how many, tail quantile, times the way from the median to it, a share of a count).
+#: Symbols and word lengths mark junk, which may be near a tenth of a group; some lines and words of clean texts repeat,
+#: so only the last hundredth says what is far out.
 METRICS = {
-    "mean_word": ("word_chars / n_words", True, 1.5),
-    "symbol_share": ("n_symbols / n_words", False, 0.1),
-    "dup_line_share": ("n_dup_lines / n_lines", False, 0.5),
-    "repeat_share": ("n_repeat_words / n_words", False, 0.35),
+    "mean_word": ("word_chars", "n_words", 0.9, 3.0, False),
+    "symbol_share": ("n_symbols", "n_words", 0.9, 3.0, True),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.99, 1.0, True),
+    "repeat_share": ("n_repeat_words", "n_words", 0.99, 2.0, True),
 }
 
 
@@ -77,10 +84,11 @@ def base_failed(n_words: Column, n_repeat_words: Column, *, min_words: int = 50,
     return (n_words < min_words) | (100 * n_repeat_words > max_repeat * n_words)
 
 
-def fences(metrics: DataFrame, *, min_group: int = 200, reach: float = 3.0, k: int = 2048) -> DataFrame:
+def fences(metrics: DataFrame, *, prior: float = 50.0, k: int = 2048) -> DataFrame:
     """Per language and source of ``metrics`` (with the columns of METRICS): lower and upper bound of each metric.
 
-    ``metrics`` has the documents that pass the base rules; a hot group is a partial aggregate in every task.
+    ``metrics`` has the documents that pass the base rules; a hot group is a partial aggregate in every task. A group of
+    n documents weighs n / (n + ``prior``) against what is above it.
     """
     sketches = metrics.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, k).alias(m) for m in METRICS])
     sketches = store.cut(sketches, "sketches")
@@ -88,28 +96,41 @@ def fences(metrics: DataFrame, *, min_group: int = 200, reach: float = 3.0, k: i
 
     def bounds(rows: DataFrame, level: str) -> DataFrame:
         found = []
-        for m, (_, low, slack) in METRICS.items():
-            q1, q3 = (F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)) for q in (0.25, 0.75))
-            beyond = F.greatest(reach * (q3 - q1), F.lit(slack))
-            found.append(F.struct((q1 - beyond if low else F.lit(float("-inf"))).alias("low"), (q3 + beyond).alias("high")).alias(m))
+        for m, (_, _, tail, reach, share) in METRICS.items():
+            quantile = lambda q, m=m: F.kll_sketch_get_quantile_double(F.col(m), F.lit(q))
+            middle, top = quantile(0.5), quantile(tail)
+            found.append((top + reach * (top - middle)).alias(f"{m}_high"))
+            if not share:
+                bottom = quantile(round(1 - tail, 6))
+                found.append((bottom - reach * (middle - bottom)).alias(f"{m}_low"))
         return rows.select(*[c for c in ("lang", "source") if c in rows.columns], F.col("n").alias(f"n_{level}"), F.struct(*found).alias(level))
 
     by_lang = sketches.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
     by_all = sketches.agg(F.sum("n").alias("n"), *merged).where("n is not null")  # one row
     own, lang, all_ = bounds(sketches, "own"), bounds(by_lang, "wide").withColumnRenamed("lang", "_lang"), bounds(by_all, "all_docs")
     table = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(all_))
-    used = F.when(F.col("n_own") >= min_group, F.col("own")).when(F.col("n_wide") >= min_group, F.col("wide")).otherwise(F.col("all_docs"))
-    return table.select("lang", "source", used.alias("fence"))
+    weight = lambda level: F.col(f"n_{level}") / (F.col(f"n_{level}") + prior)
+    names = [f"{m}_high" for m in METRICS] + [f"{m}_low" for m in METRICS if not METRICS[m][4]]
+    wide = lambda c: weight("wide") * F.col(f"wide.{c}") + (1 - weight("wide")) * F.col(f"all_docs.{c}")
+    return table.select("lang", "source", F.struct(*[(weight("own") * F.col(f"own.{c}") + (1 - weight("own")) * wide(c)).alias(c) for c in names]).alias("fence"))
 
 
-def judge(documents: DataFrame, *, min_group: int = 200, reach: float = 3.0) -> DataFrame:
+def judge(documents: DataFrame, *, prior: float = 50.0, deviations: float = 3.0) -> DataFrame:
     """Counts of each document, base_failed, kept, and broken: the metrics beyond their fence."""
     counted = store.cut(text_metrics(documents), "text-metrics")
     counted = counted.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    passed = counted.where("not base_failed").select("lang", "source", *[F.expr(c).cast("double").alias(m) for m, (c, _, _) in METRICS.items()])
-    table = store.cut(fences(passed, min_group=min_group, reach=reach), "fences").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    passed = counted.where("not base_failed").select("lang", "source", *[(F.col(x) / F.col(n)).alias(m) for m, (x, n, *_) in METRICS.items()])
+    table = store.cut(fences(passed, prior=prior), "fences").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = counted.join(table, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    outside = [F.when((F.expr(c) < F.col(f"fence.{m}.low")) | (F.expr(c) > F.col(f"fence.{m}.high")), F.lit(m)) for m, (c, _, _) in METRICS.items()]
+    outside = []
+    for m, (x, n, _, _, share) in METRICS.items():
+        high = F.col(f"fence.{m}_high")
+        if share:
+            out = F.col(x) > high * F.col(n) + deviations * F.sqrt(high * F.col(n) + 1)
+        else:
+            value = F.col(x) / F.col(n)
+            out = (value < F.col(f"fence.{m}_low")) | (value > high)
+        outside.append(F.when(out, F.lit(m)))
     broken = F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*outside)))
     found = joined.withColumn("broken", broken)
     return found.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop("_lang", "_source", "fence")

@@ -53,7 +53,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-# Exact quartiles stand for the sketches, which are exact up to 2,048 values.
+# Exact quantiles stand for the sketches, which are exact up to 2,048 values.
 OP4_SQL = r"""
 with w as (
   select doc_id, lang, source, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
@@ -75,18 +75,21 @@ m as (
   select lang, source, count(*) as n, list_sort(list(a1)) as l1, list_sort(list(a2)) as l2, list_sort(list(a3)) as l3, list_sort(list(a4)) as l4
   from b where not base_failed group by grouping sets ((lang, source), (lang), ())
 ), f as (
-  select lang, source, n,
-    l1[cast(ceil(0.25 * n) as bigint)] as p1, l1[cast(ceil(0.75 * n) as bigint)] as q1, l2[cast(ceil(0.25 * n) as bigint)] as p2, l2[cast(ceil(0.75 * n) as bigint)] as q2,
-    l3[cast(ceil(0.25 * n) as bigint)] as p3, l3[cast(ceil(0.75 * n) as bigint)] as q3, l4[cast(ceil(0.25 * n) as bigint)] as p4, l4[cast(ceil(0.75 * n) as bigint)] as q4
+  select lang, source, n, n / (n + 50.0) as w,
+    l1[cast(ceil(0.9 * n) as bigint)] + 3.0 * (l1[cast(ceil(0.9 * n) as bigint)] - l1[cast(ceil(0.5 * n) as bigint)]) as h1, l1[cast(ceil(0.1 * n) as bigint)] - 3.0 * (l1[cast(ceil(0.5 * n) as bigint)] - l1[cast(ceil(0.1 * n) as bigint)]) as b1,
+    l2[cast(ceil(0.9 * n) as bigint)] + 3.0 * (l2[cast(ceil(0.9 * n) as bigint)] - l2[cast(ceil(0.5 * n) as bigint)]) as h2,
+    l3[cast(ceil(0.99 * n) as bigint)] + 1.0 * (l3[cast(ceil(0.99 * n) as bigint)] - l3[cast(ceil(0.5 * n) as bigint)]) as h3,
+    l4[cast(ceil(0.99 * n) as bigint)] + 2.0 * (l4[cast(ceil(0.99 * n) as bigint)] - l4[cast(ceil(0.5 * n) as bigint)]) as h4
   from s
 ), u as (
-  select o.lang, o.source, unnest(case when o.n >= 200 then o when x.n >= 200 then x else y end)
+  select o.lang, o.source, o.w * o.h1 + (1 - o.w) * (x.w * x.h1 + (1 - x.w) * y.h1) as h1, o.w * o.b1 + (1 - o.w) * (x.w * x.b1 + (1 - x.w) * y.b1) as b1, o.w * o.h2 + (1 - o.w) * (x.w * x.h2 + (1 - x.w) * y.h2) as h2, o.w * o.h3 + (1 - o.w) * (x.w * x.h3 + (1 - x.w) * y.h3) as h3, o.w * o.h4 + (1 - o.w) * (x.w * x.h4 + (1 - x.w) * y.h4) as h4
   from f o join f x on x.lang = o.lang and x.source is null join f y on y.lang is null where o.source is not null
 )
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and a1 between p1 - greatest(3.0 * (q1 - p1), 1.5) and q1 + greatest(3.0 * (q1 - p1), 1.5)
-  and a2 <= q2 + greatest(3.0 * (q2 - p2), 0.1) and a3 <= q3 + greatest(3.0 * (q3 - p3), 0.5) and a4 <= q4 + greatest(3.0 * (q4 - p4), 0.35) as kept
-from b left join (select * exclude (lang_1, source_1) from u) u on u.lang = b.lang and u.source = b.source
+  not base_failed and a1 between b1 and h1
+  and n_symbols <= h2 * n_words + 3.0 * sqrt(h2 * n_words + 1) and n_dup_lines <= h3 * n_lines + 3.0 * sqrt(h3 * n_lines + 1)
+  and n_repeat_words <= h4 * n_words + 3.0 * sqrt(h4 * n_words + 1) as kept
+from b left join u on u.lang = b.lang and u.source = b.source
 """
 
 
