@@ -1,4 +1,9 @@
-"""A training corpus from documents: five stages, each over all that the one before kept."""
+"""A training corpus from documents: five stages, each over all that the one before kept.
+
+Defined results, for every stage: columns other than DOCUMENTS are left out, whatever they are called; an empty table
+gives an empty one; rows are judged each for itself, also where doc_id is null or stands in several rows; whole texts of
+any length are read. Null text and text without words: language ID rejects it, the later stages let it pass.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,10 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language compression tells; lang becomes what it says."""
+    """Keep documents whose language compression tells; lang becomes what it says.
+
+    Null text, text without a letter and ties between languages go; without any labelled row all go.
+    """
     docs = docs.select(*DOCUMENTS)
     labelled = docs.where(langid.fold(F.col("doc_id")) != 2)
     found = langid.identify(docs, langid.train(labelled))
@@ -44,7 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 200 bytes or more that stand elsewhere too; bytes of a character that is cut in two go with it.
 
-    A document that loses everything goes.
+    A document that loses everything goes; of several equal rows of 200 bytes or more each does, so near-dedup comes first.
     """
     found = suffix_dedup.removed_spans(docs.select(*DOCUMENTS), length=200, kept_text=True)
     raw = F.col("kept").cast("string")
@@ -55,7 +63,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth of the words or more stand in 13-word windows of the benchmark."""
+    """Drop documents of which a twentieth of the words or more stand in 13-word windows of the benchmark.
+
+    With an empty benchmark all stay.
+    """
     docs = _rows(docs, "decontamination-rows")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.find_contamination(docs.select(F.col("row").alias("doc_id"), "text"), benchmark)
@@ -65,7 +76,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents in sequences of 4,096 tokens."""
+    """Places of all documents in sequences of 4,096 tokens; null text is packed as its end id alone."""
     return packing.pack_documents(docs, queries.word_tokenizer(), capacity=4096, end_id=1)
 
 
@@ -85,5 +96,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        mark, path = store.written(), store.fresh_dir(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        store.drop_since(spark, mark)  # the stage's own tables
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,8 @@
 A window is ``window`` consecutive words of a benchmark item (a shorter item is one window). As a set of word pairs, a
 window lies in a document only if all its pairs do, so its prefix is one pair: the rarest in all documents. Documents
 look up their pairs among the prefixes; a hit gives the place of the window, position and length bounds drop places
-that run over either end of the text, and the words that stand there are then compared with the window's.
+that run over either end of the text, and the words that stand there are then compared with the window's, by hash and
+then letter by letter.
 
 The index of prefixes goes to the tasks in blocks of at most ``block_windows`` windows, each a pass over the documents,
 so its size has a bound however large the benchmark is. Documents are never shuffled when one block is enough.
@@ -47,17 +48,34 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 class Windows:
-    """The windows of benchmark items: hashes of their words, and the items of each."""
+    """The windows of benchmark items: their words, the hashes of these, and the items of each.
+
+    A window's words are ``words[at : at + size]``; ``letters`` from ``starts`` to ``ends`` spells each word.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        found: dict[bytes, set[str]] = {}
+        found: dict[bytes, tuple[int, int, set[str]]] = {}
+        letters, spans, hashes, n_words = [], [], [], 0
         for item, text in items:
-            for _, _, _, _, _, hashes, _ in _words(pa.array([text], pa.string())):
-                size = min(window, len(hashes))
-                for k in range(len(hashes) - size + 1 if size else 0):
-                    found.setdefault(hashes[k : k + size].tobytes(), set()).add(item)
-        self.words = [np.frombuffer(w, dtype=np.uint64) for w in found]
-        self.items = [sorted(x) for x in found.values()]
+            for _, _, lower, starts, ends, own, _ in _words(pa.array([text], pa.string())):
+                raw = lower.tobytes()
+                spelled = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                size = min(window, len(own))
+                for k in range(len(own) - size + 1 if size else 0):
+                    found.setdefault(b" ".join(spelled[k : k + size]), (n_words + k, size, set()))[2].add(item)
+                letters += spelled
+                spans.append(ends - starts)
+                hashes.append(own)
+                n_words += len(own)
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+        self.letters = np.frombuffer(b"".join(letters), dtype=np.uint8)
+        self.ends = np.cumsum(joined(spans, np.int64))
+        self.starts = self.ends - joined(spans, np.int64)
+        self.hashes = joined(hashes, np.uint64)
+        self.at = np.array([at for at, _, _ in found.values()] or [0], dtype=np.int64)
+        self.sizes = np.array([size for _, size, _ in found.values()] or [0], dtype=np.int64)
+        self.words = [self.hashes[at : at + size] for at, size, _ in found.values()]
+        self.items = [sorted(x) for _, _, x in found.values()]
 
     def pairs(self) -> np.ndarray:
         """All pairs of all windows of two words or more, and the words of the others."""
@@ -121,19 +139,15 @@ def count_pairs(documents: DataFrame, pairs: np.ndarray) -> dict[int, int]:
 def _search(documents: DataFrame, windows: Windows, counts: dict[int, int]) -> DataFrame:
     """One pass: per document n_words, the hit words as spans (start, end pairs of 64-bit integers) and the items found."""
     keys, places = windows.index(counts)
-    sizes = np.array([len(w) for w in windows.words] or [0], dtype=np.int64)
-    table = np.zeros((len(sizes), int(sizes.max())), dtype=np.uint64)  # a window's words in a row
-    for n, words in enumerate(windows.words):
-        table[n, : len(words)] = words
     lists = np.array([len(x) for x in places], dtype=np.int64)
     flat = np.array([x for each in places for x in each], dtype=np.int64).reshape(-1, 2)
-    shared = documents.sparkSession.sparkContext.broadcast((keys, lists, np.cumsum(lists) - lists, flat, sizes, table, windows.items))
+    shared = documents.sparkSession.sparkContext.broadcast((keys, lists, np.cumsum(lists) - lists, flat, (windows.at, windows.sizes, windows.hashes, windows.letters, windows.starts, windows.ends), windows.items))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, lists, firsts, flat, sizes, table, items = shared.value
+        keys, lists, firsts, flat, (at_word, sizes, known, letters, spelled, spelled_end), items = shared.value
         for batch in batches:
             ids, rows = batch.column("doc_id"), batch.column("row")
-            for first, last, _, _, _, hashes, before in _words(batch.column("text")):
+            for first, last, lower, starts, ends, hashes, before in _words(batch.column("text")):
                 depth = np.zeros(len(hashes) + 1, dtype=np.int64)
                 met: list[np.ndarray] = []
                 for found in (blocks.shingle_hashes(hashes, 2), _single(hashes)):
@@ -143,9 +157,16 @@ def _search(documents: DataFrame, windows: Windows, counts: dict[int, int]) -> D
                     doc = np.repeat(np.searchsorted(before, where, side="right") - 1, lists[at])
                     inside = (begin >= before[doc]) & (begin + sizes[window] <= before[doc + 1])
                     begin, window, doc = begin[inside], window[inside], doc[inside]
-                    for k in range(table.shape[1]):
-                        more = sizes[window] > k
-                        same = ~more | (hashes[np.minimum(begin + k, len(hashes) - 1)] == table[window, k])
+                    for k in range(int(sizes.max())):
+                        more = np.flatnonzero(sizes[window] > k)
+                        own, other = begin[more] + k, at_word[window[more]] + k
+                        same = np.ones(len(window), dtype=bool)
+                        # by hash, length, and then letter by letter
+                        same[more] = (hashes[own] == known[other]) & (ends[own] - starts[own] == spelled_end[other] - spelled[other])
+                        more = same[more]
+                        own, other = own[more], other[more]
+                        sure = blocks.same_bytes(lower, starts[own], ends[own], letters, spelled[other])
+                        same[np.flatnonzero(same & (sizes[window] > k))] = sure
                         begin, window, doc = begin[same], window[same], doc[same]
                     np.add.at(depth, begin, 1)
                     np.add.at(depth, begin + sizes[window], -1)

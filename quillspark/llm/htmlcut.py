@@ -2,6 +2,10 @@
 
 A page is read once into blocks of text with their place in the element tree. A logistic model of a block's own looks,
 and what its elements are named, give the cost of calling it article or boilerplate: the capacities to the two terminals.
+What elements say has degrees. Navigation, adverts, comments and the like (HARD) outweigh a block's looks, as a reader's
+comment looks like an article; names that may mean something else (SOFT) lose to a long paragraph; a word within a longer
+name (WEAK) only tips the scales. Names of states ("has-sidebar", "comments-open") say nothing. ``article`` lifts what is
+soft or weak around it, ``main`` all.
 Neighbours in page order and like blocks under one parent are joined by smoothness edges, stronger the nearer they stand in
 the tree. The minimum cut labels all blocks of a page together.
 
@@ -42,46 +46,80 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("hr br img input meta link source wbr area base col embed param track".split())
 CLOSED_BY_NEXT = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dl table".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside form fieldset menu dialog button label".split())
+HARD_TAGS = frozenset("nav footer aside menu dialog button".split())
+SOFT_TAGS = frozenset("form fieldset label".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-BOILERPLATE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar rail aside footer header masthead topbar toolbar comment comments disqus replies respond discussion cookie cookies consent gdpr notice "
-    "notification alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended pagination pager "
-    "widget form search copyright disclaimer legal skip".split()
+HARD_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar "
+    "comment comments disqus replies respond cookie cookies consent gdpr newsletter related recommended pagination pager".split()
+)
+SOFT_NAMES = frozenset(
+    "banner rail aside footer header masthead topbar toolbar discussion notice notification alert popup modal overlay subscribe subscription signup login "
+    "share sharing social widget form search copyright disclaimer legal skip reply".split()
 )
 CONTENT_NAMES = frozenset("article main content post entry story body text".split())
+# Words that may stand beside a name without changing what it means, and words that make it a state of the page.
+BESIDE = frozenset(
+    "site page global top bottom left right upper lower primary secondary inner outer box list item items area section block container wrapper wrap slot unit "
+    "bar panel group row col column link links icon icons title inline sticky fixed mobile desktop user first last small large".split()
+)
+STATES = frozenset("with without has have no not is show hide enable enabled disable disabled open closed on off".split())
+HARD, SOFT, WEAK = -1.0, -0.5, -0.1
 
 FEATURES = 9
 
 
-def hint(tag: str, attributes: str, inside: int) -> int:
-    """1 if the element says article, -1 if it says boilerplate, 0 if nothing; ``inside`` is the hint around it."""
-    names: set[str] = set()
+def name_says(name: str) -> float:
+    """What a class or id says: 1 for article, HARD, SOFT or WEAK for boilerplate, 0 for nothing."""
+    parts = [x.lower() for x in NAME_PARTS.findall(name)]
+    parts = [x for x in parts if not x.isdigit()]
+    if not parts or len(parts) > 1 and not STATES.isdisjoint(parts):
+        return 0.0
+    hard, soft, good = (any(x in names for x in parts) for names in (HARD_NAMES, SOFT_NAMES, CONTENT_NAMES))
+    foreign = any(x not in names for x in parts for names in [HARD_NAMES | SOFT_NAMES | CONTENT_NAMES | BESIDE])
+    if hard or soft:
+        if good and not hard:
+            return 0.0  # the head of an article, not of the page
+        return WEAK if foreign else HARD if hard else SOFT
+    return 1.0 if good and not foreign else 0.0
+
+
+def hint(tag: str, attributes: str, around: float) -> float:
+    """What holds inside an element, by what it says of itself and what holds around it: from HARD to 1, 0 for nothing."""
+    said, names, lifts, lifts_all = 0.0, [], tag == "article", tag == "main"
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role" and value.lower() in BOILERPLATE_ROLES:
-                return -1
-            if key == "role" and value.lower() in ("main", "article"):
-                return 1
-            if key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true":
-                return -1
-            if key == "style" and "display:none" in value.replace(" ", "").lower():
-                return -1
-            if key in ("class", "id"):
-                names.update(x.lower() for x in NAME_PARTS.findall(value))
-    if tag in BOILERPLATE_TAGS or tag == "header" and inside <= 0:
-        return -1
-    if tag in ("article", "main"):
-        return -1 if names & {"comment", "comments", "reply"} else 1
-    if tag in ("html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6") and not names & {"ad", "ads", "advert"}:
-        return 0
-    good, bad = names & CONTENT_NAMES, names & BOILERPLATE_NAMES
-    if good and bad:
-        return -1 if bad & {"comment", "comments"} else 0
-    return 1 if good else -1 if bad else 0
+                said = HARD
+            elif key == "role" and value.lower() in ("main", "article"):
+                lifts, lifts_all = True, lifts_all or value.lower() == "main"
+            elif key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true":
+                return HARD
+            elif key == "style" and "display:none" in value.replace(" ", "").lower():
+                return HARD
+            elif key in ("class", "id"):
+                names += [name_says(x) for x in value.split()]
+    if tag in HARD_TAGS or tag == "header" and around <= 0:
+        said = HARD
+    elif tag in SOFT_TAGS:
+        said = min(said, SOFT)
+    if tag not in ("html", "body"):
+        least, most = min(names, default=0.0), max(names, default=0.0)
+        if tag == "p" or tag in HEADINGS:
+            least, most = (least if least == HARD else 0.0), 0.0
+        said = min(said, least) or most
+    if lifts_all:
+        return 1.0
+    if around == HARD or said == HARD:
+        return HARD
+    if lifts:
+        return 1.0
+    if around > 0 and said == WEAK:
+        return 0.0  # its looks decide
+    return said or around
 
 
 class Block:
@@ -95,7 +133,7 @@ def read_blocks(page: str) -> list[Block]:
     """Blocks of text in page order; ``common`` is the depth of the element that holds this block and the one before,
     ``element`` the number of the parent of its own element."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, hint in force, number
+    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # tag, hint in force, number
     parts: list[str] = []
     links, link_chars, elements, lowest = 0, 0, 0, 0
     at, end = 0, len(page)
@@ -162,9 +200,8 @@ def read_blocks(page: str) -> list[Block]:
                 if stack[k][0] in LISTS or tag not in CLOSED_BY_NEXT:
                     break
             lowest = min(lowest, len(stack))
-            said, around = hint(tag, m[3] or m[6] or "", stack[-1][1]), stack[-1][1]
             elements += 1
-            stack.append((tag, -1 if around < 0 else said or around, elements))
+            stack.append((tag, hint(tag, m[3] or m[6] or "", stack[-1][1]), elements))
         lowest = min(lowest, len(stack))
         if tag not in ("p", "li"):
             links = 0
@@ -183,7 +220,7 @@ def features(blocks: list[Block]) -> np.ndarray:
             min(1.0, b.link_chars / n),
             b.text[-1] in ".!?…\"'»”",
             b.tag == "p",
-            b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
+            b.tag in HEADINGS,
             b.tag in ("li", "td", "th"),
             min(k, len(blocks) - 1 - k) == 0,
             words < 4,
@@ -219,7 +256,7 @@ def train(pages: DataFrame, *, sample_pages: int = 400, page_bytes: int = 1 << 2
         for batch in batches:
             for page in batch["html"]:
                 found = read_blocks(page)
-                said = [(x, b.hint > 0) for x, b in zip(features(found).tolist(), found, strict=True) if b.hint][:page_blocks]
+                said = [(x, b.hint > 0) for x, b in zip(features(found).tolist(), found, strict=True) if abs(b.hint) == 1][:page_blocks]
                 yield pd.DataFrame({"x": [x for x, _ in said], "y": [float(y) for _, y in said]})
 
     found = few.mapInPandas(rows, "x array<double>, y double").collect()
@@ -295,7 +332,8 @@ def main_text(page: str, weights: np.ndarray, *, hint_cost: float = 6.0, smoothn
     for k, b in enumerate(blocks):
         if k:
             border = 0.25 if b.hint != blocks[k - 1].hint else 1.0  # an element with a name of its own begins or ends here
-            edges.append((k - 1, k, border * smoothness * b.common / max(b.depth, blocks[k - 1].depth)))
+            heads = 2.0 if blocks[k - 1].tag in HEADINGS else 1.0  # a heading goes with what it heads
+            edges.append((k - 1, k, heads * border * smoothness * b.common / max(b.depth, blocks[k - 1].depth)))
         twin = (b.element, b.tag)
         if twin in last and last[twin] != k - 1:
             edges.append((last[twin], k, smoothness))

@@ -32,9 +32,11 @@ FILES_ARROW = pa.schema(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a folder of our own where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_quillspark_dir", None)
         if base is None:
             base = tempfile.mkdtemp(prefix="quillspark-")
@@ -53,15 +55,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that ``cut`` has written and ``drop_since`` has not deleted, oldest first.
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    """A mark for ``drop_since``."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Delete what ``cut`` has written since a mark; for when nothing reads it any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_WRITTEN) > mark:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder or file, and its path there."""
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
+    if uri.startswith("s3a://"):
+        uri = "s3://" + uri[6:]
     return pafs.FileSystem.from_uri(uri)
 
 

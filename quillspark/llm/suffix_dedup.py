@@ -5,13 +5,14 @@ only those that can repeat:
 
 1. A suffix's bucket is the smallest hash among the 32-byte strings of its first ``length`` bytes, its anchor. Equal
    beginnings have equal anchors. Neighbouring suffixes mostly share one, so a document is some runs of suffixes, one
-   for about 85 bytes. Only anchors are shuffled here; a bucket that one run alone falls in can't hold a repeat.
+   for about 85 bytes; a text that repeats itself has longer ones, which are cut at 256 suffixes. Only anchors are shuffled here; a bucket that one run alone falls in can't hold a repeat.
 2. What is left of each text is cut into the pieces that its runs cover, and pieces go to their bucket.
 3. A task takes its buckets in turn. It ranks the suffixes at the positions of a difference cover modulo 7 to 112 bytes,
    by doubling along the stride. Any two suffixes reach cover positions after an equal shift of at most 6 bytes; so
    their first ``length`` bytes are equal if those few bytes, the ranks there and at the end, and the last few bytes
    are. Sorting by these keys, once for each shift, settles ties of any length at a fixed price and memory.
-4. A bucket with more than ``bucket_runs`` runs is salted over several tasks. Each sends on, as 128-bit fingerprints, one
+4. A bucket with more than ``bucket_runs`` runs is salted by piece over several tasks, so that none sorts more than
+   about 2 MB at once. Within a task suffixes are sorted as before. Each sends on, as 128-bit fingerprints, one
    suffix of each kind that it has found, and those meet by fingerprint: a kind met twice is repeated too.
 
 Texts that are copies of one another are one text from the start, whose suffixes all repeat.
@@ -39,6 +40,8 @@ COVER, MODULUS = (0, 1, 3), 7
 #: Whether a position is in the cover after a shift, by shift and residue.
 COVERED = np.array([[(r + shift) % MODULUS in COVER for r in range(MODULUS)] for shift in range(MODULUS)])
 RANKED = 16 * MODULUS
+#: Suffixes of a run at most.
+LONGEST = 256
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -86,9 +89,15 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     least[~inside] = 0
     most = _extreme(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
     places = np.flatnonzero((most[: len(h)] == h) & (most[: len(h)] > 0))
-    before = np.searchsorted(starts, offsets)
-    several = np.diff(np.searchsorted(places, offsets)) > np.diff(before)
-    return starts, least[starts], before, several
+    several = np.diff(np.searchsorted(places, offsets)) > np.diff(np.searchsorted(starts, offsets))
+    # only equal strings make a run longer than ``width``: cut it, so that pieces stay small
+    outside = np.append(np.flatnonzero(~inside), len(inside))
+    stop = np.minimum(np.append(starts[1:], len(inside)), outside[np.searchsorted(outside, starts)])
+    more = -(-(stop - starts) // LONGEST) - 1
+    if (more > 0).any():
+        extra = np.repeat(starts, more) + LONGEST * (blocks.ragged(np.zeros(len(more), np.int64), more) + 1)
+        starts = np.sort(np.concatenate([starts, extra]))
+    return starts, least[starts], np.searchsorted(starts, offsets), several
 
 
 def anchors(documents: DataFrame, length: int) -> DataFrame:
@@ -124,7 +133,8 @@ def pieces(candidates: DataFrame, length: int) -> DataFrame:
                 shares[mark.field("pos").to_numpy()] = mark.field("share").to_numpy()
                 ends = np.append(starts[1:], len(text) - length + 1)
                 some = np.flatnonzero(shares)
-                salt = int.from_bytes(hs[k][:7], "little") % np.maximum(shares[some], 1)
+                spread = blocks.mix(starts[some].astype(np.uint64) + np.uint64(int.from_bytes(hs[k][:7], "little")))
+                salt = spread % np.maximum(shares[some], 1).astype(np.uint64)
                 raw = text.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -350,7 +360,12 @@ def trim(candidates: DataFrame) -> DataFrame:
 
 
 def find_repeats(documents: DataFrame, *, length: int = 200, bucket_runs: int = 4_096, parts: int | None = None) -> DataFrame:
-    """What removal leaves of each distinct text that loses anything: h (``text_key``), n_removed, n_spans, kept (bytes)."""
+    """What removal leaves of each distinct text that loses anything: h (``text_key``), n_removed, n_spans, kept (bytes).
+
+    ``length`` is at least 118: under it, the ranks of cover positions would reach beyond a string's end.
+    """
+    if length < RANKED + MODULUS - 1:
+        raise ValueError(f"length must be at least {RANKED + MODULUS - 1}")
     spark = documents.sparkSession
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string")).where(F.octet_length("text") >= length)
     docs = docs.withColumn("h", text_key(F.col("text")))

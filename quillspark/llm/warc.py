@@ -5,7 +5,7 @@ page_ids; a shard is written by one task as one or more ``.warc.gz`` files, roll
 equal bytes, however Spark splits or repeats the work.
 
 Defined results: null html is an empty payload; null page_id sorts first and is carried as a record without its id
-header; a null or odd url is percent-encoded or left out; rows that repeat a page_id and payload are all responses if
+header, in the shard that its digest says; a null or odd url is percent-encoded or left out; rows that repeat a page_id and payload are all responses if
 that page_id is the smallest with the payload, and else all revisits; an empty table gives an empty manifest.
 """
 
@@ -77,16 +77,37 @@ def page_record(page_id, url, payload: bytes, digest: str, refers_to, revisit: b
     return record("response", fields, http + payload)
 
 
+def _shard_of(keys: np.ndarray):
+    """A column function: the number of ``keys`` at or before a page_id; null for null."""
+
+    @F.pandas_udf(T.IntegerType())
+    def shard_of(ids: pd.Series) -> pd.Series:
+        found = np.searchsorted(keys, ids.fillna(0).to_numpy(dtype=np.int64), side="right")
+        return pd.Series(found.astype("int32")).where(ids.notna().to_numpy(), None).astype("Int32")
+
+    return shard_of
+
+
 def _boundaries(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """Page_ids between shards: those at even ranks of the page_ids of smallest hash, which are a fair sample."""
+    """Page_ids between shards of about equal bytes.
+
+    The page_ids of smallest hash cut the table finely; the bytes of each such part are summed up over all rows, and
+    shards are cut where the sums come to even shares.
+    """
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    shards = min(20_000, max(1, -(-total // shard_bytes)))
+    shards = min(100_000, max(1, -(-total // shard_bytes)))
     if shards == 1:
         return []
     each = 20 if shards <= 2_000 else 4
     few = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(each * shards)
-    keys = sorted(r[0] for r in few.collect())
-    return sorted({keys[k * len(keys) // shards] for k in range(1, shards)})
+    keys = np.array(sorted(r[0] for r in few.collect()), dtype=np.int64)
+    parts = pages.where("page_id is not null").select(_shard_of(keys)("page_id").alias("part"), F.octet_length("html").alias("n"))
+    sums = np.zeros(len(keys) + 1)
+    for r in parts.groupBy("part").agg(F.sum("n").alias("n")).collect():
+        sums[r.part] = r.n or 0
+    before = np.cumsum(sums)[:-1]  # bytes of page_ids under each key
+    share = before[-1] + sums[-1] if len(keys) else 0
+    return sorted({int(keys[k]) for k in np.searchsorted(before, share / shards * np.arange(1, shards)) if k < len(keys)})
 
 
 def write_warc(
@@ -116,12 +137,8 @@ def write_warc(
     keys = np.array(_boundaries(pages, shard_bytes), dtype=np.int64)
     shards = len(keys) + 1
 
-    @F.pandas_udf(T.IntegerType())
-    def shard_of(ids: pd.Series) -> pd.Series:
-        found = np.searchsorted(keys, ids.fillna(0).to_numpy(dtype=np.int64), side="right")
-        return pd.Series(np.where(ids.isna(), 0, found).astype(np.int32))
-
-    dealt = rows.unionByName(marks).withColumn("shard", shard_of("page_id")).repartitionById(shards, "shard")
+    shard = F.coalesce(_shard_of(keys)("page_id"), F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
+    dealt = rows.unionByName(marks).withColumn("shard", shard).repartitionById(shards, "shard")
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("html").isNotNull(), "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -204,3 +204,71 @@ def test_packed_documents(spark):
     whole = packing.sequences(packing.pack(packing.pieces(docs, path, capacity=64), capacity=64)).collect()
     assert sum(len(r.ids) for r in whole) == 4 * sum(r.length for r in found) and len(whole) == len(places)
     assert packing.pack_documents(docs.limit(0), path).count() == 0
+
+
+def test_texts_that_repeat_themselves(spark):
+    rnd = random.Random(8)
+    period = words(rnd, 30)
+    rows = [(1, "ab" * 3_000), (2, period * 60), (3, "x" + "ab" * 500 + words(rnd, 50)), (4, period * 3 + words(rnd, 90)), (None, words(rnd, 80)), (None, "ab" * 200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for runs in (4, 4_096):
+        found = suffix_dedup.find_repeats(docs, bucket_runs=runs).select("h", F.coalesce("n_removed", F.lit(-1)), "n_spans", F.sha2("kept", 256)).collect()
+        if runs == 4:
+            want = sorted(map(repr, found))
+    assert want == sorted(map(repr, found))
+    found = suffix_dedup.removed_spans(docs)
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in found.collect()), key=repr) == brute_spans(rows, 200)
+    pieces = suffix_dedup.runs(*suffix_dedup.blocks.text_buffer(__import__("pyarrow").array(["ab" * 500_000])), 200)[0]
+    assert max(b - a for a, b in zip(pieces[:-1], pieces[1:], strict=True)) <= suffix_dedup.LONGEST
+    with pytest.raises(ValueError):
+        suffix_dedup.find_repeats(docs, length=117)
+
+
+@pytest.mark.parametrize("length", [118, 131, 200])
+def test_other_lengths(spark, length):
+    rows = passages()[:40]
+    found = suffix_dedup.removed_spans(spark.createDataFrame(rows, DOCS), length=length)
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in found.collect()), key=repr) == brute_spans(rows, length)
+
+
+def test_words_with_one_hash_are_not_one(spark, monkeypatch):
+    monkeypatch.setattr(decontam.blocks, "word_hashes", lambda data, starts, ends: (ends - starts).astype("uint64"))
+    windows = decontam.Windows([("a", "one two six"), ("b", "ten one two"), ("c", "one two six")], 2)
+    assert sorted(map(tuple, windows.items)) == [("a", "b", "c"), ("a", "c"), ("b",)]
+    data = decontam.blocks.text_buffer(__import__("pyarrow").array(["one two ten"]))[0]
+    at = decontam.np.array([0, 4, 8])
+    assert decontam.blocks.same_bytes(data, at, at + 3, data, decontam.np.array([0, 4, 4])).tolist() == [True, True, False]
+
+
+def test_plan_is_best_fit_over_documents():
+    rnd = random.Random(12)
+    for _ in range(40):
+        capacity = rnd.choice([10, 64, 100])
+        histogram = {rnd.randint(1, capacity): rnd.randint(1, 30) for _ in range(rnd.randint(1, 15))}
+        rooms = []  # document by document, longest first: the fullest sequence with room
+        for length in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+            fits = [k for k, room in enumerate(rooms) if room >= length]
+            if fits:
+                best = min(fits, key=lambda k: rooms[k])
+                rooms[best] -= length
+            else:
+                rooms.append(capacity - length)
+        used = {sequence + k // each for _, _, count, each, sequence, _ in packing.plan(histogram, capacity) for k in range(count)}
+        assert len(used) == len(rooms)
+
+
+def test_packed_pieces_are_those_of_the_tokenizer(spark):
+    import zlib
+
+    import numpy as np
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    tokenizer = __import__("tokenizers").Tokenizer.from_file(path)
+    rows = [(k, words(random.Random(k), k * 7 % 90)) for k in range(30)] + [(50, None), (51, ""), (52, "long words " * 60_000)]
+    want = []
+    for k, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        want += [(k, n, a, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes())) for n, a in enumerate(range(0, len(ids), 64))]
+    found = packing.pack_documents(spark.createDataFrame(rows, DOCS), path, capacity=64).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == sorted(want)

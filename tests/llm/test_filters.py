@@ -37,12 +37,28 @@ def test_fences_follow_the_group(spark):
     text = lambda mark: " ".join(f"w{rnd.randint(0, 9999)}{mark}" for _ in range(60))
     rows = [(k, text(""), "en", "plain") for k in range(60)] + [(100 + k, text(" #"), "en", "code") for k in range(60)]
     rows += [(200, text(" #"), "en", "plain"), (201, text(""), None, None), (202, None, "en", "plain")]
-    found = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=20).collect()}
+    found = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior=2).collect()}
     assert all(found[k] for k in range(60)) and all(found[100 + k] for k in range(60)) and found[201]
     assert not found[200] and not found[202]
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def test_fences_are_as_wide_as_the_group(spark):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    rows = [(k, " ".join(word(5) for _ in range(60)), "en", "even") for k in range(80)]
+    rows += [(100 + k, " ".join(word(rnd.randint(3, 5 + k // 16)) for _ in range(60)), "en", "wide") for k in range(80)]
+    rows += [(k, t, lang, source) for k, (_, t, lang, source) in zip(range(300, 380), rows[:80], strict=True)]  # rows that repeat, at the fence
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("kept", F.lit("clash"))
+    counted = quality.text_metrics(docs).selectExpr("lang", "source", *[f"{x} / {n} as {m}" for m, (x, n, *_) in quality.METRICS.items()])
+    found = {r.source: r.fence for r in quality.fences(counted, prior=2).collect()}
+    width = {s: f.mean_word_high - f.mean_word_low for s, f in found.items()}
+    assert 0 < 2 * width["even"] < width["wide"]
+    assert all(r.kept for r in quality.judge(docs, prior=2).where("source = 'even'").collect())
+    long = spark.createDataFrame([(1, "word " * 300_000, "en", "even"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    assert [r.kept for r in quality.judge(long).orderBy("doc_id").collect()] == [False, False]
+
+
 @tables
 def test_licences(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
@@ -56,11 +72,17 @@ def test_licences(spark):
         6: None,
         7: "",
         8: "The the of and.",
+        9: "Licensed under the Eclipse Public License, version 2.0.",
+        10: "Released under the GNU Lesser General Public License, version 3.",
+        11: "Eclipse Public License, version 2.0\nLesser General Public License",
+        12: "x " * 100_000 + "\nReleased under\nthe MIT License.",
     }
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("licences", F.lit("clash"))
     found = {r.doc_id: r.family for r in licences.scan(rows, model).collect()}
-    assert found == {1: "mit", 2: "apache", 3: "gpl", 4: "cc-by-nc", 5: None, 6: None, 7: None, 8: None}
+    assert found == {1: "mit", 2: "apache", 3: "gpl", 4: "cc-by-nc", 5: None, 6: None, 7: None, 8: None, 9: None, 10: None, 11: None, 12: "mit"}
     assert licences.scan(rows.limit(0), model).count() == 0
+    assert [r.family for r in licences.scan(rows.where("doc_id = 2").unionByName(rows.where("doc_id = 2")), model).collect()] == ["apache"] * 2
+    assert licences.TEMPERATURES[0] < model.temperature < licences.TEMPERATURES[-1]
 
 
 @tables
@@ -80,6 +102,13 @@ def test_language_of_odd_texts(spark):
     found = {r.doc_id: r.lang_pred for r in langid.identify(docs, dictionaries).collect()}
     assert found == {1: "und", 2: "und", 3: "und", 4: "en", 5: "fr"}
     assert {r.lang_pred for r in langid.identify(docs, langid.train(labelled.limit(0))).collect()} == {"und"}
+    assert langid.identify(docs.limit(0), dictionaries).count() == 0
+    twice = langid.identify(docs.unionByName(docs), dictionaries).where("doc_id = 4").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+    same = langid.train(labelled.select("doc_id", F.lit("the same text").alias("text"), "lang"))
+    assert {(r.lang_pred, r.rejected) for r in langid.identify(docs.where("doc_id > 3"), same).collect()} == {("en", True)}  # a tie
+    with pytest.raises(ValueError):
+        langid.train(labelled, max_languages=1)
 
 
 @tables
@@ -110,6 +139,33 @@ def test_page_text():
     assert htmlcut.main_text("<article>a &lt; b<!-- c --><br>d", htmlcut.PRIOR) == "a < b d"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="wrapper with-sidebar"><article>{}</article></div>',
+        '<article class="post comments-open">{}</article>',
+        '<div class="page no-header"><main>{}</main></div>',
+        '<div class="social-science-journal"><article>{}</article></div>',
+        '<div class="form-layout">{}</div>',
+        '<form id="aspnetForm"><div id="content">{}</div></form>',
+        '<body class="has-sidebar menu-open">{}<div class="comment-list"><article><p>' + "Nice text that I read twice. " * 9 + "</p></article></div>",
+        '<nav class="content">Home</nav><div id="main-content">{}<div class="ad-slot"><p>' + "Buy it now and save. " * 9 + "</p></div></div>",
+    ],
+)
+def test_names_do_not_hide_an_article(page):
+    paragraph = "A long paragraph of the story, with a comma and some more words, " * 5 + "and an end."
+    assert htmlcut.main_text(page.format(f"<h1>The heading</h1><p>{paragraph}</p>"), htmlcut.PRIOR) == f"The heading {paragraph}"
+
+
+def test_odd_page_tables(spark):
+    schema = "page_id long, url string, html string"
+    assert htmlcut.extract(spark.createDataFrame([], schema), htmlcut.train(spark.createDataFrame([], schema))).count() == 0
+    page = "<article><p>" + "Many words of a long text. " * 40_000 + "</p></article>"
+    rows = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, None)], schema).withColumn("text", F.lit("clash"))
+    found = htmlcut.extract(rows, htmlcut.PRIOR).orderBy("page_id").collect()
+    assert [r.n_chars for r in found] == [0, len(page) - 27, len(page) - 27] and found[1].text == found[2].text
+
+
 def test_minimum_cut_is_minimal():
     rnd = random.Random(9)
     for _ in range(60):

@@ -43,3 +43,42 @@ def test_rows_that_repeat_and_null_ids(spark):
     assert {text(k) for k in range(1, 7)} <= {r.text for r in kept.collect()}
     clean = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
     assert sorted(((r.doc_id, r.text) for r in clean), key=repr) == sorted((x for x in rows if not (x[1] or "").startswith(bad)), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows(spark, stage):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    english, french = "the cat and the dog sat on the mat in the house of ", "le chat et le chien sont dans la maison avec une souris de "
+    long = " ".join(english + word() if k % 2 else word() + " and " + word() for k in range(130_000))
+    assert len(long) > 5_000_000
+    rows = [(1, english * 9 + word(), "en", None, None), (2, french * 9 + word(), "fr", "web", 1), (3, None, None, None, None), (4, "", "en", "s", 0), (5, " \n", None, "s", 2)]
+    rows += [(None, None, None, None, None), (None, "the dog and a cat in that old house " + " ".join(word() for _ in range(9)), None, None, 7), (8, long, "en", "s", len(long)), (9, english + word(), "en", "s", 1)]
+    rows += [rows[-1], rows[-1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("row", "component", "kept", "lang_pred", "h", "length", "anchors"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    found = [r.asDict() for r in stage(spark, docs, SF).collect()]
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    if stage is corpus_pipeline.pack:
+        assert {r["doc_id"] for r in found} == {r[0] for r in rows} and all(r["length"] <= 4096 for r in found)
+        assert sum(r["start"] == 0 for r in found) == len(rows)
+        return
+    assert all(tuple(r) == corpus_pipeline.DOCUMENTS for r in found)
+    left = sorted((repr((r["doc_id"], r["text"])) for r in found))
+    given = sorted(repr((k, t)) for k, t, *_ in rows)
+    if stage is corpus_pipeline.identify_language:
+        assert left == sorted(repr((k, t)) for k, t, *_ in rows if (t or "").strip())
+        assert {r["doc_id"]: r["lang"] for r in found}[8] == "en"
+    elif stage is corpus_pipeline.drop_near_duplicates:
+        assert left == sorted([*set(given) - {repr((None, None)), repr((3, None))}, repr((None, None)), repr((3, None))])
+    elif stage is corpus_pipeline.drop_contaminated:
+        assert left == given
+    else:
+        assert {(3, None), (4, ""), (None, None)} <= {(r["doc_id"], r["text"]) for r in found}
+        assert any(r["doc_id"] == 8 for r in found)
