@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections import deque
+from collections import Counter, deque
 from html.parser import HTMLParser
 
 from quillspark.functions import patterns as P
@@ -75,6 +75,7 @@ class _Page(HTMLParser):
 
     CHROME = frozenset("script style nav header footer aside form".split())
     HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+    VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -83,15 +84,19 @@ class _Page(HTMLParser):
         self.title: str | None = None
         self._title: list[str] | None = None
         self._heading: tuple[int, list[str]] | None = None
-        self._skip: list[str] = []
+        self._open: list[str] = []  # elements that are open, and how many of each tag
+        self._count: Counter[str] = Counter()
+        self._skip = 0  # those of them that are chrome
         self._pre: list[str] | None = None
         self._code: list[str] | None = None
         self._language = ""
-        self._pre_has_code = False
+        self._pre_has_code = self._code_ended = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.CHROME:
-            self._skip.append(tag)
+        if tag not in self.VOID:
+            self._open.append(tag)
+            self._count[tag] += 1
+            self._skip += tag in self.CHROME
         if self._skip:
             return
         if tag == "title" and self.title is None:
@@ -100,16 +105,22 @@ class _Page(HTMLParser):
             self._end_heading()
             self._heading = (int(tag[1]), [])
         elif tag == "pre":
-            self._pre, self._pre_has_code, self._language = [], False, ""
+            self._pre, self._pre_has_code, self._code_ended, self._language = [], False, False, ""
         elif tag == "code" and self._pre is not None and not self._pre_has_code:
             self._pre_has_code, self._code = True, []
             classes = (dict(attrs).get("class") or "").split()
             self._language = next((c.removeprefix("language-") for c in classes if c.startswith("language-")), "")
 
     def handle_endtag(self, tag: str) -> None:
-        if self._skip:
-            if tag == self._skip[-1]:
-                self._skip.pop()
+        hidden = self._skip > 0
+        if self._count[tag]:  # it ends whatever is open inside it, too
+            while True:
+                last = self._open.pop()
+                self._count[last] -= 1
+                self._skip -= last in self.CHROME
+                if last == tag:
+                    break
+        if hidden:
             return
         if tag == "title" and self._title is not None:
             self.title, self._title = "".join(self._title).strip(), None
@@ -122,7 +133,7 @@ class _Page(HTMLParser):
                 self.parts += self._pre
             self._pre = self._code = None
         elif tag == "code" and self._pre is not None and self._code is not None:
-            self._pre.append("")
+            self._code_ended = True
 
     def _end_heading(self) -> None:
         if self._heading is not None:
@@ -138,7 +149,8 @@ class _Page(HTMLParser):
         if self._heading is not None:
             self._heading[1].append(data)
         if self._code is not None:
-            self._code.append(data)
+            if not self._code_ended:  # what follows the code within its block is left out
+                self._code.append(data)
         elif self._pre is not None:
             self._pre.append(data)
         else:

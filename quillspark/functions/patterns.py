@@ -18,6 +18,7 @@ TAB = r'(?dm)^===\s+"([^"]+)"\s*$'
 INLINE_HTML = r"(?i)</?(?:font|span|div|small|sub|sup|kbd)\b[^>]*>"
 TRAILING_BLANKS = r"(?dm)[ \t]+$"
 BLANK_LINES = r"\n{3,}"
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 STRIP = r"(?U)^\s+|\s+$"
 
 MARKDOWN_SIGNS = (

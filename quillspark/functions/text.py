@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, though ``body`` names it often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _places(lengths: Column, between: Column) -> Column:
+    """Where parts of these lengths begin, when as many lengths of text stand before each of them."""
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
+    pairs = F.zip_with(lengths, F.slice(between, F.lit(1), F.size(lengths)), lambda n, b: F.struct(n.alias("n"), b.alias("b")))
+    add = lambda a, x: F.struct((a["end"] + x["b"] + x["n"]).alias("end"), F.concat(a["at"], F.array(a["end"] + x["b"])).alias("at"))
+    return F.aggregate(pairs, start, add, lambda a: a["at"])
+
+
 def decode_text(content: Column) -> Column:
     """Bytes to text: UTF-8 where valid, else Latin-1; any line end becomes a newline. Null stays null."""
     utf8 = content.cast("string")
@@ -50,23 +65,25 @@ def fences(text: Column) -> Column:
 def code_blocks(text: Column) -> Column:
     """array<struct<id, language, code, start, end>> of fenced blocks; offsets in characters."""
     whole = F.transform(fences(text), F.length)
-    between = F.transform(F.split(text, P.FENCE, -1), F.length)
     languages = F.regexp_extract_all(text, F.lit(P.FENCE_PARTS), F.lit(1))
     codes = F.regexp_extract_all(text, F.lit(P.FENCE_PARTS), F.lit(2))
+    between = F.transform(F.split(text, P.FENCE, -1), F.length)
 
-    def block(code: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n)
-        start = before + F.aggregate(F.slice(whole, F.lit(1), i), F.lit(0), lambda a, n: a + n)
-        language = F.get(languages, i)
-        return F.struct(
-            i.alias("id"),
-            F.when(language == "", "text").otherwise(language).alias("language"),
-            code.alias("code"),
-            start.alias("start"),
-            (start + F.get(whole, i)).alias("end"),
-        )
+    def blocks(x: Column) -> Column:
+        def block(code: Column, i: Column) -> Column:
+            language = F.get(x["languages"], i)
+            return F.struct(
+                i.alias("id"),
+                F.when(language == "", "text").otherwise(language).alias("language"),
+                code.alias("code"),
+                F.get(x["at"], i).alias("start"),
+                (F.get(x["at"], i) + F.get(x["whole"], i)).alias("end"),
+            )
 
-    return F.transform(codes, block)
+        return F.transform(x["codes"], block)
+
+    placed = let(whole, lambda w: F.struct(w.alias("whole"), _places(w, between).alias("at"), languages.alias("languages"), codes.alias("codes")))
+    return F.when(text.contains("```"), let(placed, blocks)).otherwise(F.array().cast("array<struct<id:int,language:string,code:string,start:int,end:int>>"))
 
 
 def sections(text: Column) -> Column:
@@ -149,38 +166,37 @@ def clean_text(raw: Column, *, protect_fences: bool = False) -> Column:
 
     Cleaning may take the newline before a fence with a directive above it; ``protect_fences`` puts it back.
     """
-    blocks = fences(raw)
-    prose = F.split(raw, P.FENCE, -1)
-
-    def piece(text: Column, i: Column) -> Column:
-        clean = clean_prose(text)
-        if protect_fences:
-            lost = (i < F.size(blocks)) & (clean != "") & ~clean.endswith("\n")
-            clean = F.when(lost, F.concat(clean, F.lit("\n"))).otherwise(clean)
-        return F.concat(clean, F.coalesce(F.get(blocks, i), F.lit("")))
-
-    whole = F.array_join(F.transform(prose, piece), "")
-    cleaned = F.concat(strip(collapse_blank_lines(whole)), F.lit("\n"))
+    def whole(blocks: Column) -> Column:
+        def piece(text: Column, i: Column) -> Column:
+            clean = clean_prose(text)
+            if protect_fences:
+                lost = (i < F.size(blocks)) & (clean != "") & ~clean.endswith("\n")
+                clean = F.when(lost, F.concat(clean, F.lit("\n"))).otherwise(clean)
+            return F.concat(clean, F.coalesce(F.get(blocks, i), F.lit("")))
+
+        return F.array_join(F.transform(F.split(raw, P.FENCE, -1), piece), "")
+
+    cleaned = F.concat(strip(collapse_blank_lines(let(fences(raw), whole))), F.lit("\n"))
     return F.when(raw == "", raw).otherwise(cleaned)
 
 
 def segments(text: Column) -> Column:
     """array<struct<start, end, kind, content>>: prose and code in order, empty prose left out; offsets in characters."""
-    blocks, prose = fences(text), F.split(text, P.FENCE, -1)
+    def parts(blocks: Column) -> Column:
+        def both(content: Column, i: Column) -> Column:
+            own = F.struct(F.lit("prose").alias("kind"), content.alias("content"))
+            code = F.struct(F.lit("code").alias("kind"), F.coalesce(F.get(blocks, i), F.lit("")).alias("content"))
+            return F.array(own, code)
 
-    def both(content: Column, i: Column) -> Column:
-        own = F.struct(F.lit("prose").alias("kind"), content.alias("content"))
-        code = F.struct(F.lit("code").alias("kind"), F.coalesce(F.get(blocks, i), F.lit("")).alias("content"))
-        return F.array(own, code)
+        return F.filter(F.flatten(F.transform(F.split(text, P.FENCE, -1), both)), lambda s: s["content"] != "")
 
-    parts = F.filter(F.flatten(F.transform(prose, both)), lambda s: s["content"] != "")
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,content:string>>")
+    def placed(x: Column) -> Column:
+        lengths = F.transform(x, lambda s: F.length(s["content"]))
+        at = _places(lengths, F.transform(x, lambda s: F.lit(0)))
+        place = lambda a: F.transform(x, lambda s, i: F.struct(F.get(a, i).alias("start"), (F.get(a, i) + F.length(s["content"])).alias("end"), s["kind"].alias("kind"), s["content"].alias("content")))
+        return let(at, place)
 
-    def add(done: Column, s: Column) -> Column:
-        start = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))
-        return F.concat(done, F.array(F.struct(start.alias("start"), (start + F.length(s["content"])).alias("end"), s["kind"].alias("kind"), s["content"].alias("content"))))
-
-    return F.aggregate(parts, empty, add)
+    return let(let(fences(text), parts), placed)
 
 
 def headings(text: Column) -> Column:
@@ -188,13 +204,8 @@ def headings(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(P.HEADING), F.lit(0))
     titles = F.regexp_extract_all(text, F.lit(P.HEADING), F.lit(2))
     between = F.transform(F.split(text, P.HEADING, -1), F.length)
-    lengths = F.transform(found, F.length)
-
-    def place(title: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n)
-        return F.struct((before + F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, n: a + n)).alias("pos"), strip(title).alias("title"))
-
-    return F.transform(titles, place)
+    at = let(F.transform(found, F.length), lambda n: _places(n, between))
+    return let(at, lambda a: F.transform(titles, lambda title, i: F.struct(F.get(a, i).alias("pos"), strip(title).alias("title"))))
 
 
 def section_at(found: Column, position: Column) -> Column:
@@ -224,5 +235,6 @@ def word_count(text: Column) -> Column:
 
 
 def line_count(text: Column) -> Column:
-    """Lines of a text; a newline at the end begins no line."""
-    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)))
+    """Lines of a text, by any line end of Unicode; a line end at the end begins no line."""
+    n = F.regexp_count(text, F.lit(P.LINE_END))
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(n + F.when(text.rlike(f"(?:{P.LINE_END})\\z"), 0).otherwise(1))

@@ -56,7 +56,7 @@ RESPONSES = """select conv_id * 100 + turn as response_id, turn, concat('Intro.'
 from conversations where role = 'assistant'"""
 STORE = """select vec_id as id, concat('d', cast(label % 3 as string)) as source_doc, concat('s', cast(label as string)) as section,
  concat('chunk ', cast(vec_id as string)) as text, label, embedding from embeddings"""
-ASKED = "select vec_id as query_id, concat('question ', cast(vec_id as string)) as query, label, embedding from embeddings where vec_id < 20"
+ASKED = "select vec_id as query_id, concat('question ', cast(vec_id as string)) as query, label, embedding from embeddings where vec_id % 50 = 0"
 # Fences, cleaned piece by piece, in DuckDB's regular expressions.
 _FENCE = r"(?ms)^```[A-Za-z0-9_+\-]*\s*\n.*?\n```[ \t]*$"
 
@@ -181,10 +181,10 @@ def strip_frontmatter(spark, sf_dir):
     return _md(spark, sf_dir).select("doc_id", X.strip_frontmatter(F.col("raw")).alias("text"))
 
 
-@query("select doc_id, concat('a', chr(10), chr(10), text) as text from documents")
+@query(r"select doc_id, regexp_replace(concat('a', chr(10), '{! x.md !}', chr(10), text), '(?m)^\{!.*?!\}\s*$', '', 'g') as text from documents")
 def strip_plain_includes(spark, sf_dir):
     text = F.concat(F.lit("a\n{! x.md !}\n"), F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(X.strip_plain_includes(text), r"\Aa\n(?!\n)", "a\n\n").alias("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", X.strip_plain_includes(text).alias("text"))
 
 
 @query(
@@ -304,6 +304,25 @@ def parse_documents(spark, sf_dir):
     return D.parse_documents(md.unionByName(pages)).select("path", "title", "doc_type", F.size("sections").alias("n_sections"), F.size("code_blocks").alias("n_code"), F.length("text").alias("n_chars"))
 
 
+@query("select page_id, page_id % 9 = 2 as failed from pages")
+def failed_pages(spark, sf_dir):
+    """Pages that the parser gives up on fail alone."""
+    content = F.when(F.col("page_id") % 9 == 2, F.concat(F.lit("<![x[ y ]]>"), F.col("html"))).otherwise(F.col("html"))
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), content.alias("content"))
+    return D.parse_documents(pages).select(F.col("path").cast("long").alias("page_id"), F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    r"""with t as (select page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|header|footer|aside|form)\b[^>]*>.*?</(script|style|nav|header|footer|aside|form)>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g') as x from pages)
+select page_id, regexp_replace(""" + _SQL_ENTITIES.format("x") + r""", '\s+', '', 'g') as letters from t"""
+)
+def html_misnested(spark, sf_dir):
+    """Chrome that isn't closed in order ends with the element around it."""
+    content = F.concat(F.lit("<header><nav>a</header><nav><form></nav>"), F.col("html"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", D._page_parts(content).alias("p"))
+    return pages.select("page_id", F.regexp_replace("p.text", r"\s+", "").alias("letters"))
+
+
 # Cleaning
 
 
@@ -332,10 +351,13 @@ def _register_steps() -> None:
 _register_steps()
 
 
-@query(r"""select doc_id, concat('**N ', cast(doc_id % 7 as string), '**', text) as text from documents""")
+@query(
+    r"""with r as (select doc_id, concat('!!! note "N ', cast(doc_id % 7 as string), '"', chr(10), chr(10), '!!! tip', chr(10), chr(10), text) as raw from documents)
+select doc_id, regexp_replace(regexp_replace(raw, '(?m)^!!!\s+\w+\s+"([^"]+)"\s*$', '**\1**', 'g'), '(?m)^!!!\s+\w+(?:\s+"")?\s*$', '', 'g') as text from r"""
+)
 def admonitions_to_bold(spark, sf_dir):
     raw = F.concat(F.lit('!!! note "N '), (F.col("doc_id") % 7).cast("string"), F.lit('"\n\n'), F.lit("!!! tip\n\n"), F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(X.admonitions_to_bold(raw), r"\A(\*\*N \d\*\*)\s*", "$1").alias("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", X.admonitions_to_bold(raw).alias("text"))
 
 
 @query(f"{SQL_CLEANED} select doc_id, text from cleaned")
@@ -366,13 +388,14 @@ def section_at(spark, sf_dir):
 @query()
 def split_prose(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(C.splitter(2048, 400)("text")).alias("n", "piece")).select("doc_id", "n", F.length("piece").alias("n_chars"), F.md5("piece").alias("digest"))
+    return docs.select("doc_id", F.posexplode(F.get(C.splitter(2048, 400)(F.array("text")), 0)).alias("n", "piece")).select("doc_id", "n", F.length("piece").alias("n_chars"), F.md5("piece").alias("digest"))
 
 
-@query("select doc_id, length(text) >= 30 or contains(text, '```') as kept from (select doc_id, trim(substring(text, 1, cast(doc_id % 60 as int)), ' ' || chr(10)) as text from documents) where text <> ''")
+@query(f"""{SQL_SEGMENTS}, t as (select doc_id, cast(seg as int) as seg, regexp_replace(content, '^\\s+|\\s+$', '', 'g') as text from segments where kind = 'prose')
+select doc_id, seg, length(text) >= 30 or contains(text, '```') as kept from t where text <> ''""")
 def drop_short_prose(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", X.strip(F.expr("substring(text, 1, cast(doc_id % 60 as int))")).alias("text")).where("text <> ''")
-    return docs.select("doc_id", C.keep_prose(F.col("text")).alias("kept"))
+    found = _cleaned(spark, sf_dir).select("doc_id", F.posexplode(X.segments(F.col("text"))).alias("seg", "s")).where("s.kind = 'prose'")
+    return found.select("doc_id", "seg", X.strip(F.col("s.content")).alias("text")).where("text <> ''").select("doc_id", "seg", C.keep_prose(F.col("text")).alias("kept"))
 
 
 @query(r"select distinct url, case when s = '' then 'doc' else case when p in ('', '.', 'docs') then s else p || '-' || s end end as doc_name from (select url, regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1), '(?s)^(.+)\.[^.]+$', '\1') as s, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]+)/+[^/]*$', 1) as p from pages)")
@@ -380,32 +403,15 @@ def doc_name(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("url", X.doc_name(F.col("url")).alias("doc_name")).distinct()
 
 
-@query(r"select doc_id, coalesce(nullif(rtrim(substring(trim(regexp_replace(lower(substring(text, 1, 90)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'section') as slug from documents")
+@query(r"select doc_id, coalesce(nullif(rtrim(substring(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'section') as slug from documents")
 def slug(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", X.slug(F.substring("text", 1, 90)).alias("slug"))
-
-
-_SQL_CHUNKS = rf"""{SQL_SEGMENTS}, fits as (select doc_id from segments group by doc_id having max(case when kind = 'prose' then length(content) else 0 end) < 2048),
-heads as (select doc_id, case k when 0 then concat('Doc ', cast(doc_id as string)) when 1 then 'step' else concat('Tail ', cast(doc_id % 5 as string)) end as title,
-  case k when 0 then 0 when 1 then strpos(text, chr(10) || '# step' || chr(10)) else strpos(text, chr(10) || '## Tail ') end as pos from cleaned, (select unnest([0, 1, 2]) as k)),
-trimmed as (select s.doc_id, path, seg, kind, start, case kind when 'code' then content else regexp_replace(content, '^\s+|\s+$', '', 'g') end as text,
-  coalesce((select arg_max(title, pos) from heads h where h.doc_id = s.doc_id and h.pos <= s.start), 'intro') as section
-  from segments s semi join fits on fits.doc_id = s.doc_id),
-kept as (select *, row_number() over (partition by doc_id order by seg) - 1 as n from trimmed where kind = 'code' or (text <> '' and (contains(text, '```') or length(text) >= 30))),
-chunks as (select doc_id, concat_ws('_', concat(split_part(path, '/', 2), '-d-', cast(doc_id as string)), coalesce(nullif(trim(regexp_replace(lower(section), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section'), cast(n as string)) as id,
-  text, concat(split_part(path, '/', 2), '-d-', cast(doc_id as string)) as source_doc, section, cast(start as int) as position, kind = 'code' or contains(text, '```') as has_code from kept)"""
+    return _table(spark, sf_dir, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
-def _short_docs(spark, sf_dir):
-    docs = _cleaned(spark, sf_dir)
-    longest = F.array_max(F.transform(F.filter(X.segments(F.col("text")), lambda s: s["kind"] == "prose"), lambda s: F.length(s["content"])))
-    return docs.where(F.coalesce(longest, F.lit(0)) < 2048)
-
-
-@query(f"{_SQL_CHUNKS} select id, text, source_doc, section, position, has_code from chunks")
+@query()
 def chunk_ids(spark, sf_dir):
-    """semantic_chunk where no prose is long, which SQL can say."""
-    return C.semantic_chunk(_short_docs(spark, sf_dir)).select("id", "text", "source_doc", "section", "position", "has_code")
+    """Chunks of cleaned Markdown; the recursive split of long prose has no SQL, the tests compare with brute force."""
+    return C.semantic_chunk(_cleaned(spark, sf_dir)).select("id", "text", "source_doc", "section", "position", "has_code")
 
 
 @query()
@@ -413,20 +419,20 @@ def semantic_chunk(spark, sf_dir):
     return W.ingest(_md(spark, sf_dir).select("path", F.col("raw").alias("content"))).select("id", "source_doc", "section", "position", "has_code", F.length("text").alias("n_chars"))
 
 
-@query(f"{_SQL_CHUNKS} select id, has_code from chunks")
+@query()
 def flag_code(spark, sf_dir):
-    return C.semantic_chunk(_short_docs(spark, sf_dir)).select("id", "has_code")
+    return C.semantic_chunk(_cleaned(spark, sf_dir)).select("id", "has_code")
 
 
-@query(f"{_SQL_CHUNKS} select id, concat('[Doc: ', source_doc, '] [Section: ', section, ']', chr(10), chr(10), text) as embedding_text from chunks")
+@query()
 def embedding_text(spark, sf_dir):
-    return C.semantic_chunk(_short_docs(spark, sf_dir)).select("id", X.embedding_text(F.col("source_doc"), F.col("section"), F.col("text")).alias("embedding_text"))
+    return C.semantic_chunk(_cleaned(spark, sf_dir)).select("id", X.embedding_text(F.col("source_doc"), F.col("section"), F.col("text")).alias("embedding_text"))
 
 
-@query(f"{_SQL_CHUNKS} select id, text, source_doc, section, position, has_code from chunks")
+@query()
 def chunks_round_trip(spark, sf_dir):
     path = SRC.scratch_dir(spark, "chunks")
-    SRC.write_chunks(C.semantic_chunk(_short_docs(spark, sf_dir)), path)
+    SRC.write_chunks(C.semantic_chunk(_cleaned(spark, sf_dir)), path)
     return SRC.read_chunks(spark, path)
 
 
@@ -459,13 +465,13 @@ def duplicate_ids(spark, sf_dir):
     return C.duplicate_ids(_table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).cast("string").alias("id")))
 
 
-@query(f"{_SQL_CHUNKS} select id, text, source_doc, section, position, has_code from chunks")
+@query()
 def ingest_stream(spark, sf_dir):
     """A stream of documents in several files ends in the same store as one batch."""
     source, store, checkpoint = (SRC.scratch_dir(spark, f"stream-{x}") for x in ("source", "store", "checkpoint"))
-    docs = _short_docs(spark, sf_dir).select("path", F.col("text").alias("content"))
-    docs.repartition(4, "path").write.parquet(source)
-    docs.where(F.pmod(F.hash("path"), F.lit(3)) == 0).coalesce(1).write.mode("append").parquet(source)  # some come twice
+    docs = _cleaned(spark, sf_dir).select("path", F.col("text").alias("content"))
+    docs.write.parquet(source)
+    docs.where(F.pmod(F.hash("path"), F.lit(3)) == 0).write.mode("append").parquet(source)  # some come twice
     running = ST.ingest_stream(spark, source, store, checkpoint, files_a_batch=3)
     running.awaitTermination()
     batches = [p["batchId"] for p in running.recentProgress if p["numInputRows"]]
@@ -503,7 +509,7 @@ _SQL_RETRIEVED = f"""{_SQL_HITS}, penalised as (
 @query(f"{_SQL_HITS} select query_id, id, distance from pairs")
 def cosine_distance(spark, sf_dir):
     asked = _asked(spark, sf_dir).select("query_id", F.col("embedding").alias("q"))
-    pairs = _store(spark, sf_dir).select("id", "embedding").join(F.broadcast(asked), F.col("id") != F.col("query_id"))  # 20 queries
+    pairs = _store(spark, sf_dir).select("id", "embedding").join(F.broadcast(asked), F.col("id") != F.col("query_id"))  # every fiftieth row
     return pairs.select("query_id", "id", F.round(V.cosine_distance(F.col("q"), F.col("embedding")), 6).alias("distance"))
 
 
@@ -551,14 +557,14 @@ def retrieve_context(spark, sf_dir):
 @query(
     f"""with store as ({STORE}), asked as ({ASKED}), pairs as (
  select a.query_id, s.id, {_SQL_DISTANCE.format('a.embedding', 's.embedding')} as distance, 0 as w from asked a join store s on s.id <> a.query_id
- union all select a.query_id - 1, s.id, {_SQL_DISTANCE.format('a.embedding', 's.embedding')}, 1 from asked a join store s on s.id <> a.query_id where a.query_id > 0
+ union all select a.query_id - 50, s.id, {_SQL_DISTANCE.format('a.embedding', 's.embedding')}, 1 from asked a join store s on s.id <> a.query_id where a.query_id > 0
 ), near as (select *, row_number() over (partition by query_id, w order by distance, id) as r from pairs), least as (select query_id, id, min(distance) as distance from near where r <= 5 group by 1, 2)
 select query_id, id, distance, cast(row_number() over (partition by query_id order by distance, id) as int) as rank from least"""
 )
 def union_retrieve(spark, sf_dir):
     """The next query stands for the rewritten one."""
     hits = R.knn_search(_asked(spark, sf_dir), _store(spark, sf_dir), 5, exclude_self=True)
-    rewritten = hits.where("query_id > 0").withColumn("query_id", F.col("query_id") - 1)
+    rewritten = hits.where("query_id > 0").withColumn("query_id", F.col("query_id") - 50)
     return R.union_hits(hits, rewritten)
 
 
@@ -697,9 +703,9 @@ def line_count(spark, sf_dir):
     return _snippets(spark, sf_dir).select("snippet_id", X.line_count(F.col("code")).alias("n_lines"))
 
 
-@query(f"{_SQL_SCORES} select snippet_id, n_errors, n_warnings, line_count, round(pep8_score, 6) as pep8_score, cast(case when snippet_id % 8 in (0, 1, 6) then 1 else 0 end as int) as n_flags, n_errors + n_warnings = 0 as valid from scored")
+@query(f"{_SQL_SCORES} select snippet_id, n_errors, n_warnings, line_count, round(pep8_score, 6) as pep8_score, cast(case when snippet_id % 8 in (0, 1, 6) then 1 else 0 end as int) as n_flags, snippet_id % 3 <> 1 as valid from scored")
 def quality_report(spark, sf_dir):
-    rows = AN.quality_report(_snippets(spark, sf_dir), _issues(spark, sf_dir))
+    rows = AN.quality_report(_snippets(spark, sf_dir).withColumn("lint_ran", F.col("snippet_id") % 3 != 1), _issues(spark, sf_dir))
     return rows.select("snippet_id", "n_errors", "n_warnings", "line_count", F.round("pep8_score", 6).alias("pep8_score"), "n_flags", "valid")
 
 
@@ -711,11 +717,11 @@ def query_status(spark, sf_dir):
 
 
 def _answers_to(spark, sf_dir):
-    rows = AN.parse_responses(_responses(spark, sf_dir)).withColumn("query_id", F.pmod("response_id", F.lit(20)))
+    rows = AN.parse_responses(_responses(spark, sf_dir)).withColumn("query_id", F.col("response_id") - F.pmod("response_id", F.lit(50)))
     return rows.groupBy("query_id").agg(F.min_by("response", "response_id").alias("response")).join(_asked(spark, sf_dir).select("query_id", "query"), "query_id")
 
 
-_SQL_ANSWERS = f"r as ({RESPONSES}), chosen as (select response_id % 20 as query_id, arg_min(response, response_id) as response, arg_min(turn, response_id) as turn from r group by 1)"
+_SQL_ANSWERS = f"r as ({RESPONSES}), chosen as (select response_id - response_id % 50 as query_id, arg_min(response, response_id) as response, arg_min(turn, response_id) as turn from r group by 1)"
 
 
 @query(
@@ -734,7 +740,7 @@ def result_payload(spark, sf_dir):
 
 
 @query(
-    f"""{_SQL_RETRIEVED}, {_SQL_ANSWERS}, cited as (select query_id, unnest(case turn % 5 when 0 then [] when 1 then [1, cast(turn as int)] when 2 then [2, 3] when 3 then [] else [4, 5] end) as cited from chosen where query_id < 20)
+    f"""{_SQL_RETRIEVED}, {_SQL_ANSWERS}, cited as (select query_id, unnest(case turn % 5 when 0 then [] when 1 then [1, cast(turn as int)] when 2 then [2, 3] when 3 then [] else [4, 5] end) as cited from chosen)
 select c.query_id, cast(cited as int) as cited, h.id, h.id is not null as resolved from cited c join asked a on a.query_id = c.query_id left join hits h on h.query_id = c.query_id and h.rank = cited"""
 )
 def citation_check(spark, sf_dir):
@@ -749,12 +755,9 @@ def corpus_summary(spark, sf_dir):
     return S.corpus_summary(_table(spark, sf_dir, "documents"))
 
 
-@query(
-    f"""{_SQL_CHUNKS} select source_doc, count(*) as n_chunks, count(*) filter (has_code) as n_code, round(avg(length(text)), 6) as avg_chars, cast(min(length(text)) as int) as min_chars, cast(max(length(text)) as int) as max_chars, round(100.0 * count(*) filter (has_code) / count(*), 6) as code_percent
- from chunks group by rollup (source_doc)"""
-)
+@query()
 def chunk_stats(spark, sf_dir):
-    return S.chunk_stats(C.semantic_chunk(_short_docs(spark, sf_dir)))
+    return S.chunk_stats(C.semantic_chunk(_cleaned(spark, sf_dir)))
 
 
 @query("select item_id, cast(w as int) as word_count, case when w < 30 then 'below' when w > 40 then 'above' else 'within' end as band from (select item_id, len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+')) as w from benchmark)")
@@ -763,9 +766,9 @@ def tutorial_word_band(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", words.alias("word_count"), S.word_band(words, 30, 40).alias("band"))
 
 
-@query(f"{_SQL_CHUNKS} select count(*) as n_sources, count(*) filter (n is null) as n_failed, cast(sum(n) as bigint) as n_chunks from (select distinct doc_id from fits) f left join (select doc_id, count(*) as n from chunks group by 1) c on c.doc_id = f.doc_id")
+@query()
 def ingest_progress(spark, sf_dir):
-    docs = _short_docs(spark, sf_dir)
+    docs = _cleaned(spark, sf_dir)
     return S.ingest_progress(docs, C.semantic_chunk(docs))
 
 
@@ -785,13 +788,13 @@ def write_tutorials(spark, sf_dir):
 
 
 @query(
-    f"""{_SQL_RETRIEVED}{_SQL_CONTEXT}, t as (select item_id as query_id, text as markdown from benchmark)
+    f"""{_SQL_RETRIEVED}{_SQL_CONTEXT}, t as (select item_id * 50 as query_id, text as markdown from benchmark)
 select c.query_id, concat('question-', cast(c.query_id as string)) as slug, concat('On question ', cast(c.query_id as string), ': ', context) as user_prompt, cast(len(regexp_extract_all(markdown, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) as int) as word_count, 'below' as band from contexts c join t on t.query_id = c.query_id"""
 )
 def generate_tutorials(spark, sf_dir):
     """The third workload: topics, context, prompt, and what was written on them."""
     topics = _asked(spark, sf_dir).withColumnRenamed("query", "topic")
-    written = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("markdown"))
+    written = _table(spark, sf_dir, "benchmark").select((F.col("item_id") * 50).alias("query_id"), F.col("text").alias("markdown"))
     rows = W.tutorials(topics, _store(spark, sf_dir), written, template="On {topic}: {context}", k=5, bound=0.8, exclude_self=True)
     return rows.select("query_id", "slug", "user_prompt", "word_count", "band")
 

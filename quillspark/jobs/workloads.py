@@ -19,7 +19,7 @@ from quillspark.sources import documents as SRC
 def ingest(documents: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Documents (path, content) to chunks: parse by format, clean, chunk; blank and failed documents drop out."""
     good = SRC.isolate_failures(documents).where("error is null").drop("error")
-    parsed = D.parse_documents(good, files)
+    parsed = D.parse_documents(good, files).where("error is null")
     return C.semantic_chunk(parsed.select("path", X.clean_text(F.col("text")).alias("text")))
 
 

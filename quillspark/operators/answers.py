@@ -88,9 +88,9 @@ def pep8_scores(snippets: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def quality_report(snippets: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row a snippet: counts of lint issues, flags, score, lines; valid if it has no issue."""
+    """One row a snippet (snippet_id, code, lint_ran): counts of lint issues, flags, score, lines; valid if the linter ran."""
     scored = security_flags(pep8_scores(snippets, issues))
-    return scored.withColumn("valid", F.col("n_errors") + F.col("n_warnings") == 0).withColumn("n_flags", F.size("flags"))
+    return scored.withColumn("valid", F.coalesce("lint_ran", F.lit(False))).withColumn("n_flags", F.size("flags"))
 
 
 def result_payload(answers: DataFrame, hits: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import helpers
@@ -14,14 +14,14 @@ from quillspark.functions import text as X
 
 
 def splitter(size: int, overlap: int):
-    """A column function: prose to array of chunks, by helpers.split_prose."""
+    """A column function: array of prose to array of arrays of chunks, by helpers.split_prose; null stays null."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([helpers.split_prose(t, size, overlap) for t in batch])
+    @F.pandas_udf("array<array<string>>")
+    def split(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in lists:
+            yield pd.Series([None if x is None else [None if t is None else helpers.split_prose(t, size, overlap) for t in x] for x in batch])
 
-    return split
+    return split.asNondeterministic()  # so that Spark neither repeats it nor moves it into another expression
 
 
 def keep_prose(text: Column, shortest: int = P.MIN_PROSE_CHARS) -> Column:
@@ -32,23 +32,25 @@ def keep_prose(text: Column, shortest: int = P.MIN_PROSE_CHARS) -> Column:
 def semantic_chunk(documents: DataFrame, *, chunk_tokens: int = P.CHUNK_TOKENS, overlap_tokens: int = P.OVERLAP_TOKENS) -> DataFrame:
     """Chunks of cleaned documents (path, text): id, text, source_doc, section, position, has_code, n; path stays.
 
-    Code blocks are whole. Prose that fits is a chunk without Python; only longer prose is split there. Numbers run over
-    kept chunks in a document. No shuffle but for the numbering of documents with long prose.
+    Code blocks are whole. Prose that fits is a chunk without Python; only longer prose goes there. A document stays one
+    row until its chunks are numbered, so nothing is shuffled and every step reads it once.
     """
     size, overlap = chunk_tokens * P.CHARS_PER_TOKEN, overlap_tokens * P.CHARS_PER_TOKEN
     docs = documents.where(~X.is_blank(F.col("text"))).select("path", "text")
-    parts = docs.select("path", X.headings(F.col("text")).alias("heads"), F.posexplode(X.segments(F.col("text"))).alias("seg", "s"))
-    parts = parts.where(~X.is_blank(F.col("s.content"))).select("path", "seg", X.section_at(F.col("heads"), F.col("s.start")).alias("section"), F.col("s.start").alias("position"), F.col("s.kind").alias("kind"), F.col("s.content").alias("content"))
+    docs = docs.select("path", X.headings(F.col("text")).alias("heads"), F.filter(X.segments(F.col("text")), lambda s: ~X.is_blank(s["content"])).alias("segs"))
     # a splitter never cuts a text of one piece; others need its rules
-    long = (F.col("kind") == "prose") & (F.length("content") >= size)
-    short = parts.where(~long).withColumn("pieces", F.array("content"))
-    split = parts.where(long).withColumn("pieces", splitter(size, overlap)("content"))
-    pieces = short.unionByName(split).select("path", "seg", "section", "position", "kind", F.posexplode("pieces").alias("sub", "piece"))
-    text = F.when(F.col("kind") == "code", F.col("piece")).otherwise(X.strip(F.col("piece")))
-    kept = pieces.withColumn("text", text).where((F.col("kind") == "code") | keep_prose(F.col("text")))
-    order = Window.partitionBy("path").orderBy("seg", "sub")
-    kept = kept.withColumn("n", F.row_number().over(order) - 1).withColumn("source_doc", X.doc_name(F.col("path")))
-    kept = kept.withColumn("has_code", (F.col("kind") == "code") | F.col("text").contains("```"))
+    long = F.transform("segs", lambda s: F.when((s["kind"] == "prose") & (F.length(s["content"]) >= size), s["content"]))
+    docs = docs.withColumn("split", splitter(size, overlap)(F.when(F.exists(long, lambda x: x.isNotNull()), long)))
+
+    def pieces(s: Column, i: Column) -> Column:
+        code = s["kind"] == "code"
+        cut = F.coalesce(F.get("split", i), F.array(s["content"]))
+        chunk = lambda x: F.struct(s["start"].alias("position"), code.alias("code"), F.when(code, x).otherwise(X.strip(x)).alias("text"), i.alias("seg"))
+        return F.filter(F.transform(cut, chunk), lambda c: c["code"] | keep_prose(c["text"]))
+
+    rows = docs.select("path", "heads", F.posexplode(F.flatten(F.transform("segs", pieces))).alias("n", "c"))
+    section = X.section_at(F.col("heads"), F.col("c.position"))
+    kept = rows.select("path", F.col("c.text").alias("text"), X.doc_name(F.col("path")).alias("source_doc"), section.alias("section"), F.col("c.position").alias("position"), "n", (F.col("c.code") | F.col("c.text").contains("```")).alias("has_code"))
     return kept.select("path", F.concat_ws("_", "source_doc", X.slug(F.col("section")), "n").alias("id"), "text", "source_doc", "section", "position", "has_code", "n")
 
 

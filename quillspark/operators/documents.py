@@ -14,7 +14,7 @@ from quillspark.functions import patterns as P
 from quillspark.functions import text as X
 
 SECTIONS = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("title", T.StringType())]))
-PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("sections", SECTIONS), T.StructField("text", T.StringType())])
+PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("sections", SECTIONS), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
 def include_paths(documents: DataFrame) -> DataFrame:
@@ -51,8 +51,9 @@ def resolve_includes(documents: DataFrame, files: DataFrame) -> DataFrame:
     block = F.when(name.isNotNull(), F.concat(F.lit("\n```"), language, F.lit("\n"), F.coalesce("code1", "code2"), F.lit("\n```\n")))
     blocks = two.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", block.alias("block")))).alias("blocks"))
     joined = documents.join(blocks, "path", "left")
-    pieces, kept = F.split("text", P.CODE_INCLUDE, -1), F.regexp_extract_all("text", F.lit(P.CODE_INCLUDE), F.lit(0))
-    filled = F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get("blocks", i)["block"], F.get(kept, i), F.lit(""))))
+    pieces = F.split("text", P.CODE_INCLUDE, -1)
+    fill = lambda kept: F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get("blocks", i)["block"], F.get(kept, i), F.lit(""))))
+    filled = X.let(F.regexp_extract_all("text", F.lit(P.CODE_INCLUDE), F.lit(0)), fill)
     n_found = F.coalesce(F.size(F.filter("blocks", lambda b: b["block"].isNotNull())), F.lit(0))
     n_all = F.coalesce(F.size("blocks"), F.lit(0))
     out = joined.withColumn("resolved", F.when(F.col("blocks").isNull(), 0).otherwise(n_found)).withColumn("unresolved", F.when(F.col("blocks").isNull(), 0).otherwise(n_all - n_found))
@@ -81,18 +82,43 @@ def parse_text(documents: DataFrame) -> DataFrame:
 @F.pandas_udf(PAGE)
 def _page_parts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in pages:
-        found = [helpers.parse_page(page) for page in batch]
-        yield pd.DataFrame({"title": [t for t, _, _ in found], "sections": [[{"level": n, "title": x} for n, x in s] for _, s, _ in found], "text": [x for _, _, x in found]})
+        rows = []
+        for page in batch:
+            try:
+                title, found, text = ("", [], "") if page is None else helpers.parse_page(page)
+                rows.append((title, [{"level": n, "title": x} for n, x in found], text, None))
+            except Exception as e:  # one bad page is its own row's error
+                rows.append((None, None, None, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(rows, columns=["title", "sections", "text", "error"])
+
+
+_page_parts = _page_parts.asNondeterministic()  # so that a filter on its result doesn't make Spark run it twice
 
 
 def parse_html(documents: DataFrame) -> DataFrame:
-    """path, text, title, sections, code_blocks, doc_type of pages (path, content), without their chrome."""
-    docs = documents.select("path", _page_parts("content").alias("p")).select("path", "p.text", "p.title", "p.sections")
-    return docs.select("path", "text", "title", "sections", X.code_blocks(F.col("text")).alias("code_blocks"), F.lit("html").alias("doc_type"))
+    """path, text, title, sections, code_blocks, doc_type of pages (path, content), without their chrome.
+
+    A page that can't be parsed has null parts, and says why in error.
+    """
+    docs = documents.select("path", _page_parts("content").alias("p")).select("path", "p.text", "p.title", "p.sections", "p.error")
+    return docs.select("path", "text", "title", "sections", X.code_blocks(F.col("text")).alias("code_blocks"), F.lit("html").alias("doc_type"), "error")
 
 
 def parse_documents(documents: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Each document (path, content) by its format; pages alone go through Python."""
-    known = documents.where("content is not null").withColumn("format", X.detect_format(F.col("content"), F.col("path")))
-    parts = {kind: known.where(F.col("format") == kind).drop("format") for kind in ("markdown", "html", "text")}
-    return parse_markdown(parts["markdown"], files).unionByName(parse_html(parts["html"])).unionByName(parse_text(parts["text"]))
+    """Each document (path, content) by its format, in one pass; pages alone go through Python.
+
+    A document that can't be parsed keeps its row: its text is null and error says why.
+    """
+    known = documents.where("content is not null").select("path", "content", X.detect_format(F.col("content"), F.col("path")).alias("doc_type"))
+    if files is not None:  # includes are joined into Markdown only
+        marked = known.where("doc_type = 'markdown'").withColumn("text", X.strip_plain_includes(X.strip_frontmatter(F.col("content")))).drop("content")
+        marked = resolve_includes(marked, files).select("path", F.col("text").alias("content"), "doc_type")
+        known = marked.unionByName(known.where("doc_type <> 'markdown'"))
+    docs = known.withColumn("p", _page_parts(F.when(F.col("doc_type") == "html", F.col("content"))))
+    is_page = F.col("doc_type") == "html"
+    plain = F.col("content") if files is not None else F.when(F.col("doc_type") == "markdown", X.strip_plain_includes(X.strip_frontmatter(F.col("content")))).otherwise(F.col("content"))
+    docs = docs.select("path", F.when(is_page, F.col("p.text")).otherwise(plain).alias("text"), "p", "doc_type")
+    text = F.col("text")
+    title = F.when(is_page, F.col("p.title")).otherwise(X.document_title(text, F.col("path")))
+    found = F.when(is_page, F.col("p.sections")).otherwise(X.sections(text))
+    return docs.select("path", "text", title.alias("title"), found.alias("sections"), X.code_blocks(text).alias("code_blocks"), "doc_type", F.col("p.error").alias("error"))

@@ -1,7 +1,11 @@
 """Operators on small tables: empty ones, nulls, ties, repeated rows, extra columns."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as X
 from quillspark.jobs import workloads as W
 from quillspark.operators import answers as AN
 from quillspark.operators import chunks as C
@@ -102,3 +106,74 @@ def test_tutorials_workload(spark):
     written = spark.createDataFrame([(7, "a b c")], "query_id long, markdown string")
     row = W.tutorials(topics, store, written, template="On {topic}: {context}").first()
     assert row.slug == "my-topic" and row.band == "below" and row.word_count == 3 and row.user_prompt.startswith("On My Topic!: [Source 1: d / s]")
+
+
+def naive_split(text, size, overlap, separators=("\n\n", "\n", ". ", " ", "")):
+    separator = next(x for x in separators if x in text)
+    finer = separators[separators.index(separator) + 1 :]
+
+    def merge(pieces):
+        out, window = [], []
+        for p in pieces:
+            if window and len(separator.join([*window, p])) > size:
+                out.append(separator.join(window).strip())
+                while window and (len(separator.join(window)) > overlap or len(separator.join([*window, p])) > size):
+                    window = window[1:]
+            window.append(p)
+        return [x for x in [*out, separator.join(window).strip()] if x]
+
+    out, few = [], []
+    for p in [p for p in (text.split(separator) if separator else text) if p]:
+        if len(p) < size or not finer:
+            few.append(p)
+        else:
+            out, few = out + merge(few) + naive_split(p, size, overlap, finer), []
+    return out + merge(few)
+
+
+def naive_chunks(path, text):
+    import re
+
+    fence, heading = r"(?ms)^```[A-Za-z0-9_+\-]*\s*\n.*?\n```[ \t]*$", r"(?m)^(#{1,6})\s+(.+?)\s*$"
+    heads, at, parts, out = [(m.start(), m[2].strip()) for m in re.finditer(heading, text)], 0, [], []
+    for m in re.finditer(fence, text):
+        parts += [("prose", at, text[at : m.start()]), ("code", m.start(), m[0])]
+        at = m.end()
+    for kind, start, content in [*parts, ("prose", at, text[at:])]:
+        if not content.strip():
+            continue
+        section = ([t for p, t in heads if p <= start] or ["intro"])[-1]
+        pieces = [content] if kind == "code" or len(content) < 2048 else naive_split(content, 2048, 400)
+        for piece in pieces:
+            piece = piece if kind == "code" else piece.strip()
+            if kind == "code" or len(piece) >= 30 or "```" in piece:
+                name = re.sub("[^a-z0-9]+", "-", section.lower()).strip("-")[:60].rstrip("-") or "section"
+                out.append((path, name, len(out), piece, section, start, kind == "code" or "```" in piece))
+    return out
+
+
+def test_chunks_against_brute_force(spark):
+    from quillspark.jobs import queries as Q
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are not here")
+    docs = Q._cleaned(spark, "/root/testdata/sf0.001").select("path", "text")
+    odd = ["", None, " \n", "word " * 3_000, "x" * 9_000, "a. " * 2_000 + "\n\n" + "b\n" * 1_500, "```py\nx\n```\n" * 300, "# H\n" + "y " * 2_000 + "\n```\nz\n```\n\n## I\nshort"]
+    docs = docs.unionByName(spark.createDataFrame([(f"odd/o{k}.md", t) for k, t in enumerate(odd)], "path string, text string")).cache()
+    want = sorted(x for r in docs.collect() if r.text for x in naive_chunks(r.path, r.text))
+    found = C.semantic_chunk(docs).collect()
+    assert sorted((r.path, r.id.removeprefix(r.source_doc + "_").rpartition("_")[0], r.n, r.text, r.section, r.position, r.has_code) for r in found) == want
+    assert all(r.id.endswith(f"_{r.n}") for r in found)
+
+
+def test_many_fences_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("a.md", "text here\n```py\nx = 1\n```\n" * n)], "path string, text string")
+        t = time.perf_counter()
+        assert C.semantic_chunk(df.select("path", X.clean_text(X.F.col("text")).alias("text"))).count() >= n
+        return time.perf_counter() - t
+
+    seconds(100)
+    assert seconds(6_400) < 30
