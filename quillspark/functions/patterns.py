@@ -19,7 +19,7 @@ INLINE_HTML = r"(?i)</?(?:font|span|div|small|sub|sup|kbd)\b[^>]*>"
 TRAILING_BLANKS = r"(?dm)[ \t]+$"
 BLANK_LINES = r"\n{3,}"
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
-STRIP = r"(?U)^\s+|\s+$"
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 MARKDOWN_SIGNS = (
     r"(?dmU)^#{1,6}\s+\w",

@@ -31,7 +31,7 @@ def decode_text(content: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, in its Unicode meaning."""
-    return F.regexp_replace(text, P.STRIP, "")
+    return F.btrim(text, F.lit(P.WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:
@@ -111,11 +111,11 @@ def document_title(text: Column, path: Column) -> Column:
 
 
 def strip_heading_anchors(text: Column) -> Column:
-    return F.when(text.contains("{"), F.regexp_replace(text, P.HEADING_ANCHOR, "")).otherwise(text)
+    return let(text, lambda t: F.when(t.contains("{"), F.regexp_replace(t, P.HEADING_ANCHOR, "")).otherwise(t))
 
 
 def strip_attribute_lists(text: Column) -> Column:
-    return F.when(text.contains("{:"), F.regexp_replace(text, P.ATTRIBUTE_LIST, "")).otherwise(text)
+    return let(text, lambda t: F.when(t.contains("{:"), F.regexp_replace(t, P.ATTRIBUTE_LIST, "")).otherwise(t))
 
 
 def strip_includes(text: Column) -> Column:
