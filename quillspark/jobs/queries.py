@@ -134,15 +134,25 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources
 
 
+@query("select doc_id, text from documents")
+def read_documents(spark, sf_dir):
+    """Documents written as files, of many a file, and read from the folder: a file's lines are the documents' ids and letters."""
+    path = SRC.scratch_dir(spark, "read.documents")
+    lines = _table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.replace("text", F.lit("\n"), F.lit("\x1f"))).alias("value"))
+    lines.write.text(path)
+    found = SRC.read_documents(spark, path, "*.txt").select(F.explode(F.split(F.regexp_replace("content", r"\n\z", ""), "\n")).alias("line"))
+    return found.select(F.substring_index("line", " ", 1).cast("long").alias("doc_id"), F.replace(F.expr("substring(line, instr(line, ' ') + 1)"), F.lit("\x1f"), F.lit("\n")).alias("text"))
+
+
 @query("select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as text from documents")
 def decode_text(spark, sf_dir):
     content = F.when(F.col("doc_id") % 2 == 0, F.col("text").cast("binary")).otherwise(F.encode("text", "ISO-8859-1"))
     return _table(spark, sf_dir, "documents").select("doc_id", X.decode_text(content).alias("text"))
 
 
-@query("select url as path, length(html) as n_chars from pages where regexp_matches(url, '^https?://')")
+@query("select url as path, md5(html) as digest from pages where regexp_matches(url, '^https?://')")
 def pages_source(spark, sf_dir):
-    return SRC.pages_source(_table(spark, sf_dir, "pages")).select("path", F.length("content").cast("long").alias("n_chars"))
+    return SRC.pages_source(_table(spark, sf_dir, "pages")).select("path", F.md5("content").alias("digest"))
 
 
 @query("select doc_id from documents where doc_id % 10 <> 0 and regexp_matches(text, '\\S')")
@@ -188,13 +198,13 @@ def strip_plain_includes(spark, sf_dir):
 
 
 @query(
-    rf"""{SQL_PARSED}, f as (select doc_id, unnest(regexp_extract_all(text, '{_FENCE}')) as whole, generate_subscripts(regexp_extract_all(text, '{_FENCE}'), 1) - 1 as id from body)
-select doc_id, cast(id as int) as id, case when id = 0 then 'python' else 'text' end as language, length(whole) as n_chars from f"""
+    rf"""{SQL_PARSED}, cut as (select doc_id, regexp_split_to_array(text, '{_FENCE}') as prose, regexp_extract_all(text, '{_FENCE}') as fences from body
+), f as (select doc_id, fences, prose, unnest(range(1, len(fences) + 1)) as k from cut
+), placed as (select doc_id, k, fences[k] as whole, list_sum(list_transform(prose[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(fences[1:k - 1], lambda x: length(x))), 0) as start from f)
+select doc_id, cast(k - 1 as int) as id, case k when 1 then 'python' else 'text' end as language, regexp_extract(whole, '(?s)^```[^\n]*\n(.*)\n```[ \t]*$', 1) as code, cast(start as int) as start, cast(start + length(whole) as int) as "end" from placed"""
 )
 def extract_code_blocks(spark, sf_dir):
-    blocks = _body(spark, sf_dir).select("doc_id", "text", F.explode(X.code_blocks(F.col("text"))).alias("b"))
-    whole = F.substring(F.col("text"), F.col("b.start") + 1, F.col("b.end") - F.col("b.start"))
-    return blocks.select("doc_id", "b.id", "b.language", F.length(whole).cast("long").alias("n_chars"))
+    return _body(spark, sf_dir).select("doc_id", F.inline(X.code_blocks(F.col("text"))))
 
 
 @query(
@@ -206,10 +216,10 @@ def extract_sections(spark, sf_dir):
     return _body(spark, sf_dir).select("doc_id", F.inline(X.sections(F.col("text"))))
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then concat('T ', cast(doc_id as string)) else concat('D ', cast(doc_id as string), ' Page') end as title from documents")
+@query(r"select doc_id, case when doc_id % 2 = 0 then concat('T ', cast(doc_id as string)) else coalesce(nullif(regexp_extract(text, '(?m)^#\s+(.+?)\s*$', 1), ''), concat('D ', cast(doc_id as string), ' Page')) end as title from documents")
 def document_title(spark, sf_dir):
     number = F.col("doc_id").cast("string")
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("## x\n# T "), number, F.lit("\n"))).otherwise("## y\n")
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("## x\n# T "), number, F.lit("\n"))).otherwise("## y\n"), F.col("text"))
     path = F.concat(F.lit("docs/d-"), number, F.lit("_page.md"))
     return _table(spark, sf_dir, "documents").select("doc_id", X.document_title(text, path).alias("title"))
 
@@ -222,10 +232,10 @@ def parse_markdown(spark, sf_dir):
 
 
 def _with_includes(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0 or doc_id % 3 = 0")
+    docs = _table(spark, sf_dir, "documents")
     n = F.col("doc_id").cast("string")
     rel = F.concat(F.when(F.col("doc_id") % 2 == 0, "../../docs_src/f").otherwise("f"), n, F.lit(".py"))
-    text = F.concat(F.lit("a\n\n{* "), rel, F.lit(" hl[1:2] ln[3] *}\n\nb {* gone.py *}\n"))
+    text = F.concat(F.lit("a\n\n{* "), rel, F.lit(" hl[1:2] ln[3] *}\n\nb {* gone.py *}\n"), F.col("text"))
     return docs.select("doc_id", F.concat(F.lit("repo/docs/en/d"), n, F.lit(".md")).alias("path"), text.alias("text"))
 
 
@@ -237,15 +247,15 @@ def _include_files(spark, sf_dir):
 
 
 @query(
-    r"""select doc_id, case when doc_id % 5 = 0 then concat('a', chr(10), chr(10), '{* ', case when doc_id % 2 = 0 then '../../docs_src/f' else 'f' end, cast(doc_id as string), '.py hl[1:2] ln[3] *}', chr(10), chr(10), 'b {* gone.py *}', chr(10))
- else concat('a', chr(10), chr(10), chr(10), '```python', chr(10), 'x = ', cast(doc_id as string), chr(10), '```', chr(10), chr(10), chr(10), 'b {* gone.py *}', chr(10)) end as text
-from documents where doc_id % 2 = 0 or doc_id % 3 = 0"""
+    r"""select doc_id, case when doc_id % 5 = 0 then concat('a', chr(10), chr(10), '{* ', case when doc_id % 2 = 0 then '../../docs_src/f' else 'f' end, cast(doc_id as string), '.py hl[1:2] ln[3] *}', chr(10), chr(10), 'b {* gone.py *}', chr(10), text)
+ else concat('a', chr(10), chr(10), chr(10), '```python', chr(10), 'x = ', cast(doc_id as string), chr(10), '```', chr(10), chr(10), chr(10), 'b {* gone.py *}', chr(10), text) end as text
+from documents"""
 )
 def resolve_includes(spark, sf_dir):
     return D.resolve_includes(_with_includes(spark, sf_dir), _include_files(spark, sf_dir)).select("doc_id", "text")
 
 
-@query("select doc_id, case when doc_id % 5 = 0 then 0 else 1 end as resolved, case when doc_id % 5 = 0 then 2 else 1 end as unresolved from documents where doc_id % 2 = 0 or doc_id % 3 = 0")
+@query("select doc_id, case when doc_id % 5 = 0 then 0 else 1 end as resolved, case when doc_id % 5 = 0 then 2 else 1 end as unresolved from documents")
 def include_counts(spark, sf_dir):
     return D.resolve_includes(_with_includes(spark, sf_dir), _include_files(spark, sf_dir)).select("doc_id", "resolved", "unresolved")
 
@@ -475,7 +485,7 @@ def ingest_stream(spark, sf_dir):
     running = ST.ingest_stream(spark, source, store, checkpoint, files_a_batch=3)
     running.awaitTermination()
     batches = [p["batchId"] for p in running.recentProgress if p["numInputRows"]]
-    return ST.latest_version(spark, store, max(batches) + 1 if batches else 0).drop("seq")
+    return ST.stored_chunks(spark, store, max(batches) + 1 if batches else 0).drop("seq")
 
 
 # Vectors and retrieval
@@ -601,10 +611,9 @@ def build_prompts(spark, sf_dir):
     return PR.build_prompts(rows, "Be brief.", "Context:\n{context}\nQuestion: {query}", ("context", "query")).select("query_id", "user_prompt")
 
 
-@query(f"with r as ({RESPONSES}) select response_id, concat('Fix:', chr(10), 'def f(:', chr(10), '- line 1, col 7: m {{errors}}') as user_prompt from r where turn % 4 = 3")
+@query(f"with r as ({RESPONSES}) select response_id, concat('Fix:', chr(10), 'def f(:', chr(10), '- line 1, col 7: invalid syntax') as user_prompt from r where turn % 4 = 3")
 def build_regeneration_prompts(spark, sf_dir):
-    error = F.array(F.struct(F.lit(1).alias("line"), F.lit(7).alias("column"), F.lit("m {errors}").alias("message")))
-    rows = AN.parse_responses(_responses(spark, sf_dir)).withColumn("valid", F.col("turn") % 4 != 3).withColumn("errors", error)
+    rows = AN.validate_syntax(AN.parse_responses(_responses(spark, sf_dir)))
     return PR.build_regeneration_prompts(rows, "Fix:\n{previous_code}\n{errors}").select("response_id", "user_prompt")
 
 
@@ -634,53 +643,59 @@ def response_explanation(spark, sf_dir):
     return _responses(spark, sf_dir).select("response_id", A.response_explanation(F.col("response")).alias("explanation"))
 
 
-@query(f"{_SQL_PARTS}, t as (select conv_id * 100 + turn as response_id, trim(text, ' ' || chr(10)) as explanation from conversations where role = 'assistant') select p.response_id, code, cast(len(sources) as int) as n_sources, explanation from p join t on t.response_id = p.response_id")
+@query(f"{_SQL_PARTS}, t as (select conv_id * 100 + turn as response_id, trim(text, ' ' || chr(10)) as explanation from conversations where role = 'assistant') select p.response_id, code, array_to_string(sources, ',') as sources, explanation from p join t on t.response_id = p.response_id")
 def parse_responses(spark, sf_dir):
-    return AN.parse_responses(_responses(spark, sf_dir)).select("response_id", "code", F.size("sources").alias("n_sources"), "explanation")
+    return AN.parse_responses(_responses(spark, sf_dir)).select("response_id", "code", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), "explanation")
 
 
-@query(f"with r as ({RESPONSES}) select response_id, turn % 4 <> 3 as valid, cast(case when turn % 4 = 3 then 1 end as int) as line from r")
+@query(f"with r as ({RESPONSES}) select response_id, turn % 4 <> 3 as valid, cast(case when turn % 4 = 3 then 1 end as int) as line, cast(case when turn % 4 = 3 then 7 end as int) as col, case when turn % 4 = 3 then 'invalid syntax' end as message from r")
 def validate_syntax(spark, sf_dir):
     rows = AN.validate_syntax(AN.parse_responses(_responses(spark, sf_dir)))
-    return rows.select("response_id", "valid", F.get("errors", F.lit(0))["line"].alias("line"))
+    first = F.get("errors", F.lit(0))
+    return rows.select("response_id", "valid", first["line"].alias("line"), first["column"].alias("col"), first["message"].alias("message"))
 
 
-@query("select doc_id, case doc_id % 4 when 0 then '(no errors)' when 1 then concat('- line 3, col 5: m', cast(doc_id as string)) when 2 then '- line 3: m' else concat('- (no location): m', chr(10), '- line 1: n') end as errors from documents")
+@query("select doc_id, case doc_id % 4 when 0 then '(no errors)' when 1 then concat('- line 3, col 5: m', text) when 2 then '- line 3: m' else concat('- (no location): m', chr(10), '- line 1: n') end as errors from documents")
 def format_errors(spark, sf_dir):
     e = lambda line, column, m: F.struct(F.lit(line).cast("int").alias("line"), F.lit(column).cast("int").alias("column"), m.alias("message"))
     n = F.col("doc_id") % 4
     none = F.array().cast("array<struct<line:int,column:int,message:string>>")
-    errors = F.when(n == 0, none).when(n == 1, F.array(e(3, 5, F.concat(F.lit("m"), F.col("doc_id").cast("string"))))).when(n == 2, F.array(e(3, None, F.lit("m")))).otherwise(F.array(e(None, None, F.lit("m")), e(1, None, F.lit("n"))))
+    errors = F.when(n == 0, none).when(n == 1, F.array(e(3, 5, F.concat(F.lit("m"), F.col("text"))))).when(n == 2, F.array(e(3, None, F.lit("m")))).otherwise(F.array(e(None, None, F.lit("m")), e(1, None, F.lit("n"))))
     return _table(spark, sf_dir, "documents").select("doc_id", A.format_errors(errors).alias("errors"))
 
 
-_ATTEMPTS = "select doc_id as query_id, attempt, concat('c', cast(attempt as string)) as code, doc_id % 4 <> 3 and attempt >= doc_id % 4 as valid from documents, (select {0} as attempt)"
-
-
-@query(f"with a as ({_ATTEMPTS.format('unnest([0, 1, 2])')}) select query_id, max(valid) as valid, concat('c', cast(case when query_id % 4 = 3 then 2 else query_id % 4 end as string)) as code, cast(case when query_id % 4 = 3 then 2 else query_id % 4 end as int) as n_retries from a group by query_id")
+@query(
+    f"""{_SQL_PARTS}, a as (select response_id // 100 as query_id, turn as attempt, code, turn % 4 <> 3 as valid from p)
+select query_id, max(valid) as valid, coalesce(arg_min(code, attempt) filter (valid), arg_max(code, attempt)) as code, cast(coalesce(min(attempt) filter (valid), max(attempt)) as int) as n_retries from a group by query_id"""
+)
 def resolve_attempts(spark, sf_dir):
-    return AN.resolve_attempts(_view(spark, sf_dir, _ATTEMPTS.format("explode(array(0, 1, 2))"), "documents"))
+    """The answers of a conversation as the attempts at one question."""
+    rows = AN.validate_syntax(AN.parse_responses(_responses(spark, sf_dir)))
+    attempts = rows.select(F.expr("response_id div 100").alias("query_id"), F.col("turn").cast("int").alias("attempt"), "code", "valid")
+    return AN.resolve_attempts(attempts)
 
 
-_SNIPPETS = ("eval(x)", "import subprocess\nsubprocess.run(y)\n", "import os", "x = 1\n\ny = 2", "def f(:", "", "os.system('a')\nos.path.join(b)", "a.eval(x)")
+# Code with a whole document as its comments, and lint issues found in its lines.
+SNIPPETS = """select doc_id as snippet_id, concat(case doc_id % 8 when 0 then 'eval(x)' when 1 then concat('import subprocess', chr(10), 'subprocess.run(y)', chr(10))
+ when 2 then 'import os' when 3 then concat('x = 1', chr(10), chr(10), 'y = 2') when 4 then 'def f(:' when 5 then '' when 6 then concat('os.system(a)', chr(10), 'os.path.join(b)') else 'a.eval(x)' end,
+ chr(10), '# ', replace(text, chr(10), concat(chr(10), '# '))) as code from documents"""
+_ISSUE = "case when length(s) > 79 then 'E501' when s = '# ' then 'I001' when s like '% ' then 'W291' when s like 'import %' then 'F401' when s = 'def f(:' then 'E999' end"
 
 
 def _snippets(spark, sf_dir):
-    codes = F.array(*[F.lit(s) for s in _SNIPPETS])
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("snippet_id"), F.get(codes, F.pmod("doc_id", F.lit(len(_SNIPPETS))).cast("int")).alias("code"))
+    return _view(spark, sf_dir, SNIPPETS, "documents")
 
 
 def _issues(spark, sf_dir):
-    names = F.array(*[F.lit(x) for x in ("E501", "W291", "F401", "E999", "I001")])
-    issues = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("snippet_id"), F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("line"))
-    return issues.select("snippet_id", "line", F.get(names, F.pmod(F.col("snippet_id") + F.col("line"), F.lit(5)).cast("int")).alias("code"))
+    lines = _snippets(spark, sf_dir).select("snippet_id", F.posexplode(F.split("code", "\n")).alias("line", "s"))
+    return lines.select("snippet_id", "line", F.expr(_ISSUE).alias("code")).where("code is not null")
 
 
-_SQL_ISSUES = "with i as (select doc_id as snippet_id, unnest(range(0, doc_id % 3 + 1)) as line from documents where doc_id % 2 = 0), issues as (select *, ['E501', 'W291', 'F401', 'E999', 'I001'][(snippet_id + line) % 5 + 1] as code from i)"
-_SQL_LINES = "[1, 2, 1, 3, 1, 0, 2, 1][doc_id % 8 + 1]"
+_SQL_ISSUES = f"with snippets as ({SNIPPETS}), i as (select snippet_id, unnest(string_split(code, chr(10))) as s from snippets), issues as (select snippet_id, code from (select snippet_id, {_ISSUE} as code from i) where code is not null)"
+_SQL_LINES = "len(string_split(code, chr(10)))"
 _SQL_SCORES = f"""{_SQL_ISSUES}, k as (select snippet_id, count(*) filter (code in ('F401', 'E999')) as n_errors, count(*) filter (code not in ('F401', 'E999')) as n_warnings, count(*) filter (code[1] in ('E', 'W')) as style from issues group by 1),
-s as (select doc_id as snippet_id, coalesce(n_errors, 0) as n_errors, coalesce(n_warnings, 0) as n_warnings, {_SQL_LINES} as line_count, coalesce(style, 0) as style from documents left join k on k.snippet_id = doc_id),
-scored as (select snippet_id, n_errors, n_warnings, cast(line_count as int) as line_count, case when line_count = 0 then 0.0 else greatest(0.0, least(100.0, 100.0 * (1 - style / line_count))) end as pep8_score from s)"""
+s as (select n.snippet_id, coalesce(n_errors, 0) as n_errors, coalesce(n_warnings, 0) as n_warnings, {_SQL_LINES} as line_count, coalesce(style, 0) as style from snippets n left join k on k.snippet_id = n.snippet_id),
+scored as (select snippet_id, n_errors, n_warnings, cast(line_count as int) as line_count, greatest(0.0, least(100.0, 100.0 * (1 - style / line_count))) as pep8_score from s)"""
 
 
 @query("select doc_id as snippet_id, case doc_id % 8 when 0 then 'eval()' when 1 then 'subprocess.run()' else 'os.system()' end as pattern, cast(case when doc_id % 8 = 1 then 2 else 1 end as int) as line from documents where doc_id % 8 in (0, 1, 6)")
@@ -698,7 +713,7 @@ def pep8_score(spark, sf_dir):
     return AN.pep8_scores(_snippets(spark, sf_dir), _issues(spark, sf_dir)).select("snippet_id", F.round("pep8_score", 6).alias("pep8_score"))
 
 
-@query(f"select doc_id as snippet_id, cast({_SQL_LINES} as int) as n_lines from documents")
+@query(f"select snippet_id, cast({_SQL_LINES} as int) as n_lines from ({SNIPPETS})")
 def line_count(spark, sf_dir):
     return _snippets(spark, sf_dir).select("snippet_id", X.line_count(F.col("code")).alias("n_lines"))
 
@@ -712,7 +727,7 @@ def quality_report(spark, sf_dir):
 @query("select doc_id, cast(case when doc_id % 5 = 0 or doc_id % 7 = 0 then 2 when doc_id % 3 = 0 or doc_id % 2 = 0 then 0 else 1 end as int) as status from documents")
 def query_status(spark, sf_dir):
     n = F.col("doc_id")
-    status = A.query_status(n % 5 != 0, n % 7 != 0, F.when(n % 3 == 0, "").otherwise("x"), n % 2 == 0)
+    status = A.query_status(n % 5 != 0, n % 7 != 0, F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("x"), F.col("text"))), n % 2 == 0)
     return _table(spark, sf_dir, "documents").select("doc_id", status.alias("status"))
 
 

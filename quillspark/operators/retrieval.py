@@ -40,7 +40,8 @@ def _block_search(spark, some: list, store: DataFrame, k: int, exclude_self: boo
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, matrix, lengths = shared.value
-        best: list[pd.DataFrame] = [pd.DataFrame({"distance": np.zeros(0), "id": np.zeros(0, dtype=object)}) for _ in names]
+        best = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object))  # query, distance, id: at most k a query
+        asked = np.array(names, dtype=object)
         for batch in batches:
             batch = batch[batch["embedding"].notna()]
             if not len(batch) or not names:
@@ -50,21 +51,28 @@ def _block_search(spark, some: list, store: DataFrame, k: int, exclude_self: boo
             product = matrix @ vectors.T
             scale = lengths[:, None] * own[None, :]
             distance = np.round(1 - np.divide(product, scale, out=np.zeros_like(product), where=scale > 0), 6)
-            ids = batch["id"].to_numpy()
-            for q, name in enumerate(names):
-                d = distance[q]
-                at = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
-                if exclude_self:
-                    at = at[ids[at] != name]
-                found = pd.concat([best[q], pd.DataFrame({"distance": d[at], "id": ids[at]})]) if len(best[q]) else pd.DataFrame({"distance": d[at], "id": ids[at]})
-                best[q] = found.sort_values(["distance", "id"]).head(k)
-        for name, found in zip(names, best, strict=True):
-            if len(found):
-                yield pd.DataFrame({"query_id": name, "id": found["id"].to_numpy(), "distance": found["distance"].to_numpy(dtype=np.float64)})
+            ids = batch["id"].to_numpy(dtype=object)
+            last = min(k, len(ids) - 1)  # one more than k, as the query itself may be left out
+            query, row = np.nonzero(distance <= np.partition(distance, last, axis=1)[:, last, None])
+            if exclude_self:
+                other = ids[row] != asked[query]
+                query, row = query[other], row[other]
+            best = _nearest(np.concatenate([best[0], query]), np.concatenate([best[1], distance[query, row]]), np.concatenate([best[2], ids[row]]), k)
+        if len(best[0]):
+            yield pd.DataFrame({"query_id": asked[best[0]], "id": best[2], "distance": best[1]})
 
     return store.select("id", "embedding").mapInPandas(search, f"query_id {kind}, id {kind}, distance double")
 
 
+def _nearest(query: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``k`` of each query by distance, then id."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], distance, query))
+    query = query[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    order = order[place < k]
+    return query[place < k], distance[order], ids[order]
+
+
 def distance_filter(hits: DataFrame, bound: float | None) -> DataFrame:
     """Hits no farther than ``bound``, which counts as near; None keeps all."""
     return hits if bound is None else hits.where(F.col("distance") <= bound)

@@ -14,17 +14,28 @@ CHUNK = "id string, text string, source_doc string, section string, position int
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir; under a folder of our own where that is unset."""
+    """A new folder name under spark.checkpoint.dir; under a folder of our own where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quillspark_scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark._quillspark_scratch = tempfile.mkdtemp(prefix="quillspark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, in whatever file system Spark reads it from; a path where nothing is is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+
+
 def read_documents(spark: SparkSession, paths: str | list[str], pattern: str = "*.md") -> DataFrame:
-    """path and content (text) of files: a folder with a pattern, searched deeply, or files by name."""
+    """path and content (text) of files: a folder with a pattern, searched deeply, or files by name.
+
+    A source that is missing is an error. Rows have no order; ``path`` gives one.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if isinstance(paths, str) and "." not in paths.rsplit("/", 1)[-1]:
+    if isinstance(paths, str) and is_folder(spark, paths):
         files = files.option("pathGlobFilter", pattern)
     return files.load(paths).select("path", X.decode_text(F.col("content")).alias("content"))
 

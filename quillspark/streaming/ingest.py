@@ -9,32 +9,46 @@ from quillspark.functions import text as X
 from quillspark.operators import chunks as C
 
 STORED = "id string, text string, source_doc string, section string, position int, has_code boolean, seq long"
+_COLUMNS = [f.strip().split()[0] for f in STORED.split(",")]
 
 
-def merge_batch(spark: SparkSession, chunks: DataFrame, store: str, batch_id: int) -> None:
-    """Upsert a batch into version ``batch_id`` + 1 of the store, from the version before.
+def merge_batch(chunks: DataFrame, store: str, batch_id: int) -> None:
+    """Write a batch's chunks beside those of the batches before: work grows with the batch, not with the store.
 
-    A version is written beside the others and read only when whole, so a batch that runs again writes the same again.
+    A batch that runs again writes its own folder anew. ``stored_chunks`` upserts by id when the store is read.
     """
-    batch = chunks.withColumn("seq", F.lit(batch_id).cast("long")).select(*[f.strip().split()[0] for f in STORED.split(",")])
-    stored = spark.read.schema(STORED).parquet(f"{store}/v{batch_id}") if batch_id else spark.createDataFrame([], STORED)
-    C.upsert_chunks(stored, batch).write.mode("overwrite").parquet(f"{store}/v{batch_id + 1}")
+    chunks.withColumn("seq", F.lit(batch_id).cast("long")).select(*_COLUMNS).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+
+def stored_chunks(spark: SparkSession, store: str, n_batches: int) -> DataFrame:
+    """The store after ``n_batches`` batches: of each id the chunk of the last batch that has it."""
+    if not n_batches:
+        return spark.createDataFrame([], STORED)
+    found = spark.read.schema(f"{STORED}, batch long").option("basePath", store).parquet(store).where(F.col("batch") < n_batches)
+    return C.upsert_chunks(spark.createDataFrame([], STORED), found.select(*_COLUMNS))
+
+
+def compact(spark: SparkSession, store: str, n_batches: int, target: str) -> None:
+    """Write the store after ``n_batches`` batches to a new store, as its batch of the same number."""
+    stored_chunks(spark, store, n_batches).write.parquet(f"{target}/batch={n_batches - 1}")
+
+
+def last_versions(batch: DataFrame) -> DataFrame:
+    """path and text of a batch (path, text, changed): of each path the version that changed last, ties by text."""
+    last = F.max_by(F.struct("text"), F.struct("changed", "text"))["text"]
+    return batch.groupBy("path").agg(last.alias("text"))
 
 
 def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str, *, schema: str = "path string, content string", files_a_batch: int = 100):
     """Start a query that chunks documents (Parquet files of path, content) as they come in ``source``.
 
-    Chunking has no state; a batch's rows are merged by id, so what comes twice changes nothing.
+    Chunking has no state; chunks are upserted by id when read, so what comes twice changes nothing. Within a batch the
+    file that was written last has a path's text.
     """
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
-    docs = docs.where(~X.is_blank(F.col("content"))).select("path", X.clean_text(X.strip_frontmatter(F.col("content"))).alias("text"))
+    docs = docs.where(~X.is_blank(F.col("content"))).select("path", X.clean_text(X.strip_frontmatter(F.col("content"))).alias("text"), F.col("_metadata.file_modification_time").alias("changed"))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch.sparkSession, C.semantic_chunk(batch.dropDuplicates(["path"])), store, batch_id)
+        merge_batch(C.semantic_chunk(last_versions(batch)), store, batch_id)
 
     return docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_version(spark: SparkSession, store: str, n_batches: int) -> DataFrame:
-    """The store after ``n_batches`` batches."""
-    return spark.read.schema(STORED).parquet(f"{store}/v{n_batches}") if n_batches else spark.createDataFrame([], STORED)

@@ -177,3 +177,52 @@ def test_many_fences_take_time_in_proportion(spark):
 
     seconds(100)
     assert seconds(6_400) < 30
+
+
+def test_read_documents_folder_with_a_dot_and_missing_source(spark, tmp_path):
+    folder = tmp_path / "docs.v2"
+    folder.mkdir()
+    (folder / "a.md").write_text("x")
+    (folder / "b.txt").write_text("y")
+    assert [r.content for r in SRC.read_documents(spark, str(folder)).collect()] == ["x"]
+    assert [r.content for r in SRC.read_documents(spark, [str(folder / "b.txt")]).collect()] == ["y"]
+    with pytest.raises(Exception, match="gone"):
+        SRC.read_documents(spark, str(tmp_path / "gone"))
+
+
+def test_knn_ties_and_nulls(spark):
+    from quillspark.operators import retrieval as R
+
+    store = spark.createDataFrame([(k, [1.0, float(k % 3)]) for k in range(40)] + [(99, None), (100, [0.0, 0.0])], "id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (7, [1.0, 1.0]), (200, None)], "query_id long, embedding array<double>")
+    for block in (1, 4_096):
+        found = {}
+        for r in R.knn_search(asked, store, 5, exclude_self=True, block=block).orderBy("rank").collect():
+            found.setdefault(r.query_id, []).append(r.id)
+        assert found == {0: [3, 6, 9, 12, 15], 7: [1, 4, 10, 13, 16]}
+    assert R.knn_search(asked.where("query_id < 0"), store, 5).count() == 0
+
+
+def test_stream_store(spark, tmp_path):
+    from quillspark.streaming import ingest as ST
+
+    row = lambda k, text: (k, text, "d", "s", 0, False)
+    kind = "id string, text string, source_doc string, section string, position int, has_code boolean"
+    store, target = str(tmp_path / "store"), str(tmp_path / "compacted")
+    for batch_id, rows in enumerate(([row("a", "1"), row("b", "1")], [], [row("b", "2"), row("c", "2")])):
+        for _ in range(2):  # a batch that runs again
+            ST.merge_batch(spark.createDataFrame(rows, kind), store, batch_id)
+    texts = lambda where, n: {r.id: r.text for r in ST.stored_chunks(spark, where, n).collect()}
+    assert texts(store, 0) == {}
+    assert texts(store, 2) == {"a": "1", "b": "1"}
+    assert texts(store, 3) == {"a": "1", "b": "2", "c": "2"}
+    ST.compact(spark, store, 3, target)
+    ST.merge_batch(spark.createDataFrame([row("a", "3")], kind), target, 3)
+    assert texts(target, 4) == {"a": "3", "b": "2", "c": "2"}
+
+
+def test_last_version_of_a_path(spark):
+    from quillspark.streaming import ingest as ST
+
+    batch = spark.createDataFrame([("p", "old", 1), ("p", "new", 2), ("q", "a", 1), ("q", "b", 1)], "path string, text string, changed int")
+    assert {r.path: r.text for r in ST.last_versions(batch).collect()} == {"p": "new", "q": "b"}
