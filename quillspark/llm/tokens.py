@@ -10,6 +10,7 @@ equal ids.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -56,23 +57,23 @@ class PieceCache:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def add(self, keys: list[int | bytes], pieces: list[str]) -> None:
-        """Encode new pieces: those of ASCII letters, one pre-token each, many to a call."""
+    def add(self, keys: list[int | bytes], pieces: list[str]) -> np.ndarray:
+        """Encode new pieces, those of ASCII letters, one pre-token each, many to a call; return their places."""
         first = len(self.known)
         lengths = np.zeros(len(pieces), dtype=np.int64)
-        plain = [k for k, x in enumerate(pieces) if x.isascii() and x.isalpha()]
-        other = [k for k, x in enumerate(pieces) if not (x.isascii() and x.isalpha())]
+        is_plain = np.fromiter((x.isascii() and x.isalpha() for x in pieces), dtype=bool, count=len(pieces))
+        plain, other = np.flatnonzero(is_plain), np.flatnonzero(~is_plain)
+        words = [pieces[k] for k in plain.tolist()]
         flat: list[int] = []
-        for a in range(0, len(plain), 64):
-            encoded = self.tokenizer.encode(" ".join(pieces[k] for k in plain[a : a + 64]), add_special_tokens=False)
+        for a in range(0, len(words), 64):
+            encoded = self.tokenizer.encode(" ".join(words[a : a + 64]), add_special_tokens=False)
             flat += encoded.ids
-            lengths[plain[a : a + 64]] = np.bincount(encoded.word_ids, minlength=len(plain[a : a + 64]))
-        for k, encoded in zip(other, self.tokenizer.encode_batch_fast([pieces[k] for k in other], add_special_tokens=False), strict=True):
+            lengths[plain[a : a + 64]] = np.bincount(encoded.word_ids, minlength=len(words[a : a + 64]))
+        for k, encoded in zip(other.tolist(), self.tokenizer.encode_batch_fast([pieces[k] for k in other.tolist()], add_special_tokens=False), strict=True):
             flat += encoded.ids
             lengths[k] = len(encoded)
-        order = np.array(plain + other, dtype=np.int64)
-        flat = np.array(flat, dtype=np.uint32)
-        keys, lengths = [keys[k] for k in order], lengths[order]
+        order = np.concatenate([plain, other])
+        lengths = lengths[order]
         while first + len(keys) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.n_ids + len(flat) > len(self.ids):
@@ -81,8 +82,10 @@ class PieceCache:
         self.lengths[first : first + len(keys)] = lengths
         self.starts[first : first + len(keys)] = self.n_ids + np.cumsum(lengths) - lengths
         self.n_ids += len(flat)
-        self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
-        self.held += sum(len(k) for k in keys if isinstance(k, bytes))
+        places = np.empty(len(keys), dtype=np.int64)
+        places[order] = np.arange(first, first + len(keys))
+        self.known.update(zip(keys, places.tolist(), strict=True))
+        return places
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (one more at the end)."""
@@ -90,22 +93,29 @@ class PieceCache:
         starts, ends, before = piece_spans(lower, offsets)
         if len(self.known) > _MAX_PIECES or self.n_ids > _MAX_IDS or self.held > _MAX_BYTES:
             self.clear()
-        first, inverse = distinct(lower, starts, ends)
+        first, inverse, numbers = distinct(lower, starts, ends)
         raw = lower.tobytes()
-        at, to = starts[first].tolist(), ends[first].tolist()
-        keys = [int.from_bytes(raw[a:b], "little") | b - a << 56 if b - a < 8 else raw[a:b] for a, b in zip(at, to, strict=True)]
-        new = [k for k, key in enumerate(keys) if key not in self.known]
-        if new:
-            self.add([keys[k] for k in new], [raw[at[k] : to[k]].decode() for k in new])
-        place = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[inverse]
+        at, to = starts[first], ends[first]
+        keys: list[int | bytes] = numbers.tolist()
+        long = to - at > 7
+        for k, a, b in zip(np.flatnonzero(long).tolist(), at[long].tolist(), to[long].tolist(), strict=True):
+            keys[k] = raw[a:b]
+        place = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), dtype=np.int64, count=len(keys))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            pieces = [raw[a:b].decode() for a, b in zip(at[new].tolist(), to[new].tolist(), strict=True)]
+            place[new] = self.add([keys[k] for k in new.tolist()], pieces)
+            self.held += int((to - at)[new][long[new]].sum())
+        place = place[inverse]
         lengths = self.lengths[place]
         ids = self.ids[blocks.ragged(self.starts[place], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, total[before]
 
 
-def distinct(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A piece of each kind, and of which of them each piece is: equal bytes are one kind, others never."""
+def distinct(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A piece of each kind, of which of them each piece is, and each kind's number, which for kinds of up to 7 bytes
+    is their bytes and length. Equal bytes are one kind, others never."""
     lengths = ends - starts
     short = lengths < 8
     key = np.zeros(len(starts), dtype=np.uint64)
@@ -126,7 +136,7 @@ def distinct(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
                 more.append(k)
             inverse[k] = kinds[piece]
         first = np.concatenate([first, np.array(more, dtype=np.int64)])
-    return first, inverse
+    return first, inverse, key[first]
 
 
 def piece_spans(lower: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
