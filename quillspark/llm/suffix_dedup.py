@@ -12,7 +12,7 @@ only those that can repeat:
    their first ``length`` bytes are equal if those few bytes, the ranks there and at the end, and the last few bytes
    are. Sorting by these keys, once for each shift, settles ties of any length at a fixed price and memory.
 4. A bucket with more than ``bucket_runs`` runs is salted by piece over several tasks, so that none sorts more than
-   about 2 MB at once. Within a task suffixes are sorted as before. Each sends on, as 128-bit fingerprints, one
+   about 1 MB at once. Within a task suffixes are sorted as before. Each sends on, as 128-bit fingerprints, one
    suffix of each kind that it has found, and those meet by fingerprint: a kind met twice is repeated too.
 
 Texts that are copies of one another are one text from the start, whose suffixes all repeat.
@@ -159,21 +159,18 @@ def repeated(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndar
     """Suffix positions of all pieces, and for each whether its first ``length`` bytes start elsewhere in them too."""
     sizes = np.diff(begins)
     n = len(data)
-    local = np.arange(n, dtype=np.int64) - np.repeat(begins[:-1], sizes)
-    room = np.repeat(sizes, sizes) - local
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    word = np.zeros(n, dtype=np.uint64)  # the next 8 bytes
-    for k in range(8):
-        word |= padded[k : n + k] << np.uint64(56 - 8 * k)
-    residue = local % MODULUS
+    local = np.arange(n, dtype=np.int32) - np.repeat(begins[:-1].astype(np.int32), sizes)
+    room = np.repeat(sizes.astype(np.int32), sizes) - local
+    word = blocks.eights(data)[:n].byteswap()  # the next 8 bytes, the first on top
+    residue = (local % MODULUS).astype(np.int8)
     covered = COVERED[0][residue]
-    rank = np.zeros(n, dtype=np.int64)
+    rank = np.zeros(n, dtype=np.int32)
     at = np.flatnonzero(covered & (room >= MODULUS))
     rank[at] = _ranks(word[at] >> np.uint64(8))
     size = MODULUS
     while size < RANKED:
         at = at[room[at] >= 2 * size]
-        rank[at] = _ranks(rank[at] << 32 | rank[at + size])
+        rank[at] = _ranks(rank[at].astype(np.int64) << 32 | rank[at + size])
         size *= 2
     suffixes = np.flatnonzero(room >= length)
     found = np.zeros(n, dtype=bool)
@@ -184,7 +181,7 @@ def repeated(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndar
         ranks = [rank[own + shift + k * MODULUS] for k in [*range(0, steps - 16, 16), steps - 16]]
         head = word[own] >> np.uint64(64 - 8 * shift) if shift else np.zeros(len(own), np.uint64)
         last = word[own + length - tail] >> np.uint64(64 - 8 * tail) if tail else np.zeros(len(own), np.uint64)
-        key = ranks[0] << 32 | ranks[-1]
+        key = ranks[0].astype(np.int64) << 32 | ranks[-1]
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         tied = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(order) else np.zeros(0, dtype=bool)
@@ -247,7 +244,7 @@ def _spans(hs: list[bytes], owner: np.ndarray, place: np.ndarray, length: int) -
     )
 
 
-def sort_buckets(cut: DataFrame, length: int, parts: int, *, chunk_bytes: int = 2 << 20) -> DataFrame:
+def sort_buckets(cut: DataFrame, length: int, parts: int, *, chunk_bytes: int = 1 << 20) -> DataFrame:
     """Spans of repeated suffixes within a task's buckets, and the kinds that salted buckets send on (schema FOUND)."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +356,7 @@ def trim(candidates: DataFrame) -> DataFrame:
     return candidates.select("h", "text", "spans").mapInArrow(remove, TRIMMED)
 
 
-def find_repeats(documents: DataFrame, *, length: int = 200, bucket_runs: int = 4_096, parts: int | None = None) -> DataFrame:
+def find_repeats(documents: DataFrame, *, length: int = 200, bucket_runs: int = 1_024, parts: int | None = None) -> DataFrame:
     """What removal leaves of each distinct text that loses anything: h (``text_key``), n_removed, n_spans, kept (bytes).
 
     ``length`` is at least 118: under it, the ranks of cover positions would reach beyond a string's end.
