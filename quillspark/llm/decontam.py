@@ -6,8 +6,10 @@ look up their pairs among the prefixes; a hit gives the place of the window, pos
 that run over either end of the text, and the words that stand there are then compared with the window's, by hash and
 then letter by letter.
 
-The index of prefixes goes to the tasks in blocks of at most ``block_windows`` windows, each a pass over the documents,
-so its size has a bound however large the benchmark is. Documents are never shuffled when one block is enough.
+Up to ``broadcast_windows`` windows, by a check of the benchmark's length, the index of prefixes goes to the tasks: one
+pass over the documents to count pairs and one to search, and no document is shuffled. A larger benchmark stays a
+table. Documents then send only pairs that are in a bitmap of the prefixes, each with the words around it, and these are
+joined with the windows; pairs with more than a share of all candidates are salted. Both ways give the same rows.
 
 Defined results: null text or a text without words has no words, no hits, and is not contaminated; an item without
 words has no windows; repeated item_ids count as one item, repeated windows are found for all their items; an empty
@@ -16,7 +18,6 @@ benchmark leaves all documents clean.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm import blocks
+from quillspark.llm import blocks, store
 
-SPANS = "doc_id long, n_words long, row string, spans binary, items array<string>"
 RESULT = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -137,7 +137,7 @@ def count_pairs(documents: DataFrame, pairs: np.ndarray) -> dict[int, int]:
 
 
 def _search(documents: DataFrame, windows: Windows, counts: dict[int, int]) -> DataFrame:
-    """One pass: per document n_words, the hit words as spans (start, end pairs of 64-bit integers) and the items found."""
+    """One pass: per document n_words, the words inside windows and the items found."""
     keys, places = windows.index(counts)
     lists = np.array([len(x) for x in places], dtype=np.int64)
     flat = np.array([x for each in places for x in each], dtype=np.int64).reshape(-1, 2)
@@ -146,7 +146,7 @@ def _search(documents: DataFrame, windows: Windows, counts: dict[int, int]) -> D
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lists, firsts, flat, (at_word, sizes, known, letters, spelled, spelled_end), items = shared.value
         for batch in batches:
-            ids, rows = batch.column("doc_id"), batch.column("row")
+            ids = batch.column("doc_id")
             for first, last, lower, starts, ends, hashes, before in _words(batch.column("text")):
                 depth = np.zeros(len(hashes) + 1, dtype=np.int64)
                 met: list[np.ndarray] = []
@@ -174,85 +174,145 @@ def _search(documents: DataFrame, windows: Windows, counts: dict[int, int]) -> D
                 names: list[set[str]] = [set() for _ in range(last - first)]
                 for pair in np.concatenate(met).tolist():
                     names[pair // len(sizes)].update(items[pair % len(sizes)])
-                covered = np.concatenate([[False], np.cumsum(depth[:-1]) > 0, [False]])
-                spans = []
+                covered = np.concatenate([[0], np.cumsum(np.cumsum(depth[:-1]) > 0)])
+                columns = [ids.slice(first, last - first), pa.array(np.diff(before).astype(np.int64)), pa.array(np.diff(covered[before])), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "items"])
+
+    return documents.mapInArrow(search, RESULT)
+
+
+def _item_windows(items: DataFrame, window: int, chunk: int = 4_096) -> DataFrame:
+    """A row for each window of each item: its words, joined by spaces, how many they are, and its pairs in order."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("item_id").to_pylist()
+            for first, last, lower, starts, ends, hashes, before in _words(batch.column("text")):
+                raw = lower.tobytes()
                 for k in range(last - first):
-                    if not names[k]:
-                        spans.append(b"")
+                    low, high = int(before[k]), int(before[k + 1])
+                    size = min(window, high - low)
+                    if not size:
                         continue
-                    low, high = before[k], before[k + 1]
-                    run = np.concatenate([[False], covered[1 + low : 1 + high], [False]])
-                    spans.append(np.flatnonzero(run[1:] != run[:-1]).astype("<i8").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(first, last - first),
-                        pa.array(np.diff(before).astype(np.int64)),
-                        rows.slice(first, last - first),
-                        pa.array(spans, pa.binary()),
-                        pa.array([sorted(x) for x in names], pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "n_words", "row", "spans", "items"],
-                )
-
-    return documents.mapInArrow(search, SPANS)
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of half-open spans."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+                    words = [raw[a:b] for a, b in zip(starts[low:high].tolist(), ends[low:high].tolist(), strict=True)]
+                    pairs = _prefixes(hashes[low:high]).view(np.int64) if size > 1 else _single(hashes[low:high]).view(np.int64)
+                    width = max(size - 1, 1)
+                    for at in range(0, len(words) - size + 1, chunk):
+                        n = min(chunk, len(words) - size + 1 - at)
+                        own = np.lib.stride_tricks.sliding_window_view(pairs[at : at + n - 1 + width], width)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(own.reshape(-1)))
+                        text = pa.array([b" ".join(words[j : j + size]).decode() for j in range(at, at + n)], pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[first + k]] * n, pa.string()), text, pa.array([size] * n, pa.int32()), lists], names=["item_id", "words", "size", "pairs"])
+
+    return items.mapInArrow(spell, "item_id string, words string, size int, pairs array<long>")
+
+
+def _bitmap(pairs: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**``bits`` bits, as bytes, with that of each pair set; its size does not grow with the table."""
+    slot = F.shiftrightunsigned("pair", 64 - bits) + 1
+    parts = pairs.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(1 << max(bits - 3, 12), dtype=np.uint8)
+    for r in parts.toLocalIterator():
+        out[(r.part - 1) << 12 : r.part << 12] = np.frombuffer(r.bits, dtype=np.uint8)
     return out
 
 
+def _maybe(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the hashes whose bit is set."""
+    slot = hashes >> np.uint64(64 - bits)
+    return np.flatnonzero((bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+
+
+def _join(documents: DataFrame, items: DataFrame, window: int, *, bits: int = 27, parts: int = 256) -> DataFrame:
+    """The search as joins, for a benchmark of any size: 2**``bits`` bits and under ``parts`` hot pairs reach the driver.
+
+    Hits are kept by the digest of a text, so equal texts share theirs.
+    """
+    context = documents.sparkSession.sparkContext
+    docs = documents.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    spelled = store.cut(_item_windows(items, window), "benchmark-windows")
+    windows = spelled.groupBy("words").agg(F.first("size").alias("size"), F.first("pairs").alias("pairs"))
+    marks = store.cut(windows.select("words", "size", F.posexplode("pairs").alias("place", "pair")), "window-pairs")
+    known = context.broadcast(_bitmap(marks.select("pair"), bits))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, _, _, hashes, _ in _words(batch.column("text")):
+                every = np.concatenate([blocks.shingle_hashes(hashes, 2), _single(hashes)])
+                pair, n = np.unique(every[_maybe(known.value, every, bits)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], names=["pair", "n"])
+
+    counts = store.cut(docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "pair", "size")).alias("p")
+    # a pair that no document has: no document has the window
+    prefixes = store.cut(marks.join(counts, "pair", "left").groupBy("words").agg(rarest).where("p.n > 0").select("words", "p.*"), "window-prefixes")
+    rare = prefixes.groupBy("pair").agg(F.first("n").alias("n"))
+    total = rare.agg(F.sum("n").alias("n")).first().n or 1
+    salts = F.ceil(F.col("n") * parts / F.lit(total))
+    hot = {r.pair % (1 << 64): r.salts for r in rare.where(salts > 1).select("pair", salts.alias("salts")).collect()}
+    shared = context.broadcast((_bitmap(prefixes.select("pair"), bits), np.array(sorted(hot), dtype=np.uint64), np.array([hot[k] for k in sorted(hot)], dtype=np.int64)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, often, ways = shared.value
+        for batch in batches:
+            texts = batch.column("key")
+            for first, _, lower, starts, ends, hashes, before in _words(batch.column("text")):
+                raw = lower.tobytes()
+                for found in (blocks.shingle_hashes(hashes, 2), _single(hashes)):
+                    where = _maybe(bitmap, found, bits)
+                    salt = np.zeros(len(where), dtype=np.int64)
+                    some, at = _find(often, found[where])
+                    salt[some] = where[some] % ways[at]
+                    doc = np.searchsorted(before, where, side="right") - 1
+                    low, high = np.maximum(before[doc], where - window + 1), np.minimum(before[doc + 1], where + window)
+                    for k in range(0, len(where), 4_096):
+                        part = slice(k, k + 4_096)
+                        around = [b" ".join([raw[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True)]).decode() for i, j in zip(low[part].tolist(), high[part].tolist(), strict=True)]
+                        columns = [pa.array(found[where[part]].view(np.int64)), pa.array(salt[part]), texts.take(pa.array(doc[part] + first)), pa.array((where - before[doc])[part]), pa.array((where - low)[part]), pa.array(around, pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["pair", "salt", "key", "at", "ahead", "around"])
+
+    candidates = docs.select("key", "text").mapInArrow(place, "pair long, salt long, key string, at long, ahead long, around string")
+    dealt = prefixes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(salts, F.lit(1)) - 1)))
+    words = F.split("around", " ")
+    inside = (F.col("ahead") >= F.col("place")) & (F.col("ahead") - F.col("place") + F.col("size") <= F.size(words))
+    stands = F.array_join(F.slice(words, (F.col("ahead") - F.col("place") + 1).cast("int"), F.col("size")), " ") == F.col("words")
+    hits = candidates.join(dealt, ["pair", "salt"]).where(F.when(inside, stands).otherwise(False))
+    hits = store.cut(hits.select("key", (F.col("at") - F.col("place")).alias("begin"), "size", "words").distinct(), "window-hits")
+    n_hit = hits.select("key", F.explode(F.expr("sequence(begin, begin + size - 1)")).alias("word")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
+    names = hits.select("key", "words").distinct().join(spelled.select("words", "item_id").distinct(), "words")
+    names = names.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+
+    def total_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, _, _, _, _, before in _words(batch.column("text")):
+                columns = [batch.column(c).slice(first, last - first) for c in ("doc_id", "key")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(before).astype(np.int64))], names=["doc_id", "key", "n_words"])
+
+    rows = docs.mapInArrow(total_words, "doc_id long, key string, n_words long")
+    found = rows.join(store.cut(n_hit.join(names, "key"), "contaminated-texts"), "key", "left")
+    return found.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def find_contamination(
     documents: DataFrame,
     benchmark: DataFrame,
     *,
     window: int = 13,
-    block_windows: int = 1_000_000,
+    broadcast_windows: int = 1_000_000,
 ) -> DataFrame:
     """For each document (doc_id, text): n_words, n_hit (words inside an occurrence of a window), items (sorted ids).
 
-    ``benchmark`` has item_id and text. Its items are read in blocks of about ``block_windows`` windows (at most so many
-    are broadcast, 13 hashes each); with several blocks the hit spans of a document are united over them.
+    ``benchmark`` has item_id and text. Up to ``broadcast_windows`` windows are broadcast, 13 hashes each; more are joined.
     """
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     size = items.select(F.sum(F.length("text")).alias("n")).first().n or 0
-    n_blocks = max(1, -(-size // (2 * block_windows)))  # a word has two characters at least, with its space
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if n_blocks == 1:
-        found = _one_block(docs.withColumn("row", F.lit("")), items.collect(), window)
-        return found.mapInArrow(_total, RESULT)
-    # several passes: a row keeps its number only by its own content, so equal rows are told apart by a running count
-    parts = None
-    for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()
-        part = _one_block(docs.withColumn("row", F.sha2(F.coalesce("text", F.lit("")), 256)), block, window)
-        parts = part if parts is None else parts.unionByName(part)
-    same = parts.groupBy("doc_id", "row").agg(F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies"), F.collect_set("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    same = same.withColumn("spans", F.aggregate("spans", F.lit(b""), lambda a, x: F.concat(a, x))).withColumn("items", F.array_sort("items"))
-    same = same.withColumn("copies", F.expr(f"explode(sequence(1, int(copies / {n_blocks})))"))
-    return same.select("doc_id", "n_words", "row", "spans", "items").mapInArrow(_total, RESULT)
-
-
-def _one_block(docs: DataFrame, items: list, window: int) -> DataFrame:
-    windows = Windows([(r.item_id, r.text) for r in items], window)
+    if size > 2 * broadcast_windows:  # a word has two characters at least, with its space
+        return _join(docs, items, window)
+    windows = Windows([(r.item_id, r.text) for r in items.collect()], window)
     return _search(docs, windows, count_pairs(docs, windows.pairs()))
 
 
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits = []
-        for raw in batch.column("spans"):
-            spans = np.frombuffer(raw.as_buffer(), dtype="<i8").reshape(-1, 2).tolist()
-            hits.append(sum(b - a for a, b in merge([tuple(x) for x in spans])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("items")], names=["doc_id", "n_words", "n_hit", "items"])
-
-
 def digest_items(items) -> F.Column:
     """Lower-case hex SHA-256 of sorted item ids, comma-joined."""
     return F.sha2(F.concat_ws(",", items), 256)
@@ -261,6 +321,3 @@ def digest_items(items) -> F.Column:
 def contaminated(n_hit, n_words, *, least_share: int = 20):
     """True where at least 1 / ``least_share`` of the words are hit."""
     return (n_hit > 0) & (F.lit(least_share) * n_hit >= n_words)
-
-
-EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()

@@ -156,7 +156,7 @@ def test_contamination(spark, block):
     rows += [(60, None), (61, ""), (62, "x"), (63, texts[0]), (63, texts[0])]
     docs = spark.createDataFrame(rows, DOCS).withColumn("row", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.find_contamination(docs, bench, block_windows=block)
+    found = decontam.find_contamination(docs, bench, broadcast_windows=block)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()), key=repr) == brute_hits(rows, items, 13)
     assert decontam.find_contamination(docs.limit(0), bench).count() == 0
     assert all(r.n_hit == 0 for r in decontam.find_contamination(docs, bench.limit(0)).collect())
