@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, htmlcut, huffman, langid, licences, minhash, packing, quality, store, suffix_dedup, warc
+from quillspark.llm import decontam, filter_audit, htmlcut, huffman, langid, licences, minhash, packing, pieces, quality, spelling, store, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +132,87 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlcut.extract(pages, htmlcut.train(pages))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = pieces.decode_documents(pieces.encode_documents(_table(spark, sf_dir, "documents"), piece_model(), end_id=2), piece_model())
+    return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), pieces.decimal_digest("ids").alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.words(_table(spark, sf_dir, "documents"))
+    runs = runs.select("word", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word"))).alias("h"))
+    short = spelling.drop_code_point(F.col("word"), (F.col("h") % F.length("word")).cast("int"))
+    return spelling.group_variants(spelling.count_words(runs.select(F.when(F.col("h") % 199 == 0, short).otherwise(F.col("word")).alias("word"))))
+
+
+# The unsigned crc32 is worked out byte by byte from its table; letters beyond ASCII become single bytes, by which DuckDB's levenshtein counts.
+OP12_SQL = r"""
+with recursive t as (
+  select list_transform(range(256), lambda i: list_reduce(list_concat([i::bigint], range(8)::bigint[]), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as t
+), r as (
+  select doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as w from documents) group by 1, 2
+), b as (
+  select w, n, list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar || ':' || w, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [(192 + (unicode(x) >> 6))::bigint, (128 + (unicode(x) & 63))::bigint] end))) as b from r
+), h as (
+  select w, n, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::bigint) as h from b, t
+), x as (
+  select case when h % 199 = 0 then substr(w, 1, (h % length(w))::bigint) || substr(w, (h % length(w))::bigint + 2) else w end as word, n from h
+), v as (
+  select word, cast(sum(n) as bigint) as n, length(word) as l,
+    translate(word, (select string_agg(chr(k::int), '' order by k) from range(192, 256) as q(k)), (select string_agg(chr(k::int), '' order by k) from (select * from range(1, 97) as q(k) where k <> 39) where k < 66)) as a
+  from x where length(word) >= 6 group by word having sum(n) >= 5
+), near as (
+  select p.word, q.word as near, q.n as near_n from v p join v q on q.l between p.l - 1 and p.l + 1 and p.word <> q.word and levenshtein(p.a, q.a) = 1
+), best as (
+  select word, count(*) as n_near, max(near_n) as near_n, arg_min(near, (-near_n, near)) as near from near group by word
+), f as (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when near_n >= 5 * v.n then near end as form, case when near_n >= 5 * v.n then near_n end as form_n from v left join best on best.word = v.word
+), walk as (
+  select word, word as root, form as onward from f
+  union all
+  select walk.word, f.word, f.form from walk join f on f.word = walk.onward
+)
+select f.word, f.form, walk.root, f.n, f.n_near, f.form_n from f join walk on walk.word = f.word and walk.onward is null
+"""
+
+
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    min(doc_id) over (partition by coalesce(text, '')) as first from documents
+), m as (
+  select d.doc_id, part, len(w) < 200 as a, 100 * len(list_distinct(w)) < 50 * len(w) as b, 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) as c,
+    regexp_matches(t, '[#$%&*|]') as d, d.doc_id > first as e, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic
+  from d left join labels on labels.doc_id = d.doc_id
+), k as (
+  select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as mask, count(*) as n, sum(good::int) as good, sum(toxic::int) as toxic from m group by all
+), l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x), o as (
+  select p.x || q.x || r.x || s.x || u.x as filter_order from l p, l q, l r, l s, l u where len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5
+), st as (
+  select filter_order, step, 1 << (instr('ABCDE', filter_order[step]) - 1) as f,
+    list_sum(list_concat([0], list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', filter_order[i]) - 1)))) as p
+  from o, (select unnest(range(1, 6)) as step)
+), y as (
+  select part, filter_order, step::int as step, f, sum(case when k.mask & (f | p::int) = 0 then n else 0 end)::bigint as kept,
+    sum(case when k.mask & f > 0 and k.mask & p::int = 0 then n else 0 end)::bigint as removed, sum(case when k.mask & f > 0 and k.mask & p::int > 0 then n else 0 end)::bigint as redundant,
+    sum(case when k.mask = f then n else 0 end)::bigint as unique_fails, sum(case when k.mask & f > 0 and k.mask & p::int = 0 then good else 0 end)::bigint as good_lost,
+    sum(case when k.mask & f > 0 and k.mask & p::int = 0 then toxic else 0 end)::bigint as toxic_lost
+  from k, st group by all
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley from y
+"""
+
+
 OP5_SQL = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -158,8 +239,8 @@ from n join best on best.d = n.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op3_suffix": op3_suffix, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op6_licences": op6_licences, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_html": op10_html}
+    return {"op1_warc": op1_warc, "op2_huffman": op2_huffman, "op3_suffix": op3_suffix, "op4_quality": op4_quality, "op5_minhash": op5_minhash, "op6_licences": op6_licences, "op7_packing": op7_packing, "op8_decontamination": op8_decontamination, "op9_language": op9_language, "op10_html": op10_html, "op11_pieces": op11_pieces, "op12_spelling": op12_spelling, "op13_filters": op13_filters}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_quality": OP4_SQL, "op5_minhash": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op4_quality": OP4_SQL, "op5_minhash": OP5_SQL, "op12_spelling": OP12_SQL, "op13_filters": OP13_SQL}
