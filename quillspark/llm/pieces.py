@@ -17,19 +17,19 @@ unused pieces, or with a normaliser other than identity, are not supported.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quillspark.llm import blocks, tokens
 
-#: Beyond so many segments a worker forgets those it has not met since the last time; beyond so many pairs, all.
-_MAX_SEGMENTS, _MAX_PAIRS = 300_000, 500_000
+#: Beyond so many segments, or pairs of pieces, a worker forgets those it has not met since the last time.
+_MAX_SEGMENTS, _MAX_PAIRS = 200_000, 150_000
 #: Matches of a long segment are looked up for so many places at once.
 _WINDOW = 4_096
 _SPACE = "▁"
@@ -61,26 +61,33 @@ class MergeModel:
             raw = np.frombuffer(piece.encode(), dtype=np.uint8)
             self.beside[raw[:-1], raw[1:]] = True
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._older_pairs: dict[tuple[str, str], bool] = {}
         self._segments: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """A short text by merging."""
-        parts = list(text)
-        while len(parts) > 1:
-            scored = [(self.scores.get(a + b), -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-            found = [x for x in scored if x[0] is not None]
-            if not found:
+        parts, score, never = list(text), self.scores.get, float("-inf")
+        scores = [score(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores:
+            best = max(scores)
+            if best == never:
                 break
-            k = -max(found)[1]
+            k = scores.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k < len(scores):
+                scores[k] = score(parts[k] + parts[k + 1], never)
+            if k:
+                scores[k - 1] = score(parts[k - 1] + parts[k], never)
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether both stay as they are side by side; an empty left asks for the right one alone."""
-        if len(self._pairs) > _MAX_PAIRS:
-            self._pairs.clear()
-        known = self._pairs[left, right] = self.merge(left + right) == [x for x in (left, right) if x]
+        known = self._older_pairs.get((left, right))
+        if known is None:
+            known = self.merge(left + right) == [x for x in (left, right) if x]
+        self._pairs[left, right] = known
         return known
 
     def split(self, text: str) -> list[str]:
@@ -126,11 +133,14 @@ class MergeModel:
 
     def segment(self, raw: bytes) -> bytes:
         """Ids of a segment as little-endian unsigned 32-bit integers."""
+        known = self.ids
         ids: list[int] = []
         for piece in self.split(raw.decode()):
-            known = self.ids.get(piece)
-            ids += [self.byte_ids[b] for b in piece.encode()] if known is None else [known]
-        return np.array(ids, dtype="<u4").tobytes()
+            if piece in known:
+                ids.append(known[piece])
+            else:
+                ids += [self.byte_ids[b] for b in piece.encode()]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (spaces marked before each) one after another, and where each text's begin (one more at the end)."""
@@ -139,6 +149,8 @@ class MergeModel:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
         if len(self._segments) > _MAX_SEGMENTS:
             self._older, self._segments = self._segments, {}
+        if len(self._pairs) > _MAX_PAIRS:
+            self._older_pairs, self._pairs = self._pairs, {}
         first, inverse, _ = tokens.distinct(data, starts, ends)
         raw, known, older = data.tobytes(), self._segments, self._older
         found: list[bytes] = []
@@ -233,18 +245,24 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, DECODED)
 
 
-def decimal_digest(ids: str) -> Column:
-    """Lower-case hex SHA-256 of the ids of a binary column, in decimal and joined by one space."""
+def round_trip(documents: DataFrame, path: str, *, end_id: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal_digest) and text, encoded and decoded again, in one pass over the documents."""
 
-    @F.arrow_udf("string")
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
+        library = model_for(path).library
         for batch in batches:
-            yield pa.array([_decimal_digest(np.frombuffer(x, dtype="<u4")) for x in batch.to_pylist()], pa.string())
+            for first, last, ids, begins in encode_texts(batch.column("text"), path):
+                rows = [np.concatenate([ids[a:b], tail]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+                found = [(len(x), decimal_digest(x), library.decode(x.tolist()) if len(x) else "") for x in rows]
+                n, digests, texts = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:last].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "text"])
 
-    return digest(F.col(ids))
+    return documents.select("doc_id", "text").mapInArrow(both, "doc_id long, n_tokens long, ids_sha256 string, text string")
 
 
-def _decimal_digest(ids: np.ndarray) -> str:
+def decimal_digest(ids: np.ndarray) -> str:
+    """Lower-case hex SHA-256 of ids in decimal, joined by one space."""
     digest = hashlib.sha256()
     for a in range(0, len(ids), 1 << 18):
         part = " ".join(map(str, ids[a : a + (1 << 18)].tolist()))

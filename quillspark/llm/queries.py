@@ -139,8 +139,8 @@ def piece_model() -> str:
 
 
 def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = pieces.decode_documents(pieces.encode_documents(_table(spark, sf_dir, "documents"), piece_model(), end_id=2), piece_model())
-    return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), pieces.decimal_digest("ids").alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    found = pieces.round_trip(_table(spark, sf_dir, "documents"), piece_model(), end_id=2)
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

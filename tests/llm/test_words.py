@@ -49,11 +49,13 @@ def test_piece_rows(spark):
     library = pieces.model_for(MODEL).library
     for end, tail in ((2, [2]), (None, [])):
         rows = pieces.encode_documents(docs, MODEL, end_id=end)
-        found = {r.doc_id: r for r in pieces.decode_documents(rows, MODEL).withColumn("digest", pieces.decimal_digest("ids")).collect()}
+        found = {r.doc_id: r for r in pieces.decode_documents(rows, MODEL).collect()}
+        trip = {r.doc_id: r for r in pieces.round_trip(docs, MODEL, end_id=end).collect()}
         for k, text in enumerate(texts):
             ids = library.encode(text or "") + tail
             assert bytes(found[k].ids) == b"".join(x.to_bytes(4, "little") for x in ids) and found[k].text == library.decode(ids)
-            assert found[k].digest == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+            assert (trip[k].n_tokens, trip[k].text) == (len(ids), found[k].text)
+            assert trip[k].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pieces.decode_documents(pieces.encode_documents(empty, MODEL), MODEL).count() == 0
     twice = spark.createDataFrame([(None, "a"), (7, "a"), (7, "a")], "doc_id long, text string")
