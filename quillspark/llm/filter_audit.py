@@ -38,7 +38,8 @@ def class_columns(text: Column) -> list[Column]:
 def _refined(classes: DataFrame) -> DataFrame:
     """``class`` of texts (c0, c1, ...) that are not alone in it."""
     alive = classes.withColumn("class", F.col("c0"))
-    several = lambda df: df.groupBy("class").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("class")
+    # written first, so that the join has a shuffle on either side and Spark may split a class of very many texts
+    several = lambda df: store.cut(df.groupBy("class").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("class"), "classes-of-several")
     alive = store.cut(alive.join(several(alive), "class", "left_semi"), "classes-by-length")
     for k in range(1, len(_ENDS) + 1):
         longer = alive.where(F.col(f"c{k}").isNotNull())
@@ -74,6 +75,7 @@ def mark_duplicates(documents: DataFrame, measures: dict[str, Column]) -> DataFr
     while True:  # once, unless hashes of different texts are equal
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
         least = members.groupBy("_class").agg(F.min_by(F.struct(F.col("doc_id").alias("_first"), F.col("text").alias("_text")), order).alias("_least"))
+        least = store.cut(least, "first-texts")
         compared = members.join(least.hint("merge"), "_class").withColumn("_same", F.col("text") == F.col("_least._text"))
         compared = store.cut(compared.select(*members.columns, "_same", F.col("_least._first").alias("_first")).withColumn("text", F.when(~F.col("_same"), F.col("text"))), "compared-texts")
         duplicate = F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))
