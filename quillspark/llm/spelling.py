@@ -58,6 +58,15 @@ def _masked(counted: DataFrame) -> DataFrame:
     return found.select("word", "n", "length", *[band(b).alias(f"m{b}") for b in range(_BANDS)])
 
 
+def _one_edit(short: str, long: str) -> Column:
+    """Whether the words of two sides, equal in length or longer by one, differ by one edit; linear, for long words."""
+    differ = F.zip_with(F.split(f"{short}.word", ""), F.split(f"{long}.word", ""), lambda x, y: F.coalesce(x != y, F.lit(True)))
+    first = F.array_position(differ, F.lit(True)).cast("int")
+    after = lambda side, skip: F.substring(F.col(f"{side}.word"), first + skip, F.col(f"{side}.length"))
+    rest = after(short, F.when(F.col(f"{short}.length") == F.col(f"{long}.length"), 1).otherwise(0)) == after(long, F.lit(1))
+    return (F.col(f"{short}.word") != F.col(f"{long}.word")) & rest
+
+
 def near_words(counted: DataFrame) -> DataFrame:
     """word, near, near_n: both ways of every pair of words (word, n) that are one edit apart."""
     masked = store.cut(_masked(counted), "word-masks")
@@ -75,7 +84,7 @@ def near_words(counted: DataFrame) -> DataFrame:
     first = F.expr("case when l.m0 = r.m0 then 0 when l.m1 = r.m1 then 2 when l.m2 = r.m2 then 4 end + case when left(l.word, l.length div 2) = left(r.word, l.length div 2) then 0 else 1 end")
     flips = F.expr("bit_count(l.m0 ^ r.m0) + bit_count(l.m1 ^ r.m1) + bit_count(l.m2 ^ r.m2)")
     once = F.expr("(r.longer = 1 or l.word < r.word)")
-    one = F.levenshtein(F.col("l.word"), F.col("r.word"), 1) == 1
+    one = F.when(F.col("l.length") <= 64, F.levenshtein(F.col("l.word"), F.col("r.word"), 1) == 1).otherwise(_one_edit("l", "r"))
     pairs = left.join(right.hint("merge"), (F.col("l.key") == F.col("r.key")) & (F.col("l.slot") == F.col("r.slot")) & once & (flips <= 2) & (first == F.col("l.slot")) & one)
     both = F.array(F.struct(F.col("l.word").alias("word"), F.col("r.word").alias("near"), F.col("r.n").alias("near_n")), F.struct(F.col("r.word").alias("word"), F.col("l.word").alias("near"), F.col("l.n").alias("near_n")))
     return pairs.select(F.explode(both).alias("p")).select("p.*")

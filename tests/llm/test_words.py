@@ -102,6 +102,8 @@ def test_variants(spark, letters):
     counts = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))): rnd.choice([1, 2, 5, 9, 26, 140]) for _ in range(400)}
     chain = {"rootword": 5**4, "rootwrd": 5**3, "rootwr": 5**2, "rootr": 5, "root": 1}
     counts |= chain
+    long = "longwords" * 9
+    counts |= {long: 900, long[:40] + long[41:]: 9, long[:40] + "x" + long[41:]: 9, long[:30] + "x" + long[31:-1]: 3, "y" + long: 2, long[:-1]: 1}
     rows = spark.createDataFrame(list(counts.items()), "word string, n long").withColumn("m0", F.lit("clash"))
     columns = ("word", "form", "root", "n", "n_near", "form_n")
     assert {tuple(r) for r in spelling.group_variants(rows).select(*columns).collect()} == brute_variants(counts)
