@@ -1,22 +1,34 @@
 """Patterns and constants of the document format, in Java's regular expressions. All are fixed values.
 
-``(?d)`` makes the newline the only line end, and ``(?U)`` gives classes their Unicode meaning.
+``(?d)`` makes the newline the only line end. White space and word characters have their Unicode meaning everywhere.
+Each pattern works in time linear in the text.
 """
 
-FENCE = r"(?dms)^```[A-Za-z0-9_+\-]*\s*\n.*?\n```[ \t]*$"
-FENCE_PARTS = r"(?dms)^```([A-Za-z0-9_+\-]*)\s*\n(.*?)\n```[ \t]*$"
-HEADING = r"(?dm)^(#{1,6})\s+(.+?)\s*$"
-FRONTMATTER = r"(?ds)\A---\s*\n.*?\n---\s*\n"
-PLAIN_INCLUDE = r"(?dm)^\{!.*?!\}\s*$"
-CODE_INCLUDE = r"\{\*\s+(\S+?)(?:\s+(?:hl|ln)\[[^\]]*\])*\s*\*\}"
-HEADING_ANCHOR = r"(?dm)[ \t]*\{\s*#[A-Za-z0-9_\-]+\s*\}[ \t]*$"
-ATTRIBUTE_LIST = r"\s*\{:[^}]*\}"
-INCLUDE = r"(?dm)^\{[!*].*?[!*]\}\s*$"
-TITLED_ADMONITION = r'(?dm)^!!!\s+\w+\s+"([^"]+)"\s*$'
-BARE_ADMONITION = r'(?dm)^!!!\s+\w+(?:\s+"")?\s*$'
-TAB = r'(?dm)^===\s+"([^"]+)"\s*$'
+# Classes: white space, white space within a line, and word characters.
+_S = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_H = r"[\t\x0B-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_W = r"[\p{L}\p{N}_]"
+
+# A fence from its opening line to its closing line, or from an opening line that nothing closes to the end of the text.
+# A closing line follows the first line that isn't blank; else it is that line, if a blank one stands before it.
+_OPEN = r"```([A-Za-z0-9_+\-]*)"
+_CLOSED = rf"(?>{_S}*\n).*?\n```[ \t]*$|{_H}*\n{_S}*\n```[ \t]*$"
+FENCE_OR_TAIL = rf"(?dms)^{_OPEN}(?:{_CLOSED}|{_H}*\n.*\z)"
+FENCE_ALONE = rf"(?dms)\A{_OPEN}(?:{_CLOSED})\z"
+FENCE_CODE = rf"(?dms)\A```[A-Za-z0-9_+\-]*{_S}*\n(.*?)\n```[ \t]*\z"
+HEADING = rf"(?dm)^#{{1,6}}{_S}+.+$"
+FRONTMATTER = rf"(?ds)\A---{_S}*\n.*?\n---{_S}*\n"
+PLAIN_INCLUDE = rf"(?dm)^\{{!.*?!\}}{_S}*$"
+CODE_INCLUDE = rf"\{{\*{_S}+((?:(?!{_S})[\s\S])+?)(?:{_S}+(?:hl|ln)\[[^\]]*\])*{_S}*\*\}}"
+# Both go with the white space before them.
+HEADING_ANCHOR = rf"(?dm)\{{{_S}*+#[A-Za-z0-9_\-]+{_S}*+\}}[ \t]*+$"
+ATTRIBUTE_LIST = r"\{:[^}]*\}"
+INCLUDE = rf"(?dm)^\{{[!*].*?[!*]\}}{_S}*$"
+TITLED_ADMONITION = rf'(?dm)^!!!{_S}+{_W}+{_S}+"([^"]+)"{_S}*$'
+BARE_ADMONITION = rf'(?dm)^!!!{_S}+{_W}+(?:{_S}+"")?{_S}*$'
+TAB = rf'(?dm)^==={_S}+"([^"]+)"{_S}*$'
 INLINE_HTML = r"(?i)</?(?:font|span|div|small|sub|sup|kbd)\b[^>]*>"
-TRAILING_BLANKS = r"(?dm)[ \t]+$"
+TRAILING_BLANKS = r"(?dm)(?<![ \t])[ \t]++$"
 BLANK_LINES = r"\n{3,}"
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

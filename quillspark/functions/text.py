@@ -15,12 +15,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _places(lengths: Column, between: Column) -> Column:
-    """Where parts of these lengths begin, when as many lengths of text stand before each of them."""
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
-    pairs = F.zip_with(lengths, F.slice(between, F.lit(1), F.size(lengths)), lambda n, b: F.struct(n.alias("n"), b.alias("b")))
-    add = lambda a, x: F.struct((a["end"] + x["b"] + x["n"]).alias("end"), F.concat(a["at"], F.array(a["end"] + x["b"])).alias("at"))
-    return F.aggregate(pairs, start, add, lambda a: a["at"])
+#: Sums are made of so many numbers at once, as an array that grows is copied each time.
+_RUN = 256
+
+
+def starts(lengths: Column) -> Column:
+    """Where parts of these lengths begin that follow each other; the work grows with their number."""
+
+    def run(all_lengths: Column, k: Column) -> Column:
+        first = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
+        return F.aggregate(F.slice(all_lengths, k * _RUN + 1, F.lit(_RUN)), first, lambda a, n: F.struct((a["end"] + n).alias("end"), F.concat(a["at"], F.array(a["end"])).alias("at")))
+
+    def joined(runs: Column) -> Column:
+        first = F.struct(F.lit(0).alias("end"), F.array().cast("array<array<int>>").alias("at"))
+        add = lambda a, r: F.struct((a["end"] + r["end"]).alias("end"), F.concat(a["at"], F.array(F.transform(r["at"], lambda x: x + a["end"]))).alias("at"))
+        return F.flatten(F.aggregate(runs, first, add, lambda a: a["at"]))
+
+    def all_runs(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _RUN).cast("int")), lambda k: run(x, k))
+
+    return let(lengths, lambda x: F.when(F.size(x) > 0, joined(all_runs(x))).otherwise(F.array().cast("array<int>")))
 
 
 def decode_text(content: Column) -> Column:
@@ -57,39 +71,60 @@ def strip_plain_includes(text: Column) -> Column:
     return F.regexp_replace(text, P.PLAIN_INCLUDE, "")
 
 
-def fences(text: Column) -> Column:
-    """All fenced blocks, whole, in order."""
-    return F.regexp_extract_all(text, F.lit(P.FENCE), F.lit(0))
+def fenced(text: Column) -> Column:
+    """struct<prose, fences>: fenced blocks, whole and in order, and the text around them, one piece more than blocks.
+
+    What follows an opening line that nothing closes is prose, so it may be left at the first such line.
+    """
+    prose, found = F.split(text, P.FENCE_OR_TAIL, -1), F.regexp_extract_all(text, F.lit(P.FENCE_OR_TAIL), F.lit(0))
+
+    def parts(x: Column) -> Column:
+        last = F.try_element_at(x["found"], F.lit(-1))
+        open_end = F.concat(F.slice(x["prose"], F.lit(1), F.size(x["found"]) - 1), F.array(F.concat(F.element_at(x["prose"], -2), last)))
+        tail = F.struct(open_end.alias("prose"), F.slice(x["found"], F.lit(1), F.size(x["found"]) - 1).alias("fences"))
+        whole = F.struct(x["prose"].alias("prose"), x["found"].alias("fences"))
+        return F.when(last.rlike(P.FENCE_ALONE), whole).when(F.size(x["found"]) > 0, tail).otherwise(whole)
+
+    none = F.struct(F.array(text).alias("prose"), F.array().cast("array<string>").alias("fences"))
+    return F.when(text.contains("```"), let(F.struct(prose.alias("prose"), found.alias("found")), parts)).otherwise(none)
+
+
+def _prose_starts(prose: Column, between: Column) -> Column:
+    """Where each piece of prose begins, in characters, when one of ``between`` follows each but the last."""
+    lengths = F.transform(prose, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(between, i)), F.lit(0)))
+    return starts(lengths)
 
 
 def code_blocks(text: Column) -> Column:
     """array<struct<id, language, code, start, end>> of fenced blocks; offsets in characters."""
-    whole = F.transform(fences(text), F.length)
-    languages = F.regexp_extract_all(text, F.lit(P.FENCE_PARTS), F.lit(1))
-    codes = F.regexp_extract_all(text, F.lit(P.FENCE_PARTS), F.lit(2))
-    between = F.transform(F.split(text, P.FENCE, -1), F.length)
-
-    def blocks(x: Column) -> Column:
-        def block(code: Column, i: Column) -> Column:
-            language = F.get(x["languages"], i)
+
+    def blocks(x: Column, at: Column) -> Column:
+        def block(fence: Column, i: Column) -> Column:
+            language = F.regexp_extract(fence, P.FENCE_ALONE, 1)
+            start = F.get(at, i) + F.length(F.get(x["prose"], i))
             return F.struct(
                 i.alias("id"),
                 F.when(language == "", "text").otherwise(language).alias("language"),
-                code.alias("code"),
-                F.get(x["at"], i).alias("start"),
-                (F.get(x["at"], i) + F.get(x["whole"], i)).alias("end"),
+                F.regexp_extract(fence, P.FENCE_CODE, 1).alias("code"),
+                start.alias("start"),
+                (start + F.length(fence)).alias("end"),
             )
 
-        return F.transform(x["codes"], block)
+        return F.transform(x["fences"], block)
 
-    placed = let(whole, lambda w: F.struct(w.alias("whole"), _places(w, between).alias("at"), languages.alias("languages"), codes.alias("codes")))
-    return F.when(text.contains("```"), let(placed, blocks)).otherwise(F.array().cast("array<struct<id:int,language:string,code:string,start:int,end:int>>"))
+    placed = let(fenced(text), lambda x: let(_prose_starts(x["prose"], x["fences"]), lambda at: blocks(x, at)))
+    return F.when(text.contains("```"), placed).otherwise(F.array().cast("array<struct<id:int,language:string,code:string,start:int,end:int>>"))
+
+
+def _title(heading: Column) -> Column:
+    return strip(F.ltrim(heading, F.lit("#")))
 
 
 def sections(text: Column) -> Column:
     """array<struct<level, title>> of headings in order, those inside code too."""
-    marks, titles = (F.regexp_extract_all(text, F.lit(P.HEADING), F.lit(k)) for k in (1, 2))
-    return F.transform(titles, lambda title, i: F.struct(F.length(F.get(marks, i)).alias("level"), strip(title).alias("title")))
+    found = F.regexp_extract_all(text, F.lit(P.HEADING), F.lit(0))
+    made = F.transform(found, lambda h: F.struct((F.length(h) - F.length(F.ltrim(h, F.lit("#")))).alias("level"), _title(h).alias("title")))
+    return F.when(text.contains("#"), made).otherwise(F.array().cast("array<struct<level:int,title:string>>"))
 
 
 def file_stem(path: Column) -> Column:
@@ -110,28 +145,58 @@ def document_title(text: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), title_case(F.regexp_replace(file_stem(path), "[-_]", " ")), F.lit(""))
 
 
+def _replaced(text: Column, mark: str, *steps: tuple[str, str]) -> Column:
+    """Patterns replaced in a text that holds a mark; others are left without a look."""
+
+    def replace(t: Column) -> Column:
+        out = t
+        for pattern, to in steps:
+            out = F.regexp_replace(out, pattern, to)
+        return F.when(t.contains(mark), out).otherwise(t)
+
+    return let(text, replace)
+
+
+def _cut_out(text: Column, pattern: str, blanks: str) -> Column:
+    """A text without what a pattern matches and the blanks before it."""
+    pieces = F.split(text, pattern, -1)
+    return let(pieces, lambda x: F.array_join(F.transform(x, lambda p, i: F.when(i < F.size(x) - 1, F.rtrim(p, F.lit(blanks))).otherwise(p)), ""))
+
+
 def strip_heading_anchors(text: Column) -> Column:
-    return let(text, lambda t: F.when(t.contains("{"), F.regexp_replace(t, P.HEADING_ANCHOR, "")).otherwise(t))
+    return let(text, lambda t: F.when(t.contains("{"), _cut_out(t, P.HEADING_ANCHOR, " \t")).otherwise(t))
 
 
 def strip_attribute_lists(text: Column) -> Column:
-    return let(text, lambda t: F.when(t.contains("{:"), F.regexp_replace(t, P.ATTRIBUTE_LIST, "")).otherwise(t))
+    """Attribute lists go; behind the last closing brace none is looked for."""
+
+    def cut(t: Column) -> Column:
+        behind = F.substring_index(t, "}", -1)
+        return F.when(t.contains("{:") & t.contains("}"), F.concat(_cut_out(F.left(t, F.length(t) - F.length(behind)), P.ATTRIBUTE_LIST, P.WHITE_SPACE), behind)).otherwise(t)
+
+    return let(text, cut)
 
 
 def strip_includes(text: Column) -> Column:
-    return F.regexp_replace(text, P.INCLUDE, "")
+    return _replaced(text, "}", (P.INCLUDE, ""))
 
 
 def admonitions_to_bold(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, P.TITLED_ADMONITION, r"**$1**"), P.BARE_ADMONITION, "")
+    return _replaced(text, "!!!", (P.TITLED_ADMONITION, r"**$1**"), (P.BARE_ADMONITION, ""))
 
 
 def tabs_to_bold(text: Column) -> Column:
-    return F.regexp_replace(text, P.TAB, r"**$1**")
+    return _replaced(text, "===", (P.TAB, r"**$1**"))
 
 
 def strip_inline_html(text: Column) -> Column:
-    return F.regexp_replace(text, P.INLINE_HTML, "")
+    """Inline tags go; behind the last closing mark none is looked for."""
+
+    def cut(t: Column) -> Column:
+        behind = F.substring_index(t, ">", -1)
+        return F.when(t.contains("<") & t.contains(">"), F.concat(F.regexp_replace(F.left(t, F.length(t) - F.length(behind)), P.INLINE_HTML, ""), behind)).otherwise(t)
+
+    return let(text, cut)
 
 
 def strip_trailing_blanks(text: Column) -> Column:
@@ -139,7 +204,7 @@ def strip_trailing_blanks(text: Column) -> Column:
 
 
 def collapse_blank_lines(text: Column) -> Column:
-    return F.regexp_replace(text, P.BLANK_LINES, "\n\n")
+    return _replaced(text, "\n\n\n", (P.BLANK_LINES, "\n\n"))
 
 
 PROSE_STEPS = (
@@ -166,51 +231,57 @@ def clean_text(raw: Column, *, protect_fences: bool = False) -> Column:
 
     Cleaning may take the newline before a fence with a directive above it; ``protect_fences`` puts it back.
     """
-    def whole(blocks: Column) -> Column:
+    def whole(x: Column) -> Column:
         def piece(text: Column, i: Column) -> Column:
             clean = clean_prose(text)
             if protect_fences:
-                lost = (i < F.size(blocks)) & (clean != "") & ~clean.endswith("\n")
+                lost = (i < F.size(x["fences"])) & (clean != "") & ~clean.endswith("\n")
                 clean = F.when(lost, F.concat(clean, F.lit("\n"))).otherwise(clean)
-            return F.concat(clean, F.coalesce(F.get(blocks, i), F.lit("")))
+            return F.concat(clean, F.coalesce(F.get(x["fences"], i), F.lit("")))
 
-        return F.array_join(F.transform(F.split(raw, P.FENCE, -1), piece), "")
+        return F.array_join(F.transform(x["prose"], piece), "")
 
-    cleaned = F.concat(strip(collapse_blank_lines(let(fences(raw), whole))), F.lit("\n"))
+    cleaned = F.concat(strip(collapse_blank_lines(let(fenced(raw), whole))), F.lit("\n"))
     return F.when(raw == "", raw).otherwise(cleaned)
 
 
 def segments(text: Column) -> Column:
     """array<struct<start, end, kind, content>>: prose and code in order, empty prose left out; offsets in characters."""
-    def parts(blocks: Column) -> Column:
+
+    def parts(x: Column, at: Column) -> Column:
+        def segment(content: Column, start: Column, kind: str) -> Column:
+            return F.struct(start.alias("start"), (start + F.length(content)).alias("end"), F.lit(kind).alias("kind"), content.alias("content"))
+
         def both(content: Column, i: Column) -> Column:
-            own = F.struct(F.lit("prose").alias("kind"), content.alias("content"))
-            code = F.struct(F.lit("code").alias("kind"), F.coalesce(F.get(blocks, i), F.lit("")).alias("content"))
+            own = segment(content, F.get(at, i), "prose")
+            code = segment(F.coalesce(F.get(x["fences"], i), F.lit("")), F.get(at, i) + F.length(content), "code")
             return F.array(own, code)
 
-        return F.filter(F.flatten(F.transform(F.split(text, P.FENCE, -1), both)), lambda s: s["content"] != "")
+        return F.filter(F.flatten(F.transform(x["prose"], both)), lambda s: s["content"] != "")
 
-    def placed(x: Column) -> Column:
-        lengths = F.transform(x, lambda s: F.length(s["content"]))
-        at = _places(lengths, F.transform(x, lambda s: F.lit(0)))
-        place = lambda a: F.transform(x, lambda s, i: F.struct(F.get(a, i).alias("start"), (F.get(a, i) + F.length(s["content"])).alias("end"), s["kind"].alias("kind"), s["content"].alias("content")))
-        return let(at, place)
-
-    return let(let(fences(text), parts), placed)
+    return let(fenced(text), lambda x: let(_prose_starts(x["prose"], x["fences"]), lambda at: parts(x, at)))
 
 
 def headings(text: Column) -> Column:
     """array<struct<pos, title>> of headings, positions in characters."""
-    found = F.regexp_extract_all(text, F.lit(P.HEADING), F.lit(0))
-    titles = F.regexp_extract_all(text, F.lit(P.HEADING), F.lit(2))
-    between = F.transform(F.split(text, P.HEADING, -1), F.length)
-    at = let(F.transform(found, F.length), lambda n: _places(n, between))
-    return let(at, lambda a: F.transform(titles, lambda title, i: F.struct(F.get(a, i).alias("pos"), strip(title).alias("title"))))
+    both = F.struct(F.split(text, P.HEADING, -1).alias("between"), F.regexp_extract_all(text, F.lit(P.HEADING), F.lit(0)).alias("found"))
 
+    def placed(x: Column, at: Column) -> Column:
+        return F.transform(x["found"], lambda h, i: F.struct((F.get(at, i) + F.length(F.get(x["between"], i))).alias("pos"), _title(h).alias("title")))
 
-def section_at(found: Column, position: Column) -> Column:
-    """Title of the last heading at or before a position, else intro."""
-    return F.coalesce(F.try_element_at(F.filter(found, lambda h: h["pos"] <= position), F.lit(-1))["title"], F.lit("intro"))
+    found = let(both, lambda x: let(_prose_starts(x["between"], x["found"]), lambda at: placed(x, at)))
+    return F.when(text.contains("#"), found).otherwise(F.array().cast("array<struct<pos:int,title:string>>"))
+
+
+def sections_at(found: Column, positions: Column) -> Column:
+    """For each of ascending positions the title of the last of ``headings`` at or before it, else intro.
+
+    Both lists are merged once: a position's place among all, less its place among positions, counts the headings before.
+    """
+    marks = F.concat(F.transform(found, lambda h: h["pos"] * 2), F.transform(positions, lambda p: p * 2 + 1))
+    merged = F.filter(F.transform(F.sort_array(marks), lambda x, i: F.when(x % 2 == 1, i)), lambda i: i.isNotNull())
+    before = lambda i, k: i - k - 1
+    return let(found, lambda h: F.transform(merged, lambda i, k: F.when(before(i, k) < 0, "intro").otherwise(F.get(h, before(i, k))["title"])))
 
 
 def slug(text: Column, *, empty: str = "section", length: int = 60) -> Column:

@@ -43,10 +43,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 MD_DOCS = """select doc_id, concat('docs/', source, '/d-', cast(doc_id as string), '.md') as path,
  concat('---', chr(10), 'title: t', cast(doc_id as string), chr(10), '---', chr(10),
  '# Doc ', cast(doc_id as string), ' { #doc-', cast(doc_id as string), ' }', chr(10), chr(10),
- '!!! note "Note ', cast(doc_id % 7 as string), '"', chr(10), chr(10), text, '  ', chr(10), chr(10), chr(10), chr(10),
+ '!!! nöte', chr(160), '"Note ', cast(doc_id % 7 as string), '"', chr(10), chr(10), text, '  ', chr(10), chr(10), chr(10), chr(10),
  '```python', chr(10), '# step', chr(10), 'x = ', cast(doc_id as string), chr(10), '```', chr(10), chr(10),
  '## Tail ', cast(doc_id % 5 as string), chr(10), chr(10), '=== "Tab"', chr(10), chr(10),
- '<span class="k">', substring(text,1,200), '</span>{: .c }', chr(10), chr(10),
+ '<span class="k">', substring(text,1,200), '</span>', chr(160), '{: .c }', chr(10), chr(10),
  '```', chr(10), 'ls', chr(10), '```', chr(10)) as raw from documents"""
 RESPONSES = """select conv_id * 100 + turn as response_id, turn, concat('Intro.', chr(10),
  case turn % 3 when 0 then '```python' when 1 then '```py' else '```Python' end, chr(10),
@@ -61,18 +61,25 @@ ASKED = "select vec_id as query_id, concat('question ', cast(vec_id as string))
 _FENCE = r"(?ms)^```[A-Za-z0-9_+\-]*\s*\n.*?\n```[ \t]*$"
 
 
-def _sql_clean(text: str) -> str:
-    for pattern, to in (
-        (r"(?m)[ \t]*\{\s*#[A-Za-z0-9_\-]+\s*\}[ \t]*$", ""),
-        (r"\s*\{:[^}]*\}", ""),
-        (r"(?m)^\{[!*].*?[!*]\}\s*$", ""),
-        (r'(?m)^!!!\s+\w+\s+"([^"]+)"\s*$', r"**\1**"),
-        (r'(?m)^!!!\s+\w+(?:\s+"")?\s*$', ""),
-        (r'(?m)^===\s+"([^"]+)"\s*$', r"**\1**"),
-        (r"(?i)</?(?:font|span|div|small|sub|sup|kbd)\b[^>]*>", ""),
-        (r"(?m)[ \t]+$", ""),
-        (r"\n{3,}", "\n\n"),
-    ):
+# White space and word characters in their Unicode meaning.
+_S, _W = r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"[\p{L}\p{N}_]"
+_SQL_STRIP = f"^{_S}+|{_S}+$"
+_SQL_STEPS = {
+    "strip_heading_anchors": (rf"(?m)[ \t]*\{{{_S}*#[A-Za-z0-9_\-]+{_S}*\}}[ \t]*$", ""),
+    "strip_attr_lists": (rf"{_S}*\{{:[^}}]*\}}", ""),
+    "strip_includes": (rf"(?m)^\{{[!*].*?[!*]\}}{_S}*$", ""),
+    "titled_admonition": (rf'(?m)^!!!{_S}+{_W}+{_S}+"([^"]+)"{_S}*$', r"**\1**"),
+    "bare_admonition": (rf'(?m)^!!!{_S}+{_W}+(?:{_S}+"")?{_S}*$', ""),
+    "tabs_to_bold": (rf'(?m)^==={_S}+"([^"]+)"{_S}*$', r"**\1**"),
+    "strip_inline_html": (r"(?i)</?(?:font|span|div|small|sub|sup|kbd)\b[^>]*>", ""),
+    "strip_trailing_ws": (r"(?m)[ \t]+$", ""),
+    "collapse_blank_lines": (r"\n{3,}", "\n\n"),
+}
+
+
+def _sql_clean(text: str, *steps: str) -> str:
+    for step in steps or _SQL_STEPS:
+        pattern, to = _SQL_STEPS[step]
         text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
     return text
 
@@ -82,7 +89,7 @@ SQL_CLEANED = rf"""{SQL_PARSED}, parts as (
  select doc_id, path, regexp_split_to_array(text, '{_FENCE}') as prose, regexp_extract_all(text, '{_FENCE}') as code from body
 ), cleaned as (
  select doc_id, path, concat(regexp_replace(regexp_replace(array_to_string(list_transform(range(1, len(prose) + 1),
-   lambda i: concat({_sql_clean('prose[i]')}, coalesce(code[i], ''))), ''), '\n{{3,}}', '{chr(10)}{chr(10)}', 'g'), '^\s+|\s+$', '', 'g'), chr(10)) as text from parts
+   lambda i: concat({_sql_clean('prose[i]')}, coalesce(code[i], ''))), ''), '\n{{3,}}', '{chr(10)}{chr(10)}', 'g'), '{_SQL_STRIP}', '', 'g'), chr(10)) as text from parts
 )"""
 SQL_SEGMENTS = rf"""{SQL_CLEANED}, cut as (
  select doc_id, path, text, regexp_split_to_array(text, '{_FENCE}') as prose, regexp_extract_all(text, '{_FENCE}') as code from cleaned
@@ -108,7 +115,8 @@ def _view(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, MD_DOCS, "documents")
+    sql = MD_DOCS.replace("{", "{{").replace("}", "}}").replace("from documents", "from {t}")
+    return spark.sql(sql, t=SRC.spread(_table(spark, sf_dir, "documents")))
 
 
 def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,9 +199,9 @@ def strip_frontmatter(spark, sf_dir):
     return _md(spark, sf_dir).select("doc_id", X.strip_frontmatter(F.col("raw")).alias("text"))
 
 
-@query(r"select doc_id, regexp_replace(concat('a', chr(10), '{! x.md !}', chr(10), text), '(?m)^\{!.*?!\}\s*$', '', 'g') as text from documents")
+@query(rf"select doc_id, regexp_replace(concat('a', chr(10), '{{! x.md !}}', chr(160), chr(10), text), '(?m)^\{{!.*?!\}}{_S}*$', '', 'g') as text from documents")
 def strip_plain_includes(spark, sf_dir):
-    text = F.concat(F.lit("a\n{! x.md !}\n"), F.col("text"))
+    text = F.concat(F.lit("a\n{! x.md !}\u00a0\n"), F.col("text"))
     return _table(spark, sf_dir, "documents").select("doc_id", X.strip_plain_includes(text).alias("text"))
 
 
@@ -337,36 +345,32 @@ def html_misnested(spark, sf_dir):
 
 
 def _register_steps() -> None:
-    text, n = "text", "doc_id"
-    both = lambda head, tail: ([head, text, tail, n], f"concat('{head}', {text}, '{tail}', cast({n} as string))")
-    for name, pattern, to, step, (parts, sql) in (
-        ("strip_heading_anchors", r"(?m)[ \t]*\{\s*#[A-Za-z0-9_\-]+\s*\}[ \t]*$", "", X.strip_heading_anchors, both("## T { #a-b }\n", "\n# U {#c} \n")),
-        ("strip_attr_lists", r"\s*\{:[^}]*\}", "", X.strip_attribute_lists, both("a {: .b #c }\n", "\n {: x}d")),
-        ("strip_includes", r"(?m)^\{[!*].*?[!*]\}\s*$", "", X.strip_includes, both("{! a.md !}\n", "\n{* b.py *}\n")),
-        ("tabs_to_bold", r'(?m)^===\s+"([^"]+)"\s*$', r"**\1**", X.tabs_to_bold, both('=== "A b"\n\n', '\n=== "C"\n')),
-        ("strip_inline_html", r"(?i)</?(?:font|span|div|small|sub|sup|kbd)\b[^>]*>", "", X.strip_inline_html, both('<span class="k">', "</SPAN><kbd>x</kbd><p>")),
-        ("strip_trailing_ws", r"(?m)[ \t]+$", "", X.strip_trailing_blanks, both("a \t\n", " \n b  \n")),
-        ("collapse_blank_lines", r"\n{3,}", "\n\n", X.collapse_blank_lines, both("a\n\n\n\n", "\n\n\nb\n\n")),
+    """Each step over all documents, between marks that it works on, no-break spaces and letters beyond ASCII among them."""
+    for name, step, head, tail in (
+        ("strip_heading_anchors", X.strip_heading_anchors, "## T { #a-b }\n", "\n# U {\u00a0#c} \n"),
+        ("strip_attr_lists", X.strip_attribute_lists, "a\u00a0{: .b #c }\n", "\n\u2003{: x}d"),
+        ("strip_includes", X.strip_includes, "{! a.md !}\u00a0\n", "\n{* b.py *}\n"),
+        ("tabs_to_bold", X.tabs_to_bold, '===\u00a0"A b"\n\n', '\n=== "C"\n'),
+        ("strip_inline_html", X.strip_inline_html, '<span class="k">', "</SPAN><kbd>x</kbd><p>"),
+        ("strip_trailing_ws", X.strip_trailing_blanks, "a \t\n", " \n b  \n"),
+        ("collapse_blank_lines", X.collapse_blank_lines, "a\n\n\n\n", "\n\n\nb\n\n"),
     ):
 
-        def run(spark, sf_dir, step=step, parts=parts):
-            head, _, tail, _ = parts
+        def run(spark, sf_dir, step=step, head=head, tail=tail):
             raw = F.concat(F.lit(head), F.col("text"), F.lit(tail), F.col("doc_id").cast("string"))
             return _table(spark, sf_dir, "documents").select("doc_id", step(raw).alias("text"))
 
         run.__name__ = name
-        query(f"select doc_id, regexp_replace({sql}, '{pattern}', '{to}', 'g') as text from documents")(run)
+        query("select doc_id, " + _sql_clean(f"concat('{head}', text, '{tail}', cast(doc_id as string))", name) + " as text from documents")(run)
 
 
 _register_steps()
 
 
-@query(
-    r"""with r as (select doc_id, concat('!!! note "N ', cast(doc_id % 7 as string), '"', chr(10), chr(10), '!!! tip', chr(10), chr(10), text) as raw from documents)
-select doc_id, regexp_replace(regexp_replace(raw, '(?m)^!!!\s+\w+\s+"([^"]+)"\s*$', '**\1**', 'g'), '(?m)^!!!\s+\w+(?:\s+"")?\s*$', '', 'g') as text from r"""
-)
+@query(f"""with r as (select doc_id, concat('!!!', chr(160), 'nöte "N ', cast(doc_id % 7 as string), '"', chr(10), chr(10), '!!! tip', chr(160), chr(10), chr(10), text) as raw from documents)
+select doc_id, {_sql_clean("raw", "titled_admonition", "bare_admonition")} as text from r""")
 def admonitions_to_bold(spark, sf_dir):
-    raw = F.concat(F.lit('!!! note "N '), (F.col("doc_id") % 7).cast("string"), F.lit('"\n\n'), F.lit("!!! tip\n\n"), F.col("text"))
+    raw = F.concat(F.lit('!!!\u00a0nöte "N '), (F.col("doc_id") % 7).cast("string"), F.lit('"\n\n'), F.lit("!!! tip\u00a0\n\n"), F.col("text"))
     return _table(spark, sf_dir, "documents").select("doc_id", X.admonitions_to_bold(raw).alias("text"))
 
 
@@ -391,8 +395,8 @@ def segment_text(spark, sf_dir):
 select s.doc_id, cast(seg as int) as seg, coalesce((select arg_max(title, pos) from heads h where h.doc_id = s.doc_id and h.pos <= s.start), 'intro') as section from segments s"""
 )
 def section_at(spark, sf_dir):
-    found = _cleaned(spark, sf_dir).select("doc_id", X.headings(F.col("text")).alias("h"), F.posexplode(X.segments(F.col("text"))).alias("seg", "s"))
-    return found.select("doc_id", "seg", X.section_at(F.col("h"), F.col("s.start")).alias("section"))
+    found = _cleaned(spark, sf_dir).select("doc_id", X.headings(F.col("text")).alias("h"), F.transform(X.segments(F.col("text")), lambda s: s["start"]).alias("at"))
+    return found.select("doc_id", F.posexplode(X.sections_at(F.col("h"), F.col("at"))).alias("seg", "section"))
 
 
 @query()
@@ -401,7 +405,7 @@ def split_prose(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(F.get(C.splitter(2048, 400)(F.array("text")), 0)).alias("n", "piece")).select("doc_id", "n", F.length("piece").alias("n_chars"), F.md5("piece").alias("digest"))
 
 
-@query(f"""{SQL_SEGMENTS}, t as (select doc_id, cast(seg as int) as seg, regexp_replace(content, '^\\s+|\\s+$', '', 'g') as text from segments where kind = 'prose')
+@query(f"""{SQL_SEGMENTS}, t as (select doc_id, cast(seg as int) as seg, regexp_replace(content, '{_SQL_STRIP}', '', 'g') as text from segments where kind = 'prose')
 select doc_id, seg, length(text) >= 30 or contains(text, '```') as kept from t where text <> ''""")
 def drop_short_prose(spark, sf_dir):
     found = _cleaned(spark, sf_dir).select("doc_id", F.posexplode(X.segments(F.col("text"))).alias("seg", "s")).where("s.kind = 'prose'")
@@ -484,8 +488,7 @@ def ingest_stream(spark, sf_dir):
     docs.where(F.pmod(F.hash("path"), F.lit(3)) == 0).write.mode("append").parquet(source)  # some come twice
     running = ST.ingest_stream(spark, source, store, checkpoint, files_a_batch=3)
     running.awaitTermination()
-    batches = [p["batchId"] for p in running.recentProgress if p["numInputRows"]]
-    return ST.stored_chunks(spark, store, max(batches) + 1 if batches else 0).drop("seq")
+    return ST.stored_chunks(spark, store).drop("seq")
 
 
 # Vectors and retrieval
@@ -518,8 +521,9 @@ _SQL_RETRIEVED = f"""{_SQL_HITS}, penalised as (
 
 @query(f"{_SQL_HITS} select query_id, id, distance from pairs")
 def cosine_distance(spark, sf_dir):
+    """Every fiftieth row against all; both sides meet by a key that is dealt out, whichever of them Spark finds small."""
     asked = _asked(spark, sf_dir).select("query_id", F.col("embedding").alias("q"))
-    pairs = _store(spark, sf_dir).select("id", "embedding").join(F.broadcast(asked), F.col("id") != F.col("query_id"))  # every fiftieth row
+    pairs = R.meet(asked, _store(spark, sf_dir).select("id", "embedding"), "id").where(F.col("id") != F.col("query_id"))
     return pairs.select("query_id", "id", F.round(V.cosine_distance(F.col("q"), F.col("embedding")), 6).alias("distance"))
 
 
@@ -585,7 +589,8 @@ select r.query_id, round(coalesce(f.n, 0) / 5, 6) as precision, round(coalesce(f
 )
 def retrieval_metrics(spark, sf_dir):
     asked = _asked(spark, sf_dir).select("query_id", F.col("label").alias("l"))
-    relevance = _store(spark, sf_dir).select("id", "label").join(F.broadcast(asked), (F.col("l") == F.col("label")) & (F.col("id") != F.col("query_id"))).select("query_id", "id")
+    relevance = R.meet(asked, _store(spark, sf_dir).select("id", "label"), "id", F.col("l") == F.col("label"))  # labels are few, so each is dealt out
+    relevance = relevance.where(F.col("id") != F.col("query_id")).select("query_id", "id")
     return R.retrieval_metrics(_hits(spark, sf_dir), relevance, 5)
 
 
@@ -781,10 +786,20 @@ def tutorial_word_band(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", words.alias("word_count"), S.word_band(words, 30, 40).alias("band"))
 
 
-@query()
+@query("""select count(*) as n_sources, count(*) filter (k = 0) as n_missing, count(*) filter (k = 1) as n_blank, count(*) filter (k = 2) as n_parse_errors,
+ count(*) filter (k = 3) as n_unchunked, true as all_counted from (select doc_id % 9 as k from documents)""")
 def ingest_progress(spark, sf_dir):
-    docs = _cleaned(spark, sf_dir)
-    return S.ingest_progress(docs, C.semantic_chunk(docs))
+    """Documents with failures among them, counted while their chunks are written; as many chunks are there as were counted."""
+    kind = F.col("doc_id") % 9
+    content = F.when(kind == 1, " \n\u00a0").when(kind == 2, F.concat(F.lit("<html><![x[ y ]]>"), F.col("raw"))).when(kind == 3, "too short").when(kind != 0, F.col("raw"))
+    path = F.when(kind == 2, F.concat("path", F.lit(".html"))).otherwise(F.col("path"))
+    chunks, progress = W.ingest_counted(_md(spark, sf_dir).select(path.alias("path"), content.alias("content")))
+    folder = SRC.scratch_dir(spark, "ingested")
+    chunks.write.parquet(folder)
+    found = progress()
+    written = spark.read.schema(chunks.schema).parquet(folder).agg(F.count(F.lit(1)).alias("n"))
+    names = ("n_sources", "n_missing", "n_blank", "n_parse_errors", "n_unchunked")
+    return written.select(*[F.lit(found[x]).cast("long").alias(x) for x in names], (F.col("n") == found["n_chunks"]).alias("all_counted"))
 
 
 @query("select concat('b', cast(conv_id % 3 as string)) as backend, count(*) as n_answers, round(avg(case when turn % 4 = 3 then 0.0 else 1.0 end), 6) as validity from conversations where role = 'assistant' group by 1")

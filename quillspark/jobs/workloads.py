@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillspark.functions import answers as A
@@ -13,14 +15,34 @@ from quillspark.operators import documents as D
 from quillspark.operators import prompts as PR
 from quillspark.operators import retrieval as R
 from quillspark.operators import stats as S
-from quillspark.sources import documents as SRC
 
 
 def ingest(documents: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Documents (path, content) to chunks: parse by format, clean, chunk; blank and failed documents drop out."""
-    good = SRC.isolate_failures(documents).where("error is null").drop("error")
-    parsed = D.parse_documents(good, files).where("error is null")
-    return C.semantic_chunk(parsed.select("path", X.clean_text(F.col("text")).alias("text")))
+    return ingest_counted(documents, files)[0]
+
+
+def ingest_counted(documents: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """Chunks of documents, and a function that tells how it went once they have been written.
+
+    It gives n_sources, and of those n_missing (no content), n_blank, n_parse_errors and n_unchunked (nothing worth a
+    chunk), and n_chunks. All are counted in the pass that makes the chunks.
+    """
+    seen, made = Observation(), Observation()
+    content = F.col("content")
+    blank = content.isNotNull() & X.is_blank(content)
+    docs = documents.select("path", "content").observe(seen, F.count(F.lit(1)).alias("n_sources"), F.count_if(content.isNull()).alias("n_missing"), F.count_if(blank).alias("n_blank"))
+    parsed = D.parse_documents(docs, files).select("path", "error", X.clean_text(F.col("text")).alias("text"))
+    lists = C.chunk_lists(parsed)
+    n, failed = F.size("chunks"), F.col("error").isNotNull()
+    lists = lists.observe(made, F.count_if(failed).alias("n_parse_errors"), F.count_if(~failed & (n == 0)).alias("n_empty"), F.coalesce(F.sum(n), F.lit(0)).alias("n_chunks"))
+    chunks = C.numbered(lists.select("path", F.posexplode_outer("chunks").alias("n", "c")).where("c is not null"))
+
+    def progress() -> dict[str, int]:
+        before, after = seen.get, made.get
+        return {**before, "n_parse_errors": after["n_parse_errors"], "n_unchunked": after["n_empty"] - before["n_blank"], "n_chunks": after["n_chunks"]}
+
+    return chunks, progress
 
 
 def answer(queries: DataFrame, store: DataFrame, responses: DataFrame, **more) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,37 +30,63 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
+#: Results that a task remembers, by digest of the code.
+_REMEMBERED = 20_000
+
+
+def _once(work: Callable[[str | None], object]) -> Callable[[str | None], object]:
+    """``work`` that does equal code once while it is remembered; of the results the oldest go first."""
+    known: OrderedDict[bytes, object] = OrderedDict()
+
+    def find(code: str | None) -> object:
+        key = b"" if code is None else hashlib.sha256(code.encode("utf-8", "surrogatepass")).digest()
+        if key in known:
+            known.move_to_end(key)
+        else:
+            known[key] = work(code)
+            if len(known) > _REMEMBERED:
+                known.popitem(last=False)
+        return known[key]
+
+    return find
+
+
 @F.pandas_udf(SYNTAX)
 def _syntax(codes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    find = _once(helpers.syntax_issue)
     for batch in codes:
-        frame = pd.DataFrame([helpers.syntax_issue(c) for c in batch], columns=["valid", "line", "column", "message"])
+        frame = pd.DataFrame([find(c) for c in batch], columns=["valid", "line", "column", "message"])
         yield frame.astype({"line": "Int32", "column": "Int32"})
 
 
+_syntax = _syntax.asNondeterministic()  # so that a filter on its result doesn't make Spark run it twice
+
+
 def validate_syntax(snippets: DataFrame) -> DataFrame:
     """Add valid and errors (array<struct<line, column, message>>) to snippets (code).
 
-    Equal code is parsed once: distinct code goes through Python and is joined back.
+    Where they stand, without a shuffle: a task parses equal code once, as far as it remembers it.
     """
-    distinct = snippets.select("code").distinct().withColumn("_s", _syntax("code"))
     issue = F.struct(F.col("_s.line").alias("line"), F.col("_s.column").alias("column"), F.col("_s.message").alias("message"))
     none = F.array().cast("array<struct<line:int,column:int,message:string>>")
-    found = distinct.select(F.col("code").alias("_code"), F.col("_s.valid").alias("valid"), F.when(F.col("_s.valid"), none).otherwise(F.array(issue)).alias("errors"))
-    return snippets.join(found, F.col("code").eqNullSafe(F.col("_code"))).drop("_code")
+    found = snippets.withColumn("_s", _syntax("code"))
+    return found.withColumn("valid", F.col("_s.valid")).withColumn("errors", F.when(F.col("_s.valid"), none).otherwise(F.array(issue))).drop("_s")
 
 
 @F.pandas_udf(FLAGS)
 def _flags(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    find = _once(lambda code: [] if code is None else [{"pattern": p, "line": n, "note": t} for p, n, t in helpers.security_flags(code)])
     for batch in codes:
-        yield pd.Series([[{"pattern": p, "line": n, "note": t} for p, n, t in helpers.security_flags(c)] for c in batch])
+        yield pd.Series([find(c) for c in batch])
+
+
+_flags = _flags.asNondeterministic()
 
 
 def security_flags(snippets: DataFrame) -> DataFrame:
-    """Add flags to snippets (code); only code that names a risky call at all goes through Python."""
-    maybe = F.coalesce(F.col("code").rlike(r"eval|exec|compile|__import__|popen|system|subprocess"), F.lit(False))
-    none = F.array().cast("array<struct<pattern:string,line:int,note:string>>")
-    risky = snippets.where(maybe).withColumn("flags", _flags("code"))
-    return risky.unionByName(snippets.where(~maybe).withColumn("flags", none))
+    """Add flags to snippets (code), in one pass; only code that names a risky call at all is parsed."""
+    maybe = F.col("code").rlike(r"eval|exec|compile|__import__|popen|system|subprocess")
+    return snippets.withColumn("flags", _flags(F.when(maybe, F.col("code"))))
 
 
 def resolve_attempts(attempts: DataFrame) -> DataFrame:

@@ -35,23 +35,36 @@ def semantic_chunk(documents: DataFrame, *, chunk_tokens: int = P.CHUNK_TOKENS,
     Code blocks are whole. Prose that fits is a chunk without Python; only longer prose goes there. A document stays one
     row until its chunks are numbered, so nothing is shuffled and every step reads it once.
     """
+    rows = chunk_lists(documents, chunk_tokens=chunk_tokens, overlap_tokens=overlap_tokens).select("path", F.posexplode_outer("chunks").alias("n", "c"))
+    return numbered(rows.where("c is not null"))  # outer, so that Spark infers no filter that would work all chunks out first
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Chunks of rows (path, n, c), a chunk of a document and its number each."""
+    kept = rows.select("path", F.col("c.text").alias("text"), X.doc_name(F.col("path")).alias("source_doc"), F.col("c.section").alias("section"), F.col("c.position").alias("position"), "n", (F.col("c.code") | F.col("c.text").contains("```")).alias("has_code"))
+    return kept.select("path", F.concat_ws("_", "source_doc", X.slug(F.col("section")), "n").alias("id"), "text", "source_doc", "section", "position", "has_code", "n")
+
+
+def chunk_lists(documents: DataFrame, *, chunk_tokens: int = P.CHUNK_TOKENS, overlap_tokens: int = P.OVERLAP_TOKENS) -> DataFrame:
+    """Documents (path, text, ...) with chunks, array<struct<position, code, section, text>>; blank text has none."""
     size, overlap = chunk_tokens * P.CHARS_PER_TOKEN, overlap_tokens * P.CHARS_PER_TOKEN
-    docs = documents.where(~X.is_blank(F.col("text"))).select("path", "text")
-    docs = docs.select("path", X.headings(F.col("text")).alias("heads"), F.filter(X.segments(F.col("text")), lambda s: ~X.is_blank(s["content"])).alias("segs"))
+    kept = [c for c in documents.columns if c != "text"]
+    text = F.when(~X.is_blank(F.col("text")), F.col("text"))
+    segs = F.filter(X.segments(F.col("text")), lambda s: ~X.is_blank(s["content"]))
+    named = X.let(segs, lambda x: X.let(X.sections_at(X.headings(F.col("text")), F.transform(x, lambda s: s["start"])), lambda names: F.transform(x, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["content"].alias("content"), F.get(names, i).alias("section")))))
+    docs = documents.select(*kept, text.alias("text")).select(*kept, named.alias("_segs"))
     # a splitter never cuts a text of one piece; others need its rules
-    long = F.transform("segs", lambda s: F.when((s["kind"] == "prose") & (F.length(s["content"]) >= size), s["content"]))
-    docs = docs.withColumn("split", splitter(size, overlap)(F.when(F.exists(long, lambda x: x.isNotNull()), long)))
+    long = F.transform("_segs", lambda s: F.when((s["kind"] == "prose") & (F.length(s["content"]) >= size), s["content"]))
+    docs = docs.withColumn("_split", splitter(size, overlap)(F.when(F.exists(long, lambda x: x.isNotNull()), long)))
 
     def pieces(s: Column, i: Column) -> Column:
         code = s["kind"] == "code"
-        cut = F.coalesce(F.get("split", i), F.array(s["content"]))
-        chunk = lambda x: F.struct(s["start"].alias("position"), code.alias("code"), F.when(code, x).otherwise(X.strip(x)).alias("text"), i.alias("seg"))
+        cut = F.coalesce(F.get("_split", i), F.array(s["content"]))
+        chunk = lambda x: F.struct(s["start"].alias("position"), code.alias("code"), s["section"].alias("section"), F.when(code, x).otherwise(X.strip(x)).alias("text"))
         return F.filter(F.transform(cut, chunk), lambda c: c["code"] | keep_prose(c["text"]))
 
-    rows = docs.select("path", "heads", F.posexplode(F.flatten(F.transform("segs", pieces))).alias("n", "c"))
-    section = X.section_at(F.col("heads"), F.col("c.position"))
-    kept = rows.select("path", F.col("c.text").alias("text"), X.doc_name(F.col("path")).alias("source_doc"), section.alias("section"), F.col("c.position").alias("position"), "n", (F.col("c.code") | F.col("c.text").contains("```")).alias("has_code"))
-    return kept.select("path", F.concat_ws("_", "source_doc", X.slug(F.col("section")), "n").alias("id"), "text", "source_doc", "section", "position", "has_code", "n")
+    none = F.array().cast("array<struct<position:int,code:boolean,section:string,text:string>>")
+    return docs.select(*kept, F.coalesce(F.flatten(F.transform("_segs", pieces)), none).alias("chunks"))
 
 
 def upsert_chunks(stored: DataFrame, batch: DataFrame, *, order: str = "seq") -> DataFrame:

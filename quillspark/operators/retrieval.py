@@ -2,66 +2,95 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
 
 
-def knn_search(queries: DataFrame, store: DataFrame, k: int, *, exclude_self: bool = False, block: int = 4_096) -> DataFrame:
+def meet(few: DataFrame, many: DataFrame, key: str, *conditions: Column, ways: int | None = None) -> DataFrame:
+    """Each row of ``few`` beside each row of ``many`` (that satisfies the conditions).
+
+    Rows of ``many`` are dealt to ``ways`` keys by hash of ``key``, and ``few`` is copied to each, so that no key of the
+    conditions is hot. Nothing is broadcast by name: the join's kind is Spark's choice, by measured sizes.
+    """
+    ways = ways or int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = few.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    dealt = many.withColumn("_way", F.pmod(F.xxhash64(key), F.lit(ways)).cast("int"))
+    both = copies.join(dealt, "_way").drop("_way")
+    for condition in conditions:
+        both = both.where(condition)
+    return both
+
+
+def knn_search(queries: DataFrame, store: DataFrame, k: int, *, exclude_self: bool = False, block: int = 1_024, ways: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of ``store`` (id, embedding, ...) for each query (query_id, embedding): exact.
 
-    Queries go to the tasks in blocks by hash, of about ``block``, which is what is broadcast at once; a task keeps its own ``k`` best for
-    each query, so that tasks * queries * k short rows are shuffled, whatever the store's size. Distances are rounded to
-    6 digits; ties go by id. ``exclude_self`` leaves out rows whose id is the query's.
+    Both sides are packed into blocks of at most ``block`` vectors, one row each. Blocks of the store are dealt to
+    ``ways`` keys, blocks of queries copied to each, and a join lets them meet: one pass over the store, nothing through
+    the driver. A task multiplies pairs of blocks and keeps the ``k`` best of a block of queries while that block lasts;
+    what tasks keep is merged by query. Distances are rounded to 6 digits; ties go by id. ``exclude_self`` leaves out rows
+    whose id is the query's; null vectors are left out.
     """
-    spark = store.sparkSession
-    rows = queries.select("query_id", "embedding").where("embedding is not null")
-    blocks = max(1, -(-rows.count() // block))
-    parts = None
-    for b in range(blocks):
-        some = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        part = _block_search(spark, some, store, k, exclude_self)
-        parts = part if parts is None else parts.unionByName(part)
+    kind = dict(store.dtypes)["id"]
+    asked = _packed(queries.select(F.col("query_id").alias("id"), "embedding"), kind, block).withColumnsRenamed({"number": "q_number", "ids": "q_ids", "vectors": "q_vectors"})
+    blocks = meet(asked, _packed(store.select("id", "embedding"), kind, block), "number", ways=ways)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, best = None, None  # the block of queries in hand: number, ids; place in it, distance, id of the best so far
+
+        def found() -> pd.DataFrame:
+            return pd.DataFrame({"query_id": at[1][best[0]], "id": best[2], "distance": best[1]})
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if at is None or at[0] != row.q_number:
+                    if at is not None:
+                        yield found()
+                    at, best = (row.q_number, np.asarray(row.q_ids, dtype=object)), (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object))
+                    matrix, lengths = _unpacked(row.q_vectors, len(at[1]))
+                ids = np.asarray(row.ids, dtype=object)
+                vectors, own = _unpacked(row.vectors, len(ids))
+                product, scale = matrix @ vectors.T, lengths[:, None] * own[None, :]
+                distance = np.round(1 - np.divide(product, scale, out=np.zeros_like(product), where=scale > 0), 6)
+                last = min(k, len(ids) - 1)  # one more than k, as the query itself may be left out
+                query, place = np.nonzero(distance <= np.partition(distance, last, axis=1)[:, last, None])
+                if exclude_self:
+                    other = ids[place] != at[1][query]
+                    query, place = query[other], place[other]
+                best = _nearest(np.concatenate([best[0], query]), np.concatenate([best[1], distance[query, place]]), np.concatenate([best[2], ids[place]]), k)
+        if at is not None:
+            yield found()
+
+    parts = blocks.mapInPandas(search, f"query_id {kind}, id {kind}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_search(spark, some: list, store: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    names = [r.query_id for r in some]
-    matrix = np.array([r.embedding for r in some], dtype=np.float64) if some else np.zeros((0, 1))
-    lengths = np.sqrt((matrix * matrix).sum(axis=1))
-    shared = spark.sparkContext.broadcast((names, matrix, lengths))
-    kind = dict(store.dtypes)["id"]
+def _packed(vectors: DataFrame, kind: str, block: int) -> DataFrame:
+    """Blocks of at most ``block`` vectors (id, embedding): number, ids, and their numbers as doubles one after another."""
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix, lengths = shared.value
-        best = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object))  # query, distance, id: at most k a query
-        asked = np.array(names, dtype=object)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, n = TaskContext.get().partitionId(), itertools.count()  # numbers that a task which runs again gives again
         for batch in batches:
             batch = batch[batch["embedding"].notna()]
-            if not len(batch) or not names:
-                continue
-            vectors = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            own = np.sqrt((vectors * vectors).sum(axis=1))
-            product = matrix @ vectors.T
-            scale = lengths[:, None] * own[None, :]
-            distance = np.round(1 - np.divide(product, scale, out=np.zeros_like(product), where=scale > 0), 6)
-            ids = batch["id"].to_numpy(dtype=object)
-            last = min(k, len(ids) - 1)  # one more than k, as the query itself may be left out
-            query, row = np.nonzero(distance <= np.partition(distance, last, axis=1)[:, last, None])
-            if exclude_self:
-                other = ids[row] != asked[query]
-                query, row = query[other], row[other]
-            best = _nearest(np.concatenate([best[0], query]), np.concatenate([best[1], distance[query, row]]), np.concatenate([best[2], ids[row]]), k)
-        if len(best[0]):
-            yield pd.DataFrame({"query_id": asked[best[0]], "id": best[2], "distance": best[1]})
-
-    return store.select("id", "embedding").mapInPandas(search, f"query_id {kind}, id {kind}, distance double")
+            for first in range(0, len(batch), block):
+                part = batch.iloc[first : first + block]
+                yield pd.DataFrame({"number": [f"{task}-{next(n)}"], "ids": [part["id"].tolist()], "vectors": [np.stack(part["embedding"].to_numpy()).astype(np.float64).tobytes()]})
+
+    return vectors.mapInPandas(pack, f"number string, ids array<{kind}>, vectors binary")
+
+
+def _unpacked(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a block and their lengths."""
+    matrix = np.frombuffer(raw, dtype=np.float64).reshape(rows, -1)
+    return matrix, np.sqrt((matrix * matrix).sum(axis=1))
 
 
 def _nearest(query: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

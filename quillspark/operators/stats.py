@@ -28,12 +28,6 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return counted.withColumn("code_percent", F.round(100.0 * F.col("n_code") / F.col("n_chunks"), 6))
 
 
-def ingest_progress(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: documents (path), those without a chunk, and chunks (path)."""
-    made = chunks.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    return documents.join(made, "path", "left").agg(F.count(F.lit(1)).alias("n_sources"), F.count_if(F.col("n").isNull()).alias("n_failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"))
-
-
 def word_band(words: Column, least: int = 800, most: int = 1200) -> Column:
     return F.when(words < least, "below").when(words > most, "above").otherwise("within")
 

@@ -40,6 +40,13 @@ def read_documents(spark: SparkSession, paths: str | list[str], pattern: str = "
     return files.load(paths).select("path", X.decode_text(F.col("content")).alias("content"))
 
 
+def spread(rows: DataFrame, *, task_bytes: int = 128 << 20) -> DataFrame:
+    """Rows of a small table, which its files may not split, dealt out over all cores; a table of ``task_bytes`` a core or more stays as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # as the files say; nothing runs
+    return rows.repartition(cores) if size < cores * task_bytes else rows
+
+
 def pages_source(pages: DataFrame) -> DataFrame:
     """path and content of pages (url, html) whose url is one of the web."""
     return pages.where(F.col("url").rlike("^https?://")).select(F.col("url").alias("path"), F.col("html").alias("content"))

@@ -1,4 +1,10 @@
-"""Incremental ingestion: new documents become chunks in a keyed store."""
+"""Incremental ingestion: new documents become chunks in a keyed store.
+
+A store has ``buckets`` by hash of id. A batch writes those buckets anew that it touches, as ``batch=N/bucket=B``, and then
+a manifest, which names the batch that each bucket was last written by. So a reader finds each id once, in one version of
+each bucket, however many batches there were, and nothing is left to compact; what only older manifests name is deleted
+with the next batch. Work grows with the touched buckets: many buckets suit small batches over a large store.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +16,77 @@ from quillspark.operators import chunks as C
 
 STORED = "id string, text string, source_doc string, section string, position int, has_code boolean, seq long"
 _COLUMNS = [f.strip().split()[0] for f in STORED.split(",")]
+_BUCKETS = 64
 
 
-def merge_batch(chunks: DataFrame, store: str, batch_id: int) -> None:
-    """Write a batch's chunks beside those of the batches before: work grows with the batch, not with the store.
+def _fs(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    """Numbers of the manifests that are whole, ascending; a few at most."""
+    fs, path = _fs(spark, f"{store}/manifest")
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(_fs(spark, f"{store}/manifest/{n}/_SUCCESS")[1]))
 
-    A batch that runs again writes its own folder anew. ``stored_chunks`` upserts by id when the store is read.
-    """
-    chunks.withColumn("seq", F.lit(batch_id).cast("long")).select(*_COLUMNS).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
+def _manifest(spark: SparkSession, store: str, below: int) -> dict[int, int]:
+    """The batch that each bucket was last written by, as of the last batch under ``below``."""
+    found = [v for v in _versions(spark, store) if v < below]
+    if not found:
+        return {}
+    return {r.bucket: r.batch for r in spark.read.schema("bucket int, batch long").json(f"{store}/manifest/{found[-1]}").collect()}  # a row a bucket
 
-def stored_chunks(spark: SparkSession, store: str, n_batches: int) -> DataFrame:
-    """The store after ``n_batches`` batches: of each id the chunk of the last batch that has it."""
-    if not n_batches:
-        return spark.createDataFrame([], STORED)
-    found = spark.read.schema(f"{STORED}, batch long").option("basePath", store).parquet(store).where(F.col("batch") < n_batches)
-    return C.upsert_chunks(spark.createDataFrame([], STORED), found.select(*_COLUMNS))
 
+def _read(spark: SparkSession, store: str, named: dict[int, int]) -> DataFrame:
+    paths = [f"{store}/batch={batch}/bucket={bucket}" for bucket, batch in sorted(named.items())]
+    return spark.read.schema(STORED).parquet(*paths) if paths else spark.createDataFrame([], STORED)
 
-def compact(spark: SparkSession, store: str, n_batches: int, target: str) -> None:
-    """Write the store after ``n_batches`` batches to a new store, as its batch of the same number."""
-    stored_chunks(spark, store, n_batches).write.parquet(f"{target}/batch={n_batches - 1}")
+
+def merge_batch(chunks: DataFrame, store: str, batch_id: int, *, buckets: int = _BUCKETS) -> None:
+    """Upsert a batch's chunks by id into the buckets they touch; ``buckets`` stays as it was at the store's first batch.
+
+    A batch that runs again starts from the same manifest and writes the same folder anew, so that it counts once.
+    """
+    spark = chunks.sparkSession
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    batch = chunks.withColumn("seq", F.lit(batch_id).cast("long")).select(*_COLUMNS)
+    before = _manifest(spark, store, batch_id)
+    folder = f"{store}/batch={batch_id}"
+    batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}-new")
+    fs, new = _fs(spark, f"{folder}-new")
+    touched = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(new) if s.isDirectory()]  # at most ``buckets``
+    if touched:
+        rows = spark.read.schema(STORED).parquet(*[f"{folder}-new/bucket={b}" for b in touched])
+        old = _read(spark, store, {b: v for b, v in before.items() if b in touched})
+        merged = C.upsert_chunks(old, rows).withColumn("bucket", bucket)
+        merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    named = before | dict.fromkeys(touched, batch_id)
+    rows = spark.createDataFrame(sorted(named.items()), "bucket int, batch long")
+    rows.coalesce(1).write.mode("overwrite").json(f"{store}/manifest/{batch_id}")
+    fs.delete(new, True)
+    _forget(spark, store, batch_id)
+
+
+def _forget(spark: SparkSession, store: str, batch_id: int) -> None:
+    """Delete what neither the manifest of this batch nor that of the one before names: this one may run again."""
+    versions = [v for v in _versions(spark, store) if v <= batch_id]
+    live = {item for v in versions[-2:] for item in _manifest(spark, store, v + 1).items()}
+    for v in versions[:-2]:
+        for bucket, batch in set(_manifest(spark, store, v + 1).items()) - live:
+            fs, path = _fs(spark, f"{store}/batch={batch}/bucket={bucket}")
+            fs.delete(path, True)
+        fs, path = _fs(spark, f"{store}/manifest/{v}")
+        fs.delete(path, True)
+
+
+def stored_chunks(spark: SparkSession, store: str, n_batches: int | None = None) -> DataFrame:
+    """The store as it is now, or after the batch before the last: of each id the chunk of the last batch that has it."""
+    below = n_batches if n_batches is not None else max(_versions(spark, store), default=-1) + 1
+    return _read(spark, store, _manifest(spark, store, below))
 
 
 def last_versions(batch: DataFrame) -> DataFrame:
@@ -39,16 +95,16 @@ def last_versions(batch: DataFrame) -> DataFrame:
     return batch.groupBy("path").agg(last.alias("text"))
 
 
-def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str, *, schema: str = "path string, content string", files_a_batch: int = 100):
+def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str, *, schema: str = "path string, content string", files_a_batch: int = 100, buckets: int = _BUCKETS):
     """Start a query that chunks documents (Parquet files of path, content) as they come in ``source``.
 
-    Chunking has no state; chunks are upserted by id when read, so what comes twice changes nothing. Within a batch the
-    file that was written last has a path's text.
+    Chunking has no state; chunks are upserted by id, so what comes twice changes nothing. Within a batch the file that
+    was written last has a path's text.
     """
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     docs = docs.where(~X.is_blank(F.col("content"))).select("path", X.clean_text(X.strip_frontmatter(F.col("content"))).alias("text"), F.col("_metadata.file_modification_time").alias("changed"))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(C.semantic_chunk(last_versions(batch)), store, batch_id)
+        merge_batch(C.semantic_chunk(last_versions(batch)), store, batch_id, buckets=buckets)
 
     return docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -59,14 +59,16 @@ def test_knn_with_ties_zero_and_missing_vectors(spark):
     assert sorted((r.query_id, r.id) for r in two.collect()) == [(8, 1), (9, 1)]
 
 
-def test_knn_deals_blocks_of_queries_without_one_task_for_all(spark, monkeypatch):
-    store = spark.createDataFrame([(k, [float(k + 1), 10.0 - k]) for k in range(10)], "id long, embedding array<double>")
+def test_knn_needs_no_job_before_its_own(spark, monkeypatch):
+    store = spark.createDataFrame([(k, [float(k + 1), 10.0 - k]) for k in range(10)], "id long, embedding array<double>").repartition(3)
     asked = store.withColumnRenamed("id", "query_id")
-    plans, collect = [], type(asked).collect
-    monkeypatch.setattr(type(asked), "collect", lambda df: plans.append(df._jdf.queryExecution().toString()) or collect(df))
-    found = R.knn_search(asked, store, 1, block=3)
-    assert len(plans) == 4 and not any("SinglePartition" in p for p in plans)
-    assert sorted((r.query_id, r.id) for r in found.collect()) == [(k, k) for k in range(10)]
+    with monkeypatch.context() as m:
+        for name in ("collect", "count", "toPandas", "first", "take"):
+            m.setattr(type(asked), name, None)
+        found = {(b, w): R.knn_search(asked, store, 1, block=b, ways=w) for b in (1, 3, 100) for w in (1, 7)}
+    for df in found.values():
+        assert "SinglePartition" not in df._jdf.queryExecution().toString()
+        assert sorted((r.query_id, r.id) for r in df.collect()) == [(k, k) for k in range(10)]
 
 
 def test_context_without_hits(spark):
@@ -172,7 +174,8 @@ def test_many_fences_take_time_in_proportion(spark):
     def seconds(n):
         df = spark.createDataFrame([("a.md", "text here\n```py\nx = 1\n```\n" * n)], "path string, text string")
         t = time.perf_counter()
-        assert C.semantic_chunk(df.select("path", X.clean_text(X.F.col("text")).alias("text"))).count() >= n
+        chunks = C.semantic_chunk(df.select("path", X.clean_text(X.F.col("text")).alias("text")))
+        assert chunks.count() >= n
         return time.perf_counter() - t
 
     seconds(100)
@@ -208,17 +211,33 @@ def test_stream_store(spark, tmp_path):
 
     row = lambda k, text: (k, text, "d", "s", 0, False)
     kind = "id string, text string, source_doc string, section string, position int, has_code boolean"
-    store, target = str(tmp_path / "store"), str(tmp_path / "compacted")
-    for batch_id, rows in enumerate(([row("a", "1"), row("b", "1")], [], [row("b", "2"), row("c", "2")])):
+    store = str(tmp_path / "store")
+    texts = lambda n=None: {r.id: (r.text, r.seq) for r in ST.stored_chunks(spark, store, n).collect()}
+    assert texts() == texts(0) == {}
+    want = {}
+    for batch_id, rows in enumerate(([row("a", "1"), row("b", "1")], [], [row("b", "2"), row("c", "2"), row("c", "2")], [row(f"x{k}", "3") for k in range(20)], [row("x3", "4")])):
+        before = dict(want)
+        want |= {r[0]: (r[1], batch_id) for r in rows}
         for _ in range(2):  # a batch that runs again
-            ST.merge_batch(spark.createDataFrame(rows, kind), store, batch_id)
-    texts = lambda where, n: {r.id: r.text for r in ST.stored_chunks(spark, where, n).collect()}
-    assert texts(store, 0) == {}
-    assert texts(store, 2) == {"a": "1", "b": "1"}
-    assert texts(store, 3) == {"a": "1", "b": "2", "c": "2"}
-    ST.compact(spark, store, 3, target)
-    ST.merge_batch(spark.createDataFrame([row("a", "3")], kind), target, 3)
-    assert texts(target, 4) == {"a": "3", "b": "2", "c": "2"}
+            ST.merge_batch(spark.createDataFrame(rows, kind), store, batch_id, buckets=4)
+        assert texts() == texts(batch_id + 1) == want
+        assert texts(batch_id) == before  # a reader that began before it
+    manifests = [p.name for p in (tmp_path / "store" / "manifest").iterdir() if not p.name.startswith(".")]
+    assert sorted(manifests) == ["3", "4"]
+    assert len(list((tmp_path / "store").glob("batch=*/bucket=*"))) <= 8  # two versions at most, however many batches
+
+
+def test_progress_is_counted_in_the_pass(spark, tmp_path):
+    from quillspark.jobs import workloads as W
+
+    prose = "A sentence that is long enough to be a chunk of its own. "
+    rows = [("a.md", "# A\n\n" + prose * 3), ("b.md", None), ("c.md", " \u2003\n"), ("d.html", "<html><![x[ y ]]>"), ("e.md", "short"), ("f.html", "<html><body>" + prose * 60), ("g.md", "")]
+    chunks, progress = W.ingest_counted(spark.createDataFrame(rows, "path string, content string"))
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("_page_parts") == 1
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    n = spark.read.parquet(str(tmp_path / "chunks")).count()
+    assert n > 2 and progress() == {"n_sources": 7, "n_missing": 1, "n_blank": 2, "n_parse_errors": 1, "n_unchunked": 1, "n_chunks": n}
 
 
 def test_last_version_of_a_path(spark):

@@ -1,5 +1,9 @@
 """Hand-worked cases of the text columns."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,10 +90,91 @@ def test_segments_join_to_the_text(spark):
 
 def test_section(spark):
     text = "a\n# One\nb\n```\n# step\n```\nc"
-    heads = X.headings(F.col("t"))
-    assert one(spark, X.section_at(heads, F.lit(0)), t=text) == "intro"
-    assert one(spark, X.section_at(heads, F.lit(10)), t=text) == "One"
-    assert one(spark, X.section_at(heads, F.lit(24)), t=text) == "step"
+    positions = F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(10), F.lit(24))
+    assert one(spark, X.sections_at(X.headings(F.col("t")), positions), t=text) == ["intro", "intro", "One", "One", "step"]
+    assert one(spark, X.sections_at(X.headings(F.col("t")), positions), t="none") == ["intro"] * 5
+
+
+FENCE = re.compile(r"^```([A-Za-z0-9_+\-]*)\s*\n(.*?)\n```[ \t]*$", re.M | re.S)
+HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$", re.M)
+LINES = ["```", "```py", "``` ", "```\xa0", "```py x", "``` x", "", "", " ", "\t\x0b", "\u2003", "a", "  b", "# h", "#", "##\xa0 h  x \t", "####### no", "#x", "# ", "é𝄞"]
+
+
+def odd_texts():
+    rnd = random.Random(11)
+    return ["\n".join(rnd.choice(LINES) for _ in range(rnd.randint(0, 14))) for _ in range(1_500)]
+
+
+def test_fences_and_headings_are_those_of_the_plain_patterns(spark):
+    texts = odd_texts()
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    found = rows.select("k", X.code_blocks(F.col("t")).alias("b"), X.segments(F.col("t")).alias("s"), X.sections(F.col("t")).alias("h"), X.headings(F.col("t")).alias("p")).collect()
+    for r in found:
+        text = texts[r.k]
+        want = list(FENCE.finditer(text))
+        assert [(b.language, b.code, b.start, b.end) for b in r.b] == [(m[1] or "text", m[2], m.start(), m.end()) for m in want], text
+        assert "".join(s.content for s in r.s) == text and all(text[s.start : s.end] == s.content for s in r.s)
+        assert [s.content for s in r.s if s.kind == "code"] == [m[0] for m in want]
+        heads = list(HEADING.finditer(text))
+        assert [(h.level, h.title) for h in r.h] == [(len(m[1]), m[2].strip()) for m in heads], text
+        assert [(h.pos, h.title) for h in r.p] == [(m.start(), m[2].strip()) for m in heads]
+
+
+# The cleaning steps as plain patterns, white space and words in their Unicode meaning.
+STEPS = (
+    (X.strip_heading_anchors, r"[ \t]*\{\s*#[A-Za-z0-9_\-]+\s*\}[ \t]*$", ""),
+    (X.strip_attribute_lists, r"\s*\{:[^}]*\}", ""),
+    (X.strip_includes, r"^\{[!*].*?[!*]\}\s*$", ""),
+    (X.tabs_to_bold, r'^===\s+"([^"]+)"\s*$', r"**\1**"),
+    (X.strip_inline_html, r"(?i)</?(?:font|span|div|small|sub|sup|kbd)\b[^>]*>", ""),
+    (X.strip_trailing_blanks, r"[ \t]+$", ""),
+    (X.collapse_blank_lines, r"\n{3,}", "\n\n"),
+    (X.strip_plain_includes, r"^\{!.*?!\}\s*$", ""),
+)
+
+
+@pytest.mark.parametrize(("step", "pattern", "to"), STEPS)
+def test_steps_are_the_plain_patterns(spark, step, pattern, to):
+    rnd = random.Random(len(pattern))
+    parts = [" ", " ", "\t", "\n", "\n", "\xa0", "\u2003", "\x1c", "\x0b", "\x85", "x", "{ #a }", "{#a}", "{: .c }", "{:", "}", "{! a !}", "{* b *}", "{!", '=== "T"', '===\xa0"T"', "<span a>", "</DIV>", "<kbd", "<p>", ">", "é"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 16))) for _ in range(1_500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    assert {r.k: r.x for r in rows.select("k", step(F.col("t")).alias("x")).collect()} == {k: re.sub(pattern, to, t, flags=re.M) for k, t in enumerate(texts)}
+
+
+def test_admonitions_have_unicode_words(spark):
+    rnd = random.Random(2)
+    parts = ["!!! ", "!!!\xa0", "!!!", "note", "é一9_", "n-t", ' "N é"', '\u2003"N"', ' ""', "\n", " \n", "x"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(1_500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    plain = lambda t: re.sub(r'(?m)^!!!\s+\w+(?:\s+"")?\s*$', "", re.sub(r'(?m)^!!!\s+\w+\s+"([^"]+)"\s*$', r"**\1**", t))
+    assert {r.k: r.x for r in rows.select("k", X.admonitions_to_bold(F.col("t")).alias("x")).collect()} == {k: plain(t) for k, t in enumerate(texts)}
+
+
+def seconds(spark, column, text):
+    rows = spark.createDataFrame([(text,)], "t string").select(column.alias("x"))
+    began = time.perf_counter()
+    rows.collect()
+    return time.perf_counter() - began
+
+
+@pytest.mark.parametrize(
+    ("column", "text"),
+    [
+        (X.segments, "```py\nx\n" * 40_000),
+        (X.segments, "```\nx\n```\ny\n" * 20_000),
+        (X.clean_text, "```py\nx\n" * 40_000),
+        (X.clean_text, "{: a " * 40_000),
+        (X.clean_text, "<span " * 40_000),
+        (X.clean_text, "a" + " " * 400_000 + "b"),
+        (X.clean_text, "a" + "\xa0" * 400_000 + "{: .c }"),
+        (X.strip_trailing_blanks, ("a" + " " * 40_000 + "b\n") * 10),
+        (X.headings, "# h" + " " * 400_000 + "x"),
+        (lambda t: X.sections_at(X.headings(t), F.transform(X.headings(t), lambda h: h["pos"])), "# h\n\ntext\n" * 40_000),
+    ],
+)
+def test_work_grows_with_the_text(spark, column, text):
+    assert seconds(spark, column(F.col("t")), text) < 6
 
 
 @pytest.mark.parametrize(("response", "expected"), [("**Sources**: [1, a, 3]", [1, 3]), ("x", []), ("sources: []", []), ("Sources: [2] Sources: [9]", [2])])
