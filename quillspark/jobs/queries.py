@@ -104,6 +104,52 @@ SQL_SEGMENTS = rf"""{SQL_CLEANED}, cut as (
 )"""
 
 
+def _sql_split(source: str) -> str:
+    """Views that end in split(g, n, piece): the recursive split of texts (g, t) of a view, in recursive SQL.
+
+    node: a text and the coarsest separator in it; its long pieces are nodes again. run: pieces that fit, between long
+    ones, with the places where each ends if all are joined. walk: one step for each chunk of a run, from its first to its
+    last piece; the next begins with the pieces of its end that make the overlap.
+    """
+    size, overlap = 2048, 400
+    pick = "case when l <= 1 and contains(t, chr(10) || chr(10)) then 1 when l <= 2 and contains(t, chr(10)) then 2 when l <= 3 and contains(t, '. ') then 3 when l <= 4 and contains(t, ' ') then 4 else 5 end"
+    marks = "[chr(10) || chr(10), chr(10), '. ', ' ', '']"
+    pieces = "select g, key, k, unnest(range(1, len(ps) + 1)) as i, unnest(ps) as p"
+    return f"""node as (
+ select g, [0::bigint] as key, 1 as l, t from {source} where t <> ''
+ union all
+ select g, list_append(key, i), k + 1, p from ({pieces} from (select g, key, k, string_split(t, {marks}[k]) as ps from (select *, {pick} as k from node))) where k < 5 and length(p) >= {size}
+), divided as (select g, key, k, string_split(t, {marks}[k]) as ps from (select *, {pick} as k from node)),
+piece as (select *, k < 5 and length(p) >= {size} as long from ({pieces} from divided) where p <> ''),
+numbered as (select *, count(*) filter (long) over (partition by g, key order by i) as r from piece),
+summed as (select *, sum(length(p) + length({marks}[k])) over (partition by g, key, r order by i) as c from numbered where not long),
+placed as (select g, list_append(key, min(i)) as key, {marks}[k] as mark, length({marks}[k]) as s, list(p order by i) as ps, list(c::bigint order by i) as c from summed group by g, key, k, r),
+walk as (
+ select g, key, mark, ps, s, c, 0 as n, 1::bigint as lo, greatest(1, len(list_filter(c, lambda x: x - s <= {size})))::bigint as hi from placed
+ union all
+ select g, key, mark, ps, s, c, n + 1, lo, greatest(hi + 1, len(list_filter(c, lambda x: x - coalesce(c[lo - 1], 0) - s <= {size})))::bigint from (
+  select g, key, mark, ps, s, c, n, hi, coalesce(list_min(list_filter(range(lo + 1, hi + 1), lambda j: c[hi] - coalesce(c[j - 1], 0) - s <= {overlap} and c[hi + 1] - coalesce(c[j - 1], 0) - s <= {size})), hi + 1)::bigint as lo
+  from walk where hi < len(ps))
+), split as (
+ select g, row_number() over (partition by g order by key, n) - 1 as n, piece from (select g, key, n, regexp_replace(list_reduce(ps[lo:hi], lambda x, y: x || mark || y), '{_SQL_STRIP}', '', 'g') as piece from walk) where piece <> ''
+)"""
+
+
+SQL_CHUNKS = f"""{SQL_SEGMENTS.replace("with md as", "with recursive md as", 1)}, full_segments as (select * from segments where regexp_matches(content, '[^ \\n]')),
+long_prose as (select doc_id * 1000 + seg as g, content as t from full_segments where kind = 'prose' and length(content) >= 2048), {_sql_split("long_prose")}, cuts as (
+ select doc_id, start, seg, 0 as k, kind, case when kind = 'code' then content else regexp_replace(content, '{_SQL_STRIP}', '', 'g') end as text from full_segments where kind = 'code' or length(content) < 2048
+ union all select doc_id, start, seg, n, kind, piece from full_segments join split on g = doc_id * 1000 + seg
+), heads as (
+ select doc_id, case k when 0 then concat('Doc ', cast(doc_id as string)) when 1 then 'step' else concat('Tail ', cast(doc_id % 5 as string)) end as title,
+  case k when 0 then 0 when 1 then strpos(text, chr(10) || '# step' || chr(10)) else strpos(text, chr(10) || '## Tail ') end as pos from cleaned, (select unnest([0, 1, 2]) as k)
+), named as (select c.*, coalesce((select arg_max(title, pos) from heads h where h.doc_id = c.doc_id and h.pos <= c.start), 'intro') as section,
+ row_number() over (partition by doc_id order by start, k) - 1 as n from cuts c where kind = 'code' or text <> '' and (contains(text, '```') or length(text) >= 30)
+), chunks as (
+ select concat(source, '-d-', cast(doc_id as string), '_', trim(regexp_replace(lower(section), '[^a-z0-9]+', '-', 'g'), '-'), '_', cast(n as string)) as id, text, concat(source, '-d-', cast(doc_id as string)) as source_doc,
+  section, cast(start as int) as position, kind = 'code' or contains(text, '```') as has_code from named join (select doc_id, source from documents) using (doc_id)
+)"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -281,26 +327,25 @@ def html_sections(spark, sf_dir):
     return _parsed_pages(spark, sf_dir).select("page_id", F.inline("sections"))
 
 
-@query(
-    r"""with t as (select page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|header|footer|aside|form)\b[^>]*>.*?</(script|style|nav|header|footer|aside|form)>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g') as x from pages)
-select page_id, regexp_replace(""" + _SQL_ENTITIES.format("x") + r""", '\s+', '', 'g') as letters from t"""
-)
+def _sql_page_text(page: str) -> str:
+    """The text of a page whose chrome is well nested: what stands between tags, each on lines of its own, without chrome."""
+    bare = rf"regexp_replace({page}, '(?s)<(script|style|nav|header|footer|aside|form)\b[^>]*>.*?</(script|style|nav|header|footer|aside|form)>', '<i>', 'g')"
+    parts = rf"list_filter(regexp_split_to_array({bare}, '(?s)<!--.*?-->|<[^>]*>'), lambda x: x <> '')"
+    return rf"regexp_replace(array_to_string(list_transform({parts}, lambda x: {_SQL_ENTITIES.format('x')}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query(f"select page_id, {_sql_page_text('html')} as text from pages")
 def html_to_text(spark, sf_dir):
-    return _parsed_pages(spark, sf_dir).select("page_id", F.regexp_replace("text", r"\s+", "").alias("letters"))
+    return _parsed_pages(spark, sf_dir).select("page_id", "text")
 
 
 _CHROME = "concat('<header>HE</header><form>FO</form><aside>AS</aside>', html)"
 
 
-@query(
-    rf"""with t as (select page_id, regexp_replace(regexp_replace({_CHROME}, '(?s)<(script|style|nav|header|footer|aside|form)\b[^>]*>.*?</(script|style|nav|header|footer|aside|form)>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g') as x from pages)
-select page_id, length(regexp_replace("""
-    + _SQL_ENTITIES.format("x")
-    + r""", '\s+', '', 'g')) as n_letters from t"""
-)
+@query(f"select page_id, {_sql_page_text(_CHROME)} as text from pages")
 def html_strip_chrome(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", D._page_parts(F.expr(_CHROME)).alias("p"))
-    return pages.select("page_id", F.length(F.regexp_replace("p.text", r"\s+", "")).cast("long").alias("n_letters"))
+    return pages.select("page_id", "p.text")
 
 
 @query("select page_id, 'py' as language, concat('x = ', cast(page_id as string)) as code from pages")
@@ -315,11 +360,15 @@ def _parsed_pages(spark, sf_dir):
     return pages.select("page_id", D._page_parts("content").alias("p")).select("page_id", "p.title", "p.sections", "p.text")
 
 
-@query()
+@query(
+    f"""{SQL_PARSED}, p as (select url, trim({_SQL_ENTITIES.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) as title, {_sql_page_text('html')} as text from pages where regexp_matches(url, '^https?://'))
+select path, concat('Doc ', cast(doc_id as string), ' {{ #doc-', cast(doc_id as string), ' }}') as title, 'markdown' as doc_type, 3 as n_sections, 2 as n_code, cast(length(text) as int) as n_chars, md5(text) as digest from body
+union all select url, title, 'html', 1, 0, cast(length(text) as int), md5(text) from p"""
+)
 def parse_documents(spark, sf_dir):
     md = _md(spark, sf_dir).select("path", F.col("raw").alias("content"))
     pages = SRC.pages_source(_table(spark, sf_dir, "pages"))
-    return D.parse_documents(md.unionByName(pages)).select("path", "title", "doc_type", F.size("sections").alias("n_sections"), F.size("code_blocks").alias("n_code"), F.length("text").alias("n_chars"))
+    return D.parse_documents(md.unionByName(pages)).select("path", "title", "doc_type", F.size("sections").alias("n_sections"), F.size("code_blocks").alias("n_code"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query("select page_id, page_id % 9 = 2 as failed from pages")
@@ -330,15 +379,12 @@ def failed_pages(spark, sf_dir):
     return D.parse_documents(pages).select(F.col("path").cast("long").alias("page_id"), F.col("error").isNotNull().alias("failed"))
 
 
-@query(
-    r"""with t as (select page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|header|footer|aside|form)\b[^>]*>.*?</(script|style|nav|header|footer|aside|form)>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g') as x from pages)
-select page_id, regexp_replace(""" + _SQL_ENTITIES.format("x") + r""", '\s+', '', 'g') as letters from t"""
-)
+@query(f"select page_id, {_sql_page_text('html')} as text from pages")
 def html_misnested(spark, sf_dir):
     """Chrome that isn't closed in order ends with the element around it."""
     content = F.concat(F.lit("<header><nav>a</header><nav><form></nav>"), F.col("html"))
     pages = _table(spark, sf_dir, "pages").select("page_id", D._page_parts(content).alias("p"))
-    return pages.select("page_id", F.regexp_replace("p.text", r"\s+", "").alias("letters"))
+    return pages.select("page_id", "p.text")
 
 
 # Cleaning
@@ -399,7 +445,7 @@ def section_at(spark, sf_dir):
     return found.select("doc_id", F.posexplode(X.sections_at(F.col("h"), F.col("at"))).alias("seg", "section"))
 
 
-@query()
+@query(f"with recursive whole as (select doc_id as g, text as t from documents), {_sql_split('whole')} select g as doc_id, cast(n as int) as n, cast(length(piece) as int) as n_chars, md5(piece) as digest from split")
 def split_prose(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(F.get(C.splitter(2048, 400)(F.array("text")), 0)).alias("n", "piece")).select("doc_id", "n", F.length("piece").alias("n_chars"), F.md5("piece").alias("digest"))
@@ -422,28 +468,27 @@ def slug(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
-@query()
+@query(f"{SQL_CHUNKS} select id, text, source_doc, section, position, has_code from chunks")
 def chunk_ids(spark, sf_dir):
-    """Chunks of cleaned Markdown; the recursive split of long prose has no SQL, the tests compare with brute force."""
     return C.semantic_chunk(_cleaned(spark, sf_dir)).select("id", "text", "source_doc", "section", "position", "has_code")
 
 
-@query()
+@query(f"{SQL_CHUNKS} select id, source_doc, section, position, has_code, cast(length(text) as int) as n_chars from chunks")
 def semantic_chunk(spark, sf_dir):
     return W.ingest(_md(spark, sf_dir).select("path", F.col("raw").alias("content"))).select("id", "source_doc", "section", "position", "has_code", F.length("text").alias("n_chars"))
 
 
-@query()
+@query(f"{SQL_CHUNKS} select id, has_code from chunks")
 def flag_code(spark, sf_dir):
     return C.semantic_chunk(_cleaned(spark, sf_dir)).select("id", "has_code")
 
 
-@query()
+@query(f"{SQL_CHUNKS} select id, concat('[Doc: ', source_doc, '] [Section: ', section, ']', chr(10), chr(10), text) as embedding_text from chunks")
 def embedding_text(spark, sf_dir):
     return C.semantic_chunk(_cleaned(spark, sf_dir)).select("id", X.embedding_text(F.col("source_doc"), F.col("section"), F.col("text")).alias("embedding_text"))
 
 
-@query()
+@query(f"{SQL_CHUNKS} select id, text, source_doc, section, position, has_code from chunks")
 def chunks_round_trip(spark, sf_dir):
     path = SRC.scratch_dir(spark, "chunks")
     SRC.write_chunks(C.semantic_chunk(_cleaned(spark, sf_dir)), path)
@@ -463,9 +508,11 @@ def upsert_chunks(spark, sf_dir):
     return C.upsert_chunks(*_upsert(spark, sf_dir))
 
 
-@query("select cast(doc_id as string) as id from documents where false")
+@query("select cast(doc_id as string) as id, concat('2 new ', text) as text from documents, (select count(*) as n from documents) where doc_id >= n // 2 - 100")
 def reset_collection(spark, sf_dir):
-    return C.reset_collection(_upsert(spark, sf_dir)[0]).select("id")
+    """A store that is reset before a batch holds the batch alone."""
+    base, new = _upsert(spark, sf_dir)
+    return C.upsert_chunks(C.reset_collection(base), new).select("id", "text")
 
 
 @query("select n_before, n_upserted, n_after from (select count(*) filter (doc_id < n // 2 + 100) as n_before, 2 * count(*) filter (doc_id >= n // 2 - 100) as n_upserted, count(*) as n_after from documents, (select count(*) as n from documents))")
@@ -479,7 +526,7 @@ def duplicate_ids(spark, sf_dir):
     return C.duplicate_ids(_table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).cast("string").alias("id")))
 
 
-@query()
+@query(f"{SQL_CHUNKS} select id, text, source_doc, section, position, has_code from chunks")
 def ingest_stream(spark, sf_dir):
     """A stream of documents in several files ends in the same store as one batch."""
     source, store, checkpoint = (SRC.scratch_dir(spark, f"stream-{x}") for x in ("source", "store", "checkpoint"))
@@ -502,12 +549,12 @@ def check_vectors(spark, sf_dir):
 
 @query(
     """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double) * (vec_id % 5)) as v from embeddings), n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from v)
-select vec_id, round(case when n = 0 then 0.0 else v[1] / n end, 4) as x, round(case when n = 0 then 0.0 else v[64] / n end, 4) as y from n"""
+select vec_id, place, round(cast(cast(case when n = 0 then 0.0 else v[place + 1] / n end as float) as double), 4) as x from (select *, unnest(range(len(v))) as place from n)"""
 )
 def l2_normalise(spark, sf_dir):
     raw = F.transform("embedding", lambda x: (x.cast("double") * (F.col("vec_id") % 5)).cast("double"))
-    unit = V.l2_normalise(raw)
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(unit[0].cast("double"), 4).alias("x"), F.round(unit[63].cast("double"), 4).alias("y"))
+    found = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.l2_normalise(raw)).alias("place", "x"))
+    return found.select("vec_id", F.col("place").cast("long"), F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 _SQL_DISTANCE = "round(1 - list_dot_product(cast({0} as double[]), cast({1} as double[])) / (sqrt(list_dot_product(cast({0} as double[]), cast({0} as double[]))) * sqrt(list_dot_product(cast({1} as double[]), cast({1} as double[])))), 6)"
@@ -594,7 +641,7 @@ def retrieval_metrics(spark, sf_dir):
     return R.retrieval_metrics(_hits(spark, sf_dir), relevance, 5)
 
 
-_REWRITES = "case conv_id % 4 when 0 then concat('- \"', substring(text, 1, 80), '\"', chr(10), 'x') when 1 then '' when 2 then repeat('a', 201) else concat('  ', chr(96), 'q ', cast(turn as string), chr(96), ' ') end"
+_REWRITES = "case conv_id % 4 when 0 then concat('- \"', replace(text, chr(10), ' '), '\"', chr(10), 'x') when 1 then '' when 2 then repeat('a', 201) else concat('  ', chr(96), 'q ', cast(turn as string), chr(96), ' ') end"
 
 
 @query(
@@ -737,22 +784,28 @@ def query_status(spark, sf_dir):
 
 
 def _answers_to(spark, sf_dir):
-    rows = AN.parse_responses(_responses(spark, sf_dir)).withColumn("query_id", F.col("response_id") - F.pmod("response_id", F.lit(50)))
-    return rows.groupBy("query_id").agg(F.min_by("response", "response_id").alias("response")).join(_asked(spark, sf_dir).select("query_id", "query"), "query_id")
+    """Every answer with a question of its own kind: questions are asked again for each answer that they have."""
+    asked = _asked(spark, sf_dir)
+    rows = _responses(spark, sf_dir).withColumn("asked_id", F.pmod("response_id", F.lit(max(1, asked.count()))) * 50)
+    return rows.join(asked.select(F.col("query_id").alias("asked_id"), "query", "embedding"), "asked_id")
 
 
-_SQL_ANSWERS = f"r as ({RESPONSES}), chosen as (select response_id - response_id % 50 as query_id, arg_min(response, response_id) as response, arg_min(turn, response_id) as turn from r group by 1)"
+_SQL_ANSWERS = f"r as ({RESPONSES}), chosen as (select response_id, turn, response_id % (select count(*) from asked) * 50 as asked_id from r)"
 
 
 @query(
-    f"""{_SQL_RETRIEVED}, {_SQL_ANSWERS} select c.query_id, a.query, cast((select count(*) from hits h where h.query_id = c.query_id) as int) as n_hits, coalesce((select string_agg(cast(id as string), ',' order by rank) from hits h where h.query_id = c.query_id), '') as ids,
- case when turn % 4 = 3 then 'def f(:' else concat('x = ', cast(turn as string)) end as code, cast(case when not exists (select 1 from hits h where h.query_id = c.query_id) then 2 when turn % 4 = 3 then 1 else 0 end as int) as status from chosen c join asked a on a.query_id = c.query_id"""
+    f"""{_SQL_RETRIEVED}, {_SQL_ANSWERS} select c.response_id as query_id, a.query, cast((select count(*) from hits h where h.query_id = c.asked_id) as int) as n_hits, coalesce((select string_agg(cast(id as string), ',' order by rank) from hits h where h.query_id = c.asked_id), '') as ids,
+ case when turn % 4 = 3 then 'def f(:' else concat('x = ', cast(turn as string)) end as code, cast(case when not exists (select 1 from hits h where h.query_id = c.asked_id) then 2 when turn % 4 = 3 then 1 else 0 end as int) as status from chosen c join asked a on a.query_id = c.asked_id"""
 )
 def result_payload(spark, sf_dir):
-    """The second workload: retrieval, answers, validation, payload, status; the payload's fields."""
+    """The second workload over all answers: retrieval, answers, validation, payload, status; the payload's fields."""
     answers = _answers_to(spark, sf_dir)
-    asked = _asked(spark, sf_dir).join(answers.select("query_id"), "query_id", "left_semi")
-    found = W.answer(asked, _store(spark, sf_dir), answers.select("query_id", "response"), k=5, bound=0.8, exclude_self=True)
+    asked = answers.select(F.col("response_id").alias("query_id"), "query", "embedding")
+    store = _store(spark, sf_dir)
+    one = answers.select(F.col("asked_id").alias("query_id"), "query", "embedding").dropDuplicates(["query_id"])
+    hits = R.retrieve(one, store, k=5, bound=0.8, exclude_self=True)
+    links = answers.select("response_id", F.col("asked_id").alias("query_id"))
+    found = W.answer_found(asked, hits.join(links, "query_id").drop("query_id").withColumnRenamed("response_id", "query_id"), answers.select(F.col("response_id").alias("query_id"), "response"))
     kind = "query string, retrieved array<struct<source_doc:string,section:string,distance:double,id:string>>, code string, explanation string, sources array<int>"
     p = found.select("query_id", "status", F.from_json("payload", kind).alias("p"))
     ids = F.array_join(F.transform("p.retrieved", lambda h: h["id"]), ",")
@@ -760,11 +813,14 @@ def result_payload(spark, sf_dir):
 
 
 @query(
-    f"""{_SQL_RETRIEVED}, {_SQL_ANSWERS}, cited as (select query_id, unnest(case turn % 5 when 0 then [] when 1 then [1, cast(turn as int)] when 2 then [2, 3] when 3 then [] else [4, 5] end) as cited from chosen)
-select c.query_id, cast(cited as int) as cited, h.id, h.id is not null as resolved from cited c join asked a on a.query_id = c.query_id left join hits h on h.query_id = c.query_id and h.rank = cited"""
+    f"""{_SQL_RETRIEVED}, {_SQL_ANSWERS}, cited as (select response_id, asked_id, unnest(case turn % 5 when 0 then [] when 1 then [1, cast(turn as int)] when 2 then [2, 3] when 3 then [] else [4, 5] end) as cited from chosen)
+select c.response_id as query_id, cast(cited as int) as cited, h.id, h.id is not null as resolved from cited c join asked a on a.query_id = c.asked_id left join hits h on h.query_id = c.asked_id and h.rank = cited"""
 )
 def citation_check(spark, sf_dir):
-    return R.citation_check(AN.parse_responses(_answers_to(spark, sf_dir)), _hits(spark, sf_dir))
+    answers = _answers_to(spark, sf_dir)
+    links = answers.select(F.col("response_id"), F.col("asked_id").alias("query_id"))
+    hits = _hits(spark, sf_dir).join(links, "query_id").drop("query_id").withColumnRenamed("response_id", "query_id")
+    return R.citation_check(AN.parse_responses(answers.select(F.col("response_id").alias("query_id"), "response")), hits)
 
 
 # Statistics
@@ -775,7 +831,8 @@ def corpus_summary(spark, sf_dir):
     return S.corpus_summary(_table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"""{SQL_CHUNKS} select source_doc, count(*) as n_chunks, count(*) filter (has_code) as n_code, round(avg(length(text)), 6) as avg_chars, cast(min(length(text)) as int) as min_chars, cast(max(length(text)) as int) as max_chars,
+ round(100.0 * count(*) filter (has_code) / count(*), 6) as code_percent from chunks group by rollup (source_doc)""")
 def chunk_stats(spark, sf_dir):
     return S.chunk_stats(C.semantic_chunk(_cleaned(spark, sf_dir)))
 
@@ -818,22 +875,41 @@ def write_tutorials(spark, sf_dir):
 
 
 @query(
-    f"""{_SQL_RETRIEVED}{_SQL_CONTEXT}, t as (select item_id * 50 as query_id, text as markdown from benchmark)
+    f"""{_SQL_RETRIEVED}{_SQL_CONTEXT}, t as (select item_id % (select count(*) from asked) * 50 as query_id, text as markdown from benchmark)
 select c.query_id, concat('question-', cast(c.query_id as string)) as slug, concat('On question ', cast(c.query_id as string), ': ', context) as user_prompt, cast(len(regexp_extract_all(markdown, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) as int) as word_count, 'below' as band from contexts c join t on t.query_id = c.query_id"""
 )
 def generate_tutorials(spark, sf_dir):
     """The third workload: topics, context, prompt, and what was written on them."""
     topics = _asked(spark, sf_dir).withColumnRenamed("query", "topic")
-    written = _table(spark, sf_dir, "benchmark").select((F.col("item_id") * 50).alias("query_id"), F.col("text").alias("markdown"))
+    place = F.pmod("item_id", F.lit(max(1, topics.count()))) * 50
+    written = _table(spark, sf_dir, "benchmark").select(place.alias("query_id"), F.col("text").alias("markdown"))
     rows = W.tutorials(topics, _store(spark, sf_dir), written, template="On {topic}: {context}", k=5, bound=0.8, exclude_self=True)
     return rows.select("query_id", "slug", "user_prompt", "word_count", "band")
 
 
-@query()
+_SQL_EMBEDDED = f"{SQL_CHUNKS} select id, 'valid' as state, 1.0::double as norm from chunks"
+
+
+@query(_SQL_EMBEDDED)
 def embed_texts(spark, sf_dir):
     """Chunks of all documents with vectors of a hashing embedder, which stands for a model."""
-    found = C.embed_texts(C.semantic_chunk(_cleaned(spark, sf_dir)), hashing_embedder, 16)
-    return found.select("id", V.vector_state(F.col("embedding"), 16).alias("state"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+    return _embedded(C.embed_texts(C.semantic_chunk(_cleaned(spark, sf_dir)), hashing_embedder, 16))
+
+
+@query(_SQL_EMBEDDED)
+def embed_once(spark, sf_dir):
+    """The same through a store of vectors, which the second of two runs finds full."""
+    chunks, store = C.semantic_chunk(_cleaned(spark, sf_dir)), SRC.scratch_dir(spark, "vectors")
+    C.embed_once(chunks, hashing_embedder, 16, store)
+    return _embedded(C.embed_once(chunks, no_embedder, 16, store))
+
+
+def _embedded(chunks):
+    return chunks.select("id", V.vector_state(F.col("embedding"), 16).alias("state"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+
+
+def no_embedder(texts: list[str]) -> list[list[float]]:
+    raise ValueError("nothing is left to embed")
 
 
 def hashing_embedder(texts: list[str]) -> list[list[float]]:

@@ -47,13 +47,16 @@ def ingest_counted(documents: DataFrame, files: DataFrame | None = None) -> tupl
 
 def answer(queries: DataFrame, store: DataFrame, responses: DataFrame, **more) -> DataFrame:
     """Questions (query_id, query, embedding) with their answers (query_id, response): payload and status of each."""
-    contexts, hits = R.retrieve_context(queries, store, **more)
+    hits = R.retrieve(queries, store, **more)
+    return answer_found(queries, hits, responses)
+
+
+def answer_found(queries: DataFrame, hits: DataFrame, responses: DataFrame) -> DataFrame:
+    """As ``answer``, of hits that have been found already; a question has one answer at most."""
     parsed = AN.validate_syntax(AN.parse_responses(responses))
-    rows = queries.select("query_id", "query").join(parsed, "query_id", "left").join(contexts, "query_id")
-    has_hits = hits.select("query_id").distinct().withColumn("has_hits", F.lit(True))
-    rows = rows.join(has_hits, "query_id", "left")
-    status = A.query_status(F.col("has_hits"), F.col("response").isNotNull(), F.col("code"), F.col("valid"))
-    return AN.result_payload(rows, hits).join(rows.select("query_id", status.alias("status")), "query_id")
+    payloads, counts = AN.payloads(queries.select("query_id", "query").join(parsed, "query_id", "left"), hits), F.size("retrieved")
+    status = A.query_status(counts > 0, F.col("response").isNotNull(), F.col("code"), F.col("valid"))
+    return payloads.select("query_id", AN.payload_json().alias("payload"), status.alias("status"))
 
 
 def tutorials(topics: DataFrame, store: DataFrame, markdown: DataFrame, *, template: str, k: int = 6, **more) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,10 +121,19 @@ def quality_report(snippets: DataFrame, issues: DataFrame) -> DataFrame:
     return scored.withColumn("valid", F.coalesce("lint_ran", F.lit(False))).withColumn("n_flags", F.size("flags"))
 
 
+def payloads(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """Add retrieved, the hits of each answer's query in order (at most k), to answers (query_id, ...): one join."""
+    hit = F.struct("rank", F.struct("source_doc", "section", "distance", F.col("id").cast("string").alias("id")).alias("hit"))
+    listed = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["hit"]).alias("_hits"))
+    none = F.array().cast("array<struct<source_doc:string,section:string,distance:double,id:string>>")
+    return answers.join(listed, "query_id", "left").withColumn("retrieved", F.coalesce("_hits", none)).drop("_hits")
+
+
+def payload_json() -> Column:
+    """Query, hits and answer of a row of ``payloads`` as JSON."""
+    return F.to_json(F.struct("query", "retrieved", "code", "explanation", "sources"))
+
+
 def result_payload(answers: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id and payload: the answer (query_id, query, code, explanation, sources) and its hits as JSON."""
-    hit = F.struct("rank", F.struct("source_doc", "section", "distance", "id").alias("hit"))
-    listed = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["hit"]).alias("retrieved"))
-    joined = answers.join(listed, "query_id", "left")
-    retrieved = F.coalesce("retrieved", F.array().cast("array<struct<source_doc:string,section:string,distance:double,id:string>>"))
-    return joined.select("query_id", F.to_json(F.struct("query", retrieved.alias("retrieved"), "code", "explanation", "sources")).alias("payload"))
+    return payloads(answers, hits).select("query_id", payload_json().alias("payload"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,28 +98,92 @@ def duplicate_ids(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def embed_texts(chunks: DataFrame, embed, dimension: int, *, batch: int = 32, tries: int = 3) -> DataFrame:
-    """Add embedding: ``embed`` maps a list of texts (at most ``batch``) to as many vectors; it is tried ``tries`` times."""
+def _in_batches(embed: Callable[[list[str]], list], dimension: int, batch: int, tries: int) -> Callable[[list[str]], list[list[float]]]:
+    """Vectors of any number of texts by calls of at most ``batch``, each tried ``tries`` times and checked."""
+
+    def call(texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for at in range(0, len(texts), batch):
+            some = texts[at : at + batch]
+            for attempt in range(tries):
+                try:
+                    found = embed(some)
+                    break
+                except Exception:
+                    if attempt == tries - 1:
+                        raise
+                    time.sleep(2**attempt * 0.1)
+            if len(found) != len(some) or any(len(v) != dimension for v in found):
+                raise ValueError(f"expected {len(some)} vectors of {dimension} numbers")
+            out += [[float(x) for x in v] for v in found]
+        return out
+
+    return call
+
+
+def embed_texts(chunks: DataFrame, embed: Callable[[list[str]], list], dimension: int, *, batch: int = 32, tries: int = 3) -> DataFrame:
+    """Add embedding: ``embed`` maps a list of texts (at most ``batch``) to as many vectors; it is tried ``tries`` times.
+
+    Calls are filled across the batches in which rows come, so that a task makes one short call at most.
+    """
 
     @F.pandas_udf("array<float>")
-    def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import time
-
-        for part in texts:
-            out: list = []
-            for at in range(0, len(part), batch):
-                some = part.iloc[at : at + batch].tolist()
-                for attempt in range(tries):
-                    try:
-                        found = embed(some)
-                        break
-                    except Exception:
-                        if attempt == tries - 1:
-                            raise
-                        time.sleep(2**attempt * 0.1)
-                if len(found) != len(some) or any(len(v) != dimension for v in found):
-                    raise ValueError(f"expected {len(some)} vectors of {dimension} numbers")
-                out += [[float(x) for x in v] for v in found]
-            yield pd.Series(out)
-
-    return chunks.withColumn("embedding", vectors(X.embedding_text(F.col("source_doc"), F.col("section"), F.col("text"))))
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        call = _in_batches(embed, dimension, batch, tries)
+        waiting: list[str] = []
+        for part in parts:
+            waiting += part.tolist()
+            full = len(waiting) - len(waiting) % batch
+            if full:
+                yield pd.Series(call(waiting[:full]))
+                waiting = waiting[full:]
+        if waiting:
+            yield pd.Series(call(waiting))
+
+    return chunks.withColumn("embedding", vectors.asNondeterministic()(X.embedding_text(F.col("source_doc"), F.col("section"), F.col("text"))))
+
+
+def embed_once(chunks: DataFrame, embed: Callable[[list[str]], list], dimension: int, store: str, *, batch: int = 32, tries: int = 3, a_file: int = 32) -> DataFrame:
+    """As ``embed_texts``, through a store of vectors by digest of the text: what is there is never paid for again.
+
+    Equal texts are embedded once. A task writes a file after each ``a_file`` full calls and, when it runs again, skips
+    what its files have; a later job skips what all files have. The store is a folder that all executors reach.
+    """
+    spark = chunks.sparkSession
+    text = X.embedding_text(F.col("source_doc"), F.col("section"), F.col("text"))
+    keyed = chunks.withColumn("_digest", F.sha2(text, 256))
+    kind = "digest string, embedding array<float>"
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    wanted = keyed.select("_digest", text.alias("_text")).groupBy("_digest").agg(F.any_value("_text").alias("text"))
+    wanted = wanted.join(spark.read.schema(kind).parquet(store).select(F.col("digest").alias("_digest")), "_digest", "left_anti")
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = pafs.FileSystem.from_uri(store if "://" in store else "file://" + store.removeprefix("file:"))
+        call, mine = _in_batches(embed, dimension, batch, tries), f"task-{TaskContext.get().partitionId()}-"
+        known: set[str] = set()
+        for info in files.get_file_info(pafs.FileSelector(folder)):
+            if info.base_name.startswith(mine):
+                known.update(pq.read_table(info.path, filesystem=files, columns=["digest"]).column(0).to_pylist())
+        waiting: list[tuple[str, str]] = []
+
+        def flush(rows: list[tuple[str, str]]) -> None:
+            table = pa.table({"digest": [d for d, _ in rows], "embedding": pa.array(call([t for _, t in rows]), pa.list_(pa.float32()))})
+            name = f"{folder}/{mine}{uuid.uuid4().hex}.parquet"
+            hidden = f"{folder}/_{uuid.uuid4().hex}"  # readers see whole files only
+            pq.write_table(table, hidden, filesystem=files)
+            files.move(hidden, name)
+
+        for part in parts:
+            waiting += [(d, t) for d, t in zip(part["_digest"], part["text"], strict=True) if d not in known]
+            while len(waiting) >= batch * a_file:
+                flush(waiting[: batch * a_file])
+                waiting = waiting[batch * a_file :]
+        if waiting:
+            flush(waiting)
+        yield pd.DataFrame({"done": [True]})
+
+    wanted.mapInPandas(write, "done boolean").write.format("noop").mode("overwrite").save()
+    fresh = spark.read.schema(kind).parquet(store).groupBy(F.col("digest").alias("_digest")).agg(F.any_value("embedding").alias("embedding"))
+    return keyed.join(fresh, "_digest").drop("_digest")

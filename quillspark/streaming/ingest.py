@@ -16,7 +16,7 @@ from quillspark.operators import chunks as C
 
 STORED = "id string, text string, source_doc string, section string, position int, has_code boolean, seq long"
 _COLUMNS = [f.strip().split()[0] for f in STORED.split(",")]
-_BUCKETS = 64
+_BUCKETS = 16
 
 
 def _fs(spark: SparkSession, path: str):
@@ -56,7 +56,7 @@ def merge_batch(chunks: DataFrame, store: str, batch_id: int, *, buckets: int =
     batch = chunks.withColumn("seq", F.lit(batch_id).cast("long")).select(*_COLUMNS)
     before = _manifest(spark, store, batch_id)
     folder = f"{store}/batch={batch_id}"
-    batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}-new")
+    batch.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}-new")
     fs, new = _fs(spark, f"{folder}-new")
     touched = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(new) if s.isDirectory()]  # at most ``buckets``
     if touched:

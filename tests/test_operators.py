@@ -245,3 +245,57 @@ def test_last_version_of_a_path(spark):
 
     batch = spark.createDataFrame([("p", "old", 1), ("p", "new", 2), ("q", "a", 1), ("q", "b", 1)], "path string, text string, changed int")
     assert {r.path: r.text for r in ST.last_versions(batch).collect()} == {"p": "new", "q": "b"}
+
+
+def chunk_rows(spark, texts):
+    return spark.createDataFrame([(str(k), t, "d", "s") for k, t in enumerate(texts)], "id string, text string, source_doc string, section string")
+
+
+def test_calls_are_filled_across_batches(spark, tmp_path):
+    log = str(tmp_path)
+
+    def embed(texts):
+        import uuid
+
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(texts)))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        chunks = chunk_rows(spark, ["x" * k for k in range(100)]).coalesce(1)
+        found = C.embed_texts(chunks, embed, 2, batch=32).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    head = len("[Doc: d] [Section: s]\n\n")
+    assert {r.id: r.embedding[0] for r in found} == {str(k): float(head + k) for k in range(100)}
+    assert sorted(int(p.read_text()) for p in tmp_path.iterdir()) == [4, 32, 32, 32]
+
+
+def test_vectors_are_paid_for_once(spark, tmp_path):
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    log = str(calls)
+
+    def embed(texts):
+        import os
+        import uuid
+
+        if "boom" in texts[-1] and len(os.listdir(log)) < 40:
+            raise RuntimeError("the service is down")
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(t.split("\n\n")[1] for t in texts))
+        return [[float(len(t))] for t in texts]
+
+    texts = [f"t{k % 30}" for k in range(90)]
+    first = C.embed_once(chunk_rows(spark, texts), embed, 1, store, batch=1, a_file=1)
+    assert first.count() == 90
+    more = [*texts, *[f"u{k}" for k in range(9)], "boom"]
+    with pytest.raises(Exception, match="the service is down"):
+        C.embed_once(chunk_rows(spark, more), embed, 1, store, batch=1, a_file=1, tries=1)
+    for k in range(40):
+        (calls / f"extra{k}").write_text("")  # the service is back
+    found = C.embed_once(chunk_rows(spark, more), embed, 1, store, batch=1, a_file=1)
+    assert found.count() == 100 and found.where("embedding is null").count() == 0
+    paid = [t for p in calls.iterdir() for t in p.read_text().split("\n") if t]
+    assert sorted(paid) == sorted({*more})  # none twice, though a job failed between
