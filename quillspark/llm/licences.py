@@ -16,6 +16,7 @@ each; rows that repeat have equal results; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -99,6 +100,53 @@ OTHERS = (
     "Distributed under the Artistic License 2.0.",
     "Licensed under the Open Software License, version 3.0.",
 )
+# Names of licences, by family and of others, and forms in which names stand in headings and short notices.
+NAMES = {
+    "apache": ("Apache License", "Apache License 2.0", "Apache License, Version 2.0", "Apache Software License", "Apache-2.0", "Apache 2.0"),
+    "bsd": ("BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "New BSD License", "Simplified BSD License", "BSD-2-Clause", "BSD-3-Clause"),
+    "cc-by": ("Creative Commons Attribution License", "Creative Commons Attribution 4.0 International", "CC BY 4.0", "CC BY-SA 4.0", "CC-BY-4.0", "CC-BY-SA-4.0"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial License", "Creative Commons NonCommercial 4.0 International", "CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC-BY-NC-4.0"),
+    "gpl": ("GNU General Public License", "GNU General Public License, version 2", "GNU General Public License v3", "GNU GPL", "GPLv2", "GPLv3", "GPL version 3", "GPL-2.0-only", "GPL-3.0-or-later"),
+    "mit": ("MIT License", "MIT License (MIT)", "MIT"),
+    "mpl": ("Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0", "MPL-2.0"),
+    "public-domain": ("Unlicense", "CC0 1.0 Universal", "CC0-1.0"),
+}
+OTHER_NAMES = (
+    "Eclipse Public License",
+    "GNU Lesser General Public License",
+    "GNU Library General Public License",
+    "GNU Affero General Public License",
+    "GNU Free Documentation License",
+    "LGPLv3",
+    "AGPLv3",
+    "EPL-2.0",
+    "Boost Software License",
+    "European Union Public Licence",
+    "Common Development and Distribution License",
+    "Common Public License",
+    "Microsoft Public License",
+    "ISC License",
+    "zlib License",
+    "Artistic License",
+    "Open Software License",
+    "CC BY-ND 4.0",
+    "Creative Commons Attribution-NoDerivatives 4.0 International",
+)
+FORMS = ("{}", "The {}", "Licensed under {}.", "Released under the {}.", "Distributed under the terms of the {}.", "This project is covered by the {}.", "License: {}")
+
+
+def templates() -> dict[str, tuple[str, ...]]:
+    """All templates of each family: notices, and names in each form; a name of one word stands for itself only if it has a number."""
+    alone = lambda name: " " in name or any(c.isdigit() for c in name)
+    named = {family: tuple(form.format(name) for name in names for form in FORMS if alone(name) or not form.removeprefix("The ") == "{}") for family, names in NAMES.items()}
+    return {family: (*texts, *named[family]) for family, texts in TEMPLATES.items()}
+
+
+def others() -> tuple[str, ...]:
+    """What is no licence of a family: sentences, and names of other licences in each form."""
+    return (*OTHERS, *(form.format(name) for name in OTHER_NAMES for form in FORMS))
+
+
 UNKNOWN = "unknown"
 #: A line end inside a sentence.
 GOES_ON = r"(?<=[\p{L}\p{N},;])\n(?=\p{Ll})"
@@ -141,6 +189,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     size: int
+    known: str  # word 3-grams of each family's templates, as JSON
 
 
 def train(
@@ -153,7 +202,7 @@ def train(
     steps: int = 300,
     folds: int = 4,
 ) -> Model:
-    """Fit the classifier on parts of TEMPLATES, on OTHERS, and on at most ``sample_lines`` corpus lines.
+    """Fit the classifier on the templates, on others, and on at most ``sample_lines`` corpus lines.
 
     The lines are those of smallest hash without "licen" in about ``sample_lines`` / 10 texts, of smallest hash too. Each
     fold leaves out every ``folds``-th template, other sentence and corpus line, whole, and judges them.
@@ -168,8 +217,9 @@ def train(
     rows = [(UNKNOWN, r.line, k, 1.0) for k, r in enumerate(lines.collect())]  # family, text, which fold leaves it out, weight
     n_lines = len(rows)
     starts = ("", "Note: ", "This document is ", "Copyright 2020 by the authors. ", "All text here is ")
-    rows += [(UNKNOWN, x, k, max(1.0, n_lines / len(OTHERS))) for k, x in enumerate(OTHERS)]
-    for family, texts in TEMPLATES.items():
+    foreign = others()
+    rows += [(UNKNOWN, x, k, max(1.0, 4 * n_lines / len(foreign))) for k, x in enumerate(foreign)]
+    for family, texts in templates().items():
         rows += [(family, start + (text[0].lower() + text[1:] if start.endswith("is ") else text), k, 1.0) for k, text in enumerate(texts) for start in starts]
     table = spark.createDataFrame([(k, x) for k, (_, x, _, _) in enumerate(rows)], "k long, text string")
     found = [b for _, b in sorted((r.k, r.b) for r in table.select("k", buckets(F.col("text"), size).alias("b")).collect())]
@@ -188,7 +238,11 @@ def train(
     loss = {t: -(share * np.log(np.maximum(_softmax(score / t)[np.arange(len(y)), y], 1e-12))).sum() for t in TEMPERATURES}
     weights, bias = _fit(x, y, given, len(families), sparsity, steps)
     some = np.flatnonzero(np.abs(weights).sum(axis=1) > 0)
-    return Model(families, used[some], weights[some], bias, float(min(loss, key=loss.get)), size)
+    table = spark.createDataFrame([(f, t) for f, texts in sorted(templates().items()) for t in texts], "family string, text string")
+    grams: dict[str, list[list[str]]] = {}
+    for r in table.select("family", grams3(F.col("text")).alias("grams")).collect():  # a row a template
+        grams.setdefault(r.family, []).append(r.grams)
+    return Model(families, used[some], weights[some], bias, float(min(loss, key=loss.get)), size, json.dumps(grams))
 
 
 #: Temperatures that the calibration tries.
@@ -237,7 +291,7 @@ def scan(documents: DataFrame, model: Model, *, least_probability: float = 0.5,
     cues = _constant(np.round(gain.max(axis=1, initial=0.0), 6), "double")  # the most a bucket gives any family over unknown
     least_cues = float((model.bias[-1] - model.bias[:-1]).min()) - 1e-4
     names = F.array(*[F.lit(f) for f in model.families])
-    templates = F.create_map(*[x for f in sorted(TEMPLATES) for x in (F.lit(f), F.array(*[grams3(F.lit(t)) for t in TEMPLATES[f]]))])
+    known = F.from_json(F.lit(model.known), "map<string,array<array<string>>>")
 
     def judge(paragraph: Column, at: Column) -> Column:
         met = F.array_distinct(F.filter(F.transform(buckets(paragraph, model.size), lambda b: F.get(where, b)), lambda p: p >= 0))
@@ -258,10 +312,11 @@ def scan(documents: DataFrame, model: Model, *, least_probability: float = 0.5,
 
     def confirm(x: Column) -> Column:
         def shares(own: Column) -> Column:
-            return F.array_max(F.transform(F.element_at(templates, x["family"]), lambda t: F.size(F.array_intersect(own, t)) / F.least(F.size(own), F.size(t))))
+            return F.array_max(F.transform(F.element_at(known, x["family"]), lambda t: F.size(F.array_intersect(own, t)) / F.least(F.size(own), F.size(t))))
 
         similarity = _let(grams3(x["text"]), shares)
-        sure = (x["probability"] >= least_probability) & (similarity >= least_similarity)
+        several = (F.size(_words(x["text"])) > 1) | x["text"].rlike("[0-9]")  # a word alone may be a word of the language
+        sure = (x["probability"] >= least_probability) & (similarity >= least_similarity) & several
         return F.struct(x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), similarity.alias("similarity"), sure.alias("confirmed"))
 
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), GOES_ON, " ")

@@ -85,6 +85,34 @@ def test_licences(spark):
     assert licences.TEMPERATURES[0] < model.temperature < licences.TEMPERATURES[-1]
 
 
+# Headings and short notices that are no template, and what other licences and plain sentences say; none of the latter is in OTHERS or OTHER_NAMES.
+FOUND = {
+    "mit": ["The MIT License (MIT)\n", "Dual licensed: MIT License or a commercial one", "Code released under the MIT license, see LICENSE.txt for details.", "# MIT License"],
+    "apache": ["Apache License\nVersion 2.0, January 2004", "See the LICENSE file: Apache 2.0", "Apache License V2.0"],
+    "gpl": ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "licensed under GPLv3", "This software is covered by the GNU General Public License v2.0."],
+    "bsd": ["Distributed under the terms of the BSD 2-Clause License.", "The BSD 3-Clause License"],
+    "mpl": ["The code is published under MPL 2.0.", "Mozilla Public License Version 2.0"],
+    "cc-by": ["Text is under CC BY 4.0."],
+}
+NOT_FOUND = ["Academic Free License version 3.0", "Licensed under the Python Software Foundation License.", "SIL Open Font License, version 1.1", "Released under the PostgreSQL License.", "Licensed under the Ruby License.",
+             "W3C Software Notice and License", "Licensed under the Server Side Public License, version 1.", "Business Source License 1.1", "Distributed under the terms of the Q Public License.", "Licensed under the NASA Open Source Agreement.",
+             "The MIT campus is open to the public on Sundays.", "Apache tribes lived in the south.", "Mit.", "Redistribution of the film is not permitted.", "The public domain of the web grew."]
+
+
+@tables
+def test_licences_by_headings_and_near_misses(spark):
+    model = licences.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), sample_lines=500)
+    texts = [(family, t) for family, some in FOUND.items() for t in some] + [(None, t) for t in NOT_FOUND]
+    own = {t for some in licences.templates().values() for t in some} | set(licences.others())
+    assert len(own & {t for _, t in texts}) <= 2  # two have a template's form
+    rows = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.family for r in licences.scan(rows, model).collect()}
+    right = [found[k] == family for k, (family, _) in enumerate(texts)]
+    n = len(texts) - len(NOT_FOUND)
+    assert sum(right[:n]) >= 0.8 * n, [(t, found[k]) for k, (f, t) in enumerate(texts) if not right[k]]
+    assert all(right[n:]), [(t, found[k]) for k, (f, t) in enumerate(texts) if not right[k]]
+
+
 @tables
 def test_language_on_held_out_documents(spark):
     found = queries.op9_language(spark, SF.replace("0.001", "0.01")).join(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id")
