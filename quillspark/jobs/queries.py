@@ -155,14 +155,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
-    """A view over one table, without a name that other queries could meet."""
+    """A view over one table, without a name that other queries could meet; documents of a small table are dealt out."""
     sql = sql.replace("{", "{{").replace("}", "}}").replace(f"from {table}", "from {t}")
-    return spark.sql(sql, t=_table(spark, sf_dir, table))
+    rows = _table(spark, sf_dir, table)
+    return spark.sql(sql, t=SRC.spread(rows) if table == "documents" else rows)
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = MD_DOCS.replace("{", "{{").replace("}", "}}").replace("from documents", "from {t}")
-    return spark.sql(sql, t=SRC.spread(_table(spark, sf_dir, "documents")))
+    return _view(spark, sf_dir, MD_DOCS, "documents")
 
 
 def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
