@@ -1,17 +1,17 @@
 """Main text of web pages by minimum cut.
 
-A page is read once into blocks of text with their place in the element tree. A logistic model of a block's own looks,
-and what its elements are named, give the cost of calling it article or boilerplate: the capacities to the two terminals.
-What elements say has degrees. Navigation, adverts, comments and the like (HARD) outweigh a block's looks, as a reader's
-comment looks like an article; names that may mean something else (SOFT) lose to a long paragraph; a word within a longer
-name (WEAK) only tips the scales. Names of states ("has-sidebar", "comments-open") say nothing. ``article`` lifts what is
-soft or weak around it, ``main`` all.
+A page is read once into blocks of text with their place in the element tree. A logistic model gives the cost of calling a
+block article or boilerplate: the capacities to the two terminals. It adds up a block's looks (length, links, punctuation,
+tag), its place against the container that holds most of the page's text, and what its elements say: names of classes and
+ids in degrees, and elements whose meaning HTML fixes. Each of these is bounded, and so is their sum; nothing decides
+alone, so an article stays one in an element that is called ``menu`` if it holds the page's text and heading, and a
+container behind the article goes whatever it is called. Names of states ("has-sidebar", "comments-open") say nothing.
 Neighbours in page order and like blocks under one parent are joined by smoothness edges, stronger the nearer they stand in
 the tree. The minimum cut labels all blocks of a page together.
 
-The model is fitted on a bounded sample of pages: blocks whose elements say what they are (navigation, footer, article
-...) are its labels, and it sees only lengths, links, punctuation, tag and position, so it carries over to blocks whose
-elements say nothing.
+The model is fitted on a bounded sample of pages. Labels are blocks in elements whose meaning HTML fixes (``nav``,
+``footer``, ``article`` ...), which the fit does not see. Blocks that only have a telling name join in a second fit, labelled
+by what the first makes of them; so names get the weight that looks and place bear out.
 
 Defined results: null or empty html gives an empty text, as does a page of boilerplate only; unclosed and stray tags are
 taken as browsers do for blocks; text outside any tag is a block; repeated rows have equal results; an empty table gives
@@ -25,6 +25,7 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -51,9 +52,10 @@ LISTS = frozenset("ul ol menu dl table".split())
 HARD_TAGS = frozenset("nav footer aside menu dialog button".split())
 SOFT_TAGS = frozenset("form fieldset label".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
 HARD_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar "
-    "comment comments disqus replies respond cookie cookies consent gdpr newsletter related recommended pagination pager".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar comment comments disqus replies respond cookie cookies consent gdpr newsletter related "
+    "recommended pagination pager".split()
 )
 SOFT_NAMES = frozenset(
     "banner rail aside footer header masthead topbar toolbar discussion notice notification alert popup modal overlay subscribe subscription signup login "
@@ -66,74 +68,92 @@ BESIDE = frozenset(
     "bar panel group row col column link links icon icons title inline sticky fixed mobile desktop user first last small large".split()
 )
 STATES = frozenset("with without has have no not is show hide enable enabled disable disabled open closed on off".split())
-HARD, SOFT, WEAK = -1.0, -0.5, -0.1
+CONTAINERS = frozenset("article main section div nav header footer aside form details dialog".split())
 
-FEATURES = 9
+WEAK, SOFT, HARD, ADVERT = 1, 2, 3, 4
 
 
-def name_says(name: str) -> float:
-    """What a class or id says: 1 for article, HARD, SOFT or WEAK for boilerplate, 0 for nothing."""
+def name_says(name: str) -> int:
+    """What a class or id says: -1 for article, WEAK to ADVERT for boilerplate, 0 for nothing."""
     parts = [x.lower() for x in NAME_PARTS.findall(name)]
     parts = [x for x in parts if not x.isdigit()]
     if not parts or len(parts) > 1 and not STATES.isdisjoint(parts):
-        return 0.0
-    hard, soft, good = (any(x in names for x in parts) for names in (HARD_NAMES, SOFT_NAMES, CONTENT_NAMES))
-    foreign = any(x not in names for x in parts for names in [HARD_NAMES | SOFT_NAMES | CONTENT_NAMES | BESIDE])
-    if hard or soft:
-        if good and not hard:
-            return 0.0  # the head of an article, not of the page
-        return WEAK if foreign else HARD if hard else SOFT
-    return 1.0 if good and not foreign else 0.0
-
-
-def hint(tag: str, attributes: str, around: float) -> float:
-    """What holds inside an element, by what it says of itself and what holds around it: from HARD to 1, 0 for nothing."""
-    said, names, lifts, lifts_all = 0.0, [], tag == "article", tag == "main"
+        return 0
+    advert, hard, soft, good = (any(x in names for x in parts) for names in (ADVERT_NAMES, HARD_NAMES, SOFT_NAMES, CONTENT_NAMES))
+    foreign = any(x not in ADVERT_NAMES | HARD_NAMES | SOFT_NAMES | CONTENT_NAMES | BESIDE for x in parts)
+    if advert or hard or soft:
+        if good and not (advert or hard):
+            return 0  # the head of an article, not of the page
+        return WEAK if foreign else ADVERT if advert else HARD if hard else SOFT
+    return -1 if good and not foreign else 0
+
+
+class Said(NamedTuple):
+    """What the elements around a block say."""
+
+    mark: int = 0  # by HTML: SOFT or HARD for boilerplate
+    name: int = 0  # by names: WEAK to ADVERT
+    good: bool = False  # a name of articles
+    content: int = 0  # 1 in main, 2 in article
+
+
+def read_element(tag: str, attributes: str, around: Said) -> tuple[Said, str]:
+    """What holds inside an element, by what it says of itself and what holds around it; its name."""
+    mark, names, classes, ident, lifts, lifts_all = 0, [], "", "", tag == "article", tag == "main"
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role" and value.lower() in BOILERPLATE_ROLES:
-                said = HARD
+                mark = HARD
             elif key == "role" and value.lower() in ("main", "article"):
                 lifts, lifts_all = True, lifts_all or value.lower() == "main"
             elif key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true":
-                return HARD
+                mark = HARD
             elif key == "style" and "display:none" in value.replace(" ", "").lower():
-                return HARD
+                mark = HARD
             elif key in ("class", "id"):
                 names += [name_says(x) for x in value.split()]
-    if tag in HARD_TAGS or tag == "header" and around <= 0:
-        said = HARD
+                classes, ident = (value, ident) if key == "class" else (classes, value)
+    called = classes or ident.rstrip("0123456789")
+    if tag in HARD_TAGS or tag == "header" and not (around.good or around.content):
+        mark = HARD
     elif tag in SOFT_TAGS:
-        said = min(said, SOFT)
-    if tag not in ("html", "body"):
-        least, most = min(names, default=0.0), max(names, default=0.0)
-        if tag == "p" or tag in HEADINGS:
-            least, most = (least if least == HARD else 0.0), 0.0
-        said = min(said, least) or most
+        mark = max(mark, SOFT)
+    if tag in ("html", "body"):
+        names = []
+    name, good = max(names, default=0), -1 in names
+    if tag == "p" or tag in HEADINGS:
+        name, good = (name if name >= HARD else 0), False
+    name = max(name, 0)
     if lifts_all:
-        return 1.0
-    if around == HARD or said == HARD:
-        return HARD
+        return Said(content=max(1, around.content)), called
     if lifts:
-        return 1.0
-    if around > 0 and said == WEAK:
-        return 0.0  # its looks decide
-    return said or around
+        mark, name = max(mark, around.mark), max(name, around.name)
+        return Said(mark if mark == HARD else 0, name if name >= HARD else 0, False, 2 * (mark < HARD)), called
+    content = around.content * (mark < HARD)
+    if content and name == WEAK:
+        name = 0
+    return Said(max(mark, around.mark), max(name, around.name), mark < SOFT and name < SOFT and (good or around.good), content), called
 
 
 class Block:
-    __slots__ = ("text", "tag", "hint", "depth", "common", "element", "link_chars")
+    __slots__ = ("text", "tag", "said", "depth", "common", "element", "link_chars", "group")
+
+    def __init__(self, text, tag, said, depth, common, element, link_chars, group):
+        self.text, self.tag, self.said, self.depth, self.common, self.element, self.link_chars, self.group = text, tag, said, depth, common, element, link_chars, group
 
-    def __init__(self, text, tag, hint, depth, common, element, link_chars):
-        self.text, self.tag, self.hint, self.depth, self.common, self.element, self.link_chars = text, tag, hint, depth, common, element, link_chars
 
+def read_blocks(page: str) -> tuple[list[Block], list[int]]:
+    """Blocks of text in page order, and the group that holds each group.
 
-def read_blocks(page: str) -> list[Block]:
-    """Blocks of text in page order; ``common`` is the depth of the element that holds this block and the one before,
-    ``element`` the number of the parent of its own element."""
+    ``common`` is the depth of the element that holds this block and the one before, ``element`` the number of the parent
+    of its own element. A group is a container, together with its siblings of the same tag and name; a ``div`` or
+    ``section`` without a name is none.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # tag, hint in force, number
+    stack: list[tuple[str, Said, int, int]] = [("", Said(), 0, 0)]  # tag, what holds inside, number, group
+    groups: dict[tuple[int, int, str, str], int] = {}
+    holders = [0]
     parts: list[str] = []
     links, link_chars, elements, lowest = 0, 0, 0, 0
     at, end = 0, len(page)
@@ -142,8 +162,8 @@ def read_blocks(page: str) -> list[Block]:
         nonlocal parts, link_chars, lowest
         text = " ".join("".join(parts).split())
         if text:
-            tag, said, _ = stack[-1]
-            out.append(Block(text, tag, said, len(stack), lowest, stack[-2][2] if len(stack) > 1 else 0, link_chars))
+            tag, said, _, group = stack[-1]
+            out.append(Block(text, tag, said, len(stack), lowest, stack[-2][2] if len(stack) > 1 else 0, link_chars, group))
             lowest = len(stack)
         parts, link_chars = [], 0
 
@@ -201,20 +221,66 @@ def read_blocks(page: str) -> list[Block]:
                     break
             lowest = min(lowest, len(stack))
             elements += 1
-            stack.append((tag, hint(tag, m[3] or m[6] or "", stack[-1][1]), elements))
+            said, called = read_element(tag, m[3] or m[6] or "", stack[-1][1])
+            group = stack[-1][3]
+            if tag in CONTAINERS and (called or tag not in ("div", "section")):
+                key = (group, stack[-1][2], tag, called)
+                if key not in groups:
+                    groups[key] = len(holders)
+                    holders.append(group)
+                group = groups[key]
+            stack.append((tag, said, elements, group))
         lowest = min(lowest, len(stack))
         if tag not in ("p", "li"):
             links = 0
     flush()
-    return out
-
-
-def features(blocks: list[Block]) -> np.ndarray:
-    """What a block looks like, without what its elements are called."""
-    rows = np.zeros((len(blocks), FEATURES))
+    return out, holders
+
+
+#: Where the fit starts and what it is drawn to, by kind of evidence: bounds of the sum, then the weights.
+#: Looks: long, unlinked, punctuated paragraphs are article.
+LOOKS = (-2.5, 2.5), (-2.0, 0.8, -4.0, 0.5, 1.0, 2.0, -1.0, -0.5, -0.5)
+#: Place: in the main group, before it, behind it with and without a heading, between its blocks.
+PLACE = (-3.5, 2.0), (2.0, -1.5, -2.0, -3.0, -0.7)
+#: Names: WEAK, SOFT, HARD, ADVERT, of articles. Advertising reads like an article, so its name says more.
+NAMES = (-4.5, 1.5), (-0.3, -1.0, -2.5, -4.5, 1.0)
+#: HTML: SOFT and HARD elements, ``article`` or ``main``. The fit leaves these as they are.
+MARKS = (-4.5, 1.5), (-1.0, -4.5, 1.5)
+KINDS = (LOOKS, PLACE, NAMES, MARKS)
+PRIOR = np.array([w for _, weights in KINDS for w in weights])
+STARTS = np.cumsum([0, *[len(weights) for _, weights in KINDS]]).tolist()
+FITTED = STARTS[3]
+
+
+def main_group(blocks: list[Block], holders: list[int]) -> tuple[int, set[int]]:
+    """The group of most unlinked text, which counts less under telling names and twice with a main heading; what is around it."""
+    mass, headed = [0.0] * len(holders), [False] * len(holders)
+    for b in blocks:
+        name = (0.0, *NAMES[1])[b.said.name] + (0.0, 0.0, *MARKS[1])[b.said.mark] + MARKS[1][2] * (b.said.content > 0)
+        mass[b.group] += max(0, len(b.text) - 2 * b.link_chars) * math.exp(name)
+        headed[b.group] |= b.tag == "h1"
+    best = max(sorted({b.group for b in blocks}), key=lambda g: mass[g] * (1 + headed[g]))
+    around, g = set(), best
+    while g:
+        g = holders[g]
+        around.add(g)
+    return best, around
+
+
+def features(blocks: list[Block], holders: list[int]) -> np.ndarray:
+    rows = np.zeros((len(blocks), len(PRIOR)))
+    if not blocks:
+        return rows
+    main, around = main_group(blocks, holders)
+    own = [k for k, b in enumerate(blocks) if b.group == main]
+    whole = blocks[own[0]].said.content
+    headed = {b.group for b in blocks if b.tag in HEADINGS}
+    inside = [g == main for g in range(len(holders))]
+    for g in range(1, len(holders)):
+        inside[g] |= inside[holders[g]]
     for k, b in enumerate(blocks):
         n, words = len(b.text), b.text.count(" ") + 1
-        rows[k] = (
+        rows[k, : STARTS[1]] = (
             1.0,
             math.log1p(words),
             min(1.0, b.link_chars / n),
@@ -225,24 +291,43 @@ def features(blocks: list[Block]) -> np.ndarray:
             min(k, len(blocks) - 1 - k) == 0,
             words < 4,
         )
+        place = 0 if b.group == main else 1 if k < own[0] else 4 if k < own[-1] else 2 if b.group in headed else 3
+        if b.group not in around and b.group:  # the page itself tells nothing
+            rows[k, STARTS[1] + place] = 1.0
+        if b.said.name:
+            rows[k, STARTS[2] + b.said.name - 1] = 1.0
+        rows[k, STARTS[3] - 1] = b.said.good
+        if b.said.mark:
+            rows[k, STARTS[3] + b.said.mark - SOFT] = 1.0
+        behind = place == 3 and (inside[b.group] or b.said.content < whole)  # hangs at the end of an article, or follows it in main
+        rows[k, STARTS[4] - 1] = b.said.content > 0 and not behind
     return rows
 
 
-#: Where the fit starts and what it is drawn to: long, unlinked, punctuated paragraphs are article.
-PRIOR = np.array([-2.0, 0.8, -4.0, 0.5, 1.0, 2.0, -1.0, -0.5, -0.5])
+def costs(rows: np.ndarray, weights: np.ndarray, *, most: float = 4.0) -> np.ndarray:
+    """What calling each block boilerplate costs more than calling it article; every kind of evidence within its bounds."""
+    kinds = [np.clip(rows[:, a:b] @ weights[a:b], *bounds) for (bounds, _), a, b in zip(KINDS, STARTS, STARTS[1:])]
+    return np.clip(sum(kinds), -most, most)
+
 
+def fit(rows: np.ndarray, labels: np.ndarray, *, strength: float = 0.02, steps: int = 25) -> np.ndarray:
+    """Logistic weights by Newton steps, drawn to PRIOR; both classes weigh the same. Labels may lie between 0 and 1.
 
-def fit(rows: np.ndarray, labels: np.ndarray, *, strength: float = 5.0, steps: int = 25) -> np.ndarray:
-    """Logistic weights by Newton steps, drawn to PRIOR; both classes weigh the same."""
+    Kinds of evidence are fitted one after another, each to what those before leave open, so that looks are worth what
+    they are worth alone.
+    """
     weights = PRIOR.copy()
-    if len(set(labels.tolist())) < 2:
+    if not len(labels) or not 0 < labels.mean() < 1:
         return weights
-    share = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(rows @ weights, -30, 30)))
-        slope = rows.T @ (share * (p - labels)) + strength * (weights - PRIOR)
-        curve = (rows * (share * p * (1 - p))[:, None]).T @ rows + strength * np.eye(FEATURES)
-        weights = weights - np.linalg.solve(curve, slope)
+    share = labels * 0.5 / labels.mean() + (1 - labels) * 0.5 / (1 - labels.mean())
+    draw, known = 5.0 + strength * len(labels), np.zeros(len(labels))
+    for (bounds, prior), a, b in zip(KINDS[:3], STARTS, STARTS[1:]):
+        x, w = rows[:, a:b], np.array(prior)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(known + x @ w, -30, 30)))
+            slope = x.T @ (share * (p - labels)) + draw * (w - prior)
+            w = w - np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + draw * np.eye(b - a), slope)
+        weights[a:b], known = w, known + np.clip(x @ w, *bounds)
     return weights
 
 
@@ -255,14 +340,23 @@ def train(pages: DataFrame, *, sample_pages: int = 400, page_bytes: int = 1 << 2
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for page in batch["html"]:
-                found = read_blocks(page)
-                said = [(x, b.hint > 0) for x, b in zip(features(found).tolist(), found, strict=True) if abs(b.hint) == 1][:page_blocks]
-                yield pd.DataFrame({"x": [x for x, _ in said], "y": [float(y) for _, y in said]})
+                blocks, holders = read_blocks(page)
+                told = [b.said.mark == HARD or b.said.content > 0 or bool(b.said.name) or b.said.good for b in blocks]
+                some = [x for x, t in zip(features(blocks, holders).tolist(), told, strict=True) if t][:page_blocks]
+                yield pd.DataFrame({"x": some})
+
+    found = np.array([r.x for r in few.mapInPandas(rows, "x array<double>").collect()])
+    return learn(found) if len(found) else PRIOR.copy()
+
 
-    found = few.mapInPandas(rows, "x array<double>, y double").collect()
-    if not found:
-        return PRIOR.copy()
-    return fit(np.array([r.x for r in found]), np.array([r.y for r in found]))
+def learn(rows: np.ndarray) -> np.ndarray:
+    """Weights from blocks that elements label, then also from those that are only named."""
+    soft, hard, content = rows[:, FITTED:].T > 0
+    named = rows[:, STARTS[2] + HARD - 1 : STARTS[2] + ADVERT].any(axis=1)
+    labelled = hard | content & ~named & ~soft
+    first = fit(rows[labelled], (content & ~hard)[labelled].astype(float))
+    guess = 1 / (1 + np.exp(-costs(rows, first)))
+    return fit(rows, np.where(labelled, (content & ~hard).astype(float), guess))
 
 
 def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -322,33 +416,33 @@ def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list
     return [bool(x) for x in side]
 
 
-def main_text(page: str, weights: np.ndarray, *, hint_cost: float = 6.0, smoothness: float = 1.0) -> str:
+def main_text(page: str, weights: np.ndarray, *, smoothness: float = 1.0) -> str:
     """The page's article: blocks on the article's side of the minimum cut, in page order."""
-    blocks = read_blocks(page)
+    blocks, holders = read_blocks(page)
     if not blocks:
         return ""
-    costs = np.clip(features(blocks) @ weights, -4.0, 4.0) + hint_cost * np.array([b.hint for b in blocks])
     edges, last = [], {}
     for k, b in enumerate(blocks):
         if k:
-            border = 0.25 if b.hint != blocks[k - 1].hint else 1.0  # an element with a name of its own begins or ends here
-            heads = 2.0 if blocks[k - 1].tag in HEADINGS else 1.0  # a heading goes with what it heads
-            edges.append((k - 1, k, heads * border * smoothness * b.common / max(b.depth, blocks[k - 1].depth)))
+            border = 0.25 if b.group != blocks[k - 1].group or b.said != blocks[k - 1].said else 1.0  # a container or a name begins or ends here
+            like = 2.0 if blocks[k - 1].tag in HEADINGS else 1.0 if blocks[k - 1].tag == b.tag else 0.5  # a heading goes with what it heads
+            steps = b.depth + blocks[k - 1].depth - 2 * b.common  # through the tree; 2 between siblings
+            edges.append((k - 1, k, like * border * smoothness * 0.5 ** max(0, steps - 2)))
         twin = (b.element, b.tag)
         if twin in last and last[twin] != k - 1:
             edges.append((last[twin], k, smoothness))
         last[twin] = k
-    keep = minimum_cut(costs.tolist(), edges)
+    keep = minimum_cut(costs(features(blocks, holders), weights).tolist(), edges)
     return " ".join(b.text for b, kept in zip(blocks, keep, strict=True) if kept)
 
 
-def extract(pages: DataFrame, weights: np.ndarray, *, hint_cost: float = 6.0, smoothness: float = 1.0) -> DataFrame:
+def extract(pages: DataFrame, weights: np.ndarray, *, smoothness: float = 1.0) -> DataFrame:
     """Per page (page_id, url, html): page_id, url, text, n_chars (code points)."""
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([main_text(page or "", weights, hint_cost=hint_cost, smoothness=smoothness) for page in batch])
+            yield pd.Series([main_text(page or "", weights, smoothness=smoothness) for page in batch])
 
     found = pages.select("page_id", "url", text(F.col("html").cast("string")).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

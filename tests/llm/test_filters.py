@@ -185,6 +185,92 @@ def test_names_do_not_hide_an_article(page):
     assert htmlcut.main_text(page.format(f"<h1>The heading</h1><p>{paragraph}</p>"), htmlcut.PRIOR) == f"The heading {paragraph}"
 
 
+STORY = "A long paragraph of the story, with a comma and some more words, " * 5 + "and an end."
+REMARK = "I read this story twice and liked it a lot, though the end came too early for my taste. Thanks for writing it."
+
+
+@pytest.mark.parametrize("name", ["pagination", "sidebar", "breadcrumb", "newsletter", "recommended", "replies", "cookie", "pager-box"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_no_name_hides_what_holds_the_page(name, tag):
+    page = f'<body><{tag} class="{name}"><h1>The heading</h1><p>{STORY}</p></{tag}></body>'
+    assert htmlcut.main_text(page, htmlcut.PRIOR) == f"The heading {STORY}"
+
+
+@pytest.mark.parametrize("name", ["k7", "voices", "what-people-think", "guestbook-entries"])
+@pytest.mark.parametrize("page", ["<article>{0}</article>{1}", "<article>{0}{1}</article>", '<div class="q">{0}</div>{1}', "<main>{0}{1}</main>", "{0}{1}", "<main><article>{0}</article>{1}</main>"])
+def test_comments_go_by_their_place(name, page):
+    for remarks in (f"<p>{REMARK}</p>", f"<p>{REMARK}</p>" * 3, f"<ul><li>{REMARK}</li><li>{REMARK}</li></ul>", f"<div class='v'><p>{REMARK}</p></div>" * 4):
+        filled = page.format(f"<h1>The heading</h1><p>{STORY}</p><p>{STORY}</p>", f'<div class="{name}">{remarks}</div>')
+        assert htmlcut.main_text(f"<body><nav><a href=x>Home</a></nav>{filled}<footer>(c)</footer></body>", htmlcut.PRIOR) == f"The heading {STORY} {STORY}"
+
+
+def test_parts_of_an_article_stay():
+    parts = [f"<p>{STORY} {k}.</p>" for k in range(3)]
+    whole = " ".join(f"{STORY} {k}." for k in range(3))
+    for page in (
+        "<article>" + "".join(f'<div class="z{k}">{x}</div>' for k, x in enumerate(parts)) + "</article>",
+        "<body>" + "".join(f'<div class="z">{x}</div>' for x in parts),
+        "<article>" + "".join(f"<section>{x}</section>" for x in parts) + "</article>",
+        f'<div class="y">{parts[0]}<div class="quoted">{parts[1]}</div>{parts[2]}</div>',
+    ):
+        assert htmlcut.main_text(page, htmlcut.PRIOR) == whole
+
+
+def page_rows(pages):
+    return [x for page in pages for x in htmlcut.features(*htmlcut.read_blocks(page)).tolist()]
+
+
+def test_weights_of_names_are_learned():
+    import numpy as np
+
+    base = "<nav><a href=x>Home</a></nav><footer>(c) us</footer>"
+    plain = [f"<article><h1>Head {k}</h1><p>{STORY}</p></article>{base}" for k in range(60)]
+    odd = [f'<div class="sidebar"><h1>Head {k}</h1><p>{STORY}</p><p>{STORY}</p></div>{base}' for k in range(60)]
+    at = htmlcut.STARTS[2] + htmlcut.HARD - 1
+    assert htmlcut.learn(np.array(page_rows(plain + odd)))[at] > htmlcut.learn(np.array(page_rows(plain)))[at] + 0.5
+
+
+def articles(pages):
+    import html
+
+    out = []
+    for page in pages:
+        plain = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", " ", re.search(r"(?s)<article>(.*?)</article>", page)[1]))
+        out.append(" ".join(html.unescape(plain).split()))
+    return out
+
+
+def hidden(page, paragraph="p"):
+    """The page with elements that say nothing: no names, and one tag for all containers."""
+    page = re.sub(r' (?:class|id)="[^"]*"', "", page)
+    page = re.sub(r"<(/?)(?:nav|article|footer|aside|header|main|section)\b", r"<\1div", page)
+    return re.sub(r"<(/?)p>", rf"<\1{paragraph}>", page)
+
+
+@tables
+def test_pages_whose_names_are_hidden(spark):
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet")
+    weights = htmlcut.train(pages)
+    given = [r.html for r in pages.orderBy("page_id").collect()]
+    right = articles(given)
+    found = [htmlcut.main_text(hidden(x), weights) for x in given]
+    assert sum(x == y for x, y in zip(found, right, strict=True)) >= 0.98 * len(given)
+    # Without paragraphs looks are often wrong about short blocks; the edges mend most.
+    exact = lambda smoothness: sum(htmlcut.main_text(hidden(x, "blockquote"), weights, smoothness=smoothness) == y for x, y in zip(given, right, strict=True))
+    assert exact(1.0) >= 0.6 * len(given) > 2 * exact(0.0)
+
+
+def test_odd_pages():
+    rnd = random.Random(3)
+    bits = ["<div class=a>", "</div>", "<nav>", "</nav>", "<p>", "</p>", "<article>", "</article>", "<a href=x>", "</a>", "word ", "Two words. ", "<h1>", "</h1>", "<li>", "<main>", "<br>", "<", "&amp;", "<form>"]
+    for _ in range(500):
+        page = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30)))
+        blocks, _ = htmlcut.read_blocks(page)
+        assert len(htmlcut.main_text(page, htmlcut.PRIOR)) <= len(" ".join(b.text for b in blocks))
+    assert htmlcut.main_text("<div class=a><a href=x>All is a link</a></div>", htmlcut.PRIOR) == ""
+    assert len(htmlcut.main_text("<div class=a>" * 20_000 + "<p>" + STORY, htmlcut.PRIOR)) == len(STORY)
+
+
 def test_odd_page_tables(spark):
     schema = "page_id long, url string, html string"
     assert htmlcut.extract(spark.createDataFrame([], schema), htmlcut.train(spark.createDataFrame([], schema))).count() == 0
