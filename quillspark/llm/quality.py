@@ -4,8 +4,10 @@ Only DataFrame functions are used. Metrics of a text are made once, into a narro
 are built per language and source, and merged to languages and to all documents. A fence lies beyond a tail quantile of
 a group, by so many times the way from the median to it: both where it lies and how wide it is come from the group. A
 group's fences are blended with those of its language, and these with those of all documents, in proportion to counts.
-Documents then join their group's fences. A share is of few words or lines in a short text, so what it may be above its
-fence by chance, three standard deviations of a count, is added.
+Documents then join their group's fences. Where most shares of a group are zero, their quantiles say nothing; so shares
+above zero have sketches and counts of their own, and a fence is at least a part of the way from zero to their lower
+tail. A share is of few words or lines in a short text, so what it may be above its fence by chance, three standard
+deviations of a count, is added.
 
 Sketches are exact up to ``k`` values. Beyond, their ranks err by about a thousandth, and chance takes part: a document
 that stands just at a fence may fall on either side in another run.
@@ -34,6 +36,10 @@ METRICS = {
     "repeat_share": ("n_repeat_words", "n_words", 0.99, 2.0, True),
 }
 
+#: Of shares above zero: the quantile that is their lower tail, and how much of the way to it a fence is at least.
+SOME = (0.1, 0.2)
+SHARES = [m for m, (*_, share) in METRICS.items() if share]
+
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, though ``body`` names it often."""
@@ -90,9 +96,12 @@ def fences(metrics: DataFrame, *, prior: float = 50.0, k: int = 2048) -> DataFra
     ``metrics`` has the documents that pass the base rules; a hot group is a partial aggregate in every task. A group of
     n documents weighs n / (n + ``prior``) against what is above it.
     """
-    sketches = metrics.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, k).alias(m) for m in METRICS])
+    above = {m: F.when(F.col(m) > 0, F.col(m)) for m in SHARES}
+    some = [f(x).alias(f"{name}_{m}") for m, x in above.items() for name, f in (("n", F.count), ("some", lambda x: F.kll_sketch_agg_double(x, k)))]
+    sketches = metrics.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, k).alias(m) for m in METRICS], *some)
     sketches = store.cut(sketches, "sketches")
-    merged = [F.kll_merge_agg_double(m, k).alias(m) for m in METRICS]
+    merged = [F.kll_merge_agg_double(m, k).alias(m) for m in [*METRICS, *(f"some_{m}" for m in SHARES)]]
+    merged += [F.sum(f"n_{m}").alias(f"n_{m}") for m in SHARES]
 
     def bounds(rows: DataFrame, level: str) -> DataFrame:
         found = []
@@ -100,19 +109,31 @@ def fences(metrics: DataFrame, *, prior: float = 50.0, k: int = 2048) -> DataFra
             quantile = lambda q, m=m: F.kll_sketch_get_quantile_double(F.col(m), F.lit(q))
             middle, top = quantile(0.5), quantile(tail)
             found.append((top + reach * (top - middle)).alias(f"{m}_high"))
-            if not share:
+            if share:
+                low = F.when(F.col(f"n_{m}") > 0, F.kll_sketch_get_quantile_double(F.col(f"some_{m}"), F.lit(SOME[0])))
+                found += [F.coalesce(low, F.lit(0.0)).alias(f"{m}_some"), F.col(f"n_{m}").alias(f"{m}_n")]
+            else:
                 bottom = quantile(round(1 - tail, 6))
                 found.append((bottom - reach * (middle - bottom)).alias(f"{m}_low"))
-        return rows.select(*[c for c in ("lang", "source") if c in rows.columns], F.col("n").alias(f"n_{level}"), F.struct(*found).alias(level))
+        return rows.select(*[c for c in ("lang", "source") if c in rows.columns], F.struct(F.col("n"), *found).alias(level))
 
     by_lang = sketches.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
     by_all = sketches.agg(F.sum("n").alias("n"), *merged).where("n is not null")  # one row
     own, lang, all_ = bounds(sketches, "own"), bounds(by_lang, "wide").withColumnRenamed("lang", "_lang"), bounds(by_all, "all_docs")
     table = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(all_))
-    weight = lambda level: F.col(f"n_{level}") / (F.col(f"n_{level}") + prior)
-    names = [f"{m}_high" for m in METRICS] + [f"{m}_low" for m in METRICS if not METRICS[m][4]]
-    wide = lambda c: weight("wide") * F.col(f"wide.{c}") + (1 - weight("wide")) * F.col(f"all_docs.{c}")
-    return table.select("lang", "source", F.struct(*[(weight("own") * F.col(f"own.{c}") + (1 - weight("own")) * wide(c)).alias(c) for c in names]).alias("fence"))
+
+    def blend(c: str, n: str) -> Column:
+        weight = lambda level: F.col(f"{level}.{n}") / (F.col(f"{level}.{n}") + prior)
+        wide = weight("wide") * F.col(f"wide.{c}") + (1 - weight("wide")) * F.col(f"all_docs.{c}")
+        return weight("own") * F.col(f"own.{c}") + (1 - weight("own")) * wide
+
+    found = []
+    for m in METRICS:
+        high = blend(f"{m}_high", "n")
+        found.append((F.greatest(high, SOME[1] * blend(f"{m}_some", f"{m}_n")) if m in SHARES else high).alias(f"{m}_high"))
+        if m not in SHARES:
+            found.append(blend(f"{m}_low", "n").alias(f"{m}_low"))
+    return table.select("lang", "source", F.struct(*found).alias("fence"))
 
 
 def judge(documents: DataFrame, *, prior: float = 50.0, deviations: float = 3.0) -> DataFrame:

@@ -72,17 +72,24 @@ m as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
     word_chars / n_words as a1, n_symbols / n_words as a2, n_dup_lines / n_lines as a3, n_repeat_words / n_words as a4 from m
 ), s as (
-  select lang, source, count(*) as n, list_sort(list(a1)) as l1, list_sort(list(a2)) as l2, list_sort(list(a3)) as l3, list_sort(list(a4)) as l4
+  select lang, source, count(*) as n, list_sort(list(a1)) as l1, list_sort(list(a2)) as l2, list_sort(list(a3)) as l3, list_sort(list(a4)) as l4,
+    list_sort(coalesce(list(a2) filter (a2 > 0), [])) as s2, list_sort(coalesce(list(a3) filter (a3 > 0), [])) as s3, list_sort(coalesce(list(a4) filter (a4 > 0), [])) as s4
   from b where not base_failed group by grouping sets ((lang, source), (lang), ())
 ), f as (
   select lang, source, n, n / (n + 50.0) as w,
     l1[cast(ceil(0.9 * n) as bigint)] + 3.0 * (l1[cast(ceil(0.9 * n) as bigint)] - l1[cast(ceil(0.5 * n) as bigint)]) as h1, l1[cast(ceil(0.1 * n) as bigint)] - 3.0 * (l1[cast(ceil(0.5 * n) as bigint)] - l1[cast(ceil(0.1 * n) as bigint)]) as b1,
     l2[cast(ceil(0.9 * n) as bigint)] + 3.0 * (l2[cast(ceil(0.9 * n) as bigint)] - l2[cast(ceil(0.5 * n) as bigint)]) as h2,
     l3[cast(ceil(0.99 * n) as bigint)] + 1.0 * (l3[cast(ceil(0.99 * n) as bigint)] - l3[cast(ceil(0.5 * n) as bigint)]) as h3,
-    l4[cast(ceil(0.99 * n) as bigint)] + 2.0 * (l4[cast(ceil(0.99 * n) as bigint)] - l4[cast(ceil(0.5 * n) as bigint)]) as h4
+    l4[cast(ceil(0.99 * n) as bigint)] + 2.0 * (l4[cast(ceil(0.99 * n) as bigint)] - l4[cast(ceil(0.5 * n) as bigint)]) as h4,
+    coalesce(s2[cast(ceil(0.1 * len(s2)) as bigint)], 0) as p2, len(s2) / (len(s2) + 50.0) as w2,
+    coalesce(s3[cast(ceil(0.1 * len(s3)) as bigint)], 0) as p3, len(s3) / (len(s3) + 50.0) as w3,
+    coalesce(s4[cast(ceil(0.1 * len(s4)) as bigint)], 0) as p4, len(s4) / (len(s4) + 50.0) as w4
   from s
 ), u as (
-  select o.lang, o.source, o.w * o.h1 + (1 - o.w) * (x.w * x.h1 + (1 - x.w) * y.h1) as h1, o.w * o.b1 + (1 - o.w) * (x.w * x.b1 + (1 - x.w) * y.b1) as b1, o.w * o.h2 + (1 - o.w) * (x.w * x.h2 + (1 - x.w) * y.h2) as h2, o.w * o.h3 + (1 - o.w) * (x.w * x.h3 + (1 - x.w) * y.h3) as h3, o.w * o.h4 + (1 - o.w) * (x.w * x.h4 + (1 - x.w) * y.h4) as h4
+  select o.lang, o.source, o.w * o.h1 + (1 - o.w) * (x.w * x.h1 + (1 - x.w) * y.h1) as h1, o.w * o.b1 + (1 - o.w) * (x.w * x.b1 + (1 - x.w) * y.b1) as b1,
+    greatest(o.w * o.h2 + (1 - o.w) * (x.w * x.h2 + (1 - x.w) * y.h2), 0.2 * (o.w2 * o.p2 + (1 - o.w2) * (x.w2 * x.p2 + (1 - x.w2) * y.p2))) as h2,
+    greatest(o.w * o.h3 + (1 - o.w) * (x.w * x.h3 + (1 - x.w) * y.h3), 0.2 * (o.w3 * o.p3 + (1 - o.w3) * (x.w3 * x.p3 + (1 - x.w3) * y.p3))) as h3,
+    greatest(o.w * o.h4 + (1 - o.w) * (x.w * x.h4 + (1 - x.w) * y.h4), 0.2 * (o.w4 * o.p4 + (1 - o.w4) * (x.w4 * x.p4 + (1 - x.w4) * y.p4))) as h4
   from f o join f x on x.lang = o.lang and x.source is null join f y on y.lang is null where o.source is not null
 )
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -43,6 +43,20 @@ def test_fences_follow_the_group(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def test_fences_of_mostly_zero_shares(spark):
+    rnd = random.Random(5)
+    text = lambda n, m: " ".join(f"w{rnd.randint(0, 9999)}" + ("#" if k < m else "") for k in range(n))
+    schema = "doc_id long, text string, lang string, source string"
+    rows = [(k, text(100, 0), "en", "heavy") for k in range(99)] + [(500 + k, text(100, 0), "en", "heavy") for k in range(201)]
+    rows += [(100 + k, text(100, 80), "en", "heavy") for k in range(30)]
+    rows += [(200 + k, text(100, 0), "fr", "light") for k in range(95)] + [(300 + k, text(100, 1), "fr", "light") for k in range(5)]
+    rows += [(400, text(100, 4), "en", "heavy"), (401, text(1000, 80), "en", "heavy"), (402, text(100, 30), "fr", "light"), (403, text(100, 3), "fr", "light")]
+    found = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, schema), prior=2).collect()}
+    assert {k for k, kept in found.items() if not kept} == {*range(100, 130), 402}
+    none = spark.createDataFrame([(k, text(100, 0), None, "x") for k in range(5)], schema)  # no share above zero anywhere
+    assert all(r.kept for r in quality.judge(none).collect())
+
+
 def test_fences_are_as_wide_as_the_group(spark):
     rnd = random.Random(6)
     word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
@@ -139,6 +153,17 @@ def test_language_of_odd_texts(spark):
         langid.train(labelled, max_languages=1)
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    rnd = random.Random(8)
+    said = lambda words, n: " ".join(rnd.choice(words.split()) for _ in range(n))
+    english, danish = "the cat and dog sat on a mat in this house with them", "katten og hunden sidder på måtten i huset med børnene"
+    rows = [(k, said(english, 50), "en") for k in range(5)] + [(10 + k, said(danish, 40_000), "da") for k in range(5)]
+    dictionaries = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [lang for lang, _ in dictionaries] == ["da", "en"] and all(len(x) < 200_000 for _, x in dictionaries)
+    docs = spark.createDataFrame([(1, said(danish, 20)), (2, said(english, 20))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, dictionaries).collect()} == {1: "da", 2: "en"}
+
+
 @tables
 def test_language_of_long_texts(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text", "lang")
