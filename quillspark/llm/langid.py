@@ -6,9 +6,9 @@ itself with each dictionary; the language with the fewest bytes over all pieces
 how sure that is. Small pieces lean on the dictionary and not on what came before in the text, so the margin does not
 fall with a text's length. Nothing but the text is looked at.
 
-Training sample (the documented bound): per language about ``sample_docs`` labelled texts of smallest id hash, in that
-order until they fill ``dictionary_bytes``. Of a text of over ``sample_bytes`` bytes the dictionary takes that many
-characters from its middle, so a language of long texts only is learned, too. Only these come to the driver.
+Training sample (the documented bound): per language the labelled texts of smallest id hash among those of up to
+``sample_bytes`` bytes, about ``sample_docs`` of them, in that order until they fill ``dictionary_bytes``; only these
+come to the driver. A language whose texts are all longer gives ``sample_bytes`` characters from the middle of each.
 
 Defined results: null text and text without a letter is ``und`` with score 0 and is rejected; languages that tie are
 taken in order of how many labelled texts they have; without any labelled text everything is ``und``; rows that repeat
@@ -51,23 +51,27 @@ def train(
     """
     rows = labelled.select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
     rows = rows.where(F.octet_length("text") > 0)
-    counts = [(r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()]
+    short = F.octet_length("text") <= sample_bytes
+    by_lang = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("n"))
+    by_lang = by_lang.select("lang", F.expr("short = 0").alias("long_only"), F.expr("if(short > 0, short, n)").alias("n"))
+    counts = [(r.lang, r.n, r.long_only) for r in by_lang.orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()]
     if not counts:
         return []
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    bounds = {lang: (1 << 63) - 1 if n <= sample_docs else int(((sample_docs / n) * 2 - 1) * ((1 << 63) - 1)) for lang, n in counts}
+    bounds = {lang: (1 << 63) - 1 if n <= sample_docs else int(((sample_docs / n) * 2 - 1) * ((1 << 63) - 1)) for lang, n, _ in counts}
     bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
     before = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)  # about sample_docs rows
+    used = short | F.col("lang").isin([lang for lang, _, long_only in counts if long_only])  # of at most max_languages
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - sample_bytes) / 2).cast("int"))
-    cut = F.when(F.octet_length("text") > sample_bytes, F.substring(F.col("text"), middle, F.lit(sample_bytes))).otherwise(F.col("text"))
-    sample = rows.where(F.col("h") <= F.element_at(bound, F.col("lang"))).withColumn("text", cut).withColumn("size", F.octet_length("text"))
+    cut = F.when(short, F.col("text")).otherwise(F.substring(F.col("text"), middle, F.lit(sample_bytes)))
+    sample = rows.where(used & (F.col("h") <= F.element_at(bound, F.col("lang")))).withColumn("text", cut).withColumn("size", F.octet_length("text"))
     sample = sample.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    texts: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang, _ in counts}
+    texts: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang, *_ in counts}
     for r in sample.where(F.col("before") < dictionary_bytes).select("lang", "h", "text").collect():
         texts[r.lang].append((r.h, normalise(r.text)))
     found = []
-    for lang, _ in counts:
+    for lang, *_ in counts:
         content, size = [], 0
         for _, text in sorted(texts[lang]):
             if size + len(text) > dictionary_bytes and content:
