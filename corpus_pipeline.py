@@ -38,14 +38,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     That is the row of smallest doc_id, nulls last. Rows without words, which have no shingles, all stay.
     """
     docs = _rows(docs, "near-duplicate-rows")
+    mark = store.written()
     groups = minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), size=5)
     groups = store.cut(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "row-components")
+    store.drop_since(spark, mark, groups)
     several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
     groups = store.cut(groups.join(several, "component"), "rows-in-groups")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "lang", "source").alias("content"), "row")
     ranked = store.cut(docs.select("row", rank.alias("rank")).join(groups.hint("merge"), "row"), "ranked-rows")
     kept = ranked.groupBy("component").agg(F.min("rank")["row"].alias("row")).select("row")
     dropped = store.cut(groups.select("row").join(kept, "row", "left_anti"), "near-duplicates")
+    store.drop_since(spark, mark, dropped)
     return docs.join(dropped.hint("merge"), "row", "left_anti").select(*DOCUMENTS)
 
 
@@ -68,10 +71,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     With an empty benchmark all stay.
     """
     docs = _rows(docs, "decontamination-rows")
+    mark = store.written()
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.find_contamination(docs.select(F.col("row").alias("doc_id"), "text"), benchmark)
     hit = found.where(decontam.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("row"))
     hit = store.cut(hit, "contaminated")
+    store.drop_since(spark, mark, hit)
     return docs.join(hit.hint("merge"), "row", "left_anti").select(*DOCUMENTS)
 
 
@@ -95,9 +100,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         mark, path = store.written(), store.fresh_dir(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         store.drop_since(spark, mark)  # the stage's own tables
-        docs = spark.read.parquet(path)
+        if before:
+            store.delete(spark, before)  # what the stage read
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -363,7 +363,7 @@ def find_repeats(documents: DataFrame, *, length: int = 200, bucket_runs: int =
     """
     if length < RANKED + MODULUS - 1:
         raise ValueError(f"length must be at least {RANKED + MODULUS - 1}")
-    spark = documents.sparkSession
+    spark, mark = documents.sparkSession, store.written()
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string")).where(F.octet_length("text") >= length)
     docs = docs.withColumn("h", text_key(F.col("text")))
     texts = anchors(docs, length).groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("several").alias("several"), F.first("anchors").alias("anchors"))
@@ -375,6 +375,8 @@ def find_repeats(documents: DataFrame, *, length: int = 200, bucket_runs: int =
     marks = placed.groupBy("t").agg(F.collect_list(F.struct("pos", "share")).alias("marks"))  # as many as a text has runs
     marks = marks.join(texts.select("t", "h", "doc_id"), "t").drop("t")
     candidates = store.cut(docs.join(marks, ["h", "doc_id"]).dropDuplicates(["h"]), "candidate-texts")
+    copied = store.cut(texts.where("copies > 1").select("h"), "copied-texts")
+    store.drop_since(spark, mark, candidates, copied)
     parts = parts or max(64, spark.sparkContext.defaultParallelism * 4)
     cut = pieces(candidates, length).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     found = store.cut(sort_buckets(cut, length, parts), "repeats")
@@ -382,7 +384,6 @@ def find_repeats(documents: DataFrame, *, length: int = 200, bucket_runs: int =
     spans = found.where("part is null").select("h", "begin", "end").unionByName(late.select("h", "begin", "end"))
     spans = spans.groupBy("h").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     partly = trim(candidates.select("h", "text").join(spans, "h"))
-    copied = texts.where("copies > 1").select("h")
     partly = partly.join(copied, "h", "left_anti")
     whole = copied.select("h", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     return partly.unionByName(whole)
@@ -395,10 +396,12 @@ def text_key(text: Column) -> Column:
 
 def removed_spans(documents: DataFrame, *, length: int = 200, kept_text: bool = False) -> DataFrame:
     """Per document (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256; with ``kept_text`` also kept (bytes), and all columns."""
+    mark = store.written()
     repeats = find_repeats(documents, length=length)
     if not kept_text:
         repeats = repeats.select("h", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     repeats = store.cut(repeats.withColumnsRenamed({c: f"_{c}" for c in repeats.columns}), "removed-spans")
+    store.drop_since(documents.sparkSession, mark, repeats)
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     docs = documents.withColumn("n_bytes", F.octet_length(raw).cast("long")).withColumn("_own", F.when(F.col("n_bytes") >= length, text_key(raw)))
     docs = docs.withColumn("kept", raw) if kept_text else docs.select("doc_id", "n_bytes", "_own", F.sha2(raw, 256).alias("kept_sha256"))

@@ -82,3 +82,21 @@ def test_odd_rows(spark, stage):
     else:
         assert {(3, None), (4, ""), (None, None)} <= {(r["doc_id"], r["text"]) for r in found}
         assert any(r["doc_id"] == 8 for r in found)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_stages_leave_only_what_their_result_reads(spark):
+    store = corpus_pipeline.store
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    shared = store.shared_dir(spark)
+    tables = lambda: {x.rpartition("-")[0] for x in set(os.listdir(shared)) - before}
+    left = [set(), {"near-duplicate-rows", "near-duplicates"}, {"removed-spans"}, {"decontamination-rows", "contaminated"}]
+    for (_, stage), names in zip(corpus_pipeline.STAGES[1:-1], left[1:], strict=True):
+        before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+        found = stage(spark, docs, SF)
+        assert tables() == names
+        assert found.count() > 0
+    before = set(os.listdir(shared))
+    packed = corpus_pipeline.run(spark, SF)
+    assert tables() == {"benchmark-decontamination", "pieces"}  # the result reads pieces, which came from the last stage
+    assert packed.count() > 0
