@@ -42,8 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), size=5)
     groups = store.cut(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "row-components")
     store.drop_since(spark, mark, groups)
+    # written first, so that Spark can split a group of very many rows
     several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    groups = store.cut(groups.join(several, "component"), "rows-in-groups")
+    groups = store.cut(groups.join(store.cut(several, "several"), "component"), "rows-in-groups")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "lang", "source").alias("content"), "row")
     ranked = store.cut(docs.select("row", rank.alias("rank")).join(groups.hint("merge"), "row"), "ranked-rows")
     kept = ranked.groupBy("component").agg(F.min("rank")["row"].alias("row")).select("row")
