@@ -26,6 +26,13 @@ def test_page():
     assert "```py\ny = 1\n```" in text and "n" not in text.split() and "s" not in text.split()
 
 
+def test_page_keeps_references_that_were_cut():
+    title, sections, text = H.parse_page("<title>a &amp; b&amp</title><h1 title='&copy'>&copy;c&quot</h1><p>&ampx; &am &#65; &amp;amp &amp;quot;")
+    assert title == "a & b&amp"
+    assert sections == [(1, "\u00a9c&quot")]
+    assert text.endswith("&ampx; &am A &amp &quot;")
+
+
 def test_syntax():
     assert H.syntax_issue(" ")[:3] == (False, None, None)
     assert H.syntax_issue("x = 1") == (True, None, None, None)
