@@ -31,7 +31,7 @@ PAGES = "page_id long, url string, html string"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.mark.parametrize("name", ["html_to_text", "html_misnested", "html_strip_chrome", "html_sections", "html_title"])
+@pytest.mark.parametrize("name", ["html_to_text", "parse_documents", "html_misnested", "html_strip_chrome", "html_sections", "html_title"])
 def test_titles_cut_within_a_reference(spark, tmp_path, name):
     pages = [(k, f"https://a.example/{k}", page(t)) for k, t in enumerate(("x &amp; y", "x &amp; y&amp", "x&quot", "x&am", "x&", "&amp;amp &copy;"))]
     folder = tables(spark, tmp_path, pages=(pages, PAGES), documents=([(1, "one text", "en", "web", 8)], DOCUMENTS))
