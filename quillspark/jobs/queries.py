@@ -344,20 +344,19 @@ _CHROME = "concat('<header>HE</header><form>FO</form><aside>AS</aside>', html)"
 
 @query(f"select page_id, {_sql_page_text(_CHROME)} as text from pages")
 def html_strip_chrome(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select("page_id", D._page_parts(F.expr(_CHROME)).alias("p"))
-    return pages.select("page_id", "p.text")
+    return _parsed_pages(spark, sf_dir, _CHROME).select("page_id", "text")
 
 
 @query("select page_id, 'py' as language, concat('x = ', cast(page_id as string)) as code from pages")
 def html_code_to_fence(spark, sf_dir):
     content = F.concat(F.lit("<pre>a</pre><pre><code class='a language-py'>x = "), F.col("page_id").cast("string"), F.lit("</code></pre>"), F.col("html"))
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), content.alias("content"))
-    return D.parse_html(pages).select(F.col("path").cast("long").alias("page_id"), F.explode("code_blocks").alias("b")).select("page_id", "b.language", "b.code")
+    return D.or_fail(D.parse_html(pages), "path").select(F.col("path").cast("long").alias("page_id"), F.explode("code_blocks").alias("b")).select("page_id", "b.language", "b.code")
 
 
-def _parsed_pages(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("content"))
-    return pages.select("page_id", D._page_parts("content").alias("p")).select("page_id", "p.title", "p.sections", "p.text")
+def _parsed_pages(spark, sf_dir, content="html"):
+    """Parts of all pages; as these queries have no column for errors, a page that can't be parsed fails them."""
+    return D.or_fail(D.page_parts(_table(spark, sf_dir, "pages").withColumn("content", F.expr(content)), "page_id"), "page_id")
 
 
 @query(
@@ -382,9 +381,8 @@ def failed_pages(spark, sf_dir):
 @query(f"select page_id, {_sql_page_text('html')} as text from pages")
 def html_misnested(spark, sf_dir):
     """Chrome that isn't closed in order ends with the element around it."""
-    content = F.concat(F.lit("<header><nav>a</header><nav><form></nav>"), F.col("html"))
-    pages = _table(spark, sf_dir, "pages").select("page_id", D._page_parts(content).alias("p"))
-    return pages.select("page_id", "p.text")
+    content = "concat('<header><nav>a</header><nav><form></nav>', html)"
+    return _parsed_pages(spark, sf_dir, content).select("page_id", "text")
 
 
 # Cleaning

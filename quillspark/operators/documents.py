@@ -85,7 +85,10 @@ def _page_parts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for page in batch:
             try:
-                title, found, text = ("", [], "") if page is None else helpers.parse_page(page)
+                if page is None:  # there is nothing to parse, which isn't a page without text
+                    rows.append((None, None, None, None))
+                    continue
+                title, found, text = helpers.parse_page(page)
                 rows.append((title, [{"level": n, "title": x} for n, x in found], text, None))
             except Exception as e:  # one bad page is its own row's error
                 rows.append((None, None, None, f"{type(e).__name__}: {e}"))
@@ -95,12 +98,27 @@ def _page_parts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 _page_parts = _page_parts.asNondeterministic()  # so that a filter on its result doesn't make Spark run it twice
 
 
+def page_parts(pages: DataFrame, name: str) -> DataFrame:
+    """``name``, title, sections, text and error of pages (``name``, content); a missing page has no parts and no error."""
+    return pages.select(name, _page_parts("content").alias("p")).select(name, "p.title", "p.sections", "p.text", "p.error")
+
+
+def or_fail(parsed: DataFrame, name: str) -> DataFrame:
+    """Parsed pages without their error, for results that have no place for one.
+
+    A page with an error fails the job, which says what page it was and why, instead of passing for a page without parts.
+    """
+    told = F.raise_error(F.concat(F.lit("can't parse page "), F.coalesce(F.col(name).cast("string"), F.lit("without a name")), F.lit(": "), F.col("error")))
+    parts = [c for c in parsed.columns if c not in (name, "error")]
+    return parsed.select(name, *[F.when(F.col("error").isNotNull(), told).otherwise(F.col(c)).alias(c) for c in parts])
+
+
 def parse_html(documents: DataFrame) -> DataFrame:
     """path, text, title, sections, code_blocks, doc_type of pages (path, content), without their chrome.
 
     A page that can't be parsed has null parts, and says why in error.
     """
-    docs = documents.select("path", _page_parts("content").alias("p")).select("path", "p.text", "p.title", "p.sections", "p.error")
+    docs = page_parts(documents, "path")
     return docs.select("path", "text", "title", "sections", X.code_blocks(F.col("text")).alias("code_blocks"), F.lit("html").alias("doc_type"), "error")
 
 

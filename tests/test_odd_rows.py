@@ -44,3 +44,17 @@ def test_topics_on_which_nothing_was_written(spark, tmp_path):
     folder = tables(spark, tmp_path, embeddings=(vectors, "vec_id long, embedding array<float>, label int"), benchmark=([(0, "a b"), (1, "c"), (4, "d e f")], "item_id long, text string"))
     got, want = both(spark, folder, "generate_tutorials", "embeddings", "benchmark")
     assert got == want and [r[0] for r in got] == [0, 0, 50]
+
+
+@pytest.mark.parametrize("name", ["html_sections", "html_title", "html_to_text", "html_strip_chrome", "html_misnested", "html_code_to_fence"])
+def test_a_page_that_fails_does_not_pass_for_one_without_parts(spark, tmp_path, name):
+    folder = tables(spark, tmp_path, pages=([(1, "https://a.example/1", page("x")), (2, "https://a.example/2", "<![x[ y ]]>" + page("z"))], PAGES))
+    with pytest.raises(Exception, match="can't parse page 2: AssertionError"):
+        own.QUERIES[name](spark, folder).collect()
+
+
+@pytest.mark.parametrize("name", ["html_title", "html_to_text"])
+def test_a_missing_page_has_no_parts(spark, tmp_path, name):
+    folder = tables(spark, tmp_path, pages=([(1, "https://a.example/1", page("x")), (2, "https://a.example/2", None)], PAGES))
+    got, want = both(spark, folder, name, "pages")
+    assert got == want and got[1] == (2, None)
