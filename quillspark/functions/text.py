@@ -40,7 +40,7 @@ def starts(lengths: Column) -> Column:
 def decode_text(content: Column) -> Column:
     """Bytes to text: UTF-8 where valid, else Latin-1; any line end becomes a newline. Null stays null."""
     utf8 = content.cast("string")
-    return F.regexp_replace(F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode(content, "ISO-8859-1")), r"\r\n?", "\n")
+    return _replaced(F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode(content, "ISO-8859-1")), "\r", (r"\r\n?", "\n"))
 
 
 def strip(text: Column) -> Column:

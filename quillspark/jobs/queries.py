@@ -190,10 +190,11 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, text from documents")
 def read_documents(spark, sf_dir):
-    """Documents written as files, of many a file, and read from the folder: a file's lines are the documents' ids and letters."""
+    """Documents written as files and read from the folder: a file's lines are the ids and letters of 256 documents at most,
+    as a file that is read is a row, however the table is split."""
     path = SRC.scratch_dir(spark, "read.documents")
     lines = _table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.replace("text", F.lit("\n"), F.lit("\x1f"))).alias("value"))
-    lines.write.text(path)
+    lines.write.option("maxRecordsPerFile", 256).text(path)
     found = SRC.read_documents(spark, path, "*.txt").select(F.explode(F.split(F.regexp_replace("content", r"\n\z", ""), "\n")).alias("line"))
     return found.select(F.substring_index("line", " ", 1).cast("long").alias("doc_id"), F.replace(F.expr("substring(line, instr(line, ' ') + 1)"), F.lit("\x1f"), F.lit("\n")).alias("text"))
 

@@ -58,3 +58,20 @@ def test_a_missing_page_has_no_parts(spark, tmp_path, name):
     folder = tables(spark, tmp_path, pages=([(1, "https://a.example/1", page("x")), (2, "https://a.example/2", None)], PAGES))
     got, want = both(spark, folder, name, "pages")
     assert got == want and got[1] == (2, None)
+
+
+def test_files_of_documents_stay_small_however_many_there_are(spark, tmp_path, monkeypatch):
+    from quillspark.sources import documents as SRC
+
+    sizes, read = [], SRC.read_documents
+
+    def seen(*args):
+        found = read(*args)
+        sizes.extend(r.n for r in found.select(own.F.length("content").alias("n")).collect())
+        return found
+
+    monkeypatch.setattr(SRC, "read_documents", seen)
+    rows = [(k, f"a\n{k}" + "x" * 1_000, "en", "web", 0) for k in range(1_000)]
+    folder = tables(spark, tmp_path, documents=(rows, DOCUMENTS))
+    got, want = both(spark, folder, "read_documents", "documents")
+    assert got == want and len(got) == 1_000 and max(sizes) < 300_000
