@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,34 @@ def meet(few: DataFrame, many: DataFrame, key: str, *conditions: Column, ways: i
     return both
 
 
+def distances(queries: DataFrame, store: DataFrame, *, block: int = 256, ways: int | None = None) -> DataFrame:
+    """query_id, id, distance of each query (query_id, embedding) and each row of ``store`` (id, embedding).
+
+    Cosine distances rounded to 6 digits; null where a vector is missing or holds a null, 1 where one is zero, null where
+    dimensions differ. Blocks of both sides meet as in ``knn_search``; a task gives the pairs of two blocks at a time, so its memory
+    grows with neither side. The pairs grow with their product.
+    """
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "id": dict(store.dtypes)["id"]}
+    asked = _packed_by_dimension(queries.select(F.col("query_id").alias("id"), "embedding"), kinds["query_id"], block)
+    asked = asked.withColumnsRenamed({"number": "q_number", "ids": "q_ids", "vectors": "q_vectors"})
+    blocks = meet(asked, _packed_by_dimension(store.select("id", "embedding"), kinds["id"], block), "number", ways=ways)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_raw, ids, raw in zip(*(batch.column(c) for c in ("q_ids", "q_vectors", "ids", "vectors")), strict=True):
+                q_ids, ids, distance = q_ids.values, ids.values, None
+                n = len(q_ids) * len(ids)
+                if q_raw.is_valid and raw.is_valid:
+                    (matrix, lengths), (vectors, own) = _unpacked(q_raw.as_py(), len(q_ids)), _unpacked(raw.as_py(), len(ids))
+                    scale, alike = lengths[:, None] * own[None, :], matrix.shape[1] == vectors.shape[1]
+                    cosine = np.divide(matrix @ vectors.T if alike else 0.0, scale, out=np.zeros_like(scale), where=scale != 0)
+                    distance = pa.array((np.floor((1 - cosine) * 1e6 + 0.5) / 1e6).ravel(), mask=None if alike else (scale != 0).ravel())
+                query, other = np.repeat(np.arange(len(q_ids)), len(ids)), np.tile(np.arange(len(ids)), len(q_ids))
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(query)), ids.take(pa.array(other)), pa.nulls(n, pa.float64()) if distance is None else distance], names=["query_id", "id", "distance"])
+
+    return blocks.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(pairs, f"query_id {kinds['query_id']}, id {kinds['id']}, distance double")
+
+
 def knn_search(queries: DataFrame, store: DataFrame, k: int, *, exclude_self: bool = False, block: int = 1_024, ways: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of ``store`` (id, embedding, ...) for each query (query_id, embedding): exact.
 
@@ -87,6 +116,22 @@ def _packed(vectors: DataFrame, kind: str, block: int) -> DataFrame:
     return vectors.mapInPandas(pack, f"number string, ids array<{kind}>, vectors binary")
 
 
+def _packed_by_dimension(vectors: DataFrame, kind: str, block: int) -> DataFrame:
+    """As ``_packed``, of vectors of one dimension a block; a block of vectors that are missing or hold a null has none. Rows have ids."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, n = TaskContext.get().partitionId(), itertools.count()
+        for batch in batches:
+            for dimension, rows in batch.groupby(batch["embedding"].map(lambda v: -1 if v is None else len(v))):
+                for first in range(0, len(rows), block):
+                    part = rows.iloc[first : first + block]
+                    raw = None if dimension < 0 else np.stack(part["embedding"].to_numpy()).astype(np.float64).tobytes()
+                    yield pd.DataFrame({"number": [f"{task}-{next(n)}"], "ids": [part["id"].tolist()], "vectors": [raw]})
+
+    whole = F.when(~F.exists("embedding", lambda x: x.isNull()), F.col("embedding"))
+    return vectors.where("id is not null").select("id", whole.alias("embedding")).mapInPandas(pack, f"number string, ids array<{kind}>, vectors binary")
+
+
 def _unpacked(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of a block and their lengths."""
     matrix = np.frombuffer(raw, dtype=np.float64).reshape(rows, -1)

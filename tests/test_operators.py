@@ -299,3 +299,18 @@ def test_vectors_are_paid_for_once(spark, tmp_path):
     assert found.count() == 100 and found.where("embedding is null").count() == 0
     paid = [t for p in calls.iterdir() for t in p.read_text().split("\n") if t]
     assert sorted(paid) == sorted({*more})  # none twice, though a job failed between
+
+
+def test_all_distances_in_blocks(spark):
+    from quillspark.functions import vectors as V
+
+    rows = [(k, [1.0, float(k % 3), 0.25 * k]) for k in range(20)] + [(50, None), (51, [0.0, 0.0, 0.0]), (52, [1.0, None, 2.0]), (53, [1.0, 2.0]), (54, []), (55, [-1.0, 0.0, 0.0])]
+    store = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(f"q{k}", v) for k, v in [*rows[:3], *rows[20:]]], "query_id string, embedding array<float>")
+    pairs = asked.withColumnRenamed("embedding", "q").crossJoin(store)
+    want = pairs.select("query_id", "id", F.round(V.cosine_distance(F.col("q"), F.col("embedding")), 6).alias("distance")).collect()
+    for block in (1, 7, 256):
+        assert sorted(R.distances(asked, store, block=block).collect(), key=repr) == sorted(want, key=repr)
+    assert R.distances(asked.limit(0), store).count() == 0
+    meeting = R.distances(asked, store)._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in meeting and "aggregate(" not in meeting  # no pair goes through Spark's interpreted functions
