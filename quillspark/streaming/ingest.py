@@ -1,9 +1,11 @@
 """Incremental ingestion: new documents become chunks in a keyed store.
 
-A store has ``buckets`` by hash of id. A batch writes those buckets anew that it touches, as ``batch=N/bucket=B``, and then
-a manifest, which names the batch that each bucket was last written by. So a reader finds each id once, in one version of
-each bucket, however many batches there were, and nothing is left to compact; what only older manifests name is deleted
-with the next batch. Work grows with the touched buckets: many buckets suit small batches over a large store.
+A store has ``buckets`` by hash of id. A bucket is a few runs, ``batch=N/bucket=B``, each with the chunks that some
+successive batches brought. A batch writes its own chunks of each bucket that it touches, and with them those of the last
+runs that are not twice as large: so runs at least halve from the first to the last, a bucket has as many as the logarithm
+of its size, and a chunk is written as often, however many batches there are. Then it writes a manifest, which names each
+bucket's runs. A reader takes of each id the version of the last batch, so it finds each once; what only older manifests
+name is deleted with the next batch.
 """
 
 from __future__ import annotations
@@ -33,19 +35,41 @@ def _versions(spark: SparkSession, store: str) -> list[int]:
     return sorted(int(n) for n in names if n.isdigit() and fs.exists(_fs(spark, f"{store}/manifest/{n}/_SUCCESS")[1]))
 
 
-def _manifest(spark: SparkSession, store: str, below: int) -> dict[int, int]:
-    """The batch that each bucket was last written by, as of the last batch under ``below``."""
+def _manifest(spark: SparkSession, store: str, below: int) -> dict[int, list[int]]:
+    """The batches that wrote each bucket's runs, ascending, as of the last batch under ``below``."""
     found = [v for v in _versions(spark, store) if v < below]
     if not found:
         return {}
-    return {r.bucket: r.batch for r in spark.read.schema("bucket int, batch long").json(f"{store}/manifest/{found[-1]}").collect()}  # a row a bucket
+    named: dict[int, list[int]] = {}
+    for r in sorted(spark.read.schema("bucket int, batch long").json(f"{store}/manifest/{found[-1]}").collect()):  # a row a run
+        named.setdefault(r.bucket, []).append(r.batch)
+    return named
 
 
-def _read(spark: SparkSession, store: str, named: dict[int, int]) -> DataFrame:
-    paths = [f"{store}/batch={batch}/bucket={bucket}" for bucket, batch in sorted(named.items())]
+def _folder(store: str, bucket: int, batch: int) -> str:
+    return f"{store}/batch={batch}/bucket={bucket}"
+
+
+def _size(spark: SparkSession, folder: str) -> int:
+    fs, path = _fs(spark, folder)
+    return fs.getContentSummary(path).getLength()
+
+
+def _read(spark: SparkSession, store: str, named: dict[int, list[int]]) -> DataFrame:
+    """All rows of these runs; an id may be in several of them."""
+    paths = [_folder(store, bucket, batch) for bucket, batches in sorted(named.items()) for batch in batches]
     return spark.read.schema(STORED).parquet(*paths) if paths else spark.createDataFrame([], STORED)
 
 
+def _to_merge(sizes: list[int], new: int) -> int:
+    """How many runs, of these sizes, stay as they are when a run of size ``new`` comes; the later ones go with it."""
+    kept = len(sizes)
+    while kept and sizes[kept - 1] < 2 * new:
+        kept -= 1
+        new += sizes[kept]
+    return kept
+
+
 def merge_batch(chunks: DataFrame, store: str, batch_id: int, *, buckets: int = _BUCKETS) -> None:
     """Upsert a batch's chunks by id into the buckets they touch; ``buckets`` stays as it was at the store's first batch.
 
@@ -54,18 +78,21 @@ def merge_batch(chunks: DataFrame, store: str, batch_id: int, *, buckets: int =
     spark = chunks.sparkSession
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
     batch = chunks.withColumn("seq", F.lit(batch_id).cast("long")).select(*_COLUMNS)
-    before = _manifest(spark, store, batch_id)
+    named = _manifest(spark, store, batch_id)
     folder = f"{store}/batch={batch_id}"
     batch.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}-new")
     fs, new = _fs(spark, f"{folder}-new")
     touched = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(new) if s.isDirectory()]  # at most ``buckets``
     if touched:
         rows = spark.read.schema(STORED).parquet(*[f"{folder}-new/bucket={b}" for b in touched])
-        old = _read(spark, store, {b: v for b, v in before.items() if b in touched})
-        merged = C.upsert_chunks(old, rows).withColumn("bucket", bucket)
+        gone = {}
+        for b in touched:
+            runs = named.get(b, [])
+            kept = _to_merge([_size(spark, _folder(store, b, v)) for v in runs], _size(spark, f"{folder}-new/bucket={b}"))
+            named[b], gone[b] = [*runs[:kept], batch_id], runs[kept:]
+        merged = C.upsert_chunks(_read(spark, store, gone), rows).withColumn("bucket", bucket)
         merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-    named = before | dict.fromkeys(touched, batch_id)
-    rows = spark.createDataFrame(sorted(named.items()), "bucket int, batch long")
+    rows = spark.createDataFrame(sorted((b, v) for b, runs in named.items() for v in runs), "bucket int, batch long")
     rows.coalesce(1).write.mode("overwrite").json(f"{store}/manifest/{batch_id}")
     fs.delete(new, True)
     _forget(spark, store, batch_id)
@@ -74,10 +101,11 @@ def merge_batch(chunks: DataFrame, store: str, batch_id: int, *, buckets: int =
 def _forget(spark: SparkSession, store: str, batch_id: int) -> None:
     """Delete what neither the manifest of this batch nor that of the one before names: this one may run again."""
     versions = [v for v in _versions(spark, store) if v <= batch_id]
-    live = {item for v in versions[-2:] for item in _manifest(spark, store, v + 1).items()}
+    runs = lambda v: {(bucket, batch) for bucket, batches in _manifest(spark, store, v + 1).items() for batch in batches}
+    live = {item for v in versions[-2:] for item in runs(v)}
     for v in versions[:-2]:
-        for bucket, batch in set(_manifest(spark, store, v + 1).items()) - live:
-            fs, path = _fs(spark, f"{store}/batch={batch}/bucket={bucket}")
+        for bucket, batch in runs(v) - live:
+            fs, path = _fs(spark, _folder(store, bucket, batch))
             fs.delete(path, True)
         fs, path = _fs(spark, f"{store}/manifest/{v}")
         fs.delete(path, True)
@@ -86,7 +114,10 @@ def _forget(spark: SparkSession, store: str, batch_id: int) -> None:
 def stored_chunks(spark: SparkSession, store: str, n_batches: int | None = None) -> DataFrame:
     """The store as it is now, or after the batch before the last: of each id the chunk of the last batch that has it."""
     below = n_batches if n_batches is not None else max(_versions(spark, store), default=-1) + 1
-    return _read(spark, store, _manifest(spark, store, below))
+    named = _manifest(spark, store, below)
+    one, more = ({b: runs for b, runs in named.items() if (len(runs) > 1) == several} for several in (False, True))
+    rows = _read(spark, store, one)
+    return rows.unionByName(C.upsert_chunks(rows.limit(0), _read(spark, store, more))) if more else rows
 
 
 def last_versions(batch: DataFrame) -> DataFrame:

@@ -314,3 +314,30 @@ def test_all_distances_in_blocks(spark):
     assert R.distances(asked.limit(0), store).count() == 0
     meeting = R.distances(asked, store)._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" not in meeting and "aggregate(" not in meeting  # no pair goes through Spark's interpreted functions
+
+
+def test_a_small_batch_leaves_a_large_bucket_as_it_is(spark, tmp_path):
+    from quillspark.streaming import ingest as ST
+
+    kind = "id string, text string, source_doc string, section string, position int, has_code boolean"
+    store, want = str(tmp_path / "store"), {}
+    for batch_id, ids in enumerate((range(4_000), range(0, 40, 2), range(3_990, 4_020), range(0, 40, 3))):
+        rows = [(str(k), f"{batch_id} " + " ".join(str(hash((k, j))) for j in range(10)), "d", "s", 0, False) for k in ids]
+        want |= {r[0]: (r[1], batch_id) for r in rows}
+        ST.merge_batch(spark.createDataFrame(rows, kind), store, batch_id, buckets=1)
+    found = ST.stored_chunks(spark, store).collect()
+    assert len(found) == len(want) and {r.id: (r.text, r.seq) for r in found} == want
+    size = lambda n: sum(p.stat().st_size for p in (tmp_path / "store" / f"batch={n}").rglob("*.parquet"))
+    assert 0 < size(3) * 10 < size(0)  # before, each batch wrote the whole bucket
+
+
+def test_runs_are_few_and_seldom_written():
+    from quillspark.streaming import ingest as ST
+
+    sizes, written = [], 0
+    for _ in range(1_000):
+        kept = ST._to_merge(sizes, 1)
+        sizes = [*sizes[:kept], 1 + sum(sizes[kept:])]
+        written += sizes[-1]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    assert len(sizes) <= 10 and written <= 12 * 1_000
